@@ -33,10 +33,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import secrets
+
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.array_sort(F.concat("assign", "access", "hex"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op8_packing": op8_packing,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLES: dict[str, str] = {
