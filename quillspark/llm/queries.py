@@ -19,6 +19,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "failed_bits")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import boilerplate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return boilerplate.clean(docs, counts=True).select("doc_id", F.col("__b_lines").alias("n_lines"), F.col("__b_removed").alias("n_removed"), "text")
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import licences
+
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import decontaminate
 
@@ -43,13 +56,29 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "op6_license_scans": op6_license_scans,
     "op8_packing": op8_packing,
     "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH ls AS (
+  SELECT doc_id, coalesce(source, '') AS site, ls[i] AS line, trim(ls[i], ' ' || chr(9) || chr(13)) AS bare, i
+  FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents))),
+common AS (SELECT bare FROM ls WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT site) >= 8),
+marked AS (SELECT ls.*, common.bare IS NOT NULL AS out, length(regexp_replace(line, '[ \t\n\v\f\r]', '', 'g')) AS n FROM ls LEFT JOIN common USING (bare)),
+sums AS (
+  SELECT doc_id, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (out) AS n_out, sum(n) AS total, coalesce(sum(n) FILTER (NOT out), 0) AS kept,
+         string_agg(line, chr(10) ORDER BY i) FILTER (NOT out) AS clean
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, (CASE WHEN n_out > 0 AND kept >= 0.5 * total THEN n_out ELSE 0 END)::BIGINT AS n_removed,
+       CASE WHEN n_out > 0 AND kept >= 0.5 * total THEN coalesce(clean, '') ELSE d.text END AS text
+FROM documents d LEFT JOIN sums USING (doc_id)
+""",
     "op3_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -105,3 +134,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM bits
 """,
 }
+
+from quillspark.llm import licences as _licences  # noqa: E402
+
+ORACLES["op6_license_scans"] = _licences.oracle()
