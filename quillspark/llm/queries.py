@@ -26,12 +26,26 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.clean(docs, counts=True).select("doc_id", F.col("__b_lines").alias("n_lines"), F.col("__b_removed").alias("n_removed"), "text")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.sample(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import licences
 
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import pii
+
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import decontaminate
 
@@ -57,8 +71,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op6_license_scans": op6_license_scans,
     "op8_packing": op8_packing,
     "op10_secret_scans": op10_secret_scans,
