@@ -60,6 +60,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import suffixes
+
+    found = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
+    return found.select("doc_id", F.col("__s_bytes").alias("n_bytes"), F.col("__s_removed").alias("n_removed"), F.col("__s_spans").alias("n_spans"), F.col("__s_sha256").alias("kept_sha256"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import secrets
 
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_license_scans": op6_license_scans,
     "op8_packing": op8_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
 
