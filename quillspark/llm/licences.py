@@ -60,7 +60,7 @@ def required_words(bigrams: list[str], threshold: float = THRESHOLD) -> list[str
     left, found, covered = list(bigrams), [], 0
     while covered <= missable:
         count = Counter(w for x in left for w in set(x.split()))
-        word = max(count, key=lambda w: (w not in COMMON and len(w) > 2, count[w], len(w), w))
+        word = max(count, key=lambda w: (w not in COMMON and len(w) >= 5, w not in COMMON, count[w], len(w), w))
         found.append(word)
         covered += count[word]
         left = [x for x in left if word not in x.split()]
@@ -72,19 +72,28 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def _holds(text: Column, words: list[str]) -> Column:
+    """True if one of the words may stand in text: short ones are looked for between other characters."""
+    tests = [text.contains(w) for w in words if len(w) >= 5]
+    if short := [w for w in words if len(w) < 5]:
+        tests.append(text.rlike(f"(?<![a-z0-9])({'|'.join(short)})(?![a-z0-9])"))
+    return reduce(lambda a, b: a | b, tests)
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line (0: the whole text), licence, dice, n_bigrams: a row for each segment that reaches the threshold."""
     own = [(name, bigrams_of(body)) for name, body in TEMPLATES]
     needed = sorted({w for _, x in own for w in required_words(x, threshold)})
     lower = F.lower(F.col(text))
-    some = docs.filter(reduce(lambda a, b: a | b, [lower.contains(w) for w in needed])).select(F.col(doc_id).alias("doc_id"), lower.alias("text"))
+    some = docs.filter(_holds(lower, needed)).select(F.col(doc_id).alias("doc_id"), lower.alias("text"))
     lines = F.split("text", "\n")
     parts = F.when(F.size(lines) > 1, F.concat(F.array(F.col("text")), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
     cut = some.select("doc_id", F.posexplode(parts).alias("line", "part"))
-    cut = cut.filter(reduce(lambda a, b: a | b, [F.col("part").contains(w) for w in needed]))
+    cut = cut.filter(_holds(F.col("part"), needed))
     words = cut.select("doc_id", "line", F.regexp_extract_all("part", F.lit(WORD), F.lit(0)).alias("words"))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    words = words.filter(F.size("words") - 1 >= low * min(len(x) for _, x in own))
+    # there are fewer distinct bigrams than words, and no fewer than distinct words less one
+    words = words.filter((F.size("words") - 1 >= low * min(len(x) for _, x in own)) & (F.size(F.array_distinct("words")) - 1 <= high * max(len(x) for _, x in own) + 1e-9))
     sized = words.select("doc_id", "line", _bigrams(F.col("words")).alias("grams")).withColumn("n", F.size("grams"))
     sized = sized.filter(F.col("n").between(low * min(len(x) for _, x in own) - 1e-9, high * max(len(x) for _, x in own) + 1e-9))
     templates = F.array(*[F.struct(F.lit(name).alias("licence"), F.array(*[F.lit(g) for g in grams]).alias("grams"), F.lit(len(grams)).alias("b")) for name, grams in own])
