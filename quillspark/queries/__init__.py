@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "metrics")
+MODULES = ("text", "retrieval", "metrics")
 
 
 def _modules():

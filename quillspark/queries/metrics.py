@@ -78,11 +78,12 @@ def m04(spark, sf):
 
 @query(
     "m05_failure_category",
-    f"""{MET}, o AS (SELECT query_id, count(*) AS gold_n, count(*) FILTER (chunk_id % 10 = 3) AS outside_n FROM gold GROUP BY 1)
+    f"""{MET}, o AS (SELECT query_id, count(*) AS gold_n, count(*) FILTER (lang <> 'en') AS outside_n FROM gold JOIN documents ON doc_id = chunk_id GROUP BY 1)
 SELECT query_id AS item_id, CASE WHEN gold_n = outside_n THEN 'gold_not_in_corpus' WHEN outside_n > 0 THEN 'gold_partially_outside_corpus' WHEN hit_at_10 = 0 THEN 'no_gold_hit_top_10' WHEN hit_at_1 = 0 THEN 'gold_below_rank_1' ELSE 'none' END AS failure_category FROM met JOIN o USING (query_id)""",
 )
 def m05(spark, sf):
-    outside = gold(spark, sf).groupBy("query_id").agg(F.count("*").alias("gold_n"), F.count_if(F.col("chunk_id") % 10 == 3).alias("outside_n"))  # a corpus without every tenth document
+    lang = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
+    outside = gold(spark, sf).join(lang, "chunk_id").groupBy("query_id").agg(F.count("*").alias("gold_n"), F.count_if(F.col("lang") != "en").alias("outside_n"))  # a corpus of English documents only
     return metrics.failure_category(bm25_metrics(spark, sf).join(outside, "query_id")).select(F.col("query_id").alias("item_id"), "failure_category")
 
 

@@ -70,15 +70,16 @@ def r05(spark, sf):
 # Zero scores stay in the ranking, by id; the fused list has only positive ones, ranked anew.
 @query(
     "r07_positive_ranks",
-    f"""WITH {sql_bm25()}, every AS (SELECT item_id AS query_id, doc_id AS chunk_id, coalesce(score, 0) AS score FROM (SELECT item_id FROM benchmark WHERE item_id % 20 = 0), documents LEFT JOIN bm_scores s ON s.query_id = item_id AND s.chunk_id = doc_id),
+    f"""WITH {sql_bm25()}, every AS (SELECT item_id AS query_id, doc_id AS chunk_id, coalesce(score, 0) AS score FROM (SELECT item_id, doc_id FROM benchmark, documents) x LEFT JOIN bm_scores s ON s.query_id = item_id AND s.chunk_id = doc_id),
 raw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS raw_rank FROM every)
 SELECT query_id AS item_id, chunk_id AS doc_id, score, raw_rank, CASE WHEN score > 0 THEN row_number() OVER (PARTITION BY query_id, score > 0 ORDER BY raw_rank) END AS lexical_rank FROM raw WHERE raw_rank <= 40""",
 )
 def r07(spark, sf):
-    items = table(spark, sf, "benchmark").filter("item_id % 20 = 0")  # the stated questions of this report
-    scored = bm25.scores(corpus(spark, sf), items, "item_id", F.col("text"))
-    every = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id")).join(F.broadcast(items.select(F.col("item_id").alias("query_id"))))
-    raw = every.join(scored, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    scored = bm25_scores(spark, sf)
+    # Of documents without a score only the 40 with the least ids can come among the first 40.
+    low = table(spark, sf, "documents").select("doc_id").orderBy("doc_id").limit(40)
+    zero = low.join(F.broadcast(table(spark, sf, "benchmark").select("item_id"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.lit(0.0).alias("score"))  # 40 rows a question
+    raw = scored.unionByName(zero).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     raw = raw.withColumn("raw_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).filter("raw_rank <= 40")
     positive = F.col("score") > 0
     ranked = raw.withColumn("lexical_rank", F.when(positive, F.row_number().over(Window.partitionBy("query_id", positive).orderBy("raw_rank"))))
@@ -89,11 +90,12 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), dense.as_doubles(F.col("embedding")).alias("v"), "label")
 
 
-def _asked(spark, sf, n=10):
-    return _vectors(spark, sf).filter(F.col("chunk_id") < n).select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q"))
+def _asked(spark, sf):
+    """The questions of a search: every vector whose id is divisible by 50."""
+    return _vectors(spark, sf).filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q"))
 
 
-_SIM = """sims AS (SELECT q.vec_id AS q_id, d.vec_id, round({f}(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM embeddings d, (SELECT * FROM embeddings WHERE vec_id < 10) q)"""
+_SIM = """sims AS (SELECT q.vec_id AS q_id, d.vec_id, round({f}(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM embeddings d, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)"""
 
 
 @query("d01_dense_top10", f"WITH {_SIM.format(f='list_dot_product')} SELECT q_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM sims) WHERE rank <= 10")
@@ -109,16 +111,14 @@ def d03(spark, sf):
 @query(
     "d02_sql_vector_search",
     f"""WITH {_SIM.format(f='list_cosine_similarity')},
-terms AS (SELECT item_id AS q_id, list_slice(list_filter(list_distinct({sql_tokens('text')}), lambda t: length(t) > 1), 1, 0) AS none, text FROM benchmark WHERE item_id < 10),
-words AS (SELECT q_id, w FROM (SELECT q_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM (SELECT item_id AS q_id, {sql_tokens('text')} AS toks FROM benchmark WHERE item_id < 10)) WHERE length(w) > 1 QUALIFY row_number() OVER (PARTITION BY q_id, w ORDER BY i) = 1 AND true),
-firsts AS (SELECT q_id, w FROM (SELECT q_id, w, row_number() OVER (PARTITION BY q_id ORDER BY fi) AS r FROM (SELECT q_id, w, min(i) AS fi FROM (SELECT q_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM (SELECT item_id AS q_id, {sql_tokens('text')} AS toks FROM benchmark WHERE item_id < 10)) WHERE length(w) > 1 GROUP BY ALL)) WHERE r <= 16),
+firsts AS (SELECT q_id, w FROM (SELECT q_id, w, row_number() OVER (PARTITION BY q_id ORDER BY fi) AS r FROM (SELECT q_id, w, min(i) AS fi FROM (SELECT q_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM (SELECT 50 * item_id AS q_id, {sql_tokens('text')} AS toks FROM benchmark)) WHERE length(w) > 1 GROUP BY ALL)) WHERE r <= 16),
 lex AS (SELECT q_id, doc_id AS vec_id, count(*) AS lexical FROM firsts, (SELECT doc_id, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM documents) d WHERE contains(t, w) GROUP BY ALL),
 ranked AS (SELECT s.*, coalesce(lexical, 0) AS lexical, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS dense_rank, row_number() OVER (PARTITION BY q_id ORDER BY coalesce(lexical, 0) DESC, score DESC, vec_id) AS keyword_rank FROM sims s LEFT JOIN lex USING (q_id, vec_id))
 SELECT q_id, vec_id, score AS sim, lexical, dense_rank, keyword_rank FROM ranked WHERE dense_rank <= 20 OR (lexical > 0 AND keyword_rank <= 20) QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) <= 40""",
 )
 def d02(spark, sf):
     sims = dense.similarities(_vectors(spark, sf), _asked(spark, sf), cosine=True)
-    terms = table(spark, sf, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), F.slice(F.array_distinct(F.filter(lexical_tokens(F.col("text"), False), lambda w: F.length(w) > 1)), 1, 16).alias("terms"))
+    terms = table(spark, sf, "benchmark").select((50 * F.col("item_id")).alias("query_id"), F.slice(F.array_distinct(F.filter(lexical_tokens(F.col("text"), False), lambda w: F.length(w) > 1)), 1, 16).alias("terms"))
     bare = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.regexp_replace(F.lower("text"), r"\s+", "").alias("t"))
     lexical = bare.join(F.broadcast(terms)).select("query_id", "chunk_id", F.size(F.filter("terms", lambda w: F.contains(F.col("t"), w))).cast("long").alias("lexical"))
     scored = sims.join(lexical, ["query_id", "chunk_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0).cast("long")))
