@@ -12,8 +12,8 @@ their sets.
 
 Components are asked for, not pairs. So links come in two rounds. The first tries, in each block, every class against the
 one that has the block's shingle earliest in its order: in a group of near copies that is one without edits of its own.
-Classes linked to the same class share a label, and the second round tries only pairs with different labels, all of them:
-no link between components is lost, and a group of thousands of near copies needs no more than its links to the first.
+The components of these links are labels, and the second round tries only pairs with different labels, all of them: no
+link between components is lost, and a group of thousands of near copies needs no more than its links to the first.
 Blocks of more than LIMIT points are dealt out in pairs of parts; the part of a block that shares one label meets only
 the rest.
 
@@ -41,7 +41,7 @@ SLOTS = 1 << 20
 #: Points of a block that one task indexes at once; blocks of up to SMALL points are compared without an index.
 LIMIT, SMALL = 2_000, 24
 #: Shingles counted together; those a chunk holds fewer times than OFTEN don't count as frequent.
-CHUNK, OFTEN = 1_000_000, 3
+CHUNK, OFTEN = 4_000_000, 2
 
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -241,10 +241,22 @@ def _pairs(batches):
     """Rows (h, part_a, part_b, side, label, n, set, coarse) sorted by h and parts -> pairs with different labels that the bounds let through."""
     held = None
 
+    kept: list[np.ndarray] = []
+
     def found(a, b, rows):
+        """Pairs often share several blocks of a task: they are gathered and told apart by the million."""
         one, two = rows["set"][a], rows["set"][b]
-        pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        kept.append(np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)]), axis=1) if len(a) else np.zeros((2, 0), np.int64))
+        if sum(x.shape[1] for x in kept) >= 1_000_000:
+            kept[:] = [np.unique(np.concatenate(kept, axis=1), axis=1)]
+            if kept[0].shape[1] >= 500_000:
+                yield from flush()
+
+    def flush():
+        if kept:
+            pairs = np.unique(np.concatenate(kept, axis=1), axis=1)
+            kept.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     def allowed(a, b, rows):
         cross = (rows["part_a"][a] == rows["part_b"][a]) | (rows["side"][a] != rows["side"][b])
@@ -268,14 +280,14 @@ def _pairs(batches):
             for k in range(0, len(a), 1 << 16):
                 x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
                 keep = _passes(np.minimum(rows["coarse"][x], rows["coarse"][y]).sum(1), rows["n"][x] + rows["n"][y])
-                yield found(x[keep], y[keep], rows)
+                yield from found(x[keep], y[keep], rows)
         for g in np.flatnonzero(sizes > SMALL):
             at = np.arange(starts[g], starts[g] + sizes[g])
             tree = CountRTree(rows["coarse"][at], rows["n"][at])
             for a, b in tree.candidates(rows["coarse"][at], rows["n"][at]):
                 a, b = at[a], at[b]
                 keep = (a < b) & allowed(a, b, rows)
-                yield found(a[keep], b[keep], rows)
+                yield from found(a[keep], b[keep], rows)
 
     for batch in batches:
         if not batch.num_rows:
@@ -290,6 +302,7 @@ def _pairs(batches):
         held = {k: x[cut:] for k, x in rows.items()}
     if held is not None:
         yield from work(held)
+    yield from flush()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -385,9 +398,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     near = 100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
     first = blocks.filter(near & (F.col("set") != F.col("hub"))).select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
     links = write_shared(_verified(first, classes, own), "ngram-links")
-    around = links.select(F.col("a").alias("set"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("set"), F.col("a").alias("other")))
-    near_label = around.groupBy("set").agg(F.min("other").alias("m")).select("set", F.least("set", "m").alias("label"))
-    labels = near_label.join(near_label.select(F.col("set").alias("label"), F.col("label").alias("next")), "label", "left").select("set", F.coalesce("next", "label").alias("label"))
+    labels = components(links).select(F.col("node").alias("set"), F.col("component").alias("label"))
     labels = write_shared(labels, "ngram-labels")
     more = write_shared(_verified(_second_round(blocks, classes, labels), classes, own), "ngram-more")
 
