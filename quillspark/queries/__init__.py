@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "retrieval", "metrics")
+MODULES = ("text", "corpus", "retrieval", "metrics")
 
 
 def _modules():
