@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "plan", "corpus", "retrieval", "metrics")
+MODULES = ("text", "plan", "corpus", "retrieval", "evidence", "metrics")
 
 
 def _modules():
