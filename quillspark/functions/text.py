@@ -46,8 +46,14 @@ def anchors(text: Column) -> Column:
         hit = F.regexp_count(acc["rest"], x["pattern"]) > 0
         return F.struct(F.when(hit, F.regexp_replace(acc["rest"], x["pattern"], F.lit(" "))).otherwise(acc["rest"]).alias("rest"), F.when(hit, F.concat(acc["found"], F.array(x["key"]))).otherwise(acc["found"]).alias("found"))
 
-    any_alias = "|".join(r"\s*".join(a.replace(" ", "")) if not a.isascii() else a for _, a in aliases)
-    return F.when(low.rlike(any_alias), F.array_distinct(F.aggregate(F.array(*rows), start, step, lambda acc: acc["found"]))).otherwise(F.array().cast("array<string>"))
+    # Most texts name none: plain tests tell first.
+    latin = sorted({a.split()[0] for _, a in aliases if a.isascii()})
+    short = "|".join(w for w in latin if len(w) < 5)
+    maybe = text.rlike("[가-힣]") | low.rlike(rf"(?<![a-z0-9])(?:{short})(?![a-z0-9])")
+    for word in latin:
+        if len(word) >= 5:
+            maybe = maybe | F.contains(low, F.lit(word))
+    return F.when(maybe, F.array_distinct(F.aggregate(F.array(*rows), start, step, lambda acc: acc["found"]))).otherwise(F.array().cast("array<string>"))
 
 
 def compatible(question: Column, text: Column) -> Column:
@@ -57,14 +63,14 @@ def compatible(question: Column, text: Column) -> Column:
 
 def lexical_tokens(text: Column, entities: bool = True) -> Column:
     """Words; Korean words without their particle, and their pairs of letters; anchors."""
-    words = F.regexp_extract_all(lower_clean(text), F.lit(TOKEN), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))  # no token holds white space: nothing to clean
 
     def of(word: Column) -> Column:
         base = without_particle(word)
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), lambda i: F.concat(F.lit("ko:"), F.substring(word, i, F.lit(2))))
         return F.when(is_hangul(word), F.concat(F.array(F.when(base == "", word).otherwise(base)), pairs)).otherwise(F.array(word))
 
-    own = F.flatten(F.transform(words, of))
+    own = F.when(text.rlike("[가-힣]"), F.flatten(F.transform(words, of))).otherwise(words)
     return F.concat(own, F.transform(anchors(text), lambda a: F.concat(F.lit("entity:"), a))) if entities else own
 
 
@@ -82,7 +88,7 @@ def query_terms(question: Column) -> Column:
 
 
 def minimal_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(lower_clean(text), F.lit(r"[a-z][a-z0-9-]*|[가-힣]+|[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z0-9-]*|[가-힣]+|[0-9]+(?:\.[0-9]+)?"), F.lit(0))
 
 
 def term_matches(word: Column, text: Column) -> Column:
