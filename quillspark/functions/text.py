@@ -46,13 +46,9 @@ def anchors(text: Column) -> Column:
         hit = F.regexp_count(acc["rest"], x["pattern"]) > 0
         return F.struct(F.when(hit, F.regexp_replace(acc["rest"], x["pattern"], F.lit(" "))).otherwise(acc["rest"]).alias("rest"), F.when(hit, F.concat(acc["found"], F.array(x["key"]))).otherwise(acc["found"]).alias("found"))
 
-    # Most texts name none: plain tests tell first.
-    latin = sorted({a.split()[0] for _, a in aliases if a.isascii()})
-    short = "|".join(w for w in latin if len(w) < 5)
-    maybe = text.rlike("[가-힣]") | low.rlike(rf"(?<![a-z0-9])(?:{short})(?![a-z0-9])")
-    for word in latin:
-        if len(word) >= 5:
-            maybe = maybe | F.contains(low, F.lit(word))
+    # Most texts name none: one test tells first.
+    latin = "|".join(sorted({a.split()[0] for _, a in aliases if a.isascii()}))
+    maybe = F.lower(text).rlike(rf"[가-힣]|(?<![a-z0-9])(?:{latin})(?![a-z0-9])")
     return F.when(maybe, F.array_distinct(F.aggregate(F.array(*rows), start, step, lambda acc: acc["found"]))).otherwise(F.array().cast("array<string>"))
 
 

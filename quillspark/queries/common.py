@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import lexical_tokens, sentences
 from quillspark.operators import bm25
+from quillspark.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

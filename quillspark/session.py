@@ -63,3 +63,9 @@ class Written:
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: executors can then be lost without a recomputation of what lies before."""
     return Written(df, name).read()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: for a scan of fewer row groups than that. Larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
