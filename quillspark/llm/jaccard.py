@@ -7,8 +7,8 @@ consistency matters for the result. Classes that share such a shingle form a blo
 
 Each class is a point: its shingles are hashed into groups and counted by group. In a block the points are indexed by an
 R-tree, and the overlap of a query with anything under a node is bounded by the sum of the coordinate minima of the query
-and the node's maxima; lengths bound it too. Surviving pairs are tried with finer points (256 groups), then verified with
-their sets.
+and the node's maxima; lengths bound it too. The tree has 64 coordinates; pairs that survive are tried with all 256 groups,
+of which the coordinates are sums, then verified with their sets.
 
 Components are asked for, not pairs. So links come in two rounds. The first tries, in each block, every class against the
 one that has the block's shingle earliest in its order: in a group of near copies that is one without edits of its own.
@@ -153,8 +153,8 @@ def _texts(batches, column: int = 1):
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """kind 0: ref, n, set, coarse, fine for each document; kind 1: slot and its count."""
-    names = ["kind", "ref", "n", "set", "coarse", "fine"]
+    """kind 0: ref, n, set, fine for each document; kind 1: slot and its count."""
+    names = ["kind", "ref", "n", "set", "fine"]
 
     def run(batches):
         frequent, held, weight = np.zeros(SLOTS, np.int64), [], 0
@@ -170,13 +170,13 @@ def _describe(docs: DataFrame) -> DataFrame:
             if weight >= CHUNK:
                 count()
                 held, weight = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(refs), np.int8)), pa.array(refs), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([point(x, COARSE) if len(x) else b"" for x in sets], pa.binary()), pa.array([point(x, FINE) if len(x) else b"" for x in sets], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(refs), np.int8)), pa.array(refs), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([point(x, FINE) if len(x) else b"" for x in sets], pa.binary())], names=names)
         if held:
             count()
         some = np.flatnonzero(frequent)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int8)), pa.array(some), pa.array(frequent[some]), *[pa.nulls(len(some), t) for t in (pa.int64(), pa.binary(), pa.binary())]], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int8)), pa.array(some), pa.array(frequent[some]), *[pa.nulls(len(some), t) for t in (pa.int64(), pa.binary())]], names=names)
 
-    return docs.mapInArrow(run, "kind byte, ref long, n long, set long, coarse binary, fine binary")
+    return docs.mapInArrow(run, "kind byte, ref long, n long, set long, fine binary")
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -238,7 +238,7 @@ def _blocks(batches):
 
 
 def _pairs(batches):
-    """Rows (h, part_a, part_b, side, label, n, set, coarse) sorted by h and parts -> pairs with different labels that the bounds let through."""
+    """Rows (h, part_a, part_b, side, label, n, set, fine) sorted by h and parts -> pairs with different labels that the bounds let through."""
     held = None
 
     kept: list[np.ndarray] = []
@@ -252,6 +252,14 @@ def _pairs(batches):
             if kept[0].shape[1] >= 500_000:
                 yield from flush()
 
+    def finer(a, b, rows):
+        keep = [np.zeros(0, bool)]
+        for k in range(0, len(a), 1 << 14):
+            x, y = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+            keep.append(_passes(np.minimum(rows["fine"][x], rows["fine"][y]).sum(1), rows["n"][x] + rows["n"][y]))
+        keep = np.concatenate(keep)
+        return a[keep], b[keep]
+
     def flush():
         if kept:
             pairs = np.unique(np.concatenate(kept, axis=1), axis=1)
@@ -280,20 +288,21 @@ def _pairs(batches):
             for k in range(0, len(a), 1 << 16):
                 x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
                 keep = _passes(np.minimum(rows["coarse"][x], rows["coarse"][y]).sum(1), rows["n"][x] + rows["n"][y])
-                yield from found(x[keep], y[keep], rows)
+                yield from found(*finer(x[keep], y[keep], rows), rows)
         for g in np.flatnonzero(sizes > SMALL):
             at = np.arange(starts[g], starts[g] + sizes[g])
             tree = CountRTree(rows["coarse"][at], rows["n"][at])
             for a, b in tree.candidates(rows["coarse"][at], rows["n"][at]):
                 a, b = at[a], at[b]
                 keep = (a < b) & allowed(a, b, rows)
-                yield from found(a[keep], b[keep], rows)
+                yield from found(*finer(a[keep], b[keep], rows), rows)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         own = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(("h", "part_a", "part_b", "side", "label", "n", "set"))}
-        own["coarse"] = points(batch.column(7).to_pylist(), COARSE)
+        own["fine"] = points(batch.column(7).to_pylist(), FINE)
+        own["coarse"] = own["fine"].reshape(-1, FINE // COARSE, COARSE).sum(1)  # groups of one are unions of groups of the other
         rows = own if held is None else {k: np.concatenate([held[k], own[k]]) for k in own}
         last = (rows["h"] == rows["h"][-1]) & (rows["part_a"] == rows["part_a"][-1]) & (rows["part_b"] == rows["part_b"][-1])
         cut = len(last) - int(last.sum())  # rows are sorted: the last block may go on in the next batch
@@ -367,7 +376,7 @@ def _second_round(blocks: DataFrame, classes: DataFrame, labels: DataFrame) -> D
     alone = F.array(F.struct(F.lit(0).alias("part_a"), F.lit(0).alias("part_b"), F.lit(0).alias("side")))
     where = F.when(F.col("total") <= LIMIT, alone).when(F.col("label") == F.col("main"), from_main).otherwise(F.concat(to_rest, to_main))
     dealt = own.select("h", "set", "label", F.explode(where).alias("w")).select("h", F.col("w.part_a"), F.col("w.part_b"), F.col("w.side"), "label", "set")
-    full = dealt.join(classes.select("set", "n", "coarse"), "set").select("h", "part_a", "part_b", "side", "label", "n", "set", "coarse")
+    full = dealt.join(classes.select("set", "n", "fine"), "set").select("h", "part_a", "part_b", "side", "label", "n", "set", "fine")
     keys = ["h", "part_a", "part_b"]
     return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_pairs, "a long, b long").distinct()
 
@@ -389,7 +398,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     levels[counts.column(0).to_numpy()] = np.ceil(np.log2(counts.column(1).to_numpy() + 1)).astype(np.uint8)
     rows = described.filter("kind = 0 AND n > 0")
     least = rows.groupBy("set").agg(F.min("ref").alias("ref"))
-    classes = write_shared(rows.join(least, ["set", "ref"]).select("set", "ref", "n", "coarse", "fine").dropDuplicates(["set"]), "ngram-classes")
+    classes = write_shared(rows.join(least, ["set", "ref"]).select("set", "ref", "n", "fine").dropDuplicates(["set"]), "ngram-classes")
     prefixes = Written(_prefixes(own, levels), "ngram-prefixes")
     order = ["h", "place", "set"]
     blocks = write_shared(prefixes.read().repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks, "h long, set long, n long, hub long, hub_n long"), "ngram-blocks")
