@@ -25,7 +25,9 @@ def scores(docs: DataFrame, queries: DataFrame, query_id: str, question: Column,
     """query_id, chunk_id, score for every pair that shares a term. docs: see tokenized()."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(question))).alias("term"))
     wanted = asked.select("term").distinct()
-    postings = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    # Dealt by chunk, the counts of terms and, if the questions' terms are small enough to be broadcast, the sums need no other exchange.
+    rows = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").repartition("chunk_id")
+    postings = rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     n = F.col("n").cast("double")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
