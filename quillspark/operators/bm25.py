@@ -26,7 +26,8 @@ def scores(docs: DataFrame, queries: DataFrame, query_id: str, question: Column,
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(question))).alias("term"))
     wanted = asked.select("term").distinct()
     # Dealt by chunk, the counts of terms and, if the questions' terms are small enough to be broadcast, the sums need no other exchange.
-    rows = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").repartition("chunk_id")
+    # The outer explode keeps the optimizer from testing for empty token lists, by a second tokenisation, below the scan's exchange.
+    rows = docs.select("chunk_id", "dl", F.explode_outer("tokens").alias("term")).join(wanted, "term", "left_semi").repartition("chunk_id")
     postings = rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     n = F.col("n").cast("double")
