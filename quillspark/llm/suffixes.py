@@ -391,8 +391,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_byte
     ids = docs.agg(F.count("*").alias("n"), F.count(doc_id).alias("some"), F.count_distinct(doc_id).alias("d")).first()
     unique = ids["n"] == ids["some"] == ids["d"] and docs.schema[doc_id].dataType.simpleString() in ("bigint", "int")
     ref = F.col(doc_id).cast("long") if unique else F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
-    spans = repeats(docs.select(ref.alias("ref"), F.col(text).alias("text"))).withColumnRenamed("ref", "__s_ref")
-    joined = docs.join(spans.hint("shuffle_hash"), ref == F.col("__s_ref"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("spans").alias("__s_at"))
+    spans = repeats(docs.select(ref.alias("ref"), F.col(text).alias("text"))).select(F.col("ref").alias("__s_ref"), F.col("spans").alias("__s_at"))
+    joined = docs.join(spans.hint("shuffle_hash"), ref == F.col("__s_ref"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__s_at"))
     names, at = list(docs.columns), docs.columns.index(text)
     fields = _OUT if keep_bytes else _OUT[:-1]
 
