@@ -61,3 +61,34 @@ def test_plan_uses_every_piece_once_with_little_slack():
         assert at <= 1024
     least = max(-(-total // 1024), sum(v for k, v in counts.items() if k > 512))  # two pieces of over half a window share none
     assert windows <= 1.02 * least
+
+
+def test_skewed_lengths_pad_the_last_window_only(spark):
+    texts = [" ".join(f"w{i % 7}" for i in range(300))] * 40 + [" ".join(f"v{i}" for i in range(k)) for k in range(1, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    ids = ids_of(texts)
+    assert len(ids[0]) % 1024 > 512 and packing.plan({len(ids[0]) % 1024: 40})[1] == 40
+    pieces = packing.pack(df).collect()
+    total = sum(map(len, ids))
+    fill, at = {}, {}
+    for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
+        own = ids[p["doc_id"]]
+        assert p["start"] == at.get(p["doc_id"], 0) and zlib.crc32(np.array(own[p["start"] : p["start"] + p["length"]], "<u4").tobytes()) == p["ids_crc32"]
+        at[p["doc_id"]] = p["start"] + p["length"]
+        fill.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    assert at == {k: len(x) for k, x in enumerate(ids)}
+    assert set(fill) == set(range(-(-total // 1024)))
+    for own in fill.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    assert sum(sum(n for _, n in x) < 1024 for x in fill.values()) <= 1
+
+
+def test_plan_cut_has_slack_in_one_window():
+    for counts in ({700: 1000}, {700: 1000} | {k: 2 for k in range(1, 1024)}, {1: 3}, {}, {1023: 2, 512: 3}):
+        rows, windows = packing.plan_cut(counts)
+        assert windows == -(-sum(k * v for k, v in counts.items()) // 1024)
+        assert {k: sum(n for x, _, n, *_ in rows if x == k) for k in counts} == counts
