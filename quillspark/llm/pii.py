@@ -1,12 +1,14 @@
 """Personal data, and terms that give it away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers in fixed patterns. Each value found is a
-protected entity. The corpus then tells how strongly the terms within CONTEXT words of it reveal it: with n(e, t) the
-documents in which term t stands near entity e, n(t) those that hold t anywhere and n(e) those that hold e, the pointwise
-mutual information log2(n(e,t) * N / (n(e) * n(t))) is compared with the information content of the entity, log2(N / n(e)).
-A term that carries GENERALISE of it or more, in SUPPORT documents or more, is generalised, and from REMOVE on removed.
+protected entity. The corpus then tells how strongly the terms of the documents that hold it reveal it: with n(e, t) the
+documents that hold entity e and, outside all base spans, term t, n(t) those that hold t anywhere and n(e) those that hold
+e, the pointwise mutual information log2(n(e,t) * N / (n(e) * n(t))) is compared with the information content of the
+entity, log2(N / n(e)). A term that carries GENERALISE of it or more, in SUPPORT documents or more, is generalised, and
+from REMOVE on removed: wherever it stands outside base spans, in all documents, as it reveals the entity there as well.
 
-All counts are over all documents. Terms that are counted are broadcast up to TERMS of them; beyond, a join counts them.
+All counts are over all documents. Terms that are counted or marked are broadcast up to TERMS of them; beyond, a join
+with all words counts or marks them.
 
 Null text is empty: no spans, the digest of nothing. Each input row gives one row and counts as a document, also repeated
 rows. Overlaps within a kind don't occur; overlaps between kinds stay. Other columns are ignored.
@@ -28,7 +30,6 @@ from quillspark.llm.batches import as_bytes, slices
 from quillspark.llm.decontaminate import _NORMAL
 from quillspark.session import write_shared
 
-CONTEXT = 8
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 TERMS = 200_000
@@ -84,71 +85,95 @@ def _entity(kind: int, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{plain}") - 2**63
 
 
-def _near(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[int, str, int, int]]:
-    """Entity, term, start and end of the terms within CONTEXT words of a span and in none."""
-    taken = sorted(s for kind in spans for s in kind)
-    out = []
-    for kind, own in enumerate(spans):
-        for start, end in own:
-            entity = _entity(kind, text[start:end])
-            for words in (_words(text, start, -1), _words(text, end, 1)):
-                for a, b in words:
-                    if not any(x < b and a < y for x, y in taken):
-                        out.append((entity, text[a:b].translate(_LOWER), a, b))
-    return out
-
-
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_PLAIN = frozenset(chr(c) for c in range(128) if _NORMAL[c] == 32)
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def _words(text: str, at: int, step: int):
-    """Spans of the CONTEXT words before (step -1) or after (step 1) a place."""
-    i, found = at if step > 0 else at - 1, 0
-    while 0 <= i < len(text) and found < CONTEXT:
-        if text[i] in _PLAIN:
-            i += step
-            continue
-        j = i
-        while 0 <= j < len(text) and text[j] not in _PLAIN:
-            j += step
-        yield (i, j) if step > 0 else (j + 1, i + 1)
-        found += 1
-        i = j
+def _terms(text: str, spans: list[list[tuple[int, int]]]):
+    """Term, start and end of the words outside the spans."""
+    taken = sorted(s for kind in spans for s in kind)
+    k, end = 0, 0  # end: of the spans that start before the word's end
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while k < len(taken) and taken[k][0] < b:
+            end = max(end, taken[k][1])
+            k += 1
+        if end <= a:
+            yield m[0].translate(_LOWER), a, b
 
 
 _FOUND = T.StructType(
+    [
+        T.StructField("uid", T.LongType()),
+        T.StructField("entities", T.ArrayType(T.LongType())),
+        T.StructField("terms", T.ArrayType(T.StringType())),
+    ]
+)
+
+_MARKED = T.StructType(
     [
         T.StructField("uid", T.LongType()),
         T.StructField("doc_id", T.LongType()),
         *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS],
         T.StructField("base_sha256", T.StringType()),
-        T.StructField("base", T.StringType()),
-        T.StructField("entities", T.ArrayType(T.LongType())),
-        T.StructField("near", T.ArrayType(T.StructType([T.StructField("e", T.LongType()), T.StructField("t", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+        T.StructField("spans", T.StringType()),
+        T.StructField("words", T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
     ]
 )
 
 
-def _detected(docs: DataFrame) -> DataFrame:
+def _scan(docs: DataFrame, schema: T.StructType, row) -> DataFrame:
+    """What row(uid, doc_id, text as bytes) gives for each row of docs, without None."""
+
     def run(batches):
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        uid, schema = TaskContext.get().partitionId() << 40, to_arrow_schema(_FOUND)
+        uid, fields = TaskContext.get().partitionId() << 40, to_arrow_schema(schema)
         for batch in batches:
             for part in slices(batch, 1):
                 rows = []
                 for doc_id, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
-                    text = (text or b"").decode("utf-8", "replace")
-                    spans = base_spans(text)
-                    base = ",".join(f"{KINDS[k]}:{a}:{b}" for k, own in enumerate(spans) for a, b in own)
-                    some = any(spans)
-                    rows.append((uid, doc_id, *map(len, spans), hashlib.sha256(base.encode()).hexdigest(), base, sorted({_entity(k, text[a:b]) for k, own in enumerate(spans) for a, b in own}), [dict(zip("et", x[:2], strict=True), start=x[2], end=x[3]) for x in _near(text, spans)] if some else []))
+                    if (own := row(uid, doc_id, text or b"")) is not None:
+                        rows.append(own)
                     uid += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _detected(docs: DataFrame) -> DataFrame:
+    """uid, entities and terms of the documents that hold an entity."""
+
+    def row(uid, doc_id, text):
+        text = text.decode("utf-8", "replace")
+        spans = base_spans(text)
+        if any(spans):
+            return uid, sorted({_entity(k, text[a:b]) for k, own in enumerate(spans) for a, b in own}), sorted({t for t, _, _ in _terms(text, spans)})
+        return None
+
+    return _scan(docs, _FOUND, row)
+
+
+def _marked(docs: DataFrame, wanted: dict[str, str] | None) -> DataFrame:
+    """Base spans and, of the wanted terms (t, action), all occurrences; with None, all words instead."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    some = docs.sparkSession.sparkContext.broadcast(frozenset(t.encode() for t in wanted or ()))
+
+    def row(uid, doc_id, text):
+        actions, words, marks = shared.value, [], []
+        any_term = actions is None or (actions and not some.value.isdisjoint(text.translate(_NORMAL).split()))
+        text = text.decode("utf-8", "replace")
+        spans = base_spans(text)
+        base = ",".join(f"{KINDS[k]}:{a}:{b}" for k, own in enumerate(spans) for a, b in own)
+        if actions is None:
+            words = [{"t": t, "start": a, "end": b} for t, a, b in _terms(text, spans)]
+        elif any_term:
+            marks = sorted((actions[t], a, b) for t, a, b in _terms(text, spans) if t in actions)
+        return uid, doc_id, *map(len, spans), hashlib.sha256(base.encode()).hexdigest(), ",".join(filter(None, [base, *(f"{k}:{a}:{b}" for k, a, b in marks)])), words
 
-    return docs.mapInArrow(run, _FOUND)
+    return _scan(docs, _MARKED, row)
 
 
 def _document_counts(docs: DataFrame, terms: DataFrame, most: int) -> DataFrame:
@@ -173,10 +198,13 @@ def _document_counts(docs: DataFrame, terms: DataFrame, most: int) -> DataFrame:
 
 def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, most: int = TERMS) -> DataFrame:
     """e, t, share, action: terms that reveal an entity; share is the part of its information that the term carries."""
-    total = found.count()
-    each = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p")).select("p.*")
-    both = write_shared(pairs.groupBy("e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support), "pii-pairs")
+    total = docs.count()
+    held = found.select("uid", F.explode("entities").alias("e"))
+    each = held.groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)  # others are in too few documents with any term
+    own = held.join(each, "e").groupBy("uid").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    alike = own.join(found.select("uid", "terms"), "uid").groupBy("es", "terms").agg(F.count("*").alias("n"))  # copies count at once
+    pairs = alike.select(F.explode("es").alias("e"), "terms", "n").select("e", F.explode("terms").alias("t"), "n")
+    both = write_shared(pairs.groupBy("e", "t").agg(F.sum("n").alias("n_et")).filter(F.col("n_et") >= support), "pii-pairs")
     counts = _document_counts(docs, both.select("t").distinct(), most)
     info = F.log2(F.lit(float(total)) / F.col("n_e"))
     share = F.when(info > 0, F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col("n"))) / info).otherwise(0.0)
@@ -184,18 +212,22 @@ def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT, gener
     return joined.withColumn("action", F.when(F.col("share") >= remove, "remove").otherwise("generalise"))
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, most: int = TERMS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and terms (start, end, action): a row for each row of docs."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = write_shared(_detected(own), "pii")
-    reveal = disclosures(found, own, **kw).select("e", "t", "action")
-    near = found.select("uid", F.explode("near").alias("x")).select("uid", "x.*")
-    terms = near.join(reveal, ["e", "t"]).groupBy("uid", "start", "end").agg(F.max("action").alias("action"))  # 'remove' over 'generalise'
-    terms = terms.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("action", "start", "end"))).alias("terms"))
-    full = found.join(terms, "uid", "left")
+    reveal = disclosures(found, own, support, generalise, remove, most).groupBy("t").agg(F.max("action").alias("action"))  # 'remove' over 'generalise'
+    reveal = write_shared(reveal, "pii-terms")
+    wanted = {r["t"]: r["action"] for r in reveal.limit(most + 1).collect()}  # at most `most` + 1 rows
+    columns = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256"]
+    if len(wanted) <= most:
+        return _marked(own, wanted).select(*columns, "spans")
+    marked = write_shared(_marked(own, None), "pii-words")
+    words = marked.select("uid", F.explode("words").alias("x")).select("uid", "x.*")
+    terms = words.join(reveal, "t").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("action", "start", "end"))).alias("terms"))
     added = F.transform("terms", lambda x: F.concat_ws(":", x["action"], x["start"].cast("string"), x["end"].cast("string")))
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, F.array_join(added, ",")))
-    return full.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"))
+    spans = F.concat_ws(",", F.when(F.col("spans") != "", F.col("spans")), F.when(F.size("terms") > 0, F.array_join(added, ",")))
+    return marked.drop("words").join(terms, "uid", "left").select(*columns, spans.alias("spans"))
 
 
 def sanitise(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:

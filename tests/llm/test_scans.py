@@ -92,6 +92,21 @@ def test_pii_terms_that_reveal_are_marked(spark, most):
     assert "zorblatt" not in safe[0] and "<email>" in safe[0] and safe[7] == docs[7]
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_pii_terms_far_from_the_entity_are_marked_in_all_documents(spark, most):
+    rnd = random.Random(5)
+    gap = " ".join(["plain", "words", "here"] * 10)
+    docs = [f"Zorblatt {gap} qux@mail.com {gap} zorblatt é" for _ in range(4)] + [f"{gap} only ZORBLATT, twice zorblatt"] + [f"{gap} only twice {rnd.randint(0, 10**9)}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find(df, most=most).collect()}
+    for i, t in enumerate(docs[:5]):
+        want = [f"{m.start()}:{m.end()}" for m in re.finditer("zorblatt", t, re.I)]
+        assert [x.partition(":")[2] for x in found[i].split(",") if not x.startswith("email") and t[int(x.split(":")[1]) : int(x.split(":")[2])].lower() == "zorblatt"] == want
+    assert found[0].startswith("email:") and all(found[i] == "" for i in range(5, len(docs)))
+    safe = {r["doc_id"]: r["text"] for r in pii.sanitise(df, pii.find(df, most=most)).collect()}
+    assert not any("zorblatt" in safe[i].lower() for i in safe)
+
+
 def test_secrets(spark):
     rnd = random.Random(6)
     bits = ["password=", "API_KEY : ", 'token = "', "secret: token: ", "passwd", "AKIA" + "A1" * 9, "AKIAAKIA12", "deadbeef" * 4, "abc123" * 5, "hunter2x", "short", " ", "é", "\n", "ÀÀ"]
