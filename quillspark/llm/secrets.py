@@ -1,11 +1,12 @@
 """Secret scans with DataFrame functions only: key patterns, and the entropy of sliding windows over candidate strings.
 
 Three patterns give the base spans: an assignment to a password-like name, an access key, a long hexadecimal string.
-Candidates for the entropy scan are runs of 20 or more characters of keys with at least one digit. A window of 16
-characters slides over each; the sum of c * log2(c) over the window's character counts is updated for the character that
+Candidates for the entropy scan are runs of 20 or more characters of keys, or as long parts of a run between base spans. A
+window of 16 characters slides over each; the sum of c * log2(c) over the window's character counts is updated for the character that
 comes in and the one that goes out, and gives the window's Shannon entropy. A candidate is reported as `entropy` if its
-most random window reaches the threshold of its character class, if no base span overlaps it, and if the allow list
-(placeholders, UUIDs, addresses of files, date stamps) doesn't suppress it.
+most random window reaches the threshold of its character class, and if the allow list (placeholders, UUIDs, date stamps,
+paths and names in words) doesn't suppress it. Letters are words if at most one pair of neighbours in them is one that
+words hardly have, and if capitals begin no more than one word in six characters.
 
 Positions are code points, ends exclusive. Null text is empty: no spans. Each input row gives one row. A very long
 candidate costs time in proportion to its length. Other columns are ignored.
@@ -27,10 +28,17 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 16
 #: Bits a window must reach, by the class of the candidate's characters; 16 characters have 4 bits at most.
-THRESHOLDS = {"digits": 4.1, "hex": 3.0, "alphanumeric": 3.4, "base64": 3.4}
-
-#: Candidates that are no secrets: placeholders, UUIDs, paths and names in words, dates.
-ALLOW = r"(?i)example|sample|placeholder|dummy|changeme|your[_-]?|x{6,}|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^(\d{1,4}[-/_]){2,}\d{1,4}$|^([A-Za-z]*[-/_+=]+)*[A-Za-z]*\d{0,4}$"
+#: Ten digits reach 3.25 in a window.
+THRESHOLDS = {"digits": 2.5, "hex": 3.0, "letters": 3.3, "alphanumeric": 3.4, "base64": 3.4}
+LEAST = 20
+
+_DATE = r"(?:(?:19|20)\d\d[-/_](?:0?[1-9]|1[0-2])[-/_](?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/_](?:0?[1-9]|[12]\d|3[01])[-/_](?:19|20)\d\d)"
+#: Candidates that are no secrets: placeholders, UUIDs, dates with times or other dates.
+ALLOW = rf"(?i)example|sample|placeholder|dummy|changeme|your[_-]?|x{{6,}}|^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$|^{_DATE}(?:[-/_T+]+(?:{_DATE}|[0-5]?\d))*(?:[-/_+]\d{{3,6}})?Z?$"
+#: Names in words, if their letters are those of words.
+NAME = r"^([A-Za-z]*[-/_+=]+)*[A-Za-z]*\d{0,4}$"
+#: Pairs of letters that words hardly have.
+ODD_PAIRS = r"q[a-tv-z]|[bdf-hj-mp-tv-z]q|j[b-df-hj-np-tv-z]|[cfhjkpqvwxz]j|v[b-df-hj-np-qtv-xz]|[cjqvwx][vfz]|p[vz]|x[bdfgj-nqrsvwz]|[b-df-hj-mp-tv-z]x|z[cjqrsvx]|w[cgjpqvxz]|[jqvx][whbcdgmp]|[jpqvwx]k|[kh][cjqvxz]|f[cjpqvwx]|[bdgmt]c"
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -81,15 +89,36 @@ def window_entropy(text: Column, window: int = WINDOW) -> Column:
     return F.when(F.length(text) >= window, F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), start, step, lambda acc: acc["most"])).otherwise(F.lit(0.0))
 
 
+def _allowed(word: Column) -> Column:
+    odd = F.size(F.regexp_extract_all(word, F.lit(f"(?i)(?=({ODD_PAIRS}))"), F.lit(1)))
+    capitals = F.size(F.regexp_extract_all(word, F.lit("[a-z](?=[A-Z])"), F.lit(0)))
+    return word.rlike(ALLOW) | (word.rlike("[A-Za-z]") & word.rlike(NAME) & (odd <= 1) & (capitals * 6 <= F.length(word)))
+
+
 def _is_secret(word: Column) -> Column:
     bits = window_entropy(word)
     bar = (
-        F.when(word.rlike("^[0-9]+$"), THRESHOLDS["digits"])
+        F.when(word.rlike("^[0-9+/_=-]+$"), THRESHOLDS["digits"])
         .when(word.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), THRESHOLDS["hex"])
+        .when(word.rlike("^[A-Za-z]+$"), THRESHOLDS["letters"])
         .when(word.rlike("^[A-Za-z0-9]+$"), THRESHOLDS["alphanumeric"])
         .otherwise(THRESHOLDS["base64"])
     )
-    return word.rlike("[0-9]") & word.rlike("[A-Za-z]") & ~word.rlike(ALLOW) & (bits >= bar)
+    return F.when(word.rlike("[A-Za-z0-9]") & ~_allowed(word), bits >= bar).otherwise(False)
+
+
+def _outside(run: Column, base: Column) -> Column:
+    """The parts of a run outside base spans, which are sorted, of LEAST characters or more."""
+
+    def part(start: Column, end: Column) -> Column:
+        return F.when(end - start >= LEAST, F.array(F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end")))).otherwise(_none())
+
+    return F.aggregate(
+        F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])),
+        F.struct(run["start"].alias("at"), _none().alias("out")),
+        lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out")),
+        lambda acc: F.concat(acc["out"], part(acc["at"], run["end"])),
+    )
 
 
 def _scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -107,9 +136,9 @@ def _scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.when(t.contains("AKIA"), _spans(t, ACCESS, 1)).otherwise(_none()).alias("access"),
         F.when(t.rlike(HEX), _spans(t, HEX, 2)).otherwise(_none()).alias("hex"),
     )
-    base = base.withColumn("base", F.concat("assign", "access", "hex"))
+    base = base.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     runs = F.when(F.col("long_run"), _spans(t, CANDIDATE, 3)).otherwise(_none())
-    free = F.filter(runs, lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = F.flatten(F.transform(runs, lambda s: _outside(s, F.col("base"))))
     added = F.filter(free, lambda s: _is_secret(F.substring(t, s["start"] + 1, s["end"] - s["start"])))
     return base.select("doc_id", "text", "assign", "access", "hex", F.array_sort(F.concat(F.col("base"), added)).alias("spans"))
 

@@ -131,6 +131,20 @@ def test_window_entropy_and_redaction(spark):
     assert [r["text"] for r in secrets.redact(df).orderBy("doc_id").collect()] == ["key [entropy] and your_key_EXAMPLE_123456789 ok", ""]
 
 
+def test_secrets_of_digits_of_letters_and_beside_base_spans(spark):
+    key, other, code = "kqXvTzRwPjLmNbHsYdGfcAeQiOuVxZrW", "aB3kZ9qLmN0pRtUvWxY2", "0123456789abcdef" * 2
+    secret = [key, key.lower(), key.upper(), "83920175648203917465", "4929-1384-8076-5521-0937", f"{key}42", other]
+    names = ["self-contained-backward-compatible", "src/main/java/org/apache/spark", "AbstractSingletonProxyFactoryBean", "internationalizationOfThings12", "Donaudampfschifffahrtsgesellschaft", "=" * 30, "2024-01-02_10-11-12-123", "2024-01-02/2024-02-03", "your_key_EXAMPLE_83920175648203917465"]
+    run = f"{other}_{code}_{key}"
+    docs = [f"see {w} there" for w in secret + names] + [f"x {run} y", f"{key}_token={code}"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secrets.scan(df).select("doc_id", secrets.digest(F.col("spans")).alias("s")).collect()}
+    for i, w in enumerate(secret + names):
+        assert got[i] == (f"entropy:4:{4 + len(w)}" if w in secret else ""), w
+    assert got[len(docs) - 2] == "entropy:2:23,hex:23:55,entropy:55:88"
+    assert got[len(docs) - 1].startswith(f"entropy:0:{len(key) + 1},assign:{len(key) + 1}:")
+
+
 def test_language_held_out_accuracy(spark):
     rnd = random.Random(8)
     parts = {"aa": ["ka", "lo", "mi", "re"], "bb": ["sch", "ung", "keit", "ver"], "cc": ["eau", "tion", "ment", "oi"]}
