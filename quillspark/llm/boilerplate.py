@@ -4,7 +4,8 @@ A line's key is a pair of hashes (64 and 32 bits) of the line without white spac
 sites that hold a line are merged by aggregation. Lines whose estimate is within three standard errors of the threshold
 get an exact distinct count; those above are boilerplate, those below are not. Boilerplate lines are removed wherever
 they stand, but a document that would lose more than half its characters is a copy, not a page with boilerplate: it is
-left whole, for the near-duplicate operator to judge.
+left whole, for the near-duplicate operator to judge. With twins, such a document is a copy only if another row has the
+same set of lines; without one it loses its boilerplate, even if nothing is left.
 
 Blank lines are kept and never counted. A null site counts as one site of its own. Null text stays null, with no lines.
 Repeated rows each give a row; they add no spread. Rows with the same doc_id are told apart only by their texts. Other
@@ -33,6 +34,12 @@ def _filled(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r")) != ""
 
 
+def _set(keys: Column) -> Column:
+    """Two hashes of a set of line keys, as text."""
+    ordered = F.array_sort(keys)
+    return F.concat_ws(":", F.xxhash64(ordered), F.hash(ordered))
+
+
 def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """h1, h2 of the lines that at least min_sites sites hold. lines: h1, h2, site."""
     margin = 3 * 1.04 / (2**lg_k) ** 0.5
@@ -44,19 +51,28 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> Da
     return seen.filter(F.col("sites") > min_sites * (1 + margin)).select("h1", "h2").unionByName(exact)
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, counts: bool = False) -> DataFrame:
-    """docs with boilerplate lines removed from text; counts adds __b_lines and __b_removed."""
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, counts: bool = False, twins: bool = False) -> DataFrame:
+    """docs with boilerplate lines removed from text; counts adds __b_lines and __b_removed. twins: see above."""
     lines = F.split(F.col(text), "\n")
-    own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(F.array_distinct(F.transform(F.filter(lines, _filled), _key))).alias("key"))
-    table = Written(own.select("id", "site", "key.h1", "key.h2"), "lines").read()
+    keys = F.array_distinct(F.transform(F.filter(lines, _filled), _key))
+    own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), *([_set(keys).alias("set")] if twins else []), F.explode(keys).alias("key"))
+    table = Written(own.select("id", "site", "key.h1", "key.h2", *(["set"] if twins else [])), "lines").read()
     common = Written(spread(table.select("h1", "h2", "site"), min_sites), "boilerplate").read()
     # Each document's own boilerplate: no more than its lines.
-    found = table.join(common, ["h1", "h2"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("__b_keys")).withColumnRenamed("id", "__b_id")
+    hits = table.join(common, ["h1", "h2"], "left_semi")
+    found = hits.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("__b_keys"))
+    if twins:
+        alike = hits.groupBy("set", "h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("set").distinct()
+        found = found.join(hits.select("id", "set").distinct().join(alike, "set").groupBy("id").agg(F.collect_set("set").alias("__b_sets")), "id", "left")
+    found = found.withColumnRenamed("id", "__b_id")
     kept_lines = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__b_keys"), _key(x)), F.lit(False)))
     joined = docs.join(found.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__b_id")), "left")
     size = F.length(F.regexp_replace(F.col(text), r"\s", ""))
     joined = joined.withColumn("__b_text", F.when(F.col("__b_keys").isNotNull(), F.array_join(kept_lines, "\n")))
-    done = F.col("__b_text").isNotNull() & (F.length(F.regexp_replace(F.col("__b_text"), r"\s", "")) >= (1 - MOST_REMOVED) * size)
+    little = F.length(F.regexp_replace(F.col("__b_text"), r"\s", "")) >= (1 - MOST_REMOVED) * size
+    if twins:
+        little |= ~F.coalesce(F.array_contains("__b_sets", _set(keys)), F.lit(False))
+    done = F.col("__b_text").isNotNull() & little
     joined = joined.withColumn("__b_done", done)
     result = F.when(F.col("__b_done"), F.col("__b_text")).otherwise(F.col(text))
     filled = F.coalesce(F.size(F.filter(lines, _filled)), F.lit(0)).cast("long")

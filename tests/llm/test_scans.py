@@ -190,3 +190,16 @@ def test_line_dedup(spark, docs, no_docs):
     assert got[100]["text"] == "Subscribe now" and got[101]["text"] is None and got[102]["text"] == ""
     assert boilerplate.clean(docs).columns == docs.columns and boilerplate.clean(docs).count() == docs.count()
     assert boilerplate.clean(no_docs).count() == 0
+
+
+def test_pages_made_mostly_of_boilerplate_lose_it_unless_they_are_copies(spark):
+    import corpus_pipeline
+
+    own = [(i, f"own text number {i} goes on and on\nSubscribe now\nAll rights reserved here", "en", f"s{i % 10}", 0, "", "") for i in range(40)]
+    own += [(100, "Subscribe now\nshort\nAll rights reserved here", "en", "s1", 0, "", ""), (101, "Subscribe now", "en", "s2", 0, "", "")]
+    own += [(i, "copy\nAll rights reserved here\nSubscribe now", "en", f"s{i % 3}", 0, "", "") for i in (102, 103)] + [(104, "Subscribe now\ncopy\nAll rights reserved here", "en", "s1", 0, "", "")]
+    df = spark.createDataFrame(own, SCHEMA)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert len(got) == len(own) and got[0] == ("own text number 0 goes on and on", 32)
+    assert got[100] == ("short", 5) and got[101] == ("", 0)
+    assert all(got[i][0] == dict((x[0], x[1]) for x in own)[i] for i in (102, 103, 104))
