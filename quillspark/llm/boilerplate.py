@@ -36,7 +36,7 @@ def _filled(line: Column) -> Column:
 
 def _set(keys: Column) -> Column:
     """Two hashes of a set of line keys, as text."""
-    ordered = F.array_sort(keys)
+    ordered = F.sort_array(keys)
     return F.concat_ws(":", F.xxhash64(ordered), F.hash(ordered))
 
 
@@ -71,7 +71,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str
     joined = joined.withColumn("__b_text", F.when(F.col("__b_keys").isNotNull(), F.array_join(kept_lines, "\n")))
     little = F.length(F.regexp_replace(F.col("__b_text"), r"\s", "")) >= (1 - MOST_REMOVED) * size
     if twins:
-        little |= ~F.coalesce(F.array_contains("__b_sets", _set(keys)), F.lit(False))
+        little |= F.col("__b_sets").isNull() | ~F.array_contains("__b_sets", _set(keys))
     done = F.col("__b_text").isNotNull() & little
     joined = joined.withColumn("__b_done", done)
     result = F.when(F.col("__b_done"), F.col("__b_text")).otherwise(F.col(text))
