@@ -1,19 +1,24 @@
 """Secret scans with DataFrame functions only: key patterns, and the entropy of sliding windows over candidate strings.
 
 Three patterns give the base spans: an assignment to a password-like name, an access key, a long hexadecimal string.
-Candidates for the entropy scan are runs of 20 or more characters of keys, or as long parts of a run between base spans. A
-window of 16 characters slides over each; the sum of c * log2(c) over the window's character counts is updated for the character that
-comes in and the one that goes out, and gives the window's Shannon entropy. A candidate is reported as `entropy` if its
+Candidates for the entropy scan are runs of 20 or more characters of keys outside the base spans. A window of 16
+characters slides over each: the counts of its characters are carried from step to step, and so is the sum of
+c * log2(c) over them, in integers, so that nothing drifts. A candidate is reported as `entropy` if its
 most random window reaches the threshold of its character class, and if the allow list (placeholders, UUIDs, date stamps,
 paths and names in words) doesn't suppress it. Letters are words if at most one pair of neighbours in them is one that
 words hardly have, and if capitals begin no more than one word in six characters.
 
-Positions are code points, ends exclusive. Null text is empty: no spans. Each input row gives one row. A very long
-candidate costs time in proportion to its length. Other columns are ignored.
+Positions are code points, ends exclusive. Null text is empty: no spans. Each input row gives one row, also rows that are
+alike; an empty table gives none. A very long candidate costs time in proportion to its length; many matches in one text
+cost n * sqrt(n) copied references for n of them. No pattern repeats a group that can be given back, as the JVM's engine
+would need stack for each turn. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,12 +36,17 @@ WINDOW = 16
 #: Ten digits reach 3.25 in a window.
 THRESHOLDS = {"digits": 2.5, "hex": 3.0, "letters": 3.3, "alphanumeric": 3.4, "base64": 3.4}
 LEAST = 20
+#: The characters of candidates; all others count as one.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Sums of c * log2(c) are integers with so many bits after the point.
+FRACTION = 40
+BLOCK = 4096
 
 _DATE = r"(?:(?:19|20)\d\d[-/_](?:0?[1-9]|1[0-2])[-/_](?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/_](?:0?[1-9]|[12]\d|3[01])[-/_](?:19|20)\d\d)"
 #: Candidates that are no secrets: placeholders, UUIDs, dates with times or other dates.
-ALLOW = rf"(?i)example|sample|placeholder|dummy|changeme|your[_-]?|x{{6,}}|^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$|^{_DATE}(?:[-/_T+]+(?:{_DATE}|[0-5]?\d))*(?:[-/_+]\d{{3,6}})?Z?$"
+ALLOW = rf"(?<![A-Za-z])(?i:example|sample|placeholder|dummy|changeme|your[_-]|x{{6,}})(?![a-z])|(?i)^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$|^{_DATE}(?:[-/_T+]+(?:{_DATE}|[0-5]?\d)(?!\d))*+(?:[-/_+]\d{{3,6}})?Z?$"
 #: Names in words, if their letters are those of words.
-NAME = r"^([A-Za-z]*[-/_+=]+)*[A-Za-z]*\d{0,4}$"
+NAME = r"^[A-Za-z/_+=-]*\d{0,4}$"
 #: Pairs of letters that words hardly have.
 ODD_PAIRS = r"q[a-tv-z]|[bdf-hj-mp-tv-z]q|j[b-df-hj-np-tv-z]|[cfhjkpqvwxz]j|v[b-df-hj-np-qtv-xz]|[cjqvwx][vfz]|p[vz]|x[bdfgj-nqrsvwz]|[b-df-hj-mp-tv-z]x|z[cjqrsvx]|w[cgjpqvxz]|[jqvx][whbcdgmp]|[jpqvwx]k|[kh][cjqvxz]|f[cjpqvwx]|[bdgmt]c"
 
@@ -47,46 +57,117 @@ def _none() -> Column:
     return F.array().cast(_SPAN)
 
 
-def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Spans of the matches: what lies between them has the lengths that split() gives."""
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for a row however often use() names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, largest: bool = False) -> Column:
+    """For each of an array of integers the sum (or the largest, at least 0) of those before it.
+
+    A fold copies what it has made with each step, so it goes over pieces of about the square root of the array's length.
+    """
+
+    def more(at: Column, x: Column) -> Column:
+        return F.greatest(at, x) if largest else at + x
+
+    def fold(own: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(own, first, lambda acc, x: F.struct(more(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def cut(own: Column) -> Column:
+        return let(
+            F.ceil(F.sqrt(F.size(own))).cast("int"),
+            lambda width: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / width).cast("int")), lambda k: F.slice(own, k * width + 1, width)),
+        )
+
+    def whole(own: Column) -> Column:
+        tops = lambda pieces: F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), more))
+        pieces = let(cut(own), lambda p: F.flatten(F.zip_with(p, fold(tops(p), F.lit(0)), fold)))
+        return F.when(F.size(own) > 0, pieces).otherwise(F.array().cast("array<int>"))
+
+    return let(values, whole)
+
+
+def _matches(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
+    """Start, end and word of the matches: what lies between them has the lengths that split() gives."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.transform(found, lambda x: F.length(x))
-    measured = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x)) if least else lengths
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    rows = F.arrays_zip(gaps.alias("gap"), lengths.alias("n"), measured.alias("m"))
-    walked = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), _none().alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(x["n"], F.lit(0))).alias("at"),
-            F.when(x["n"].isNotNull() & (x["m"] >= least), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["n"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    return walked["out"]
+    measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if least else found
+
+    def placed(rows: Column) -> Column:
+        before = running(F.transform(rows, lambda x: x["gap"] + F.coalesce(F.length(x["word"]), F.lit(0))))
+        full = F.zip_with(rows, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + F.length(x["word"])).alias("end"), x["word"].alias("word"), F.length(x["m"]).alias("m")))
+        return F.filter(full, lambda x: x["word"].isNotNull() & (x["m"] >= least))
+
+    return let(F.arrays_zip(gaps.alias("gap"), found.alias("word"), measured.alias("m")), placed)
+
+
+def _spans(found: Column, kind: int) -> Column:
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
 
 
-def _xlog(c: Column) -> Column:
-    return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
+def _piece(blocks: Column, start: Column, size: Column) -> Column:
+    """size characters of a text in blocks, without a walk from its start."""
+    first = F.floor(start / BLOCK).cast("int")
+    own = F.array_join(F.slice(blocks, first + 1, F.floor((start + size - 1) / BLOCK).cast("int") - first + 1), "")
+    return F.when(size > 0, F.substring(own, start % BLOCK + 1, size)).otherwise(F.lit(""))
 
 
-def window_entropy(text: Column, window: int = WINDOW) -> Column:
-    """The largest entropy of a window, in bits; 0 for text shorter than a window."""
-    chars = F.split(text, "")
+def _replaced(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """text with by(span, its characters not replaced so far) in the place of each span; spans are sorted by start."""
 
-    def count(i: Column, size: Column, c: Column) -> Column:
-        return F.size(F.filter(F.slice(chars, F.greatest(i, F.lit(1)), size), lambda x: x == c)).cast("double")
+    def whole(blocks: Column, own: Column, done: Column) -> Column:
+        def part(s: Column, k: Column) -> Column:
+            at = F.element_at(done, k + 1)
+            return F.array(_piece(blocks, at, s["start"] - at), by(s, s["end"] - F.greatest(s["start"], at)))
 
-    def step(acc: Column, i: Column) -> Column:
-        new, old = F.element_at(chars, i), F.element_at(chars, F.greatest(i - window, F.lit(1)))
-        first = F.greatest(i - window + 1, F.lit(1))
-        held = count(first, i - first, new)  # without the character that goes out
-        gone = F.when(i > window, count(i - window, F.lit(window), old)).otherwise(F.lit(0.0))
-        total = acc["s"] - F.when(i > window, _xlog(gone) - _xlog(gone - 1)).otherwise(F.lit(0.0)) + _xlog(held + 1) - _xlog(held)
-        bits = F.when(i >= window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
-        return F.struct(total.alias("s"), F.greatest(acc["most"], bits).alias("most"))
+        last = F.array_max(F.transform(own, lambda s: s["end"]))
+        return F.concat(F.array_join(F.flatten(F.transform(own, part)), ""), _piece(blocks, last, F.length(text) - last))
 
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("most"))
-    return F.when(F.length(text) >= window, F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), start, step, lambda acc: acc["most"])).otherwise(F.lit(0.0))
+    made = let(spans, lambda own: let(_blocks(text), lambda blocks: let(running(F.transform(own, lambda s: s["end"]), True), lambda done: whole(blocks, own, done))))
+    return F.when(F.size(spans) > 0, made).otherwise(text)
+
+
+def window_entropy(text: Column, window: int = WINDOW, enough: Column | float | None = None) -> Column:
+    """The largest entropy of a window, in bits; 0 for text shorter than a window. The first window with enough bits ends it.
+
+    The state is a string with the counts of the window's characters but the last, one character for each of ALPHABET.
+    """
+    scale = 1 << FRACTION
+    weight = [round(c * math.log2(c) * scale) if c else 0 for c in range(window + 1)]
+    gain = F.array(*[F.lit(b - a).cast("long") for a, b in itertools.pairwise(weight)])  # by the count before, from 1
+    zero = F.lit(0).cast("long")
+    limit = zero - 1 if enough is None else F.floor((F.lit(math.log2(window)) - enough) * F.lit(float(window * scale))).cast("long")
+
+    def count(counts: Column, code: Column) -> Column:
+        return F.ascii(F.substring(counts, code, 1)) - 48
+
+    def put(counts: Column, code: Column, n: Column) -> Column:
+        return F.overlay(counts, F.chr(n + 48), code, 1)
+
+    def add(acc: Column, code: Column) -> Column:
+        held = count(acc["counts"], code)
+        return F.struct(put(acc["counts"], code, held + 1).alias("counts"), (acc["sum"] + F.element_at(gain, held + 1)).alias("sum"), acc["least"].alias("least"))
+
+    def step(acc: Column, x: Column, limit: Column) -> Column:
+        held, gone, same = count(acc["counts"], x["new"]), count(acc["counts"], x["old"]), x["new"] == x["old"]
+        total = acc["sum"] + F.element_at(gain, held + 1)
+        counts = F.when(same, acc["counts"]).otherwise(put(put(acc["counts"], x["new"], held + 1), x["old"], gone - 1))
+        moved = F.struct(counts.alias("counts"), F.when(same, acc["sum"]).otherwise(total - F.element_at(gain, gone)).alias("sum"), F.least(acc["least"], total).alias("least"))
+        return F.when(acc["least"] <= limit, acc).otherwise(moved)
+
+    def scan(codes: Column, limit: Column) -> Column:
+        moves = F.zip_with(F.slice(codes, F.lit(window), F.size(codes)), F.slice(codes, F.lit(1), F.size(codes) - window + 1), lambda a, b: F.struct(a.alias("new"), b.alias("old")))
+        empty = F.struct(F.lit("0" * (len(ALPHABET) + 1)).alias("counts"), zero.alias("sum"), F.lit(2**62).alias("least"))
+        return F.aggregate(moves, F.aggregate(F.slice(codes, 1, window - 1), empty, add), lambda acc, x: step(acc, x, limit), lambda acc: F.lit(math.log2(window)) - acc["least"] / F.lit(float(window * scale)))
+
+    codes = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c) + 1)
+    return F.when(F.length(text) >= window, let(limit, lambda bound: let(codes, lambda own: scan(own, bound)))).otherwise(F.lit(0.0))
 
 
 def _allowed(word: Column) -> Column:
@@ -96,7 +177,6 @@ def _allowed(word: Column) -> Column:
 
 
 def _is_secret(word: Column) -> Column:
-    bits = window_entropy(word)
     bar = (
         F.when(word.rlike("^[0-9+/_=-]+$"), THRESHOLDS["digits"])
         .when(word.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), THRESHOLDS["hex"])
@@ -104,21 +184,8 @@ def _is_secret(word: Column) -> Column:
         .when(word.rlike("^[A-Za-z0-9]+$"), THRESHOLDS["alphanumeric"])
         .otherwise(THRESHOLDS["base64"])
     )
-    return F.when(word.rlike("[A-Za-z0-9]") & ~_allowed(word), bits >= bar).otherwise(False)
-
-
-def _outside(run: Column, base: Column) -> Column:
-    """The parts of a run outside base spans, which are sorted, of LEAST characters or more."""
-
-    def part(start: Column, end: Column) -> Column:
-        return F.when(end - start >= LEAST, F.array(F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end")))).otherwise(_none())
-
-    return F.aggregate(
-        F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])),
-        F.struct(run["start"].alias("at"), _none().alias("out")),
-        lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out")),
-        lambda acc: F.concat(acc["out"], part(acc["at"], run["end"])),
-    )
+    random = let(bar, lambda bits: window_entropy(word, enough=bits) >= bits)
+    return F.when(word.rlike("[A-Za-z0-9]") & ~_allowed(word), random).otherwise(False)
 
 
 def _scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -126,20 +193,19 @@ def _scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = F.col("text")
     lower = F.lower(t)
     named = reduce(lambda a, b: a | b, [lower.contains(x) for x in ("password", "passwd", "secret", "token", "apikey", "api_key")])
-    long_run = t.rlike(CANDIDATE)
+    long_run = F.exists(F.split(t, " "), lambda x: F.length(x) >= LEAST) & t.rlike(CANDIDATE)
     # Each step keeps the text beside small arrays; nothing is shuffled.
     base = own.select(
         "doc_id",
         "text",
         long_run.alias("long_run"),
-        F.when(named, _spans(t, ASSIGN, 0, 2, 6)).otherwise(_none()).alias("assign"),
-        F.when(t.contains("AKIA"), _spans(t, ACCESS, 1)).otherwise(_none()).alias("access"),
-        F.when(t.rlike(HEX), _spans(t, HEX, 2)).otherwise(_none()).alias("hex"),
+        F.when(named, _spans(_matches(t, ASSIGN, 2, 6), 0)).otherwise(_none()).alias("assign"),
+        F.when(t.contains("AKIA"), _spans(_matches(t, ACCESS), 1)).otherwise(_none()).alias("access"),
+        F.when(t.rlike(HEX), _spans(_matches(t, HEX), 2)).otherwise(_none()).alias("hex"),
     )
     base = base.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    runs = F.when(F.col("long_run"), _spans(t, CANDIDATE, 3)).otherwise(_none())
-    free = F.flatten(F.transform(runs, lambda s: _outside(s, F.col("base"))))
-    added = F.filter(free, lambda s: _is_secret(F.substring(t, s["start"] + 1, s["end"] - s["start"])))
+    free = _matches(_replaced(t, F.col("base"), lambda s, n: F.repeat(F.lit(" "), n)), CANDIDATE)
+    added = F.when(F.col("long_run"), _spans(F.filter(free, lambda x: _is_secret(x["word"])), 3)).otherwise(_none())
     return base.select("doc_id", "text", "assign", "access", "hex", F.array_sort(F.concat(F.col("base"), added)).alias("spans"))
 
 
@@ -158,13 +224,10 @@ def digest(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and text with each span replaced by its kind in brackets; of overlapping spans the first stays."""
+    """doc_id and text with each span replaced by its kind in brackets; spans that overlap go as one, named by the first."""
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    t = F.col("text")
-    done = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1)).alias("out"))).otherwise(acc),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))),
-    )
-    return _scanned(docs, doc_id, text).select("doc_id", done.alias("text"))
+    own = _scanned(docs, doc_id, text)
+    before = running(F.transform("spans", lambda s: s["end"]), True)
+    marked = F.zip_with("spans", before, lambda s, at: F.struct(s["start"].alias("start"), F.when(s["start"] >= at, s["kind"]).otherwise(-1).alias("kind"), s["end"].alias("end")))
+    done = _replaced(F.col("text"), marked, lambda s, n: F.when(s["kind"] >= 0, F.element_at(names, s["kind"] + 1)).otherwise(F.lit("")))
+    return own.select("doc_id", done.alias("text"))

@@ -145,6 +145,54 @@ def test_secrets_of_digits_of_letters_and_beside_base_spans(spark):
     assert got[len(docs) - 1].startswith(f"entropy:0:{len(key) + 1},assign:{len(key) + 1}:")
 
 
+def brute_secrets(t):
+    """All spans: base patterns, then windows counted anew at each place of the runs outside them."""
+    kinds = [("assign", re.compile(secrets.ASSIGN), 6), ("access", re.compile("AKIA[A-Z0-9]+"), 20), ("hex", re.compile("[0-9a-f]+"), 24)]
+    found = [(m.start(), k, m.end()) for k, (n, p, least) in enumerate(kinds) for m in p.finditer(t) if len(m[2] if n == "assign" else m[0]) >= least]
+    free = list(t)
+    for a, _, b in found:
+        free[a:b] = " " * (b - a)
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", "".join(free)):
+        w = m[0]
+        letters = re.search("[A-Za-z]", w)
+        odd = sum(bool(re.match(secrets.ODD_PAIRS, w[i : i + 2], re.I)) for i in range(len(w) - 1))
+        words = letters and re.fullmatch(r"[A-Za-z/_+=-]*[0-9]{0,4}", w) and odd <= 1 and 6 * len(re.findall("[a-z](?=[A-Z])", w)) <= len(w)
+        if not re.search("[A-Za-z0-9]", w) or words or re.search(r"(?<![A-Za-z])(?i:example|sample|placeholder|dummy|changeme|your[_-]|x{6,})(?![a-z])", w) or re.fullmatch("(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", w):
+            continue
+        bar = 2.5 if not letters else 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", w) else 3.3 if w.isalpha() else 3.4
+        most = max(math.log2(16) - sum(v.count(c) * math.log2(v.count(c)) for c in set(v)) / 16 for v in (w[i : i + 16] for i in range(len(w) - 15)))
+        if most >= bar - 1e-9:
+            found.append((m.start(), 3, m.end()))
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def test_all_spans_of_secrets_match_brute_force(spark):
+    rnd = random.Random(16)
+    alphabets = ["0123456789", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", secrets.ALPHABET, "ab", "aB3", "aaaab1"]
+    words = ["plain", "words", "token=", "password: ", 'secret="', "api_key=", "AKIA", "self-contained-backward-compatible", "your_key_EXAMPLE", "é", "\n", "123e4567-e89b-12d3-a456-426614174000", "deadbeef" * 3 + "apikey=abcdefg"]
+
+    def key():
+        return "".join(rnd.choices(rnd.choice(alphabets), k=rnd.choice([5, 15, 16, 19, 20, 24, 40, 90])))
+
+    docs = ["".join((key() if rnd.random() < 0.6 else rnd.choice(words)) + rnd.choice([" ", " ", "", "_"]) for _ in range(rnd.randint(1, 40))) for _ in range(250)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secrets.scan(df).select("doc_id", secrets.digest(F.col("spans")).alias("s")).collect()}
+    for i, t in enumerate(docs):
+        assert got[i] == brute_secrets(t), (i, t)
+    assert sum("entropy" in x for x in got.values()) > 50
+
+
+def test_secrets_in_very_long_texts(spark):
+    rnd = random.Random(17)
+    n = 300_000
+    docs = ["a-" * n + "1b2", "2024-01-02" + "-12" * n, "".join(rnd.choices(secrets.ALPHABET, k=n)), "aB3kZ9qLmN0pRtUvWxY2 token=abcdef12 " * 5000, "\n" * n]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secrets.scan(df).select("doc_id", F.col("spans").alias("s")).collect()}
+    assert [len(got[i]) for i in range(5)] == [0, 0, 1, 10_000, 0]
+    assert tuple(got[3][-1]) == (len(docs[3]) - 15 - 0, 0, len(docs[3]) - 1)
+    assert secrets.redact(df.filter("doc_id = 3")).first()["text"] == "[entropy] [assign] " * 5000
+
+
 def test_language_held_out_accuracy(spark):
     rnd = random.Random(8)
     parts = {"aa": ["ka", "lo", "mi", "re"], "bb": ["sch", "ung", "keit", "ver"], "cc": ["eau", "tion", "ment", "oi"]}
