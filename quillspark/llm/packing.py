@@ -12,7 +12,8 @@ window. So all windows but the last are full, however skewed the lengths are. Th
 checksums of its two pieces.
 
 Null and empty texts have one id, the end id. Each input row is packed, also rows that are alike. Very long texts become
-many whole windows. An empty table gives no rows.
+many whole windows. Rests of equal length take their places in the order of their partitions. An empty table gives no
+rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,21 +55,27 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class WordIds(dict):
-    """Ids of a word with the space before it, as little-endian unsigned 32-bit bytes; made when first asked for."""
+    """Ids of a word with the space before it, as little-endian unsigned 32-bit bytes; made when first asked for.
 
-    def __init__(self, path: str) -> None:
+    special: names of special tokens in a text give their ids, as the tokenizer has it by default; else they are plain text.
+    """
+
+    def __init__(self, path: str, special: bool = True) -> None:
         super().__init__()
         import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model = whole["model"]
+        names = [t["content"] for t in whole.get("added_tokens") or []]
+        self.named = re.compile("|".join(map(re.escape, names))) if special and names else None
         back = _byte_of_char()
-        ranks = {bytes(back[c] for c in token): k for token, k in model["vocab"].items() if all(c in back for c in token) and token != "<|endoftext|>"}
+        ranks = {bytes(back[c] for c in token): k for token, k in model["vocab"].items() if all(c in back for c in token) and token not in names}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.exact = Tokenizer.from_file(path)
         self.stored = "<u2" if max([0, *ranks.values()]) < 1 << 16 and self.exact.get_vocab_size() <= 1 << 16 else "<u4"
-        self.exact.encode_special_tokens = True
+        self.exact.encode_special_tokens = not special
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
@@ -87,6 +94,8 @@ class WordIds(dict):
         """The ids of a text. Words apart by single spaces have the same ids alone as in the text."""
         if not text:
             return b""
+        if self.named and self.named.search(text):
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _ODD.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
@@ -110,11 +119,11 @@ _CUT = T.StructType(
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _cut(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
+def _cut(docs: DataFrame, tokenizer: str, capacity: int, special: bool) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        words = worker_cache(("word-ids", tokenizer), lambda: WordIds(tokenizer))
+        words = worker_cache(("word-ids", tokenizer, special), lambda: WordIds(tokenizer, special))
         part, ranks, whole = TaskContext.get().partitionId(), Counter(), 0
         end = np.array([0], "<u4").tobytes()
         for batch in batches:
@@ -209,10 +218,10 @@ def plan_cut(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tup
     return rows, windows - -at // capacity
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, special: bool = True) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. special: see WordIds."""
     tokenizer = tokenizer or default_tokenizer()
-    cut = write_shared(_cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tokenizer, capacity), "packing")
+    cut = write_shared(_cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tokenizer, capacity, special), "packing")
     counts = {r["rest"]: r["n"] for r in cut.filter("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}  # at most capacity - 1 rows
     rows, windows = plan_cut(counts, capacity)
     rows.sort()

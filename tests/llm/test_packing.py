@@ -2,14 +2,16 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from quillspark.llm import packing
 
 
-def ids_of(texts):
+def ids_of(texts, plain=False):
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
+    if plain:
+        tokenizer.encode_special_tokens = True
     return [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
 
 
@@ -40,6 +42,16 @@ def test_every_id_in_one_piece(spark, docs):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("special", [True, False])
+def test_names_of_special_tokens_and_clashing_columns(spark, special):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|><|endoftext|> \n y", "<|endoftext", "plain", "a<|endoftext|>b", None]
+    rows = [(7 if i == 5 else i, t, -1, -1, "x") for i, t in enumerate(texts)] + [(0, texts[0], -1, -1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start long, sequence_id long, rest string").repartition(3)
+    want = sorted((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, *_), x in zip(rows, ids_of([r[1] for r in rows], not special), strict=True))
+    pieces = packing.pack(df, special=special).collect()
+    assert sorted((p["doc_id"], p["doc_tokens"], p["ids_crc32"]) for p in pieces) == want
+
+
 def test_plan_uses_every_piece_once_with_little_slack():
     rnd = random.Random(3)
     counts = {k: rnd.randint(0, 50) for k in range(1, 1024)}
