@@ -21,7 +21,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without boilerplate lines but for copies made mostly of them; n_chars follows the text."""
     from pyspark.sql import functions as F
 
-    cleaned = boilerplate.clean(docs, twins=True)
+    cleaned = boilerplate.clean(docs, whole_copies=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cleaned.columns else cleaned
 
 

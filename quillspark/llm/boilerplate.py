@@ -3,13 +3,13 @@
 A line's key is a pair of hashes (64 and 32 bits) of the line without white space at its ends. HyperLogLog sketches of the
 sites that hold a line are merged by aggregation. Lines whose estimate is within three standard errors of the threshold
 get an exact distinct count; those above are boilerplate, those below are not. Boilerplate lines are removed wherever
-they stand, but a document that would lose more than half its characters is a copy, not a page with boilerplate: it is
-left whole, for the near-duplicate operator to judge. With twins, such a document is a copy only if another row has the
-same set of lines; without one it loses its boilerplate, even if nothing is left.
+they stand, even if nothing is left of a text. With whole_copies, a document that would lose more than half its characters
+stays whole if another row has the same lines, in any order: then it is a copy, for a near-duplicate operator to judge.
 
-Blank lines are kept and never counted. A null site counts as one site of its own. Null text stays null, with no lines.
-Repeated rows each give a row; they add no spread. Rows with the same doc_id are told apart only by their texts. Other
-columns pass through clean() unchanged.
+Blank lines are kept and never counted. A null site counts as one site of its own. Null text stays null, with no lines;
+empty text stays empty. Repeated rows each give a row; they add no spread. Ties don't occur: a line is boilerplate from
+min_sites on. A very long text costs time in proportion to its lines. An empty table gives none. Other columns pass through
+clean() unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.arrays import without
 from quillspark.session import Written
 
 MIN_SITES = 8
 LG_K = 12
-#: A document that would lose more than this share of its characters stays whole.
+#: With whole_copies: the share of its characters that a document may lose though another row has the same lines.
 MOST_REMOVED = 0.5
 
 
@@ -34,12 +35,6 @@ def _filled(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r")) != ""
 
 
-def _set(keys: Column) -> Column:
-    """Two hashes of a set of line keys, as text."""
-    ordered = F.sort_array(keys)
-    return F.concat_ws(":", F.xxhash64(ordered), F.hash(ordered))
-
-
 def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """h1, h2 of the lines that at least min_sites sites hold. lines: h1, h2, site."""
     margin = 3 * 1.04 / (2**lg_k) ** 0.5
@@ -51,30 +46,36 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> Da
     return seen.filter(F.col("sites") > min_sites * (1 + margin)).select("h1", "h2").unionByName(exact)
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, counts: bool = False, twins: bool = False) -> DataFrame:
-    """docs with boilerplate lines removed from text; counts adds __b_lines and __b_removed. twins: see above."""
-    lines = F.split(F.col(text), "\n")
-    keys = F.array_distinct(F.transform(F.filter(lines, _filled), _key))
-    own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), *([_set(keys).alias("set")] if twins else []), F.explode(keys).alias("key"))
-    table = Written(own.select("id", "site", "key.h1", "key.h2", *(["set"] if twins else [])), "lines").read()
+def _copies(table: DataFrame) -> DataFrame:
+    """id, mark of the rows whose lines, in any order, another row has too."""
+    sums = [F.bit_xor(F.xxhash64("h1", "h2")).alias("x"), F.sum(F.col("h1").bitwiseAND(F.lit((1 << 36) - 1))).alias("s"), F.count("*").alias("n")]
+    each = Written(table.groupBy("uid", "id", "mark").agg(*sums), "line-sets").read()
+    alike = each.groupBy("x", "s", "n").agg(F.count("*").alias("rows")).filter("rows > 1")
+    return each.join(alike, ["x", "s", "n"], "left_semi").select("id", "mark").distinct()
+
+
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, counts: bool = False, whole_copies: bool = False) -> DataFrame:
+    """docs with boilerplate lines removed from text; counts adds __b_lines and __b_removed. whole_copies: see above."""
+    lines, mark = F.split(F.col(text), "\n"), F.xxhash64(F.col(text))
+    uid = [F.monotonically_increasing_id().alias("uid")] if whole_copies else []
+    own = docs.select(F.col(doc_id).alias("id"), mark.alias("mark"), *uid, F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.col(text).alias("text"))
+    own = own.select("*", F.posexplode(F.split("text", "\n")).alias("pos", "line")).drop("text")  # uid is made before lines are
+    own = own.filter(_filled(F.col("line"))).withColumn("key", _key(F.col("line"))).withColumn("pos", F.col("pos") + 1)
+    table = Written(own.select("id", "mark", *(["uid"] if whole_copies else []), "site", "pos", "key.h1", "key.h2"), "lines").read()
     common = Written(spread(table.select("h1", "h2", "site"), min_sites), "boilerplate").read()
-    # Each document's own boilerplate: no more than its lines.
-    hits = table.join(common, ["h1", "h2"], "left_semi")
-    found = hits.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("__b_keys"))
-    if twins:
-        alike = hits.groupBy("set", "h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("set").distinct()
-        found = found.join(hits.select("id", "set").distinct().join(alike, "set").groupBy("id").agg(F.collect_set("set").alias("__b_sets")), "id", "left")
-    found = found.withColumnRenamed("id", "__b_id")
-    kept_lines = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__b_keys"), _key(x)), F.lit(False)))
-    joined = docs.join(found.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__b_id")), "left")
-    size = F.length(F.regexp_replace(F.col(text), r"\s", ""))
-    joined = joined.withColumn("__b_text", F.when(F.col("__b_keys").isNotNull(), F.array_join(kept_lines, "\n")))
-    little = F.length(F.regexp_replace(F.col("__b_text"), r"\s", "")) >= (1 - MOST_REMOVED) * size
-    if twins:
-        little |= F.col("__b_sets").isNull() | ~F.array_contains("__b_sets", _set(keys))
-    done = F.col("__b_text").isNotNull() & little
+    # Each document's own boilerplate: places of no more than its lines.
+    found = table.join(common, ["h1", "h2"], "left_semi").groupBy("id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("__b_at"))
+    if whole_copies:
+        found = found.join(_copies(table).withColumn("__b_copy", F.lit(True)).withColumnRenamed("id", "i").withColumnRenamed("mark", "m"), F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").drop("i", "m")
+    found = found.withColumnRenamed("id", "__b_id").withColumnRenamed("mark", "__b_mark")
+    joined = docs.join(found.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__b_id")) & (mark == F.col("__b_mark")), "left")
+    joined = joined.withColumn("__b_text", F.when(F.col("__b_at").isNotNull(), F.array_join(without(lines, F.col("__b_at")), "\n")))
+    done = F.col("__b_text").isNotNull()
+    if whole_copies:
+        size = [F.length(F.regexp_replace(F.col(x), r"\s", "")) for x in (text, "__b_text")]
+        done &= F.col("__b_copy").isNull() | (size[1] >= (1 - MOST_REMOVED) * size[0])
     joined = joined.withColumn("__b_done", done)
     result = F.when(F.col("__b_done"), F.col("__b_text")).otherwise(F.col(text))
     filled = F.coalesce(F.size(F.filter(lines, _filled)), F.lit(0)).cast("long")
-    extra = [filled.alias("__b_lines"), F.when(F.col("__b_done"), F.size(lines) - F.size(kept_lines)).otherwise(F.lit(0)).cast("long").alias("__b_removed")] if counts else []
+    extra = [filled.alias("__b_lines"), F.when(F.col("__b_done"), F.size("__b_at")).otherwise(F.lit(0)).cast("long").alias("__b_removed")] if counts else []
     return joined.select(*[result.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns], *extra)

@@ -117,13 +117,12 @@ WITH ls AS (
   SELECT doc_id, coalesce(source, '') AS site, ls[i] AS line, trim(ls[i], ' ' || chr(9) || chr(13)) AS bare, i
   FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents))),
 common AS (SELECT bare FROM ls WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT site) >= 8),
-marked AS (SELECT ls.*, common.bare IS NOT NULL AS out, length(regexp_replace(line, '[ \t\n\v\f\r]', '', 'g')) AS n FROM ls LEFT JOIN common USING (bare)),
+marked AS (SELECT ls.*, common.bare IS NOT NULL AS out FROM ls LEFT JOIN common USING (bare)),
 sums AS (
-  SELECT doc_id, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (out) AS n_out, sum(n) AS total, coalesce(sum(n) FILTER (NOT out), 0) AS kept,
-         string_agg(line, chr(10) ORDER BY i) FILTER (NOT out) AS clean
+  SELECT doc_id, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (out) AS n_out, string_agg(line, chr(10) ORDER BY i) FILTER (NOT out) AS clean
   FROM marked GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, (CASE WHEN n_out > 0 AND kept >= 0.5 * total THEN n_out ELSE 0 END)::BIGINT AS n_removed,
-       CASE WHEN n_out > 0 AND kept >= 0.5 * total THEN coalesce(clean, '') ELSE d.text END AS text
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_out, 0)::BIGINT AS n_removed,
+       CASE WHEN n_out > 0 THEN coalesce(clean, '') ELSE d.text END AS text
 FROM documents d LEFT JOIN sums USING (doc_id)
 """,
     "op3_decontaminate": r"""

@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.arrays import let, running
+
 #: Kind, pattern, group that is measured, its least length. In the order in which ties are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of fewer fails as a whole, so that this is the run of 20 or more
@@ -57,38 +59,6 @@ def _none() -> Column:
     return F.array().cast(_SPAN)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once for a row however often use() names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def running(values: Column, largest: bool = False) -> Column:
-    """For each of an array of integers the sum (or the largest, at least 0) of those before it.
-
-    A fold copies what it has made with each step, so it goes over pieces of about the square root of the array's length.
-    """
-
-    def more(at: Column, x: Column) -> Column:
-        return F.greatest(at, x) if largest else at + x
-
-    def fold(own: Column, start: Column) -> Column:
-        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(own, first, lambda acc, x: F.struct(more(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-
-    def cut(own: Column) -> Column:
-        return let(
-            F.ceil(F.sqrt(F.size(own))).cast("int"),
-            lambda width: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / width).cast("int")), lambda k: F.slice(own, k * width + 1, width)),
-        )
-
-    def whole(own: Column) -> Column:
-        tops = lambda pieces: F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), more))
-        pieces = let(cut(own), lambda p: F.flatten(F.zip_with(p, fold(tops(p), F.lit(0)), fold)))
-        return F.when(F.size(own) > 0, pieces).otherwise(F.array().cast("array<int>"))
-
-    return let(values, whole)
-
-
 def _matches(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     """Start, end and word of the matches: what lies between them has the lengths that split() gives."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
