@@ -1,17 +1,21 @@
 """Personal data, and terms that give it away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers in fixed patterns. Each value found is a
-protected entity. The corpus then tells how strongly the terms of the documents that hold it reveal it: with n(e, t) the
-documents that hold entity e and, outside all base spans, term t, n(t) those that hold t anywhere and n(e) those that hold
-e, the pointwise mutual information log2(n(e,t) * N / (n(e) * n(t))) is compared with the information content of the
-entity, log2(N / n(e)). A term that carries GENERALISE of it or more, in SUPPORT documents or more, is generalised, and
-from REMOVE on removed: wherever it stands outside base spans, in all documents, as it reveals the entity there as well.
+protected entity. The corpus then tells how strongly the terms of the documents that hold it reveal it. With n(e, t) the
+documents that hold entity e and, outside all base spans, term t, n(t) those that hold t anywhere, n(e) those that hold e
+and N all of them, P(e | t) is estimated as (n(e, t) - 1) / n(t): the document by which a pair was found is left out, so
+that terms of a single document tell nothing, however rare they are. The pointwise mutual information
+log2(P(e | t) * N / n(e)) is compared with the information content of the entity, log2(N / n(e)). A term that carries
+GENERALISE of it or more is generalised, and from REMOVE on removed: wherever it stands outside base spans, in all
+documents, as it reveals the entity there as well.
 
 All counts are over all documents. Terms that are counted or marked are broadcast up to TERMS of them; beyond, a join
 with all words counts or marks them.
 
 Null text is empty: no spans, the digest of nothing. Each input row gives one row and counts as a document, also repeated
-rows. Overlaps within a kind don't occur; overlaps between kinds stay. Other columns are ignored.
+rows. An empty table gives none. A very long text costs time in proportion to its length. Of two shares of a term the
+stronger action is taken. Overlaps within a kind don't occur; overlaps between kinds stay. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +34,6 @@ from quillspark.llm.batches import as_bytes, slices
 from quillspark.llm.decontaminate import _NORMAL
 from quillspark.session import write_shared
 
-SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 TERMS = 200_000
 KINDS = ("email", "ip", "card", "phone")
@@ -196,27 +199,27 @@ def _document_counts(docs: DataFrame, terms: DataFrame, most: int) -> DataFrame:
     return docs.select(F.explode(words).alias("t")).join(terms, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n"))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, most: int = TERMS) -> DataFrame:
+def disclosures(found: DataFrame, docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, most: int = TERMS) -> DataFrame:
     """e, t, share, action: terms that reveal an entity; share is the part of its information that the term carries."""
     total = docs.count()
-    held = found.select("uid", F.explode("entities").alias("e"))
-    each = held.groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)  # others are in too few documents with any term
-    own = held.join(each, "e").groupBy("uid").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    alike = own.join(found.select("uid", "terms"), "uid").groupBy("es", "terms").agg(F.count("*").alias("n"))  # copies count at once
-    pairs = alike.select(F.explode("es").alias("e"), "terms", "n").select("e", F.explode("terms").alias("t"), "n")
-    both = write_shared(pairs.groupBy("e", "t").agg(F.sum("n").alias("n_et")).filter(F.col("n_et") >= support), "pii-pairs")
+    alike = write_shared(found.groupBy("entities", "terms").agg(F.count("*").alias("n")), "pii-alike")  # copies go on as one row
+    each = alike.select(F.explode("entities").alias("e"), "n").groupBy("e").agg(F.sum("n").alias("n_e")).filter("n_e > 1")  # with one document, P = 0
+    each = write_shared(each, "pii-entities")
+    pairs = alike.select(F.explode("entities").alias("e"), "terms", "n").join(each.select("e"), "e", "left_semi").select("e", F.explode("terms").alias("t"), "n")
+    both = write_shared(pairs.groupBy("e", "t").agg(F.sum("n").alias("n_et")).filter("n_et > 1"), "pii-pairs")
     counts = _document_counts(docs, both.select("t").distinct(), most)
     info = F.log2(F.lit(float(total)) / F.col("n_e"))
-    share = F.when(info > 0, F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col("n"))) / info).otherwise(0.0)
-    joined = both.join(each, "e").join(counts, "t").select("e", "t", share.alias("share")).filter(F.col("share") >= generalise)
+    given = (F.col("n_et") - 1) / F.col("n")
+    share = F.when(info > 0, F.log2(given * float(total) / F.col("n_e")) / info).otherwise(0.0)
+    joined = both.join(each, "e").join(counts, "t").select("e", "t", F.round(share, 12).alias("share")).filter(F.col("share") >= generalise)
     return joined.withColumn("action", F.when(F.col("share") >= remove, "remove").otherwise("generalise"))
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, most: int = TERMS) -> DataFrame:
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, most: int = TERMS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and terms (start, end, action): a row for each row of docs."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = write_shared(_detected(own), "pii")
-    reveal = disclosures(found, own, support, generalise, remove, most).groupBy("t").agg(F.max("action").alias("action"))  # 'remove' over 'generalise'
+    reveal = disclosures(found, own, generalise, remove, most).groupBy("t").agg(F.max("action").alias("action"))  # 'remove' over 'generalise'
     reveal = write_shared(reveal, "pii-terms")
     wanted = {r["t"]: r["action"] for r in reveal.limit(most + 1).collect()}  # at most `most` + 1 rows
     columns = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256"]

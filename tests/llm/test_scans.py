@@ -107,6 +107,63 @@ def test_pii_terms_far_from_the_entity_are_marked_in_all_documents(spark, most):
     assert not any("zorblatt" in safe[i].lower() for i in safe)
 
 
+def brute_pii_spans(texts):
+    """Base spans, then all occurrences of the terms that reveal an entity, by counts over all documents."""
+    held = []
+    for t in texts:
+        base = [tuple(x.split(":")) for x in brute_pii(t or "").split(",") if x]
+        taken = [(int(a), int(b)) for _, a, b in base]
+        entities = {(k, t[int(a) : int(b)].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", t[int(a) : int(b)])) for k, a, b in base}
+        terms = [(m[0].translate(LOWER), m.start(), m.end()) for m in WORD.finditer((t or "").translate(LOWER)) if all(b <= m.start() or a >= m.end() for a, b in taken)]
+        held.append((base, frozenset(entities), terms, frozenset(x for x, _, _ in terms)))
+    anywhere = [set(words(t)) for t in texts]
+    action = {}
+    for e in {e for _, own, _, _ in held for e in own}:
+        of = [k for k in range(len(texts)) if e in held[k][1]]
+        info = math.log2(len(texts) / len(of))
+        for term in set().union(*(held[k][3] for k in of)):
+            both = [k for k in of if term in held[k][3]]
+            if len(both) > 1 and info > 0:
+                p = (len(both) - 1) / sum(term in x for x in anywhere)
+                share = round(math.log2(p * len(texts) / len(of)) / info, 12)
+                if share >= pii.GENERALISE:
+                    action[term] = max(action.get(term, ""), "remove" if share >= pii.REMOVE else "generalise")
+    return [",".join([*(":".join(x) for x in base), *(f"{k}:{a}:{b}" for k, a, b in sorted((action[x], a, b) for x, a, b in terms if x in action))]) for base, _, terms, _ in held]
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_all_spans_of_personal_data_match_brute_force(spark, most):
+    rnd = random.Random(18)
+    people = [(f"p{i}@x{i}.org" if i % 2 else f"10.0.0.{i}", [f"nick{i}", f"town{i}", "É" + "x" * i]) for i in range(12)]
+    common = [f"word{i}" for i in range(40)]
+    texts = [None, "", "no data"]
+    for _ in range(260):
+        own = rnd.choices(common, k=rnd.randint(3, 30)) + [f"rare{rnd.randint(0, 400)}" for _ in range(3)]
+        for _ in range(rnd.choice([0, 0, 1, 1, 2])):
+            entity, near = rnd.choice(people)
+            own += [entity if rnd.random() < 0.9 else ""] + [x.upper() if rnd.random() < 0.3 and x.isascii() else x for x in near if rnd.random() < 0.7]
+        rnd.shuffle(own)
+        texts.append(" ".join(own))
+    texts += [texts[10]] * 5 + ["single@copy.net unheardof words"]
+    df = spark.createDataFrame([(i % 250, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, spans string, n_ip long").repartition(5)
+    got = sorted((r["doc_id"], r["spans"]) for r in pii.find(df, most=most).collect())
+    want = brute_pii_spans(texts)
+    assert got == sorted((i % 250, s) for i, s in enumerate(want))
+    assert sum("remove" in s for s in want) > 20 and sum("generalise" in s for s in want) > 20
+    assert want[-1] == "email:0:15"
+
+
+def test_terms_are_marked_at_both_ends_without_the_fillers(spark):
+    rnd = random.Random(19)
+    fill = [f"filler{i}" for i in range(60)]
+    docs = [f"zorblatt {' '.join(rnd.sample(fill, 30))} write to zorblatt qux@mail.com" for _ in range(6)] + [" ".join(["write", "to", *rnd.sample(fill, 30)]) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for r in pii.find(df).collect():
+        t = docs[r["doc_id"]]
+        marked = [t[int(a) : int(b)] for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k != "email"]
+        assert marked == (["zorblatt"] * 2 if r["doc_id"] < 6 else [])
+
+
 def test_secrets(spark):
     rnd = random.Random(6)
     bits = ["password=", "API_KEY : ", 'token = "', "secret: token: ", "passwd", "AKIA" + "A1" * 9, "AKIAAKIA12", "deadbeef" * 4, "abc123" * 5, "hunter2x", "short", " ", "é", "\n", "ÀÀ"]
