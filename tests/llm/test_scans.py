@@ -286,6 +286,35 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_licences_as_they_stand_in_files(spark):
+    import textwrap
+
+    by = {}
+    for name, body in licences.TEMPLATES:
+        by[name] = max(by.get(name, ""), body, key=len)
+    rnd = random.Random(21)
+    noise = [" ".join(rnd.choice(["alpha", "of the", "copyright", "software", "license", "beta", "the terms", "public"]) for _ in range(60)) for _ in range(8)]
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2019 A. Nother\n\n" + textwrap.fill(by["MIT"], 78)
+    docs = [
+        (mit, {("MIT", 5)}),
+        ("#!/usr/bin/env python\n" + textwrap.indent(textwrap.fill("Copyright 2020 X. " + by["GPL-3.0"], 70), "# ") + "\nimport os\n" * 50, {("GPL-3.0", 2)}),
+        ("/*\n" + textwrap.indent(textwrap.fill(by["Apache-2.0"], 60), " * ") + "\n */\nint main() {}", {("Apache-2.0", 2)}),
+        ("Copyright (c) 2001, The Regents\nAll rights reserved.\n\n" + textwrap.fill(by["BSD-3-Clause"].replace("copyright holder nor", "Regents nor"), 72), {("BSD-3-Clause", 4)}),
+        (textwrap.fill(by["BSD-2-Clause"], 50), {("BSD-2-Clause", 1)}),
+        ("Released under the MIT License. See the LICENSE file for details of the terms.", {("MIT", 1)}),
+        ("\n".join([*noise[:3], mit, *noise[3:]]) + "\n" + textwrap.fill(by["Zlib"], 40), {("MIT", 8), ("Zlib", 8 + len(textwrap.wrap(by["MIT"], 78)) + 5)}),
+        ("\n".join(noise * 400), set()),
+        ("word\n" * 100_000 + by["ISC"], {("ISC", 100_001)}),
+        (" ".join(by["MIT"].split()[:30]), set()),
+    ]
+    df = spark.createDataFrame([(i, t, 1) for i, (t, _) in enumerate(docs)], "doc_id long, text string, at int")
+    got = licences.scan(df).collect()
+    assert {i: {(r["licence"], r["line"]) for r in got if r["doc_id"] == i} for i in range(len(docs))} == {i: x for i, (_, x) in enumerate(docs)}
+    assert all(r["dice"] >= 0.9 for r in got)
+    for k, (name, body) in enumerate(licences.TEMPLATES):
+        assert any(w in licences.words_of(body) for w in licences.needed_words(licences.TEMPLATES)), k
+
+
 def test_line_dedup(spark, docs, no_docs):
     own = [(i, f"own text number {i} goes on and on\n  Subscribe now \nmore of {i} here\nrare {i % 3}", "en", f"s{i % 10}", 0, "", "") for i in range(40)] + [(100, "Subscribe now", "en", "s1", 0, "", ""), (101, None, "en", None, 0, "", ""), (102, "", "en", "s1", 0, "", "")]
     df = spark.createDataFrame(own, SCHEMA)
