@@ -14,11 +14,16 @@ array's entries, about one for 60 bytes. An entry stands for the run of windows
 3. Cores at a partition's edge, or with more than LIMIT different contents, give one row for each window instead, counted
    by an aggregation, so that neither a boundary nor a very common passage gathers in one task.
 
-Which runs take part in step 2 reaches the second scan as a Bloom filter of fixed size; what it lets through in excess
-is compared and found to be alone. Hashes are 64-bit in pairs (anchor and content; core and content or window).
+Which runs take part in step 2 reaches the second scan as a Bloom filter sized by their number; what it lets through in
+excess is compared and found to be alone. Hashes are 64-bit in pairs (anchor and content; core and content or window).
+
+What differs from a textbook suffix array: the order of leading tokens is that of their hashes, which brings equal ones
+together, and that is all that is asked of it; Spark sorts the partitions, and the multikey sort the windows of a core;
+what meets at a boundary is counted again instead of being compared in place.
 
 Null text is empty: nothing removed. Texts under 200 bytes have no window. Repeated rows are each other's copies, and each
-input row gives one row. Very long texts are scanned in overlapping parts. Other columns pass through clean().
+input row gives one row; an empty table gives none. Very long texts are scanned in overlapping parts. Other columns pass
+through dedup(), whatever their names.
 """
 
 from __future__ import annotations
@@ -42,8 +47,9 @@ CORE = WINDOW - CELL + 1
 PART, POSITION = 2 << 20, 23
 #: Different contents of one core that a task compares.
 LIMIT = 5_000
-#: Bits of the filter that tells the second scan which runs to cut.
-FILTER_BITS = 1 << 25
+#: Bits of the filter that tells the second scan which runs to cut: at least FILTER_EACH for each run, a power of two in
+#: FILTER_BITS. Beyond the most, more runs than needed are cut, compared and found to be alone.
+FILTER_EACH, FILTER_BITS = 16, (1 << 16, 1 << 28)
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -181,25 +187,33 @@ def _mark(batches):
         yield chunk(held, drop_first=len(held[0]) > 1, keep_last=False, open_start=True, open_end=True)
 
 
-def _bits_of(ref: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bits_of(ref: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = _mix(_mix(ref.view(_U)) * _BASE + at.view(_U))
-    return (h >> _U(32)) % _U(FILTER_BITS), (h & _U(0xFFFFFFFF)) % _U(FILTER_BITS)
+    return (h >> _U(32)) % _U(bits), (h & _U(0xFFFFFFFF)) % _U(bits)
+
+
+def _let_through(words: np.ndarray, ref: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of the runs that may be among those of a filter."""
+    one, two = _bits_of(ref, at, 64 * len(words))
+    return np.flatnonzero((words[one >> _U(6)] >> (one & _U(63))) & (words[two >> _U(6)] >> (two & _U(63))) & _U(1))
 
 
 def _filter(marks: DataFrame) -> np.ndarray:
-    """A Bloom filter of the runs to be cut: FILTER_BITS bits, whatever the number of runs."""
+    """A Bloom filter of the runs (ref, at) that are flagged to be cut."""
+    marks = marks.filter(F.col("flags").bitwiseAND(F.lit(2)) != 0).select("ref", "at")
+    bits = min(max(1 << (FILTER_EACH * marks.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
 
     def run(batches):
-        words = np.zeros(FILTER_BITS // 64, _U)
+        words = np.zeros(bits // 64, _U)
         for batch in batches:
             if batch.num_rows:
-                for bit in _bits_of(*(batch.column(k).to_numpy(zero_copy_only=False).copy() for k in range(2))):
+                for bit in _bits_of(*(batch.column(k).to_numpy(zero_copy_only=False).copy() for k in range(2)), bits):
                     np.bitwise_or.at(words, (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
         some = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), _signed(words[some])], names=["word", "bits"])
 
-    rows = marks.filter(F.col("flags").bitwiseAND(F.lit(2)) != 0).select("ref", "at").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, _U)
+    rows = marks.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, _U)
     words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(_U)
     return words
 
@@ -218,8 +232,7 @@ def _scan_cells(docs: DataFrame, words: np.ndarray) -> DataFrame:
                 refs = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 for group in _parts(as_bytes(part.column(1))):
                     r = Runs(hasher, group)
-                    one, two = _bits_of(refs[r.text], r.at)
-                    some = np.flatnonzero((wanted[one >> _U(6)] >> (one & _U(63))) & (wanted[two >> _U(6)] >> (two & _U(63))) & _U(1))
+                    some = _let_through(wanted, refs[r.text], r.at)
                     if not len(some):
                         continue
                     far, near = r.anchor[some] - r.first[some], r.anchor[some] - r.first[some] - r.count[some] + 1
