@@ -5,20 +5,24 @@ class from here on. Two sets that reach the threshold share a shingle among the
 all (prefix filter). The order puts shingles that many documents hold last, as a table of 2**20 counters tells; only
 consistency matters for the result. Classes that share such a shingle form a block.
 
-Each class is a point: its shingles are hashed into groups and counted by group. In a block the points are indexed by an
-R-tree, and the overlap of a query with anything under a node is bounded by the sum of the coordinate minima of the query
-and the node's maxima; lengths bound it too. The tree has 64 coordinates; pairs that survive are tried with all 256 groups,
-of which the coordinates are sums, then verified with their sets.
-
-Components are asked for, not pairs. So links come in two rounds. The first tries, in each block, every class against the
-one that has the block's shingle earliest in its order: in a group of near copies that is one without edits of its own.
-The components of these links are labels, and the second round tries only pairs with different labels, all of them: no
-link between components is lost, and a group of thousands of near copies needs no more than its links to the first.
-Blocks of more than LIMIT points are dealt out in pairs of parts; the part of a block that shares one label meets only
-the rest.
+Each class is a point: its shingles are hashed into groups and counted by group. The points of all blocks that a task has
+at hand are indexed by one R-tree, whose first coordinate is the block; the overlap of a query with anything under a node
+is bounded by the sum of the coordinate minima of the query and the node's maxima, and lengths bound it too. The tree has
+64 coordinates; pairs that survive are tried with all 256 groups, of which the coordinates are sums, then verified with
+their sets.
+
+Components are asked for, not pairs. So links come in two rounds. The first queries the tree, for each block, with the
+class that has the block's shingle earliest in its order (the hub): in a group of near copies that is one without edits of
+its own. The components of these links are labels, and the second round queries it with the classes of a block that don't
+have its most frequent label, so that all pairs with different labels are tried: no link between components is lost, and a
+group of thousands of near copies needs no more than its links to the first. Blocks of more than LIMIT points are dealt
+out in pairs of parts; the part of a block that shares one label meets only the rest. A class in more than HOT pairs, such
+as a hub, is joined in as many parts.
 
 Null text, and text without words, is the empty set: linked with nothing. With fewer than 4 words the whole sequence is
-the one shingle. Repeated rows are in one class. Each input row gives one row. Other columns pass through representatives().
+the one shingle. Repeated rows are in one class, and each input row gives one row. A component is named by its least id,
+so that ties don't occur. Very long texts are one set each, in memory of a task once. An empty table gives none. Other
+columns are ignored, whatever their names, and pass through representatives().
 """
 
 from __future__ import annotations
@@ -31,15 +35,17 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.batches import as_bytes, slices
 from quillspark.llm.components import components
-from quillspark.llm.suffixes import FILTER_BITS, _bits_of, _filter, _mix, _signed
+from quillspark.llm.suffixes import _filter, _let_through, _mix, _signed
 from quillspark.session import Written, write_shared
 
 WORDS = 4
 PERCENT = 85
 COARSE, FINE = 64, 256
 SLOTS = 1 << 20
-#: Points of a block that one task indexes at once; blocks of up to SMALL points are compared without an index.
-LIMIT, SMALL = 2_000, 24
+#: Points of a block that one task indexes at once, and of blocks together in one tree.
+LIMIT, INDEXED = 2_000, 4_096
+#: Pairs of a class that are joined in one part, and the most classes that are dealt out.
+HOT, MOST_HOT = 256, 100_000
 #: Shingles counted together; those a chunk holds fewer times than OFTEN don't count as frequent.
 CHUNK, OFTEN = 4_000_000, 2
 
@@ -109,27 +115,31 @@ def _near_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class CountRTree:
-    """An R-tree over count vectors, packed in order of size. Nodes keep the coordinate maxima and the range of sizes."""
+    """An R-tree over (block, count vector), packed in order of block and size. Nodes keep the coordinate maxima and the
+    ranges of sizes and blocks; only points of a query's own block are found."""
 
     FAN = 8
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray) -> None:
-        self.order = np.lexsort((vectors.argmax(1), sizes))
-        self.levels = [(vectors[self.order], sizes[self.order], sizes[self.order])]
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, blocks: np.ndarray | None = None) -> None:
+        blocks = np.zeros(len(sizes), np.int64) if blocks is None else blocks
+        self.order = np.lexsort((vectors.argmax(1), sizes, blocks))
+        size, block = sizes[self.order], blocks[self.order]
+        self.levels = [(vectors[self.order], size, size, block, block)]
         while len(self.levels[-1][0]) > self.FAN:
-            top, low, high = self.levels[-1]
+            top, low, high, first, last = self.levels[-1]
             at = np.arange(0, len(top), self.FAN)
-            self.levels.append((np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+            self.levels.append((np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)))
 
-    def candidates(self, vectors: np.ndarray, sizes: np.ndarray, chunk: int = 256):
+    def candidates(self, vectors: np.ndarray, sizes: np.ndarray, blocks: np.ndarray | None = None, chunk: int = 256):
         """Pairs (query, point) that the bounds don't exclude."""
+        blocks = np.zeros(len(sizes), np.int64) if blocks is None else blocks
         for start in range(0, len(vectors), chunk):
             query = np.repeat(np.arange(start, min(start + chunk, len(vectors))), len(self.levels[-1][0]))
             node = np.tile(np.arange(len(self.levels[-1][0])), len(query) // max(1, len(self.levels[-1][0])))
             for depth in range(len(self.levels) - 1, -1, -1):
-                top, low, high = self.levels[depth]
-                n = sizes[query]
-                fits = (100 * high[node] >= PERCENT * n) & (100 * n >= PERCENT * low[node])
+                top, low, high, first, last = self.levels[depth]
+                n, own = sizes[query], blocks[query]
+                fits = (100 * high[node] >= PERCENT * n) & (100 * n >= PERCENT * low[node]) & (first[node] <= own) & (own <= last[node])
                 query, node = query[fits], node[fits]
                 held = [np.zeros(0, bool)]
                 for k in range(0, len(query), 1 << 16):
@@ -145,6 +155,11 @@ class CountRTree:
             yield query, self.order[node]
 
 
+def _coarse(fine: np.ndarray) -> np.ndarray:
+    """Groups of one size are unions of groups of the other."""
+    return fine.reshape(-1, FINE // COARSE, COARSE).sum(1)
+
+
 def _texts(batches, column: int = 1):
     for batch in batches:
         for part in slices(batch, column):
@@ -273,36 +288,39 @@ def _pairs(batches):
     def work(rows):
         key = np.stack([rows[k] for k in ("h", "part_a", "part_b")])
         new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(new)))
-        group = np.repeat(np.arange(len(starts)), sizes)
-        small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
-        for step in range(1, SMALL):
-            a = small[small + step < len(new)]
-            a = a[group[a] == group[a + step]]
-            if not len(a):
-                break
-            b = a + step
-            ok = allowed(a, b, rows) & _near_sizes(rows["n"][a], rows["n"][b])
-            a, b = a[ok], b[ok]
-            for k in range(0, len(a), 1 << 16):
-                x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                keep = _passes(np.minimum(rows["coarse"][x], rows["coarse"][y]).sum(1), rows["n"][x] + rows["n"][y])
-                yield from found(*finer(x[keep], y[keep], rows), rows)
-        for g in np.flatnonzero(sizes > SMALL):
-            at = np.arange(starts[g], starts[g] + sizes[g])
-            tree = CountRTree(rows["coarse"][at], rows["n"][at])
-            for a, b in tree.candidates(rows["coarse"][at], rows["n"][at]):
-                a, b = at[a], at[b]
-                keep = (a < b) & allowed(a, b, rows)
-                yield from found(*finer(a[keep], b[keep], rows), rows)
+        starts = np.append(np.flatnonzero(new), len(new))
+        first = 0
+        while first < len(starts) - 1:  # whole blocks, INDEXED points or one block
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + INDEXED, side="right")) - 1)
+            own = np.arange(starts[first], starts[last])
+            yield from tree(own, np.cumsum(new[own]), rows)
+            first = last
+
+    def tree(at, block, rows):
+        order = np.lexsort((rows["label"][at], block))
+        label = rows["label"][at][order]
+        new = np.concatenate([[True], (label[1:] != label[:-1]) | (block[order][1:] != block[order][:-1])])
+        run = np.cumsum(new) - 1
+        n = np.bincount(run)[run]
+        top = np.zeros(block.max() + 1, np.int64)
+        np.maximum.at(top, block[order], n)
+        main = np.zeros(len(at), bool)  # of the most frequent label of a block; of several, all but one ask too
+        best = np.full(len(top), 2**63 - 1, np.int64)
+        some = n == top[block[order]]
+        np.minimum.at(best, block[order][some], label[some])
+        main[order] = label == best[block[order]]
+        vectors, sizes, ask = rows["coarse"][at], rows["n"][at], np.flatnonzero(~main)
+        for a, b in CountRTree(vectors, sizes, block).candidates(vectors[ask], sizes[ask], block[ask]):
+            a = ask[a]
+            keep = (main[b] | (a < b)) & allowed(at[a], at[b], rows) | (~main[b] & (a < b) & allowed(at[b], at[a], rows))
+            yield from found(*finer(at[a][keep], at[b][keep], rows), rows)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         own = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(("h", "part_a", "part_b", "side", "label", "n", "set"))}
         own["fine"] = points(batch.column(7).to_pylist(), FINE)
-        own["coarse"] = own["fine"].reshape(-1, FINE // COARSE, COARSE).sum(1)  # groups of one are unions of groups of the other
+        own["coarse"] = _coarse(own["fine"])
         rows = own if held is None else {k: np.concatenate([held[k], own[k]]) for k in own}
         last = (rows["h"] == rows["h"][-1]) & (rows["part_a"] == rows["part_a"][-1]) & (rows["part_b"] == rows["part_b"][-1])
         cut = len(last) - int(last.sum())  # rows are sorted: the last block may go on in the next batch
@@ -314,19 +332,39 @@ def _pairs(batches):
     yield from flush()
 
 
+def _joined(pairs: DataFrame, key: str, table: DataFrame, counted: DataFrame) -> DataFrame:
+    """pairs with the columns of table, whose key is unique; a key of more than HOT pairs is dealt out.
+
+    counted: a written table with the keys of pairs.
+    """
+    hot = counted.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
+    few = hot.orderBy(F.desc("n")).limit(MOST_HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("parts")).collect()  # at most MOST_HOT rows
+    if not few:
+        return pairs.join(table, key)
+    parts = F.broadcast(pairs.sparkSession.createDataFrame(few, f"{key} long, __parts int"))
+    dealt = pairs.join(parts, key, "left").withColumn("__part", F.pmod(F.xxhash64(*counted.columns), F.coalesce("__parts", F.lit(1)).cast("long")).cast("int")).drop("__parts")
+    copies = table.join(parts, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copies, [key, "__part"]).drop("__part")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
+    pairs = write_shared(pairs, "ngram-tried")
     of = classes.select(F.col("set"), F.col("ref"), F.col("n"), F.col("fine"))
-    both = pairs.join(of.select(F.col("set").alias("a"), F.col("ref").alias("ref_a"), F.col("n").alias("n_a"), F.col("fine").alias("fine_a")), "a")
-    both = both.join(of.select(F.col("set").alias("b"), F.col("ref").alias("ref_b"), F.col("n").alias("n_b"), F.col("fine").alias("fine_b")), "b")
+    both = _joined(pairs, "a", of.select(F.col("set").alias("a"), F.col("ref").alias("ref_a"), F.col("n").alias("n_a"), F.col("fine").alias("fine_a")), pairs)
+    both = _joined(both, "b", of.select(F.col("set").alias("b"), F.col("ref").alias("ref_b"), F.col("n").alias("n_b"), F.col("fine").alias("fine_b")), pairs)
 
     def fine(batches):
         for batch in batches:
-            if batch.num_rows:
-                one, two = (points(batch.column(k).to_pylist(), FINE) for k in (4, 5))
-                total = sum(batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-                keep = pa.array(_passes(np.minimum(one, two).sum(1), total))
-                yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1, 6, 7)], names=["a", "b", "ref_a", "ref_b"])
+            for start in range(0, batch.num_rows, INDEXED):
+                part = batch.slice(start, INDEXED)
+                _, query, block = np.unique(part.column(0).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+                one, two = (points(part.column(k).to_pylist(), FINE) for k in (4, 5))
+                n_a, n_b = (part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+                tree = CountRTree(_coarse(two), n_b, block)
+                near = np.concatenate([np.zeros(0, np.int64), *[row for _, row in tree.candidates(_coarse(one[query]), n_a[query], np.arange(len(query)))]])
+                near = np.sort(near[_passes(np.minimum(one[near], two[near]).sum(1), n_a[near] + n_b[near])])
+                yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(near)) for k in (0, 1, 6, 7)], names=["a", "b", "ref_a", "ref_b"])
 
     left = write_shared(both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b", "ref_a", "ref_b").mapInArrow(fine, "a long, b long, ref_a long, ref_b long"), "ngram-pairs")
     needed = left.select(F.explode(F.array("ref_a", "ref_b")).alias("ref")).distinct().select("ref", F.lit(0).cast("long").alias("at"), F.lit(2).alias("flags"))
@@ -336,15 +374,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
         words = shared.value
         for batch in batches:
             refs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            one, two = _bits_of(refs, np.zeros(len(refs), np.int64))
-            some = np.flatnonzero((words[one >> _U(6)] >> (one & _U(63))) & (words[two >> _U(6)] >> (two & _U(63))) & _U(1))
+            some = _let_through(words, refs, np.zeros(len(refs), np.int64))
             for part in slices(batch.take(pa.array(some)), 1):
                 own = shingle_sets(as_bytes(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in own], pa.binary())], names=["ref", "own"])
 
     held = docs.mapInArrow(sets, "ref long, own binary").join(needed.select("ref"), "ref", "left_semi").dropDuplicates(["ref"])
     held = write_shared(held, "ngram-sets")
-    joined = left.join(held.select(F.col("ref").alias("ref_a"), F.col("own").alias("own_a")), "ref_a").join(held.select(F.col("ref").alias("ref_b"), F.col("own").alias("own_b")), "ref_b")
+    joined = _joined(left, "ref_a", held.select(F.col("ref").alias("ref_a"), F.col("own").alias("own_a")), left)
+    joined = _joined(joined, "ref_b", held.select(F.col("ref").alias("ref_b"), F.col("own").alias("own_b")), left)
 
     def check(batches):
         for batch in batches:

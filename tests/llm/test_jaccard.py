@@ -47,10 +47,11 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize(("limit", "small"), [(2_000, 24), (9, 4)])
-def test_components_match_brute_force(spark, monkeypatch, limit, small):
+@pytest.mark.parametrize(("limit", "indexed", "hot"), [(2_000, 4_096, 256), (9, 20, 3)])
+def test_components_match_brute_force(spark, monkeypatch, limit, indexed, hot):
     monkeypatch.setattr(jaccard, "LIMIT", limit)
-    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "INDEXED", indexed)
+    monkeypatch.setattr(jaccard, "HOT", hot)
     own = corpus(limit)
     df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(7)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.report(df).collect()}
