@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +17,11 @@ def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for a row however often use() names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def clean(text: Column) -> Column:
     """White space of any kind as one space, none at the ends. Text is taken to be in composed form."""
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
@@ -34,22 +42,21 @@ def without_particle(word: Column, particles: str = D.TEXT_PARTICLES) -> Column:
 def anchors(text: Column) -> Column:
     """Anchors named in text. Longer aliases come first, and what one has matched no other can match."""
     aliases = sorted(((k, a) for k, own in D.ALIASES.items() for a in own), key=lambda x: -len(x[1]))
-    rows = []
-    for key, alias in aliases:
-        letters = alias.replace(" ", "")
-        pattern = r"\s*".join(letters) if not alias.isascii() else rf"(?<![a-z0-9])\Q{alias}\E(?![a-z0-9])"
-        rows.append(F.struct(F.lit(key).alias("key"), F.lit(pattern).alias("pattern")))
-    low = lower_clean(text)
-    start = F.struct(low.alias("rest"), F.array().cast("array<string>").alias("found"))
+    own = [(key, r"\s*".join(alias.replace(" ", "")) if not alias.isascii() else rf"(?<![a-z0-9])\Q{alias}\E(?![a-z0-9])") for key, alias in aliases]
+    none = F.array().cast("array<string>")
+
+    keys = _array([key for key, _ in own])
 
-    def step(acc: Column, x: Column) -> Column:
-        hit = F.regexp_count(acc["rest"], x["pattern"]) > 0
-        return F.struct(F.when(hit, F.regexp_replace(acc["rest"], x["pattern"], F.lit(" "))).otherwise(acc["rest"]).alias("rest"), F.when(hit, F.concat(acc["found"], F.array(x["key"]))).otherwise(acc["found"]).alias("found"))
+    def step(acc: Column, k: Column) -> Column:
+        # A case for each pattern: each is a literal, compiled once.
+        left = reduce(lambda cases, x: cases.when(k == x[0], F.regexp_replace(acc["rest"], x[1], " ")), [(i, pattern) for i, (_, pattern) in enumerate(own)], F)
+        return let(left, lambda rest: F.struct(rest.alias("rest"), F.when(rest != acc["rest"], F.concat(acc["found"], F.array(F.element_at(keys, k + 1)))).otherwise(acc["found"]).alias("found")))
 
+    start = F.struct(lower_clean(text).alias("rest"), none.alias("found"))
     # Most texts name none: one test tells first.
     latin = "|".join(sorted({a.split()[0] for _, a in aliases if a.isascii()}))
     maybe = F.lower(text).rlike(rf"[가-힣]|(?<![a-z0-9])(?:{latin})(?![a-z0-9])")
-    return F.when(maybe, F.array_distinct(F.aggregate(F.array(*rows), start, step, lambda acc: acc["found"]))).otherwise(F.array().cast("array<string>"))
+    return F.when(maybe, F.array_distinct(F.aggregate(F.sequence(F.lit(0), F.lit(len(own) - 1)), start, step, lambda acc: acc["found"]))).otherwise(none)
 
 
 def compatible(question: Column, text: Column) -> Column:

@@ -24,17 +24,20 @@ def statistics(docs: DataFrame) -> DataFrame:
 def scores(docs: DataFrame, queries: DataFrame, query_id: str, question: Column, tokens: Callable[[Column], Column] = lexical_tokens, pair_weight: float = 0.25) -> DataFrame:
     """query_id, chunk_id, score for every pair that shares a term. docs: see tokenized()."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(question))).alias("term"))
-    wanted = asked.select("term").distinct()
+    wanted = asked.select("term").unionByName(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
     # Dealt by chunk, the counts of terms and, if the questions' terms are small enough to be broadcast, the sums need no other exchange.
-    # The outer explode keeps the optimizer from testing for empty token lists, by a second tokenisation, below the scan's exchange.
-    rows = docs.select("chunk_id", "dl", F.explode_outer("tokens").alias("term")).join(wanted, "term", "left_semi").repartition("chunk_id")
+    # A mark (the empty term) stands for each chunk: the statistics come from the same exchange, and texts are tokenised once.
+    marked = F.explode(F.concat(F.array(F.lit("")), F.coalesce("tokens", F.array().cast("array<string>"))))
+    rows = docs.select("chunk_id", "dl", marked.alias("term")).join(wanted, "term", "left_semi").repartition("chunk_id")
+    mark = F.col("term") == ""
+    counted = rows.agg(F.count_if(mark).alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.avg(F.when(mark, F.col("dl"))), F.lit(1.0))).alias("avgdl"))
     postings = rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     n = F.col("n").cast("double")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weight = F.when(F.col("term").startswith("ko:"), F.lit(pair_weight)).otherwise(F.lit(1.0))
-    weighed = frequency.crossJoin(F.broadcast(statistics(docs))).withColumn("w", weight * idf)  # the statistics are one row
+    weighed = frequency.crossJoin(F.broadcast(counted)).withColumn("w", weight * idf)  # the statistics are one row
     return asked.join(weighed, "term").join(postings, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * part), 6).alias("score"))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import blocks
+
 
 def as_doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -21,9 +25,10 @@ def norm(v: Column) -> Column:
 def similarities(vectors: DataFrame, queries: DataFrame, cosine: bool = False) -> DataFrame:
     """query_id, chunk_id, score for each pair. vectors: chunk_id, v; queries: query_id, q.
 
-    A stated set of questions meets all vectors: the questions go to the vectors, in one pass over these.
+    A stated set of questions meets all vectors: the questions go to the vectors, in blocks of bounded size and one pass
+    over the vectors for each.
     """
-    both = vectors.join(F.broadcast(queries))
+    both = reduce(DataFrame.unionByName, [vectors.join(F.broadcast(own)) for own in blocks(queries, "query_id")])
     score = dot(F.col("q"), F.col("v"))
     if cosine:
         size = norm(F.col("q")) * norm(F.col("v"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import query_terms, term_matches
 from quillspark.operators import bm25, dense, fusion
 from quillspark.queries.common import MINIMAL, bm25_minimal_top, bm25_scores, bm25_top, corpus, lexical_tokens, sql_bm25, sql_tokens, table
+from quillspark.session import blocks
 
 QUERIES, ORACLES = {}, {}
 
@@ -78,7 +81,7 @@ def r07(spark, sf):
     scored = bm25_scores(spark, sf)
     # Of documents without a score only the 40 with the least ids can come among the first 40.
     low = table(spark, sf, "documents").select("doc_id").orderBy("doc_id").limit(40)
-    zero = low.join(F.broadcast(table(spark, sf, "benchmark").select("item_id"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.lit(0.0).alias("score"))  # 40 rows a question
+    zero = table(spark, sf, "benchmark").select("item_id").join(F.broadcast(low)).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.lit(0.0).alias("score"))  # 40 rows a question
     raw = scored.unionByName(zero).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     raw = raw.withColumn("raw_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).filter("raw_rank <= 40")
     positive = F.col("score") > 0
@@ -120,7 +123,8 @@ def d02(spark, sf):
     sims = dense.similarities(_vectors(spark, sf), _asked(spark, sf), cosine=True)
     terms = table(spark, sf, "benchmark").select((50 * F.col("item_id")).alias("query_id"), F.slice(F.array_distinct(F.filter(lexical_tokens(F.col("text"), False), lambda w: F.length(w) > 1)), 1, 16).alias("terms"))
     bare = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.regexp_replace(F.lower("text"), r"\s+", "").alias("t"))
-    lexical = bare.join(F.broadcast(terms)).select("query_id", "chunk_id", F.size(F.filter("terms", lambda w: F.contains(F.col("t"), w))).cast("long").alias("lexical"))
+    both = reduce(DataFrame.unionByName, [bare.join(F.broadcast(own)) for own in blocks(terms, "query_id")])
+    lexical = both.select("query_id", "chunk_id", F.size(F.filter("terms", lambda w: F.contains(F.col("t"), w))).cast("long").alias("lexical"))
     scored = sims.join(lexical, ["query_id", "chunk_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0).cast("long")))
     return dense.blended(scored, 40).select(F.col("query_id").alias("q_id"), F.col("chunk_id").alias("vec_id"), F.col("score").alias("sim"), "lexical", F.col("dense_rank").cast("long"), F.col("keyword_rank").cast("long"))
 

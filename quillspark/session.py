@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "quillspark", cores: str = "*", **conf: str) -> SparkSession:
@@ -26,10 +27,12 @@ def build_session(app: str = "quillspark", cores: str = "*", **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in a local session, one of our own where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
         at = os.path.join(tempfile.gettempdir(), "quillspark-checkpoints")
         spark.sparkContext.setCheckpointDir(at)
@@ -69,3 +72,14 @@ def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores: for a scan of fewer row groups than that. Larger scans stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Bytes of a table that is broadcast at once, by Catalyst's estimate, which without statistics of columns is not too low.
+BROADCAST_BYTES = 64 << 20
+
+
+def blocks(df: DataFrame, key: str, most: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """df in as many parts, dealt by key, as keep each at about `most` bytes: a part can be broadcast."""
+    n = -(-int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // most)
+    part = F.pmod(F.xxhash64(key), F.lit(max(1, n)))
+    return [df] if n <= 1 else [df.filter(part == k) for k in range(n)]
