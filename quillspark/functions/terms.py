@@ -54,3 +54,13 @@ ACTION_GROUPS = (r"준비|구비|챙[기겨]", r"투여|투약", r"복용", r"
 # Headings without a number, and what a unit of a quantity may be.
 HEADINGS = ("목적", "준비물", "주의사항", "적응증", "금기", "시행 방법", "절차")
 QUANTITY = r"[0-9]+(?:\.[0-9]+)?\s*(?:mg|ml|분|초|시간|회|개|일)"
+
+# Where a line of a source goes on in the next one, and where it can't.
+BULLET = r"^[-•●▪Ÿ*※]"
+UNIT_START = r"^(?:[-•●▪Ÿ*※]|[①-⑳]|\d+(?:\.\d+)*[.)]\s|[가-하]\))|[|]|[:：]$"
+GOES_ON = r"(?:[가-힣]{2,}(?:의|을|를|와|과|은|는|가|로)|[a-zA-Z%]+(?:의|을|를|로)|(?:경우|위해|하며|하여|하고|또는|및|후|전|때|없이|않고))$"
+TERMINAL = r"[.!?。！？:：]$"
+TITLE_END = r"(?:방법|절차|목적|기준|안내|목록)(?:\s*\[[^\]]+\])?$"
+STATEMENT_END = r"[.!?。！？]$"
+TITLE_UNIT = r"^\s*(?:[①-⑳]|\d+(?:\.\d+)*[.)]|[가-하]\))?\s*[^.!?。！？]{0,40}(?:방법|절차|목적|기준|투여|(?<![가-힣])(?:전|중|후))\s*$"
+PROCEDURE_ACTION = "한다|하고|시행|실시|준비|기록"

@@ -217,6 +217,43 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def unwrapped_lines(text: Column, bullets: bool = True) -> Column:
+    """Lines, each with those that go on from it: after a connective, or (with bullets) within a list item without an end.
+
+    A line that starts a unit of its own, rows of tables, and what stands after an end mark or a blank line begin anew.
+    """
+    none = F.array().cast("array<string>")
+
+    def joins(last: Column, line: Column) -> Column:
+        open_item = last.rlike(D.BULLET) & ~last.rlike(D.TITLE_END) if bullets else F.lit(False)
+        apart = line.rlike(D.UNIT_START) | F.contains(last, F.lit("|")) | last.rlike(D.TERMINAL)
+        return (line != "") & (last != "") & ~apart & (last.rlike(D.GOES_ON) | open_item)
+
+    def step(acc: Column, line: Column) -> Column:
+        on = F.struct(acc["out"].alias("out"), F.concat_ws(" ", acc["last"], line).alias("last"))
+        new = F.struct(F.when(acc["last"] != "", F.concat(acc["out"], F.array(acc["last"]))).otherwise(acc["out"]).alias("out"), line.alias("last"))
+        return F.when(joins(acc["last"], line), on).otherwise(new)
+
+    lines = F.transform(F.split(text, r"\R"), clean)
+    folded = F.aggregate(lines, F.struct(none.alias("out"), F.lit("").alias("last")), step, lambda acc: F.when(acc["last"] != "", F.concat(acc["out"], F.array(acc["last"]))).otherwise(acc["out"]))
+    return F.when(text.rlike(r"(?m)[가-힣]|^\s*[-•●▪Ÿ*※]"), folded).otherwise(F.filter(lines, lambda x: x != ""))  # no other text can have lines to join
+
+
+def source_units(text: Column, bullets: bool = True) -> Column:
+    """Statements of a source: its unwrapped lines, cut after end marks, but not after the point of a number."""
+    cut = F.transform(unwrapped_lines(text, bullets), lambda x: F.split(x, r"(?<=[.!?。！？])(?<!\d\.)\s+"))
+    return F.filter(F.transform(F.flatten(cut), clean), lambda x: x != "")
+
+
+def selectable_unit(unit: Column, names: Column, first: Column, before: Column) -> Column:
+    """True for whole statements and list items that aren't a name of the source, a title, or (for the first) an end of one before."""
+    bare = lambda x: F.btrim(F.lower(clean(x)), F.lit(" .:："))
+    named = F.array_contains(F.transform(names, bare), bare(unit))
+    repeated = first & F.exists(F.coalesce(before, F.array().cast("array<string>")), lambda x: F.endswith(clean(x), unit))
+    item = unit.rlike(r"^\s*[-•●▪Ÿ*※]\s*\S.{3,}") & ~unit.rlike("[→⇒]")
+    return (unit != "") & ~named & ~repeated & (unit.rlike(D.STATEMENT_END) | item) & ~unit.rlike(D.TITLE_UNIT)
+
+
 def html_escape(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(a), F.lit(b))

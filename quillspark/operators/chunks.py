@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,66 @@ def semantic_blocks(pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.col("p") + 1).alias("ordinal"), F.col("b.section").alias("section"), F.col("b.text").alias("text"))
 
 
+#: Where a text is cut, the strongest first; '' is between any two characters.
+SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+
+
+def word_count(text: str) -> int:
+    return len(text.split())
+
+
+def _cut(text: str, size: int, separators: tuple[str, ...], length: Callable[[str], int]) -> Iterator[str]:
+    """Pieces under size, cut at the strongest separator that helps; a separator stays at the head of what follows."""
+    strongest = next((k for k, x in enumerate(separators) if x == "" or x in text), len(separators))
+    if strongest == len(separators):
+        yield text
+        return
+    mark, weaker = separators[strongest], separators[strongest + 1 :]
+    first, *rest = text.split(mark) if mark else list(text) or [""]
+    for piece in [first, *[mark + x for x in rest]]:
+        if piece and (length(piece) < size or not weaker):
+            yield piece
+        elif piece:
+            yield from _cut(piece, size, weaker, length)
+
+
+def split_recursively(text: str, size: int = 110, overlap: int = 20, separators: tuple[str, ...] = SEPARATORS, length: Callable[[str], int] = word_count) -> list[str]:
+    """Pieces joined up to size; a chunk begins with the last pieces of the one before, up to overlap."""
+    out: list[str] = []
+    held: deque[tuple[str, int]] = deque()
+    total = fresh = 0
+
+    def close() -> None:
+        if fresh and (chunk := "".join(p for p, _ in held).strip()):
+            out.append(chunk)
+
+    for piece in _cut(text, size, separators, length):
+        n = length(piece)
+        if held and total + n > size:
+            close()
+            fresh = 0
+            while held and (total > overlap or total + n > size):
+                total -= held.popleft()[1]
+        held.append((piece, n))
+        total += n
+        fresh += 1
+    close()
+    return out
+
+
+def recursive_chunks(docs: DataFrame, size: int = 110, overlap: int = 20, separators: tuple[str, ...] = SEPARATORS, length: Callable[[str], int] = word_count) -> DataFrame:
+    """doc_id, idx, text: recursive splitting of docs (doc_id, text), with any measure of length, such as a model's tokens."""
+
+    def run(batches):
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                chunks = split_recursively(text or "", size, overlap, separators, length)
+                if chunks:
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(chunks), pa.int64()), pa.array(range(len(chunks)), pa.int64()), pa.array(chunks, pa.string())], names=["doc_id", "idx", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, idx long, text string")
+
+
 def quality(chunks: DataFrame, key: str, tokens: Callable[[Column], Column], most: int = 110) -> DataFrame:
     """Empty, over-long and duplicate chunks, and the longest, by key."""
     norm = F.lower(X.clean(F.col("text")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import terms as D
-from quillspark.functions.text import clean, sentences
+from quillspark.functions.text import clean, compatible, sentences
 
 
 def groups(hits: DataFrame) -> DataFrame:
@@ -16,6 +16,11 @@ def groups(hits: DataFrame) -> DataFrame:
     return grouped.withColumn("reason", F.when(F.col("has_seed"), "seed").otherwise("optional_context")).withColumn("group_key", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("parent").cast("string")))
 
 
+def procedure_seed(question: Column, text: Column, section: Column, context_only: Column, substantive: Column, supported: Column) -> Column:
+    """True for a hit of its own whose body tells a step and belongs to the question's topic. supported: relevant, or found by its words."""
+    return ~context_only & substantive & text.rlike(D.PROCEDURE_ACTION) & supported & compatible(question, F.concat_ws(" ", text, section))
+
+
 def conflicts(chunks: DataFrame) -> DataFrame:
     """key, doc_a, doc_b: sentences alike but for their quantities, in the first document that holds one and a later one.
 

@@ -55,6 +55,11 @@ def c02(spark, sf):
     return C.stride_chunks(table(spark, sf, "documents")).select("doc_id", F.col("idx").cast("long"), "text")
 
 
+@query("c02_recursive_chunks")
+def c02r(spark, sf):
+    return C.recursive_chunks(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("c03_header_rows", f"WITH {_LINES}, h AS (SELECT doc_id, min(idx) AS first FROM lines WHERE contains(text, ' | ') GROUP BY 1) SELECT l.doc_id, l.idx, length(f.text || chr(10) || l.text) AS n FROM lines l JOIN h USING (doc_id) JOIN lines f ON f.doc_id = h.doc_id AND f.idx = h.first WHERE contains(l.text, ' | ') AND l.idx > first")
 def c03(spark, sf):
     rows = lines(spark, sf).filter(F.contains("text", F.lit(" | ")))
@@ -77,11 +82,12 @@ def c05(spark, sf):
 
 @query(
     "c06_edge_labels",
-    f"""WITH ls AS (SELECT source, doc_id, {_LS} AS l FROM documents), e AS (SELECT source, doc_id, unnest(list_distinct(list_concat(list_slice(l, 1, 3), list_slice(l, greatest(len(l) - 2, 1), len(l))))) AS label FROM ls)
+    f"""WITH ls AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS source, page_id AS doc_id, {_LS} AS l FROM (SELECT url, page_id, html AS text FROM pages)), e AS (SELECT source, doc_id, unnest(list_distinct(list_concat(list_slice(l, 1, 3), list_slice(l, greatest(len(l) - 2, 1), len(l))))) AS label FROM ls)
 SELECT source, label, count(DISTINCT doc_id) AS pages FROM e WHERE length(label) <= 60 AND NOT contains(label, ' | ') AND NOT regexp_matches(label, '(?:다[.!?]?|[。.!?])$') AND NOT regexp_matches(label, '(?i)\\d\\s*(?:mg|ml|㎎|㎖|℃|분|시간|회|%)') AND regexp_matches(label, '[가-힣A-Za-z]') GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2""",
 )
 def c06(spark, sf):
-    return C.edge_labels(table(spark, sf, "documents"))
+    pages = table(spark, sf, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("source"), F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return C.edge_labels(pages)
 
 
 @query(
@@ -319,11 +325,11 @@ def j09(spark, sf):
     return rows.select("conv_id", "turn", F.coalesce(F.contains("source", F.split("text", " ")[0]), F.lit(False)).alias("quoted"))
 
 
-@query("j10_unknown_ids", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
+# Requests name a document by seven times the number of their vector; some numbers are too high.
+@query("j10_unknown_ids", "SELECT DISTINCT 7 * vec_id AS doc_id FROM embeddings WHERE 7 * vec_id NOT IN (SELECT doc_id FROM documents)")
 def j10(spark, sf):
-    ids = table(spark, sf, "documents").select("doc_id")
-    asked = table(spark, sf, "labels").select("doc_id").unionByName(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")))
-    return asked.join(ids, "doc_id", "left_anti")
+    asked = table(spark, sf, "embeddings").select((7 * F.col("vec_id")).alias("doc_id")).distinct()
+    return asked.join(table(spark, sf, "documents").select("doc_id"), "doc_id", "left_anti")
 
 
 @query("j12_gold_questions", "SELECT d.doc_id, quality::BIGINT AS quality, n_chars FROM documents d JOIN labels USING (doc_id) WHERE quality = 1")

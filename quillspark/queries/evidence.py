@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import clean, sentences
+from quillspark.functions.text import clean, selectable_unit, sentences, source_units
 from quillspark.operators import chunks as C
 from quillspark.operators import context, evidence
 from quillspark.queries.common import bm25_top, literal, sql_bm25, sql_sentences, table, values
+from quillspark.queries.text import _units_sql
 from quillspark.streaming import quota
 
 QUERIES, ORACLES = {}, {}
@@ -155,6 +156,40 @@ def e07(spark, sf):
     return rows.select("doc_id", F.concat(F.lit("su"), F.lpad((F.col("p") + 1).cast("string"), 5, "0")).alias("unit"), "text", F.col("text").rlike("[.!?]$").alias("selectable"))
 
 
+_SEEDS = [
+    (1, "foley 세척 절차", "foley 카테터를 세척한다", "절차", False, True, True),
+    (2, "foley 세척 절차", "foley 카테터를 세척한다", "절차", True, True, True),
+    (3, "foley 세척 절차", "목적과 정의", "foley", False, True, True),
+    (4, "foley 세척 절차", "무균 상태로 시행", "PICC", False, True, True),
+    (5, "foley 세척 절차", "무균 상태로 시행", "foley", False, False, True),
+    (6, "foley 세척 절차", "무균 상태로 시행", "foley", False, True, False),
+    (7, "세척 절차", "기록한다", "", False, True, True),
+]
+
+
+@query("e04_procedure_seed", f"WITH s AS {values(_SEEDS, 'id, q, body, section, context_only, substantive, supported')} SELECT id::BIGINT AS id, NOT context_only AND substantive AND supported AND regexp_matches(body, '한다|하고|시행|실시|준비|기록') AND (NOT contains(q, 'foley') OR contains(body || ' ' || section, 'foley')) AS seed FROM s")
+def e04(spark, sf):
+    rows = literal(spark, _SEEDS, "id long, q string, body string, section string, context_only boolean, substantive boolean, supported boolean")
+    c = F.col
+    return rows.select("id", evidence.procedure_seed(c("q"), c("body"), c("section"), c("context_only"), c("substantive"), c("supported")).alias("seed"))
+
+
+# The document with the number before stands for the chunk before.
+@query(
+    "e08_unit_selection",
+    rf"""WITH u AS ({_units_sql('documents', 'doc_id', 'text')}), p AS (SELECT doc_id + 1 AS doc_id, list(unit) AS units FROM u GROUP BY 1)
+SELECT u.doc_id, position, regexp_matches(unit, '[.!?。！？]$') AND NOT regexp_matches(unit, '^\s*(?:[①-⑳]|\d+(?:\.\d+)*[.)]|[가-하]\))?\s*[^.!?。！？]{{0,40}}(?:방법|절차|목적|기준|투여)\s*$') AND trim(lower(unit), ' .:：') NOT IN (lower(source), lower(lang))
+  AND NOT (position = 1 AND len(list_filter(coalesce(units, []), lambda x: ends_with(x, unit))) > 0) AS selectable
+FROM u JOIN documents USING (doc_id) LEFT JOIN p USING (doc_id)""",
+)
+def e08_selection(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", source_units(F.col("text")).alias("units"))
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("units").alias("before"))
+    rows = docs.join(before, "doc_id", "left").select("doc_id", "source", "lang", "before", F.posexplode("units").alias("p", "unit"))
+    names = F.array(F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("position"), selectable_unit(F.col("unit"), names, F.col("p") == 0, F.col("before")).alias("selectable"))
+
+
 # A phase once named holds until another is named or a heading resets it.
 _UNITS = [(1, 1, "before"), (1, 2, None), (1, 3, "reset"), (1, 4, None), (1, 5, "after"), (1, 6, None), (2, 1, None), (2, 2, "during"), (2, 3, None)]
 

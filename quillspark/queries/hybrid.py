@@ -145,9 +145,17 @@ def j17(spark, sf):
     return bm25_top(spark, sf).join(m, ["query_id", "chunk_id"], "left").groupBy(F.col("query_id").alias("item_id")).agg(F.count("m").alias("overlap_n"))
 
 
-@query("j18_success_difference", f"WITH {SQL_RRF} SELECT query_id AS item_id, chunk_id AS doc_id FROM bm_top WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM mi_top)")
+@query(
+    "j18_success_difference",
+    f"""WITH {SQL_RRF}, {SQL_GOLD.strip()}, a AS (SELECT DISTINCT query_id FROM bm_top JOIN gold USING (query_id, chunk_id) WHERE rank > 1), b AS (SELECT DISTINCT query_id FROM mi_top JOIN gold USING (query_id, chunk_id) WHERE rank = 1)
+SELECT query_id AS item_id, 'later_ones' AS only_by FROM a WHERE query_id NOT IN (SELECT query_id FROM b) UNION ALL SELECT query_id, 'first_one' FROM b WHERE query_id NOT IN (SELECT query_id FROM a)""",
+)
 def j18(spark, sf):
-    return bm25_top(spark, sf).join(bm25_minimal_top(spark, sf), ["query_id", "chunk_id"], "left_anti").select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"))
+    right = gold(spark, sf)
+    a = bm25_top(spark, sf).filter("rank > 1").join(right, ["query_id", "chunk_id"], "left_semi").select("query_id").distinct()
+    b = bm25_minimal_top(spark, sf).filter("rank = 1").join(right, ["query_id", "chunk_id"], "left_semi").select("query_id").distinct()
+    one = a.join(b, "query_id", "left_anti").select(F.col("query_id").alias("item_id"), F.lit("later_ones").alias("only_by"))
+    return one.unionByName(b.join(a, "query_id", "left_anti").select(F.col("query_id").alias("item_id"), F.lit("first_one").alias("only_by")))
 
 
 @query("j20_text_reuse", "WITH o AS (SELECT sha256(text) AS h, min(doc_id) AS old FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY 1) SELECT doc_id, old AS reuse_of FROM documents LEFT JOIN o ON o.h = sha256(text) WHERE source NOT IN ('src0', 'src1', 'src2')")

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 ASK = [
     (1, "수혈 전에 확인할 사항을 알려주세요"), (2, "흉강천자 절차와 준비물은"), (3, "Foley catheter 관리 방법"), (4, "격리 해제 기준"), (5, "산소 투여 용량과 간격"),
     (6, "오늘 날씨 어때"), (7, "VRE 격리와 CRE 격리의 차이"), (8, "여러 지침을 종합해 주세요"), (9, "욕창 간호의 목적"), (10, "활력징후를 요약해줘"),
-    (11, "왜 시행하나요"), (12, "낙상 예방 그림을 보여줘"), (13, "수혈 속도 표에서 그림과 비교"), (14, "보고할 이상 증상"), (15, "어떻게 진행해"), (16, "라운지 이용"),
+    (11, "왜 시행하나요"), (12, "낙상 예방 그림을 보여줘"), (13, "수혈 속도 표에서 그림과 비교"), (14, "보고할 이상 증상"), (17, "신규교육 목적을 알려줘"), (15, "어떻게 진행해"), (16, "라운지 이용"),
 ]
 SCHEMA = "id long, q string"
 _Q = f"q AS (SELECT id::BIGINT AS id, q FROM {values(ASK, 'id, q')})"
@@ -51,7 +51,7 @@ def p02(spark, sf):
 _ANCHOR = "regexp_matches(lower(q), 'vre|cre|cpe|pcn|foley|picc|vanco|thoracentesis|흉강천자|폴리')"
 
 
-@query("p03_domain", f"WITH {_Q} SELECT id, CASE WHEN regexp_matches(q, '{P.OUTSIDE}') THEN 'out_of_scope' WHEN {_ANCHOR} OR regexp_matches(q, '{P.HOSPITAL}') OR regexp_matches(q, '{P.SEDATION}') THEN 'hospital' ELSE 'unknown' END AS domain FROM q")
+@query("p03_domain", f"WITH {_Q} SELECT id, CASE WHEN regexp_matches(q, '{P.OUTSIDE}') THEN 'out_of_scope' WHEN {_ANCHOR} OR regexp_matches(q, '{P.HOSPITAL}') OR regexp_matches(q, '{P.SEDATION}') OR regexp_matches(q, '{P.EDUCATION.replace("(?<![가-힣a-zA-Z0-9-])", "(?:^|[^가-힣a-zA-Z0-9-])")}') THEN 'hospital' ELSE 'unknown' END AS domain FROM q")
 def p03(spark, sf):
     return ask(spark).select("id", P.domain(F.col("q")).alias("domain"))
 
@@ -116,11 +116,15 @@ def p07(spark, sf):
     return P.canonical_topics(ask(spark), topics)
 
 
-@query("p09_named_documents", "WITH n AS (SELECT DISTINCT source FROM documents) SELECT item_id, source FROM benchmark, n WHERE length(source) >= 4 AND contains(regexp_replace(lower(text), '\\s+', '', 'g'), source)")
+@query("p09_named_documents", "WITH n AS (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+')) AS name FROM documents) SELECT item_id, name FROM benchmark, n WHERE length(name) >= 4 AND contains(regexp_replace(lower(text), '\\s+', '', 'g'), name)")
 def p09(spark, sf):
-    names = table(spark, sf, "documents").select("source").distinct().filter(F.length("source") >= 4)
-    compact = table(spark, sf, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), r"\s+", "").alias("c"))
-    return compact.join(names, F.contains(F.col("c"), F.col("source"))).select("item_id", "source")
+    """Documents are known by their first word. All parts of a question of a length that names have meet the names."""
+    names = table(spark, sf, "documents").select(F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("name")).distinct().filter(F.length("name") >= 4)
+    longest = names.agg(F.max(F.length("name")).alias("longest"))
+    compact = table(spark, sf, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), r"\s+", "").alias("c")).crossJoin(F.broadcast(longest))  # one row
+    starts = compact.select("item_id", "c", F.explode(F.sequence(F.lit(4), F.least(F.length("c"), "longest"))).alias("n")).filter(F.length("c") >= 4)
+    parts = F.transform(F.sequence(F.lit(1), F.length("c") - F.col("n") + 1), lambda i: F.substring(F.col("c"), i, F.col("n")))
+    return starts.select("item_id", F.explode(F.array_distinct(parts)).alias("name")).join(names, "name").select("item_id", "name").distinct()
 
 
 _CLEAR = [(1, "두 지침을 비교", 1), (2, "두 지침을 비교", 2), (3, "그럼 어떻게", 0), (4, "이 환자에서는 용량", 0), (5, "수혈 절차", 0)]

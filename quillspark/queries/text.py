@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import terms as D
 from quillspark.functions import text as X
 from quillspark.functions.terms import ALIASES, INTENT_TERMS, QUESTION_PARTICLES, STOP_TERMS, TEXT_PARTICLES
 from quillspark.functions.unicode import close_match, normal_form
@@ -279,6 +280,35 @@ def n27(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("p", "sentence")).select("doc_id", (F.col("p") + 1).cast("long").alias("position"), "sentence")
 
 
+_WRAPPED = [
+    (1, "1. 목적\n감염 예방을 위해\n손 위생을 시행하며\n기록한다. 0.5 mg을 준다.\n\n2) 준비"),
+    (2, "- 장갑을 끼고\n가운을 입는다\n- 소독 방법\n별도 줄\n표 | 값\n이어지는 줄"),
+    (3, "환자의\n상태를\n확인한다! 다음 문장。 끝"),
+    (4, "문장이다.\n다음이다\n그리고 또는\n다른 것"),
+    (5, "* 열린 항목\n계속\n: 끝\n또 계속"),
+    (6, None),
+]
+
+
+def _units_sql(rows: str, key: str, text: str) -> str:
+    last = "regexp_extract(acc, '[^\n]*$')"
+    joins = f"x <> '' AND {last} <> '' AND NOT regexp_matches(x, '{D.UNIT_START}') AND NOT contains({last}, '|') AND NOT regexp_matches({last}, '{D.TERMINAL}') AND (regexp_matches({last}, '{D.GOES_ON}') OR (regexp_matches({last}, '{D.BULLET}') AND NOT regexp_matches({last}, '{D.TITLE_END}')))"
+    lines = f"list_transform(string_split({text}, chr(10)), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g')))"
+    folded = f"CASE WHEN regexp_matches({text}, '[가-힣]|(?m)^\\s*[-•●▪Ÿ*※]') THEN list_reduce({lines}, lambda acc, x: CASE WHEN {joins} THEN acc || ' ' || x ELSE acc || chr(10) || x END, '') ELSE array_to_string({lines}, chr(10)) END"
+    cut = f"regexp_replace({folded}, '((?:^|[^0-9])[.]|[!?。！？])[ ]+', '\\1' || chr(10), 'g')"
+    return f"SELECT {key}, s[i] AS unit, i::BIGINT AS position FROM (SELECT {key}, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT {key}, list_filter(list_transform(string_split({cut}, chr(10)), lambda y: trim(y)), lambda y: y <> '') AS s FROM {rows}))"
+
+
+@query("n27_wrapped_lines", f"WITH w AS {values(_WRAPPED, 'id, q')} {_units_sql('w', 'id::BIGINT AS id', 'q').replace('SELECT id::BIGINT AS id, s[i]', 'SELECT id, s[i]').replace('SELECT id::BIGINT AS id, s, unnest', 'SELECT id, s, unnest')}")
+def n27_wrapped(spark, sf):
+    return literal(spark, _WRAPPED, SCHEMA).select("id", F.posexplode(X.source_units(F.col("q"))).alias("p", "unit")).select("id", "unit", (F.col("p") + 1).cast("long").alias("position"))
+
+
+@query("n27_source_units", _units_sql("documents", "doc_id", "text"))
+def n27_units(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(X.source_units(F.col("text"))).alias("p", "unit")).select("doc_id", "unit", (F.col("p") + 1).cast("long").alias("position"))
+
+
 _MARKS = [(1, "1) 손을 씻는다"), (2, "- 장갑을 낀다"), (3, "• 확인한다"), (4, "확인한다"), (5, "가. 준비"), (6, "2. 10 mg 투여")]
 
 

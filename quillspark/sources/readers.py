@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -26,6 +27,10 @@ _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
+#: What the parsers raise on damaged files: bad XML, members, streams, references, encodings, encryption.
+DAMAGE = (ElementTree.ParseError, zipfile.BadZipFile, zlib.error, LookupError, ValueError, RuntimeError, NotImplementedError, EOFError, OSError, AttributeError, TypeError, RecursionError)
+
+
 class Rejected(ValueError):
     """A file that a limit or a check refuses."""
 
@@ -43,13 +48,34 @@ def _archive(content: bytes) -> zipfile.ZipFile:
     return archive
 
 
+class _Member(io.RawIOBase):
+    """A member of an archive as it unpacks: what its header says of its size isn't trusted."""
+
+    def __init__(self, archive: zipfile.ZipFile, name: str) -> None:
+        self.stream, self.left = archive.open(name), MAX_UNPACKED
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, size: int = -1) -> bytes:
+        data = self.stream.read(min(size if size and size > 0 else 1 << 20, 1 << 20))
+        self.left -= len(data)
+        if self.left < 0:
+            raise Rejected("archive_too_large")
+        return data
+
+
+def _xml(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
+    return ElementTree.parse(_Member(archive, name)).getroot()
+
+
 def _text(node: ElementTree.Element) -> str:
     return "".join(x.text or "" for x in node.iter(f"{_W}t")).strip()
 
 
 def read_docx(content: bytes) -> Iterator[tuple[str, str, str]]:
     """section, header, text of each block in order: headings open sections by level, tables give a block of rows."""
-    body = ElementTree.fromstring(_archive(content).read("word/document.xml")).find(f"{_W}body")
+    body = _xml(_archive(content), "word/document.xml").find(f"{_W}body")
     stack: list[tuple[int, str]] = []
     for node in body if body is not None else ():
         section = " > ".join(x for _, x in stack)
@@ -79,13 +105,13 @@ def read_xlsx(content: bytes) -> Iterator[tuple[str, str, str]]:
     names = set(archive.namelist())
     shared = []
     if "xl/sharedStrings.xml" in names:
-        shared = ["".join(t.text or "" for t in x.iter(f"{_S}t")) for x in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))]
-    targets = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
-    for sheet in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{_S}sheet"):
+        shared = ["".join(t.text or "" for t in x.iter(f"{_S}t")) for x in _xml(archive, "xl/sharedStrings.xml")]
+    targets = {x.get("Id"): x.get("Target") for x in _xml(archive, "xl/_rels/workbook.xml.rels")}
+    for sheet in _xml(archive, "xl/workbook.xml").iter(f"{_S}sheet"):
         if sheet.get("state", "visible") != "visible":
             continue
         head, seen = "", 0
-        for row in ElementTree.fromstring(archive.read("xl/" + targets[sheet.get(f"{_R}id")].removeprefix("/xl/"))).iter(f"{_S}row"):
+        for row in _xml(archive, "xl/" + targets[sheet.get(f"{_R}id")].removeprefix("/xl/")).iter(f"{_S}row"):
             cells = {}
             for cell in row.findall(f"{_S}c"):
                 value = cell.find(f"{_S}v")
@@ -115,8 +141,12 @@ def read_pdf(content: bytes) -> Iterator[tuple[str, str, str]]:
         import pypdf
     except ImportError:
         raise Rejected("pypdf_is_not_installed") from None
-    pages = pypdf.PdfReader(io.BytesIO(content), strict=True).pages
-    if len(pages) > MAX_PAGES:
+    try:
+        pages = pypdf.PdfReader(io.BytesIO(content), strict=True).pages
+        n = len(pages)
+    except Exception:
+        raise Rejected("damaged") from None
+    if n > MAX_PAGES:
         raise Rejected("too_many_pages")
     for page in pages:
         try:
@@ -140,7 +170,7 @@ def parse(path: str, content: bytes) -> list[tuple]:
         if sum(len(r[5]) for r in rows) > MAX_CHARS:
             raise Rejected("too_many_characters")
         return rows
-    except (Rejected, KeyError, ElementTree.ParseError) as e:
+    except DAMAGE as e:
         return [(path, kind, None, None, None, None, str(e) if isinstance(e, Rejected) else "damaged")]
 
 

@@ -152,3 +152,50 @@ def test_questions_without_sql(spark):
     assert {r["id"]: r["q"] for r in TQ.n12(spark, DIR).collect()}[2] == "수혈 준비사항은"
     plan = {r["id"]: r for r in PQ.p01(spark, DIR).collect()}
     assert plan[7]["entities"] in ("vre,cre", "cre,vre") and plan[7]["max_seeds"] == 8 and plan[6]["domain"] == "out_of_scope"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("감염을 막기 위해\n손을 씻는다.", ["감염을 막기 위해 손을 씻는다."]),
+        ("문장이다.\n다음 줄", ["문장이다.", "다음 줄"]),
+        ("- 첫 항목\n이어짐\n- 둘째", ["- 첫 항목 이어짐", "- 둘째"]),
+        ("- 소독 방법\n별도", ["- 소독 방법", "별도"]),
+        ("표의 | 값을\n다음", ["표의 | 값을", "다음"]),
+        ("환자를\n\n본다", ["환자를", "본다"]),
+        ("0.5 mg을 준다. 다음 1. 항목", ["0.5 mg을 준다.", "다음 1. 항목"]),
+        ("plain\ntext", ["plain", "text"]),
+        ("", []),
+        (None, None),
+    ],
+)
+def test_lines_that_go_on_are_joined(spark, text, want):
+    assert spark.createDataFrame([(text,)], "q string").select(X.source_units(F.col("q")).alias("x")).first()["x"] == want
+
+
+def test_list_items_stay_apart_without_bullets(spark):
+    assert one(spark, "- 첫 항목\n이어짐", lambda q: X.source_units(q, False)) == ["- 첫 항목", "이어짐"]
+
+
+@pytest.mark.parametrize(("text", "want"), [("신규교육 목적은", "hospital"), ("날씨", "out_of_scope"), ("교육 목적은", "unknown"), ("라운지교육 담당", "unknown")])
+def test_domain_of_education_questions(spark, text, want):
+    assert one(spark, text, P.domain) == want
+
+
+def test_recursive_splitting():
+    split = chunks.split_recursively
+    assert split("a b c d e f g", 3, 1) == ["a b c", "c d e", "e f g"]
+    assert split("", 3, 1) == split("  \n", 3, 1) == []
+    assert split("one two\n\nthree four\n\nfive", 4, 0) == ["one two\n\nthree four", "five"]
+    assert split("abcdef", 2, 0, length=len) == ["ab", "cd", "ef"]
+    rnd = random.Random(1)
+    text = "".join(rnd.choice(["word ", "two. ", "x\n", "y\n\n", "longer "]) for _ in range(2000))
+    own = split(text, 50, 10)
+    assert all(len(x.split()) <= 50 for x in own) and [w for x in split(text, 50, 0) for w in x.split()] == text.split()
+    assert all(x in text for x in own) and own[0] == text.strip()[: len(own[0])]
+
+
+def test_recursive_chunks_of_rows(spark):
+    df = spark.createDataFrame([(1, "a b c d " * 100), (2, None), (3, "")], "doc_id long, text string")
+    got = chunks.recursive_chunks(df).collect()
+    assert [(r["doc_id"], r["idx"]) for r in sorted(got)] == [(1, k) for k in range(len(got))] and len(got) == 5

@@ -53,6 +53,27 @@ def test_limits(monkeypatch, tmp_path):
     assert readers.parse("a.docx", b"zz")[0][-1] == "not_an_archive"
 
 
+def test_damaged_files_are_rows_with_their_error(tmp_path, monkeypatch):
+    docx(tmp_path / "a.docx", p("text " * 200))
+    xlsx(tmp_path / "b.xlsx", '<row><c r="A1" t="s"><v>9</v></c></row>')
+    good = (tmp_path / "a.docx").read_bytes()
+    with zipfile.ZipFile(tmp_path / "z.docx", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body>{p('deflated ' * 500)}</w:body></w:document>")
+    packed = bytearray((tmp_path / "z.docx").read_bytes())
+    packed[60:90] = b"\xff" * 30
+    encrypted = bytearray(good)
+    encrypted[6] |= 1
+    encrypted[encrypted.index(b"PK\x01\x02") + 8] |= 1
+    for name, content in [("x.docx", good[: len(good) // 2]), ("x.docx", bytes(packed)), ("x.docx", bytes(encrypted)), ("x.xlsx", (tmp_path / "b.xlsx").read_bytes()), ("x.docx", good.replace(b"<w:body>", b"<w:bodx>")), ("x.xlsx", good), ("x.pdf", b"%PDF-1.4 nothing")]:
+        (row,) = readers.parse(name, content)
+        assert row[-1] and row[5] is None, (name, row)
+    assert readers.parse("x.docx", good)[0][-1] is None
+    lying = (tmp_path / "z.docx").read_bytes()
+    at = lying.index(b"PK\x01\x02") + 24
+    monkeypatch.setattr(readers, "MAX_UNPACKED", 1000)
+    assert readers.parse("x.docx", lying[:at] + (5).to_bytes(4, "little") + lying[at + 4 :])[0][-1] in ("archive_too_large", "damaged")
+
+
 def test_tables(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id long, t string")
     b = spark.createDataFrame([(1, "x"), (2, "Y"), (4, "q")], "id long, t string")
