@@ -2,6 +2,11 @@
 
 Each stage gets the documents that the one before kept and returns the documents it keeps, with the columns of documents;
 the last returns packed pieces. run() writes what each stage returns to the shared folder and reads it again.
+
+Null and empty texts go at the first stage (no words), as do texts of under 20 words. A text of nothing but boilerplate is
+empty from the second stage on and is packed as its end id. Repeated rows are one row from the third stage on; of rows with
+one id but different texts each is a document. Very long texts are whole at each stage. Empty tables give empty tables.
+Columns of documents beside those that are used pass through up to the last stage, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ The automaton holds at most SHARD_BYTES of windows. A larger benchmark makes sev
 hits so far carried along in a table in the shared folder; no size of benchmark is broadcast as a whole.
 
 Null or empty text, and text without words: no words, no hits, not contaminated. Null or empty items have no windows.
-Items that are alike all count. Each input row gives one row. Other columns pass through contaminated rows and clean ones.
+Items that are alike all count. Each input row gives one row, also rows that are alike; an empty table gives none, and
+without a benchmark nothing is hit. A very long text is scanned whole, in memory of a task once. Other columns pass through
+contaminated rows and clean ones, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ least hash in each of BUCKETS buckets, of each an excerpt; SAMPLE_CHARS in all,
 
 Labels are used of rows with a doc_id, text and language whose crc32(doc_id as text) mod 4 is not 2. Null text or text
 without a letter is `und` with score 0; so is every text if nothing could be learned. A tie goes to the first name. The
-score is the share of bits saved against the second language, 1 if only one language is known. Each input row gives a row.
+score is the share of bits saved against the second language, 1 if only one language is known. Each input row gives a row,
+also rows that are alike; an empty table gives none. Columns named as the results are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -156,7 +157,8 @@ class Model:
 
 
 def predict(docs: DataFrame, samples: dict[str, tuple[bytes, float]], text: str = "text") -> DataFrame:
-    """docs with lang_pred and score. The samples are at most SAMPLE_CHARS and travel with the tasks."""
+    """docs with lang_pred and score, in the place of columns with these names. The samples, at most SAMPLE_CHARS, travel with the tasks."""
+    docs = docs.drop("lang_pred", "score")
     key = f"language-{uuid.uuid4().hex}"
 
     def make():

@@ -4,7 +4,8 @@ Each rule is evaluated once for each document. The ledger keeps what was measure
 mask of rules, so another policy version, or a policy without one of its rules, needs no second look at the texts.
 
 Null text has no words and fails `few_words`. Empty text is the same. Every input row gives one row, also rows that are
-alike. Other columns are ignored by ledger() and passed through by keep().
+alike; an empty table gives none. A very long text is measured whole, in memory of a task once. Other columns are ignored
+by ledger() and passed through by keep(), whatever their names.
 """
 
 from __future__ import annotations
