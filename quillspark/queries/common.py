@@ -37,6 +37,21 @@ def values(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(one(v) for v in r) + ')' for r in rows)}) v({names}))"
 
 
+def planted(spark: SparkSession, sf_dir: str, rows: list[tuple], apart: str = " ") -> DataFrame:
+    """id, q: every turn of the conversations with one of the rows (id from 1 on, text) before or after its text."""
+    n, own = len(rows), F.broadcast(literal(spark, [(k, r[1]) for k, r in enumerate(rows)], "k long, example string"))  # as many rows as are written here
+    turns = table(spark, sf_dir, "conversations").select((1000 * F.col("conv_id") + F.col("turn")).alias("id"), "text")
+    both = turns.join(own, F.col("id") % n == F.col("k"))
+    return both.select("id", F.when(F.floor(F.col("id") / n) % 2 == 0, F.concat_ws(apart, "example", "text")).otherwise(F.concat_ws(apart, "text", "example")).alias("q"))
+
+
+def sql_planted(rows: list[tuple], apart: str = "' '") -> str:
+    """The same as a SQL CTE body."""
+    own, n = values([(k, r[1]) for k, r in enumerate(rows)], "k, example"), len(rows)
+    turns = "SELECT 1000 * conv_id + turn AS id, text FROM conversations"
+    return f"(SELECT id, CASE WHEN (id // {n}) % 2 = 0 THEN example || {apart} || text ELSE text || {apart} || example END AS q FROM ({turns}) JOIN {own} ON id % {n} = k)"
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.tokenized(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 

@@ -455,7 +455,17 @@ def v21(spark, sf):
     return quota.usage(ledger(spark, sf), "user_id").select("event_id", "used_24h", "used_60s")
 
 
-@query("v21_quota_admission")
+@query(
+    "v21_quota_admission",
+    """WITH RECURSIVE l AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) AS t, value::DOUBLE AS used, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id, value) AS rn FROM events),
+r AS (
+  SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, false AS admitted, CAST([] AS STRUCT(t BIGINT, used DOUBLE)[]) AS live FROM l GROUP BY user_id
+  UNION ALL
+  SELECT user_id, rn, event_id, ok, CASE WHEN ok THEN list_append(held, {'t': t, 'used': used}) ELSE held END
+  FROM (SELECT *, len(held) < 20 AND coalesce(list_sum(list_transform(list_filter(held, lambda y: y.t > t - 60000000), lambda y: y.used)), 0) + used <= 200 AS ok
+    FROM (SELECT l.user_id, l.rn, l.event_id, l.t, l.used, list_filter(r.live, lambda y: y.t >= l.t - 86400000000) AS held FROM r JOIN l ON l.user_id = r.user_id AND l.rn = r.rn + 1)))
+SELECT user_id, event_id, admitted FROM r WHERE rn > 0""",
+)
 def v21a(spark, sf):
     return quota.admitted(ledger(spark, sf), "user_id", calls=20, tokens=200.0)
 

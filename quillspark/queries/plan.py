@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import terms as D
 from quillspark.functions import text as X
 from quillspark.plans import questions as P
-from quillspark.queries.common import literal, table, values
+from quillspark.queries.common import literal, planted, sql_planted, table, values
 
 QUERIES, ORACLES = {}, {}
 
@@ -30,6 +30,7 @@ ASK = [
 ]
 SCHEMA = "id long, q string"
 _Q = f"q AS (SELECT id::BIGINT AS id, q FROM {values(ASK, 'id, q')})"
+_PQ = f"q AS {sql_planted(ASK)}"
 
 
 def ask(spark):
@@ -43,23 +44,23 @@ def _case(rules: list[tuple[str, str]], other: str) -> str:
 _KIND = _case([(k, f"regexp_matches(q, '{p}')" if p else f"regexp_matches(q, '{P._PREPARE}') OR (regexp_matches(q, '{P._PHASE}') AND regexp_matches(q, '{P._DO}'))") for k, p in P.KINDS], "fact")
 
 
-@query("p02_intent", f"WITH {_Q} SELECT id, {_KIND} AS kind FROM q")
+@query("p02_intent", f"WITH {_PQ} SELECT id, {_KIND} AS kind FROM q")
 def p02(spark, sf):
-    return ask(spark).select("id", P.classify(F.col("q")).alias("kind"))
+    return planted(spark, sf, ASK).select("id", P.classify(F.col("q")).alias("kind"))
 
 
 _ANCHOR = "regexp_matches(lower(q), 'vre|cre|cpe|pcn|foley|picc|vanco|thoracentesis|흉강천자|폴리')"
 
 
-@query("p03_domain", f"WITH {_Q} SELECT id, CASE WHEN regexp_matches(q, '{P.OUTSIDE}') THEN 'out_of_scope' WHEN {_ANCHOR} OR regexp_matches(q, '{P.HOSPITAL}') OR regexp_matches(q, '{P.SEDATION}') OR regexp_matches(q, '{P.EDUCATION.replace("(?<![가-힣a-zA-Z0-9-])", "(?:^|[^가-힣a-zA-Z0-9-])")}') THEN 'hospital' ELSE 'unknown' END AS domain FROM q")
+@query("p03_domain", f"WITH {_PQ} SELECT id, CASE WHEN regexp_matches(q, '{P.OUTSIDE}') THEN 'out_of_scope' WHEN {_ANCHOR} OR regexp_matches(q, '{P.HOSPITAL}') OR regexp_matches(q, '{P.SEDATION}') OR regexp_matches(q, '{P.EDUCATION.replace("(?<![가-힣a-zA-Z0-9-])", "(?:^|[^가-힣a-zA-Z0-9-])")}') THEN 'hospital' ELSE 'unknown' END AS domain FROM q")
 def p03(spark, sf):
-    return ask(spark).select("id", P.domain(F.col("q")).alias("domain"))
+    return planted(spark, sf, ASK).select("id", P.domain(F.col("q")).alias("domain"))
 
 
-@query("p11_evidence_route", f"WITH {_Q}, k AS (SELECT id, regexp_matches(q, '{P.IMAGE}') AS i, regexp_matches(q, '{P.TABLE}') OR {_KIND} = 'comparison' AS t FROM q) SELECT id, CASE WHEN i AND t THEN 'mixed' WHEN i THEN 'image' WHEN t THEN 'table' ELSE 'text' END AS route, CASE WHEN i THEN 'pending_image_review' ELSE 'ready' END AS status FROM k")
+@query("p11_evidence_route", f"WITH {_PQ}, k AS (SELECT id, regexp_matches(q, '{P.IMAGE}') AS i, regexp_matches(q, '{P.TABLE}') OR {_KIND} = 'comparison' AS t FROM q) SELECT id, CASE WHEN i AND t THEN 'mixed' WHEN i THEN 'image' WHEN t THEN 'table' ELSE 'text' END AS route, CASE WHEN i THEN 'pending_image_review' ELSE 'ready' END AS status FROM k")
 def p11(spark, sf):
     route = P.evidence_route(F.col("q"), P.classify(F.col("q")))
-    return ask(spark).select("id", route.alias("route"), F.when(route.isin("mixed", "image"), "pending_image_review").otherwise("ready").alias("status"))
+    return planted(spark, sf, ASK).select("id", route.alias("route"), F.when(route.isin("mixed", "image"), "pending_image_review").otherwise("ready").alias("status"))
 
 
 @query("p14_style_and_focus", f"WITH s(kind, style) AS (VALUES {', '.join(f'($${k}$$, $${v}$$)' for k, v in D.STYLE.items())}), f(kind, focus) AS (VALUES {', '.join(f'($${k}$$, $${chr(44).join(v)}$$)' for k, v in D.FOCUSES.items())}) SELECT s.kind, style, coalesce(focus, '') AS focus FROM s LEFT JOIN f USING (kind)")
@@ -81,9 +82,9 @@ def p08(spark, sf):
 _FOLLOW = [(1, "그럼 준비물은"), (2, "준비물은 무엇인가요"), (3, "이 두 지침을 비교"), (4, "수혈 절차"), (5, "보기 쉽게 설명"), (6, "아까 그 내용")]
 
 
-@query("p05_follow_up", f"WITH f AS {values(_FOLLOW, 'id, q')} SELECT id::BIGINT AS id, regexp_matches(q, '{P.FOLLOWS}') AS follows FROM f")
+@query("p05_follow_up", f"WITH f AS {sql_planted(_FOLLOW)} SELECT id::BIGINT AS id, regexp_matches(q, '{P.FOLLOWS}') AS follows FROM f")
 def p05(spark, sf):
-    return literal(spark, _FOLLOW, SCHEMA).select("id", P.follow_up(F.col("q")).alias("follows"))
+    return planted(spark, sf, _FOLLOW).select("id", P.follow_up(F.col("q")).alias("follows"))
 
 
 @query(

@@ -8,7 +8,7 @@ from quillspark.functions import terms as D
 from quillspark.functions import text as X
 from quillspark.functions.terms import ALIASES, INTENT_TERMS, QUESTION_PARTICLES, STOP_TERMS, TEXT_PARTICLES
 from quillspark.functions.unicode import close_match, normal_form
-from quillspark.queries.common import bm25_top, literal, sql_bm25, sql_sentences, sql_tokens, table, values
+from quillspark.queries.common import bm25_top, literal, planted, sql_bm25, sql_planted, sql_sentences, sql_tokens, table, values
 
 QUERIES, ORACLES = {}, {}
 
@@ -170,9 +170,9 @@ def n13(spark, sf):
 _PRIVATE = [(1, "환자번호: 12345678"), (2, "연락처 010-1234-5678"), (3, "900101-1234567"), (4, "병실 번호: 302"), (5, "수혈 전 확인"), (6, "MRN 00012"), (7, "환자 이름: 홍길동")]
 
 
-@query("n14_private_guard", f"WITH q AS {values(_PRIVATE, 'id, q')} SELECT id::BIGINT AS id, regexp_matches(q, '(^|[^0-9])[0-9]{{6}}\\s*[-–]?\\s*[1-8][0-9]{{6}}([^0-9]|$)|(^|[^0-9])01[016789][ -]?[0-9]{{3,4}}[ -]?[0-9]{{4}}([^0-9]|$)|(?:환자\\s*(?:등록)?번호|등록번호|차트번호|[Mm][Rr][Nn])\\s*[:：#]?\\s*[0-9]{{4,}}|(?:환자\\s*(?:성명|이름)|환자명)\\s*[:：]\\s*[가-힣]{{2,5}}|병실\\s*번호\\s*[:：#]\\s*[0-9]{{2,}}') AS private FROM q")
+@query("n14_private_guard", f"WITH q AS {sql_planted(_PRIVATE)} SELECT id::BIGINT AS id, regexp_matches(q, '(^|[^0-9])[0-9]{{6}}\\s*[-–]?\\s*[1-8][0-9]{{6}}([^0-9]|$)|(^|[^0-9])01[016789][ -]?[0-9]{{3,4}}[ -]?[0-9]{{4}}([^0-9]|$)|(?:환자\\s*(?:등록)?번호|등록번호|차트번호|[Mm][Rr][Nn])\\s*[:：#]?\\s*[0-9]{{4,}}|(?:환자\\s*(?:성명|이름)|환자명)\\s*[:：]\\s*[가-힣]{{2,5}}|병실\\s*번호\\s*[:：#]\\s*[0-9]{{2,}}') AS private FROM q")
 def n14(spark, sf):
-    return literal(spark, _PRIVATE, SCHEMA).select("id", X.looks_private(F.col("q")).alias("private"))
+    return planted(spark, sf, _PRIVATE).select("id", X.looks_private(F.col("q")).alias("private"))
 
 
 @query("n15_identifier_types", "SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]') THEN 'email' END, CASE WHEN regexp_matches(text, '\\+[0-9]{1,3} \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}') THEN 'phone' END, CASE WHEN regexp_matches(text, '[0-9]{6}-[1-8][0-9]{6}') THEN 'resident' END) AS types FROM documents")
@@ -183,22 +183,22 @@ def n15(spark, sf):
 
 
 _LINES = [(1, "1. 준비 단계"), (2, "목적"), (3, "환자를 확인한다."), (4, "Ⅱ. 절차"), (5, "가) 소독 범위"), (6, "1.2) 세척 순서"), (7, "손 위생을 시행한다"), (8, "시행 방법"), (9, "2. 이 항목은 아주 길어서 제목이 될 수 없는 문장이며 예순 글자를 넘기도록 계속해서 이어서 적어 둔 예시 줄로 끝까지 남긴 글입니다 참고"), (10, "용량 10 mg"), (11, "병동 | 담당"), (12, "간호부")]
-_L = f"l AS (SELECT id::BIGINT AS id, q FROM {values(_LINES, 'id, q')})"
+_PL = f"l AS {sql_planted(_LINES, 'chr(10)')}"
 
 
-@query("n16_heading", f"WITH {_L} SELECT id, length(trim(q)) <= 60 AND NOT regexp_matches(trim(q), '(?:다[.!?]?|[。.!?])$') AND (regexp_matches(trim(q), '^(?:\\d+(?:\\.\\d+)*[.)]|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+[. ]|[가-하]\\))\\s*\\S') OR trim(q) IN ('목적', '준비물', '주의사항', '적응증', '금기', '시행 방법', '절차')) AS heading FROM l")
+@query("n16_heading", f"WITH {_PL} SELECT id, length(trim(q)) <= 60 AND NOT regexp_matches(trim(q), '(?:다[.!?]?|[。.!?])$') AND (regexp_matches(trim(q), '^(?:\\d+(?:\\.\\d+)*[.)]|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+[. ]|[가-하]\\))\\s*\\S') OR trim(q) IN ('목적', '준비물', '주의사항', '적응증', '금기', '시행 방법', '절차')) AS heading FROM l")
 def n16(spark, sf):
-    return literal(spark, _LINES, SCHEMA).select("id", X.looks_like_heading(F.col("q")).alias("heading"))
+    return planted(spark, sf, _LINES, "\n").select("id", X.looks_like_heading(F.col("q")).alias("heading"))
 
 
-@query("n17_running_header_shape", f"WITH {_L} SELECT id, length(q) BETWEEN 1 AND 60 AND len(string_split(q, chr(10))) <= 2 AND NOT regexp_matches(q, '(?:다[.!?]?|[.!?])$') AS shape FROM l")
+@query("n17_running_header_shape", f"WITH {_PL} SELECT id, length(q) BETWEEN 1 AND 60 AND len(string_split(q, chr(10))) <= 2 AND NOT regexp_matches(q, '(?:다[.!?]?|[.!?])$') AS shape FROM l")
 def n17(spark, sf):
-    return literal(spark, _LINES, SCHEMA).select("id", X.looks_like_running_header(F.col("q")).alias("shape"))
+    return planted(spark, sf, _LINES, "\n").select("id", X.looks_like_running_header(F.col("q")).alias("shape"))
 
 
-@query("n18_page_label", f"WITH {_L} SELECT id, length(q) BETWEEN 1 AND 60 AND NOT contains(q, ' | ') AND NOT regexp_matches(q, '(?:다[.!?]?|[。.!?])$') AND NOT regexp_matches(q, '(?i)\\d\\s*(?:mg|ml|㎎|㎖|℃|분|시간|회|%)') AND regexp_matches(q, '[가-힣A-Za-z]') AS candidate FROM l")
+@query("n18_page_label", f"WITH {_PL} SELECT id, length(q) BETWEEN 1 AND 60 AND NOT contains(q, ' | ') AND NOT regexp_matches(q, '(?:다[.!?]?|[。.!?])$') AND NOT regexp_matches(q, '(?i)\\d\\s*(?:mg|ml|㎎|㎖|℃|분|시간|회|%)') AND regexp_matches(q, '[가-힣A-Za-z]') AS candidate FROM l")
 def n18(spark, sf):
-    return literal(spark, _LINES, SCHEMA).select("id", X.page_label_candidate(F.col("q")).alias("candidate"))
+    return planted(spark, sf, _LINES, "\n").select("id", X.page_label_candidate(F.col("q")).alias("candidate"))
 
 
 _PHASE = [(1, "시술 전 확인"), (2, "수혈 중 관찰"), (3, "검사 후에 보고"), (4, "사전 준비와 이후 관리"), (5, "회복 시 관찰"), (6, "투약 시 주의"), (7, "안전 관리"), (8, "수술하기 전"), (9, "시행하는 동안"), (10, "전·후 비교")]
@@ -206,14 +206,14 @@ _PHASE = [(1, "시술 전 확인"), (2, "수혈 중 관찰"), (3, "검사 후에
 
 @query("n19_temporal_phases")
 def n19(spark, sf):
-    return literal(spark, _PHASE, SCHEMA).select("id", F.array_join(X.temporal_phases(F.col("q")), ",").alias("phases"))
+    return planted(spark, sf, _PHASE).select("id", F.array_join(X.temporal_phases(F.col("q")), ",").alias("phases"))
 
 
 @query("n20_unit_phases")
 def n20(spark, sf):
     unit = F.col("q")
     found = F.array_compact(F.array(*[F.when(unit.rlike(rf"(?:^|[\s,·‧/]){w}(?=$|[\s,·‧/.])|{w}에"), F.lit(p)) for w, p in (("전", "before"), ("중", "during"), ("후", "after"))]))
-    return literal(spark, _PHASE, SCHEMA).select("id", F.array_join(found, ",").alias("phases"))
+    return planted(spark, sf, _PHASE).select("id", F.array_join(found, ",").alias("phases"))
 
 
 # Roots of the families of actions.
@@ -221,29 +221,29 @@ FAMILIES = {"assess": ("평가", "사정"), "check": ("확인", "점검"), "obse
 _ACTS = [(1, "활력징후를 확인하고 기록한다"), (2, "이상 시 보고한다"), (3, "물품을 준비한다"), (4, "상태를 관찰하고 평가한다"), (5, "설명한다")]
 
 
-@query("n21_action_families", f"WITH a AS {values(_ACTS, 'id, q')} SELECT id::BIGINT AS id, concat_ws(',', {', '.join('CASE WHEN ' + ' OR '.join(f'contains(q, $${r}$$)' for r in own) + f' THEN $${k}$$ END' for k, own in FAMILIES.items())}) AS families FROM a")
+@query("n21_action_families", f"WITH a AS {sql_planted(_ACTS)} SELECT id::BIGINT AS id, concat_ws(',', {', '.join('CASE WHEN ' + ' OR '.join(f'contains(q, $${r}$$)' for r in own) + f' THEN $${k}$$ END' for k, own in FAMILIES.items())}) AS families FROM a")
 def n21(spark, sf):
-    return literal(spark, _ACTS, SCHEMA).select("id", F.array_join(X.action_families(F.col("q"), FAMILIES), ",").alias("families"))
+    return planted(spark, sf, _ACTS).select("id", F.array_join(X.action_families(F.col("q"), FAMILIES), ",").alias("families"))
 
 
 _BRANCH = [(1, "[성인] 5 mg 투여"), (2, "[소아] 체중 확인\n[성인] 제외"), (3, "성인: 앉은 자세"), (4, "자세를 확인한다"), (5, "[임부] 상담")]
 
 
-@query("n22_branch_marker", f"WITH b AS {values(_BRANCH, 'id, q')} SELECT id::BIGINT AS id, CASE WHEN a AND p THEN 'common' WHEN a THEN 'adult' WHEN p THEN 'pediatric' WHEN o THEN 'explicit_other' ELSE 'common' END AS branch FROM (SELECT id, regexp_matches(q, '\\[성인\\]|(?m)^성인\\s*[:|]') AS a, regexp_matches(q, '\\[소아\\]|(?m)^소아\\s*[:|]') AS p, regexp_matches(q, '\\[[가-힣]+\\]') AS o FROM b)")
+@query("n22_branch_marker", f"WITH b AS {sql_planted(_BRANCH)} SELECT id::BIGINT AS id, CASE WHEN a AND p THEN 'common' WHEN a THEN 'adult' WHEN p THEN 'pediatric' WHEN o THEN 'explicit_other' ELSE 'common' END AS branch FROM (SELECT id, regexp_matches(q, '\\[성인\\]|(?m)^성인\\s*[:|]') AS a, regexp_matches(q, '\\[소아\\]|(?m)^소아\\s*[:|]') AS p, regexp_matches(q, '\\[[가-힣]+\\]') AS o FROM b)")
 def n22(spark, sf):
     q = F.col("q")
     a, p = q.rlike(r"\[성인\]|(?m)^성인\s*[:|]"), q.rlike(r"\[소아\]|(?m)^소아\s*[:|]")
-    return literal(spark, _BRANCH, SCHEMA).select("id", F.when(a & p, "common").when(a, "adult").when(p, "pediatric").when(q.rlike(r"\[[가-힣]+\]"), "explicit_other").otherwise("common").alias("branch"))
+    return planted(spark, sf, _BRANCH).select("id", F.when(a & p, "common").when(a, "adult").when(p, "pediatric").when(q.rlike(r"\[[가-힣]+\]"), "explicit_other").otherwise("common").alias("branch"))
 
 
 _ASKED = [(1, "성인과 소아의 용량"), (2, "성인에게 투여"), (3, "소아 주의사항"), (4, "성인병 예방"), (5, "용량은")]
 _PERSON = r"(?:과|와|은|는|이|가|의|에게|[·‧/]|\s|[?!,.]|$)"
 
 
-@query("n23_requested_branches", f"WITH b AS {values(_ASKED, 'id, q')} SELECT id::BIGINT AS id, concat_ws(',', CASE WHEN regexp_matches(q, '(^|[^가-힣])성인{_PERSON}') THEN 'adult' END, CASE WHEN regexp_matches(q, '(^|[^가-힣])소아{_PERSON}') THEN 'pediatric' END) AS branches FROM b")
+@query("n23_requested_branches", f"WITH b AS {sql_planted(_ASKED)} SELECT id::BIGINT AS id, concat_ws(',', CASE WHEN regexp_matches(q, '(^|[^가-힣])성인{_PERSON}') THEN 'adult' END, CASE WHEN regexp_matches(q, '(^|[^가-힣])소아{_PERSON}') THEN 'pediatric' END) AS branches FROM b")
 def n23(spark, sf):
     q = F.col("q")
-    return literal(spark, _ASKED, SCHEMA).select("id", F.array_join(F.array_compact(F.array(F.when(q.rlike(f"(?<![가-힣])성인{_PERSON}"), F.lit("adult")), F.when(q.rlike(f"(?<![가-힣])소아{_PERSON}"), F.lit("pediatric")))), ",").alias("branches"))
+    return planted(spark, sf, _ASKED).select("id", F.array_join(F.array_compact(F.array(F.when(q.rlike(f"(?<![가-힣])성인{_PERSON}"), F.lit("adult")), F.when(q.rlike(f"(?<![가-힣])소아{_PERSON}"), F.lit("pediatric")))), ",").alias("branches"))
 
 
 @query("n24_branch_stems", f"WITH b AS {values(_BRANCH, 'id, q')}, l AS (SELECT id, unnest(string_split(q, chr(10))) AS line FROM b) SELECT DISTINCT id::BIGINT AS id, trim(regexp_replace(line, '\\[[가-힣]+\\]', '', 'g')) AS stem FROM l WHERE regexp_matches(line, '\\[[가-힣]+\\]') AND length(trim(regexp_replace(line, '\\[[가-힣]+\\]', '', 'g'))) >= 4")
@@ -259,7 +259,7 @@ _ITEMS = {"respiratory_rate": "호흡\\s*수", "pulse": "맥박", "oxygen_satura
 _ACTIONS = {"assess": "평가", "measure": "측정", "check": "확인|체크", "observe": "관찰"}
 
 
-@query("n25_monitoring_qualifiers", f"WITH m AS {values(_MON, 'id, q')} SELECT id::BIGINT AS id, CASE {' '.join(f'WHEN regexp_matches(q, $${v}$$) THEN $${k}$$' for k, v in _ITEMS.items())} ELSE '' END AS item, CASE {' '.join(f'WHEN regexp_matches(q, $${v}$$) THEN $${k}$$' for k, v in _ACTIONS.items())} ELSE '' END AS action FROM m")
+@query("n25_monitoring_qualifiers", f"WITH m AS {sql_planted(_MON)} SELECT id::BIGINT AS id, CASE {' '.join(f'WHEN regexp_matches(q, $${v}$$) THEN $${k}$$' for k, v in _ITEMS.items())} ELSE '' END AS item, CASE {' '.join(f'WHEN regexp_matches(q, $${v}$$) THEN $${k}$$' for k, v in _ACTIONS.items())} ELSE '' END AS action FROM m")
 def n25(spark, sf):
     def first(rules):
         out = None
@@ -267,12 +267,12 @@ def n25(spark, sf):
             out = F.when(F.col("q").rlike(v), k) if out is None else out.when(F.col("q").rlike(v), k)
         return out.otherwise("")
 
-    return literal(spark, _MON, SCHEMA).select("id", first(_ITEMS).alias("item"), first(_ACTIONS).alias("action"))
+    return planted(spark, sf, _MON).select("id", first(_ITEMS).alias("item"), first(_ACTIONS).alias("action"))
 
 
-@query("n26_procedure_action", f"WITH a AS {values(_ACTS, 'id, q')} SELECT id::BIGINT AS id, regexp_matches(q, '한다|하고|시행|실시|준비|기록') AS action FROM a")
+@query("n26_procedure_action", f"WITH a AS {sql_planted(_ACTS)} SELECT id::BIGINT AS id, regexp_matches(q, '한다|하고|시행|실시|준비|기록') AS action FROM a")
 def n26(spark, sf):
-    return literal(spark, _ACTS, SCHEMA).select("id", F.col("q").rlike("한다|하고|시행|실시|준비|기록").alias("action"))
+    return planted(spark, sf, _ACTS).select("id", F.col("q").rlike("한다|하고|시행|실시|준비|기록").alias("action"))
 
 
 @query("n27_sentences", f"SELECT doc_id, i::BIGINT AS position, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {sql_sentences('text')} AS s FROM documents))")
@@ -312,14 +312,14 @@ def n27_units(spark, sf):
 _MARKS = [(1, "1) 손을 씻는다"), (2, "- 장갑을 낀다"), (3, "• 확인한다"), (4, "확인한다"), (5, "가. 준비"), (6, "2. 10 mg 투여")]
 
 
-@query("n28_leading_marker", f"WITH m AS {values(_MARKS, 'id, q')} SELECT id::BIGINT AS id, regexp_extract(q, '^\\s*([-•·]|[0-9]+[.)]|[가-하][.)])\\s+', 1) AS marker FROM m")
+@query("n28_leading_marker", f"WITH m AS {sql_planted(_MARKS)} SELECT id::BIGINT AS id, regexp_extract(q, '^\\s*([-•·]|[0-9]+[.)]|[가-하][.)])\\s+', 1) AS marker FROM m")
 def n28(spark, sf):
-    return literal(spark, _MARKS, SCHEMA).select("id", F.regexp_extract("q", r"^\s*([-•·]|[0-9]+[.)]|[가-하][.)])\s+", 1).alias("marker"))
+    return planted(spark, sf, _MARKS).select("id", F.regexp_extract("q", r"^\s*([-•·]|[0-9]+[.)]|[가-하][.)])\s+", 1).alias("marker"))
 
 
-@query("n29_step_projection", f"WITH m AS {values(_MARKS, 'id, q')} SELECT id::BIGINT AS id, nullif(regexp_extract(q, '^\\s*([0-9]+)[.)]\\s+', 1), '')::BIGINT AS step, regexp_replace(q, '^\\s*(?:[-•·]|[0-9]+[.)]|[가-하][.)])\\s+', '') AS statement FROM m")
+@query("n29_step_projection", f"WITH m AS {sql_planted(_MARKS)} SELECT id::BIGINT AS id, nullif(regexp_extract(q, '^\\s*([0-9]+)[.)]\\s+', 1), '')::BIGINT AS step, regexp_replace(q, '^\\s*(?:[-•·]|[0-9]+[.)]|[가-하][.)])\\s+', '') AS statement FROM m")
 def n29(spark, sf):
-    return literal(spark, _MARKS, SCHEMA).select("id", F.nullif(F.regexp_extract("q", r"^\s*([0-9]+)[.)]\s+", 1), F.lit("")).cast("long").alias("step"), F.regexp_replace("q", r"^\s*(?:[-•·]|[0-9]+[.)]|[가-하][.)])\s+", "").alias("statement"))
+    return planted(spark, sf, _MARKS).select("id", F.nullif(F.regexp_extract("q", r"^\s*([0-9]+)[.)]\s+", 1), F.lit("")).cast("long").alias("step"), F.regexp_replace("q", r"^\s*(?:[-•·]|[0-9]+[.)]|[가-하][.)])\s+", "").alias("statement"))
 
 
 _DOSE = [(1, "18 gauge 바늘로 1,000 ml/hour 주입"), (2, "5mg 을 10 분 간격, 5 mg"), (3, "없음"), (4, "20 ml/minute 이하")]
@@ -330,19 +330,19 @@ def _norm_sql(x):
     return f"replace(replace(replace(regexp_replace({x}, '[\\s,]', '', 'g'), 'gauge', 'g'), '/hour', '/hr'), '/minute', '/min')"
 
 
-@query("n30_numeric_units", f"WITH d AS {values(_DOSE, 'id, q')} SELECT DISTINCT id::BIGINT AS id, {_norm_sql('t')} AS token FROM (SELECT id, unnest(regexp_extract_all(q, '{_NUM}')) AS t FROM d)")
+@query("n30_numeric_units", f"WITH d AS {sql_planted(_DOSE)} SELECT DISTINCT id::BIGINT AS id, {_norm_sql('t')} AS token FROM (SELECT id, unnest(regexp_extract_all(q, '{_NUM}')) AS t FROM d)")
 def n30(spark, sf):
     norm = lambda x: F.replace(F.replace(F.replace(F.regexp_replace(x, r"[\s,]", ""), F.lit("gauge"), F.lit("g")), F.lit("/hour"), F.lit("/hr")), F.lit("/minute"), F.lit("/min"))
-    return literal(spark, _DOSE, SCHEMA).select("id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("q", F.lit(_NUM), F.lit(0)), norm))).alias("token"))
+    return planted(spark, sf, _DOSE).select("id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("q", F.lit(_NUM), F.lit(0)), norm))).alias("token"))
 
 
 _STATE = [(1, "투여하지 않는다"), (2, "단, 출혈 시 제외한다"), (3, "열이 있으면 보고한다"), (4, "확인한다"), (5, "소아의 경우 금지한다")]
 
 
-@query("n31_markers", f"WITH s AS {values(_STATE, 'id, q')} SELECT id::BIGINT AS id, regexp_matches(q, '않|금지|안 된다') AS negation, regexp_matches(q, '이면|으면|경우|시 ') AS condition, regexp_matches(q, '단,|제외|예외') AS exception FROM s")
+@query("n31_markers", f"WITH s AS {sql_planted(_STATE)} SELECT id::BIGINT AS id, regexp_matches(q, '않|금지|안 된다') AS negation, regexp_matches(q, '이면|으면|경우|시 ') AS condition, regexp_matches(q, '단,|제외|예외') AS exception FROM s")
 def n31(spark, sf):
     q = F.col("q")
-    return literal(spark, _STATE, SCHEMA).select("id", q.rlike("않|금지|안 된다").alias("negation"), q.rlike("이면|으면|경우|시 ").alias("condition"), q.rlike("단,|제외|예외").alias("exception"))
+    return planted(spark, sf, _STATE).select("id", q.rlike("않|금지|안 된다").alias("negation"), q.rlike("이면|으면|경우|시 ").alias("condition"), q.rlike("단,|제외|예외").alias("exception"))
 
 
 @query("n32_embedding_question")

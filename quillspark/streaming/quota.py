@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY, MINUTE = 86_400_000_000, 60_000_000  # microseconds
@@ -15,22 +18,32 @@ def usage(ledger: DataFrame, key: str) -> DataFrame:
 
 
 def admitted(ledger: DataFrame, key: str, calls: int, tokens: float) -> DataFrame:
-    """Which requests are admitted, one after another: a refused one uses nothing. Folded for each key in order of time.
+    """Which requests are admitted, one after another: a refused one uses nothing.
 
-    A key's requests are held as an array: a user's ledger is short. ledger: key, event_id, at, tokens.
+    A key's requests come sorted by time and are never held together: what is carried is the admitted ones of the last day,
+    at most `calls` of them. One key is one task, as each decision needs the one before. ledger: key, event_id, at, tokens.
     """
-    rows = ledger.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "event_id", F.col("tokens").cast("double").alias("tokens")))).alias("g"))
-    item = "array<struct<at:bigint,event_id:bigint,tokens:double>>"
-    start = F.struct(F.array().cast(item).alias("live"), F.array().cast("array<struct<event_id:bigint,admitted:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        live = F.filter(acc["live"], lambda y: y["at"] >= x["at"] - DAY)
-        minute = F.aggregate(F.filter(live, lambda y: y["at"] > x["at"] - MINUTE), F.lit(0.0), lambda s, y: s + y["tokens"])
-        ok = (F.size(live) < calls) & (minute + x["tokens"] <= tokens)
-        return F.struct(F.when(ok, F.concat(live, F.array(x))).otherwise(live).alias("live"), F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), ok.alias("admitted")))).alias("out"))
-
-    out = F.aggregate("g", start, step, lambda acc: acc["out"])
-    return rows.select(key, F.explode(out).alias("x")).select(key, "x.event_id", "x.admitted")
+    kind = ledger.schema[key].dataType.simpleString()
+
+    def run(batches):
+        owner, live = None, deque()
+        for batch in batches:
+            out = []
+            for who, at, used in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                if who != owner:
+                    owner = who
+                    live.clear()
+                while live and live[0][0] < at - DAY:
+                    live.popleft()
+                ok = len(live) < calls and sum(u for t, u in live if t > at - MINUTE) + used <= tokens
+                if ok:
+                    live.append((at, used))
+                out.append(ok)
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out)], names=[key, "event_id", "admitted"])
+
+    rows = ledger.select(key, "at", "event_id", F.col("tokens").cast("double"))
+    return rows.repartition(key).sortWithinPartitions(key, "at", "event_id", "tokens").mapInArrow(run, f"`{key}` {kind}, event_id {ledger.schema['event_id'].dataType.simpleString()}, admitted boolean")
 
 
 def by_minute(events: DataFrame, late: str = "24 hours") -> DataFrame:
