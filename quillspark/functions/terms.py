@@ -32,6 +32,8 @@ FOCUSES = {
     "release": ("해제", "종료", "중단", "기준"),
 }
 STYLE = {"materials": "bullets", "cautions": "bullets", "procedure": "steps", "comparison": "comparison", "summary": "summary", "synthesis": "summary", "fact": "paragraph", "purpose": "paragraph", "preparation": "bullets", "release": "bullets"}
+
+# Terms that are added to a question that holds a term.
 EXPANSIONS = {"세척": ("irrigation", "세척"), "irrigation": ("irrigation", "세척"), "격리": ("격리", "isolation"), "isolation": ("격리", "isolation"), "해제": ("해제", "종료", "중단", "기준")}
 
 # Aspects that are written onto a topic, with the kind of question they ask.
@@ -39,6 +41,8 @@ ASPECTS = {
     "준비사항": "preparation", "체크사항": "preparation", "주의사항": "cautions", "절차": "procedure", "방법": "procedure", "순서": "procedure", "시행": "procedure",
     "목적": "purpose", "이유": "purpose", "준비": "preparation", "확인": "preparation", "주의": "cautions", "조심": "cautions", "안전": "cautions",
 }
+
+# Aspects in their plain form; labels, roles and words that aren't part of a topic.
 CANONICAL_ASPECT = {"procedure": "절차", "purpose": "목적", "preparation": "준비", "cautions": "주의"}
 DOCUMENT_LABELS = ("지침", "지침서", "실무지침", "실무지침서", "간호지침", "간호실무지침", "간호실무지침서")
 TOPIC_ROLES = ("간호", "관리", "치료", "교육")
@@ -64,3 +68,18 @@ TITLE_END = r"(?:방법|절차|목적|기준|안내|목록)(?:\s*\[[^\]]+\])?$"
 STATEMENT_END = r"[.!?。！？]$"
 TITLE_UNIT = r"^\s*(?:[①-⑳]|\d+(?:\.\d+)*[.)]|[가-하]\))?\s*[^.!?。！？]{0,40}(?:방법|절차|목적|기준|투여|(?<![가-힣])(?:전|중|후))\s*$"
 PROCEDURE_ACTION = "한다|하고|시행|실시|준비|기록"
+
+# The shape of headings, labels of pages and captions.
+NUMBERED_LINE = r"^(?:\d+(?:\.\d+)*[.)]|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+[. ]|[가-하]\))\s*\S"
+SENTENCE_END = r"(?:다[.!?]?|[。.!?])$"
+HEADER_SENTENCE_END = r"(?:다[.!?]?|[.!?])$"
+DOSE = r"(?i)\d\s*(?:mg|ml|㎎|㎖|℃|분|시간|회|%)"
+CAPTION = r"^(?:\[[^\]]{1,50}\]|(?:예시|그림|표)\s*[①-⑳\d]+)$"
+
+# Quantities, and marks of negation, condition, exception and case that a paraphrase must keep.
+NUMBER_UNIT = r"\d+(?:[.,]\d+)?\s*(?:(?:%|mcg|μg|µg|mg|kg|gage|gauge|g|ml|l|cc|단위|분|시간|초|일|회|번|℃|°c)(?:\s*/\s*(?:hours?|hrs?|hr|minutes?|mins?|min|시간|분))?)?"
+NEGATION = r"않|아니|아닌|없|금지|말(?:고|아야|라)|해서는\s*안|하지\s*말"
+CONDITION = r"경우|[가-힣]+(?:으|이|하|되)?면|다면|할\s*때|[가-힣]+\s*시|\d+(?:[.,]\d+)?\s*(?:%|mg|mcg|μg|µg|g|kg|ml|mL|L|cc|단위|분|시간|초|일|회|번)?\s*(?:이상|이하|초과|미만)"
+EXCEPTION = r"제외|예외|다만|단\s*,"
+CASE_TARGET = r"([가-힣A-Za-z0-9_-]+)(?:인|이\s*아닌)\s*경우"
+LIST_PREFIX = r"^\s*(?:[-•·]|[0-9]+[.)]|[가-하][.)])\s+"

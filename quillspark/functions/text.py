@@ -104,23 +104,20 @@ def term_matches(word: Column, text: Column) -> Column:
 
 def looks_like_heading(line: Column) -> Column:
     own = F.trim(line)
-    numbered = own.rlike(r"^(?:\d+(?:\.\d+)*[.)]|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+[. ]|[가-하]\))\s*\S")
-    return (F.length(own) <= 60) & ~own.rlike(r"(?:다[.!?]?|[。.!?])$") & (numbered | own.isin(*D.HEADINGS))
+    return (F.length(own) <= 60) & ~own.rlike(D.SENTENCE_END) & (own.rlike(D.NUMBERED_LINE) | own.isin(*D.HEADINGS))
 
 
 def looks_like_running_header(text: Column) -> Column:
-    return (F.length(text) > 0) & (F.length(text) <= 60) & (F.size(F.split(text, "\n")) <= 2) & ~text.rlike(r"(?:다[.!?]?|[.!?])$")
+    return (F.length(text) > 0) & (F.length(text) <= 60) & (F.size(F.split(text, "\n")) <= 2) & ~text.rlike(D.HEADER_SENTENCE_END)
 
 
 def page_label_candidate(text: Column) -> Column:
-    dose = text.rlike(r"(?i)\d\s*(?:mg|ml|㎎|㎖|℃|분|시간|회|%)")
-    return (F.length(text) > 0) & (F.length(text) <= 60) & ~F.contains(text, F.lit(" | ")) & ~text.rlike(r"(?:다[.!?]?|[。.!?])$") & ~dose & text.rlike("[가-힣A-Za-z]")
+    return (F.length(text) > 0) & (F.length(text) <= 60) & ~F.contains(text, F.lit(" | ")) & ~text.rlike(D.SENTENCE_END) & ~text.rlike(D.DOSE) & text.rlike("[가-힣A-Za-z]")
 
 
 def substantive_body(text: Column, headings: Column) -> Column:
     """What is left of the lines without headings and captions has 8 characters and a letter."""
-    caption = r"^(?:\[[^\]]{1,50}\]|(?:예시|그림|표)\s*[①-⑳\d]+)$"
-    lines = F.filter(F.transform(F.split(text, "\n"), clean), lambda x: (x != "") & ~F.array_contains(headings, x) & ~x.rlike(caption))
+    lines = F.filter(F.transform(F.split(text, "\n"), clean), lambda x: (x != "") & ~F.array_contains(headings, x) & ~x.rlike(D.CAPTION))
     body = F.array_join(lines, " ")
     return (F.length(body) >= 8) & body.rlike("[가-힣a-zA-Z]")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,49 @@ def procedure_seed(question: Column, text: Column, section: Column, context_only
     return ~context_only & substantive & text.rlike(D.PROCEDURE_ACTION) & supported & compatible(question, F.concat_ws(" ", text, section))
 
 
+def quantities(text: Column) -> Column:
+    """Distinct numbers with their units in one form; the number of a list item isn't one."""
+    found = F.regexp_extract_all(F.lower(F.regexp_replace(text, D.LIST_PREFIX, "")), F.lit(rf"(?<![\w.]){D.NUMBER_UNIT}"), F.lit(0))
+    forms = ((r"[\s,]", ""), ("(?:gage|gauge)$", "g"), ("/(?:hours?|hrs?|hr|시간)$", "/hr"), ("/(?:minutes?|mins?|min|분)$", "/min"))
+    return F.array_distinct(F.transform(found, lambda x: reduce(lambda c, f: F.regexp_replace(c, *f), forms, x)))
+
+
+def paraphrase_reasons(statements: DataFrame, units: DataFrame, key: str = "query_id") -> DataFrame:
+    """For each question the reason why its paraphrase is refused, that of the first statement at fault, or ''.
+
+    statements: key, position, text, ids (of the units it rests on); units: key, unit_id, branch, phase, text.
+    """
+    cited = statements.select(key, "position", F.posexplode("ids").alias("k", "unit_id")).join(units.select(key, "unit_id", "branch", "phase", F.col("text").alias("source")), [key, "unit_id"], "left")
+    facts = cited.groupBy(key, "position").agg(
+        F.count_if(F.col("source").isNull()).alias("unknown"),
+        F.collect_set(F.when(F.col("branch").isin("adult", "pediatric"), F.col("branch"))).alias("branches"),
+        F.collect_set(F.when(~F.col("phase").isin("", "unspecified"), F.col("phase"))).alias("phases"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "source"))), lambda x: x["source"]), " ").alias("source"),
+    )
+    text, source = F.col("text"), F.coalesce("source", F.lit(""))
+    differ = lambda pattern: text.rlike(pattern) != source.rlike(pattern)
+    targets = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(D.CASE_TARGET), F.lit(1))))
+    reason = (
+        F.when(F.size(F.array_distinct("ids")) < F.size("ids"), "duplicate_evidence_id")
+        .when(F.col("unknown") > 0, "unknown_evidence_id")
+        .when(F.size("branches") > 1, "branch_mixing")
+        .when(F.size("phases") > 1, "phase_mixing")
+        .when(F.size(F.array_except(quantities(text), quantities(source))) > 0, "unsupported_number_or_unit")
+        .when(differ(D.NEGATION), "negation_changed")
+        .when(differ(D.CONDITION) | differ(D.EXCEPTION) | (targets(text) != targets(source)), "condition_changed")
+    )
+    faults = statements.join(facts, [key, "position"], "left").select(key, "position", reason.alias("reason")).filter("reason IS NOT NULL")
+    first = faults.groupBy(key).agg(F.min_by("reason", "position").alias("reason"))
+    covered = cited.filter("source IS NOT NULL").groupBy(key).agg(F.count_distinct("unit_id").alias("covered"))
+    rows = units.groupBy(key).agg(F.count("*").alias("n")).join(first, key, "left").join(covered, key, "left")
+    return rows.select(key, F.coalesce("reason", F.when(F.coalesce("covered", F.lit(0)) < F.col("n"), F.lit("evidence_coverage")), F.lit("")).alias("reason"))
+
+
+def paraphrase_decision(reasons: DataFrame, key: str = "query_id") -> DataFrame:
+    """What is shown: always the extract, as no check of meaning is approved; a paraphrase without a fault waits for one."""
+    return reasons.select(key, F.lit("extractive").alias("mode"), F.when(F.col("reason") == "", "semantic_support_pending").otherwise(F.col("reason")).alias("reason"))
+
+
 def conflicts(chunks: DataFrame) -> DataFrame:
     """key, doc_a, doc_b: sentences alike but for their quantities, in the first document that holds one and a later one.
 

@@ -33,6 +33,8 @@ OUTSIDE = r"(?i)날씨|주식|코인|비트코인|로또|운세|연애|맛집|
 HOSPITAL = "간호|병원|환자|진료|투약|투여|수혈|수술|검사|감염|격리|소독|세척|도뇨|카테터|배액|활력|혈압|혈당|산소|심폐|응급|낙상|욕창|처방|병동|직원|교육실|인계|병실"
 EDUCATION = r"(?i)(?<![가-힣a-zA-Z0-9-])[가-힣a-zA-Z0-9-]{2,}교육\s*(?:목적|준비|주의|방법|절차)"
 SEDATION = r"진정.{0,20}(?:치료|시행|수행|전|중|후|목적|준비|확인|체크|주의|조심|안전|평가|동의|투약|모니터링)"
+
+# What asks for a picture or a table, and how a follow-up begins.
 IMAGE = r"(?i)이미지|그림|도식|도표\s*화면|화면|스크린샷|캡처|workflow|flowchart"
 TABLE = r"(?i)표(?:로|에서|의|를|는|$)|비교|차이|제품별|제제별|항목별|보관|온도|속도|용량|투여량|간격|몇\s*(?:분|시간|일|회|번)|유효\s*기간|수치|기준값|단위"
 FOLLOWS = r"^(?:그럼|그때|그것|이어서|추가로|아까|주의사항은|준비물은|해제 기준)|이 두 (?:지침|문서)|이 문서|이 지침|쉽게 정리|보기 쉽게"

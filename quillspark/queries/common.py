@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import lexical_tokens, sentences
 from quillspark.operators import bm25
-from quillspark.session import spread
+from quillspark.session import spread, write_shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +58,23 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.tokenized(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
+_INDEXES: dict[tuple, DataFrame] = {}
+
+
+def shared_index(spark: SparkSession, sf_dir: str, name: str = "lexical", tokens: Callable[[Column], Column] = lexical_tokens) -> DataFrame:
+    """The postings of the documents, written to the shared folder once for a session and a state of the table."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    told = files.getContentSummary(where)
+    state = (spark.sparkContext.applicationId, name, sf_dir, told.getLength(), told.getFileCount(), files.getFileStatus(where).getModificationTime())
+    if state not in _INDEXES:
+        docs = bm25.tokenized(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), tokens)
+        _INDEXES[state] = write_shared(bm25.postings(docs), f"postings-{name}")
+    return _INDEXES[state]
+
+
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.scores(corpus(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+    return bm25.scores(corpus(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), index=shared_index(spark, sf_dir))
 
 
 def bm25_top(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
@@ -72,7 +89,7 @@ def minimal(text):
 
 def bm25_minimal_top(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     docs = bm25.tokenized(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), minimal)
-    return bm25.top(bm25.scores(docs, table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), minimal), k)
+    return bm25.top(bm25.scores(docs, table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), minimal, index=shared_index(spark, sf_dir, "minimal", minimal)), k)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:

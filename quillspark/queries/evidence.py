@@ -383,22 +383,44 @@ def v12(spark, sf):
     return table(spark, sf, "documents").groupBy("source", "lang").agg(F.sum(F.size(F.split("text", " "))).alias("tokens"))
 
 
-_PAR = [(1, "5 mg 투여", "5 mg 투여한다"), (2, "10 mg 투여", "5 mg 투여한다"), (3, "투여하지 않는다", "투여한다"), (4, "열이 있으면 보고", "보고한다"), (5, "보고한다", "보고한다")]
-
-
-@query("v13_paraphrase", f"WITH p AS {values(_PAR, 'id, text, source')} SELECT id::BIGINT AS id, CASE WHEN NOT list_has_all(regexp_extract_all(source, '[0-9]+'), regexp_extract_all(text, '[0-9]+')) THEN 'unsupported_number_or_unit' WHEN regexp_matches(text, '않|금지') <> regexp_matches(source, '않|금지') THEN 'negation_changed' WHEN regexp_matches(text, '으면|이면|경우') <> regexp_matches(source, '으면|이면|경우') THEN 'condition_changed' ELSE '' END AS reason FROM p")
+# Units of an item are its statements; an item's number tells what is done to its paraphrase.
+_PARAPHRASE = rf"""u AS MATERIALIZED (SELECT item_id, position, 'su' || lpad(position::VARCHAR, 5, '0') AS unit_id, CASE position % 7 WHEN 0 THEN 'adult' WHEN 3 THEN 'pediatric' ELSE '' END AS branch, CASE position % 5 WHEN 0 THEN 'before' WHEN 2 THEN 'after' ELSE 'unspecified' END AS phase, unit FROM ({_units_sql('benchmark', 'item_id', 'text')})),
+s AS (
+  SELECT item_id, position, unit || CASE item_id % 9 WHEN 3 THEN ' 5 mg' WHEN 4 THEN ' 않는다' WHEN 5 THEN ' 10인 경우' WHEN 8 THEN ' 제외' ELSE '' END AS text, CASE item_id % 9 WHEN 1 THEN [unit_id, unit_id] WHEN 2 THEN [unit_id, 'su99999'] ELSE [unit_id] END AS ids
+  FROM u WHERE item_id % 9 <> 7 AND (item_id % 9 <> 6 OR position > 1)
+  UNION ALL SELECT item_id, 1, string_agg(unit, ' ' ORDER BY position), list(unit_id ORDER BY position) FROM u WHERE item_id % 9 = 7 GROUP BY 1),
+c AS (SELECT s.item_id, s.position, s.text, s.ids, s.k, u.unit_id, branch, phase, unit FROM (SELECT *, unnest(ids) AS id, generate_subscripts(ids, 1) AS k FROM s) s LEFT JOIN u ON u.item_id = s.item_id AND u.unit_id = s.id),
+f AS (SELECT item_id, position, any_value(text) AS text, any_value(ids) AS ids, count(*) FILTER (unit IS NULL) AS unknown, count(DISTINCT nullif(branch, '')) AS branches, count(DISTINCT nullif(phase, 'unspecified')) AS phases, string_agg(unit, ' ' ORDER BY k) AS source FROM c GROUP BY 1, 2),
+r AS (SELECT item_id, position, CASE WHEN len(list_distinct(ids)) < len(ids) THEN 'duplicate_evidence_id' WHEN unknown > 0 THEN 'unknown_evidence_id' WHEN branches > 1 THEN 'branch_mixing' WHEN phases > 1 THEN 'phase_mixing'
+  WHEN NOT list_has_all(regexp_extract_all(source, '[0-9]+(?:\s*mg)?'), regexp_extract_all(text, '[0-9]+(?:\s*mg)?')) THEN 'unsupported_number_or_unit' WHEN regexp_matches(text, '않') <> regexp_matches(source, '않') THEN 'negation_changed'
+  WHEN regexp_matches(text, '경우|제외') <> regexp_matches(source, '경우|제외') THEN 'condition_changed' END AS reason FROM f),
+reasons AS (SELECT u.item_id, coalesce(any_value(first), CASE WHEN any_value(covered) < count(*) THEN 'evidence_coverage' ELSE '' END) AS reason
+  FROM u LEFT JOIN (SELECT item_id, arg_min(reason, position) AS first FROM r WHERE reason IS NOT NULL GROUP BY 1) USING (item_id) LEFT JOIN (SELECT item_id, count(DISTINCT unit_id) AS covered FROM c GROUP BY 1) USING (item_id) GROUP BY 1)"""
+
+
+def _paraphrases(spark, sf):
+    c, items = F.col, table(spark, sf, "benchmark").select("item_id", F.posexplode(source_units(F.col("text"))).alias("p", "text"))
+    at = c("p") + 1
+    branch = F.when(at % 7 == 0, "adult").when(at % 7 == 3, "pediatric").otherwise("")
+    phase = F.when(at % 5 == 0, "before").when(at % 5 == 2, "after").otherwise("unspecified")
+    units = items.select("item_id", at.alias("position"), F.concat(F.lit("su"), F.lpad(at.cast("string"), 5, "0")).alias("unit_id"), branch.alias("branch"), phase.alias("phase"), "text")
+    case = c("item_id") % 9
+    more = F.when(case == 3, " 5 mg").when(case == 4, " 않는다").when(case == 5, " 10인 경우").when(case == 8, " 제외").otherwise("")
+    ids = F.when(case == 1, F.array("unit_id", "unit_id")).when(case == 2, F.array(c("unit_id"), F.lit("su99999"))).otherwise(F.array("unit_id"))
+    single = units.filter((case != 7) & ((case != 6) | (c("position") > 1))).select("item_id", "position", F.concat("text", more).alias("text"), ids.alias("ids"))
+    own = units.filter(case == 7).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("position", "text", "unit_id"))).alias("g"))
+    whole = own.select("item_id", F.lit(1).alias("position"), F.array_join(F.transform("g", lambda x: x["text"]), " ").alias("text"), F.transform("g", lambda x: x["unit_id"]).alias("ids"))
+    return evidence.paraphrase_reasons(single.unionByName(whole), units, "item_id")
+
+
+@query("v13_paraphrase", f"WITH {_PARAPHRASE} SELECT item_id, reason FROM reasons")
 def v13(spark, sf):
-    p = literal(spark, _PAR, "id long, text string, source string")
-    nums = lambda c: F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0))
-    mark = lambda pat: F.col("text").rlike(pat) != F.col("source").rlike(pat)
-    return p.select("id", F.when(F.size(F.array_except(nums("text"), nums("source"))) > 0, "unsupported_number_or_unit").when(mark("않|금지"), "negation_changed").when(mark("으면|이면|경우"), "condition_changed").otherwise("").alias("reason"))
+    return _paraphrases(spark, sf)
 
 
-@query("v14_decision", f"WITH p AS {values(_PAR, 'id, text, source')} SELECT id::BIGINT AS id, CASE WHEN text = source THEN 'controlled' ELSE 'extractive' END AS mode, CASE WHEN text = source THEN text ELSE source END AS shown FROM p")
+@query("v14_decision", f"WITH {_PARAPHRASE} SELECT item_id, 'extractive' AS mode, CASE WHEN reason = '' THEN 'semantic_support_pending' ELSE reason END AS reason FROM reasons")
 def v14(spark, sf):
-    p = literal(spark, _PAR, "id long, text string, source string")
-    same = F.col("text") == F.col("source")
-    return p.select("id", F.when(same, "controlled").otherwise("extractive").alias("mode"), F.when(same, F.col("text")).otherwise(F.col("source")).alias("shown"))
+    return evidence.paraphrase_decision(_paraphrases(spark, sf), "item_id")
 
 
 _STR = [(1, "기록해야 한다", "required"), (2, "사용하지 않는다", "prohibited"), (3, "고려할 수 있다", "consider"), (4, "권장한다", "recommended"), (5, "즉시 중단해야 한다", "immediate_required"), (6, "기록한다", "plain")]

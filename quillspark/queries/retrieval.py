@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import query_terms, term_matches
 from quillspark.operators import bm25, dense, fusion
-from quillspark.queries.common import MINIMAL, bm25_minimal_top, bm25_scores, bm25_top, corpus, lexical_tokens, sql_bm25, sql_tokens, table
+from quillspark.queries.common import MINIMAL, bm25_minimal_top, bm25_scores, bm25_top, corpus, lexical_tokens, shared_index, sql_bm25, sql_tokens, table
 from quillspark.session import blocks
 
 QUERIES, ORACLES = {}, {}
@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 @query("r01_bm25_stats", f"WITH {sql_bm25()} SELECT (SELECT n FROM bm_stats)::BIGINT AS n_docs, round((SELECT avgdl FROM bm_stats), 6) AS avgdl, (SELECT count(*) FROM bm_df)::BIGINT AS n_terms")
 def r01(spark, sf):
     docs = corpus(spark, sf)
-    terms = docs.select(F.explode("tokens").alias("term")).agg(F.count_distinct("term").alias("n_terms"))
+    terms = shared_index(spark, sf).filter("term <> ''").agg(F.count_distinct("term").alias("n_terms"))
     return bm25.statistics(docs).crossJoin(F.broadcast(terms)).select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"), "n_terms")  # one row each
 
 
@@ -54,7 +54,7 @@ SELECT query_id AS item_id, rank, chunk_id AS doc_id, score FROM (SELECT *, row_
 )
 def r04(spark, sf):
     docs = corpus(spark, sf)
-    tf = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = shared_index(spark, sf).filter("term <> ''")
     n = bm25.statistics(docs)
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     low = df.agg((0.25 * F.avg("idf")).alias("low"))
