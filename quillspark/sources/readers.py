@@ -192,10 +192,13 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("h"))
 
 
-def write_results(df: DataFrame, path: str, kind: str = "json") -> None:
-    """Results as JSON lines, CSV with a header, or Parquet."""
+def write_results(df: DataFrame, path: str, kind: str = "json", mark: bool = False) -> None:
+    """Results as JSON lines, CSV with a header, or Parquet. mark: a byte order mark at the head of each CSV file."""
     writer = df.write.mode("errorifexists")
     if kind == "csv":
+        if mark:  # the header is the first thing in a file
+            first, *rest = df.columns
+            writer = df.toDF(f"\ufeff{first}", *rest).write.mode("errorifexists")
         writer.option("header", "true").csv(path)
     elif kind == "json":
         writer.json(path)

@@ -74,6 +74,14 @@ def test_damaged_files_are_rows_with_their_error(tmp_path, monkeypatch):
     assert readers.parse("x.docx", lying[:at] + (5).to_bytes(4, "little") + lying[at + 4 :])[0][-1] in ("archive_too_large", "damaged")
 
 
+def test_results_with_a_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([(1, "가, 나"), (2, 'q"')], "id long, t string").coalesce(1)
+    readers.write_results(df, str(tmp_path / "r"), "csv", mark=True)
+    (file,) = (tmp_path / "r").glob("*.csv")
+    assert file.read_bytes().startswith("\ufeffid,t\n".encode())
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "r"), header=True).select("id").collect()] == [("1",), ("2",)]
+
+
 def test_tables(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id long, t string")
     b = spark.createDataFrame([(1, "x"), (2, "Y"), (4, "q")], "id long, t string")
