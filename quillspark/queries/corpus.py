@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import terms as D
 from quillspark.functions import text as X
 from quillspark.functions.text import lexical_tokens
 from quillspark.operators import chunks as C
@@ -37,12 +38,24 @@ _PAGES = [
 ]
 
 
-@query("c01_semantic_blocks")
+def _blocks_sql(rows: str, columns: str) -> str:
+    """Paragraphs of tables are blocks; in others each first line and each heading begins one, below the last heading."""
+    heading = f"length(trim(line)) <= 60 AND NOT regexp_matches(trim(line), '{D.SENTENCE_END}') AND (regexp_matches(trim(line), '{D.NUMBERED_LINE}') OR trim(line) IN ({', '.join(repr(x) for x in D.HEADINGS)}))"
+    return f"""WITH p AS (SELECT doc_id, i AS p, s[i] AS para FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS s FROM {rows}))),
+l AS (SELECT doc_id, p, is_table, i AS l, ls[i] AS line FROM (SELECT doc_id, p, is_table, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, p, contains(para, ' | ') AS is_table, CASE WHEN contains(para, ' | ') THEN [para] ELSE string_split(para, chr(10)) END AS ls FROM p))),
+h AS (SELECT *, NOT is_table AND {heading} AS heading FROM l),
+b AS (SELECT *, count(*) FILTER (l = 1 OR heading) OVER w AS block, coalesce(last_value(CASE WHEN heading THEN trim(line) END IGNORE NULLS) OVER w, '') AS section FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY p, l)),
+g AS (SELECT doc_id, block, arg_min(section, (p, l)) AS section, trim(string_agg(line, chr(10) ORDER BY p, l)) AS text FROM b GROUP BY 1, 2),
+o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS ordinal, section, text FROM g)
+SELECT {columns} FROM o"""
+
+
+@query("c01_semantic_blocks", _blocks_sql(values(_PAGES, "doc_id, text"), "doc_id::BIGINT AS doc_id, ordinal::INT AS ordinal, section, text"))
 def c01(spark, sf):
     return C.semantic_blocks(literal(spark, _PAGES, "doc_id long, text string"))
 
 
-@query("c01_document_blocks")
+@query("c01_document_blocks", _blocks_sql("documents", "doc_id, ordinal, section, length(text) AS n_chars"))
 def c01d(spark, sf):
     return C.semantic_blocks(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.col("ordinal").cast("long"), "section", F.length("text").cast("long").alias("n_chars"))
 

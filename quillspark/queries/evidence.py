@@ -93,7 +93,18 @@ def x06(spark, sf):
     return context.round_robin(every, "query_id").select(F.col("query_id").alias("item_id"), F.col("grp").alias("doc_id"), "idx", F.col("position").cast("long"))
 
 
-@query("x07_atomic_packing")
+def _packed_sql(groups: str, key: str, limit: int) -> str:
+    """CTEs after WITH RECURSIVE. groups: k, position, name, size."""
+    return f"""o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY position, name, size) AS rn FROM ({groups})),
+r AS (
+  SELECT k, 0::BIGINT AS rn, 0::BIGINT AS used, '' AS taken, false AS stop FROM o GROUP BY k
+  UNION ALL
+  SELECT r.k, o.rn, CASE WHEN NOT stop AND used + size <= {limit} THEN used + size ELSE used END, CASE WHEN NOT stop AND used + size <= {limit} THEN taken || CASE WHEN taken = '' THEN '' ELSE ',' END || name ELSE taken END, stop OR (used + size > {limit} AND taken = '')
+  FROM r JOIN o ON o.k = r.k AND o.rn = r.rn + 1)
+SELECT k AS {key}, arg_max(taken, rn) AS taken, arg_max(used, rn)::INT AS used FROM r GROUP BY k"""
+
+
+@query("x07_atomic_packing", f"WITH RECURSIVE {sql_bm25()}, " + _packed_sql("SELECT query_id AS k, rank AS position, chunk_id::VARCHAR AS name, len(string_split(text, chr(10))) AS size FROM bm_top JOIN documents ON doc_id = chunk_id", "item_id", 40))
 def x07(spark, sf):
     top = bm25_top(spark, sf)
     sizes = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.size(F.split("text", "\n")).alias("size"))
@@ -362,7 +373,7 @@ def v08(spark, sf):
     return table(spark, sf, "conversations").filter("role = 'assistant'").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("answer"))
 
 
-@query("v09_prompt_packing")
+@query("v09_prompt_packing", "WITH RECURSIVE " + _packed_sql("SELECT conv_id AS k, turn AS position, turn::VARCHAR AS name, length(text) AS size FROM conversations", "conv_id", 600))
 def v09(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("position"), F.col("turn").cast("string").alias("name"), F.length("text").alias("size"))
     return context.packed(turns, "conv_id", 600)

@@ -139,15 +139,29 @@ def n08(spark, sf):
     return counts.unpivot([], list(words), "word", "matches")
 
 
-@query("n09_anchors")
+def sql_anchors(text: str) -> str:
+    """The anchors of a text, comma-joined: what an alias matches is blanked before the next, the longest first."""
+    aliases = sorted(((k, a) for k, own in ALIASES.items() for a in own), key=lambda x: -len(x[1]))
+    patterns = [(k, f"(^|[^a-z0-9]){a}($|[^a-z0-9])" if a.isascii() else "\\s*".join(a.replace(" ", ""))) for k, a in aliases]
+    rest, found = "split_part(acc, '#', 1)", "split_part(acc, '#', 2)"
+    key, pattern = "split_part(x, '#', 1)", "split_part(x, '#', 2)"
+    more = f"{found} || CASE WHEN contains(',' || {found} || ',', ',' || {key} || ',') THEN '' WHEN {found} = '' THEN {key} ELSE ',' || {key} END"
+    start = f"replace(lower(trim(regexp_replace({text}, '\\s+', ' ', 'g'))), '#', ' ') || '#'"
+    return f"split_part(list_reduce([{', '.join(repr(f'{k}#{p}').replace(chr(92) * 2, chr(92)) for k, p in patterns)}], lambda acc, x: CASE WHEN regexp_matches({rest}, {pattern}) THEN regexp_replace({rest}, {pattern}, ' ', 'g') || '#' || {more} ELSE acc END, {start}), '#', 2)"
+
+
+@query("n09_anchors", f"WITH q AS {sql_planted(ASK)} SELECT id, {sql_anchors('q')} AS anchors FROM q")
 def n09(spark, sf):
-    return ask(spark).select("id", F.array_join(X.anchors(F.col("q")), ",").alias("anchors"))
+    return planted(spark, sf, ASK).select("id", F.array_join(X.anchors(F.col("q")), ",").alias("anchors"))
 
 
-@query("n10_compatible")
+_OTHERS = [(1, "VRE 격리 지침"), (2, "폴리 카테터 교환")]
+
+
+@query("n10_compatible", f"WITH q AS {sql_planted(ASK)}, a AS (SELECT id, {sql_anchors('q')} AS wanted FROM q), o AS {values(_OTHERS, 'tid, t')}, b AS (SELECT tid::BIGINT AS tid, {sql_anchors('t')} AS held FROM o) SELECT id, tid, wanted = '' OR list_has_any(string_split(wanted, ','), string_split(held, ',')) AS compatible FROM a, b")
 def n10(spark, sf):
-    other = literal(spark, [(1, "VRE 격리 지침"), (2, "폴리 카테터 교환")], "tid long, t string")
-    return ask(spark).join(F.broadcast(other)).select("id", "tid", X.compatible(F.col("q"), F.col("t")).alias("compatible"))  # ten examples by two
+    other = literal(spark, _OTHERS, "tid long, t string")
+    return planted(spark, sf, ASK).join(F.broadcast(other)).select("id", "tid", X.compatible(F.col("q"), F.col("t")).alias("compatible"))  # by two rows
 
 
 _ASPECT = [(1, "욕창간호절차 알려줘"), (2, "수혈준비사항은"), (3, "격리 목적"), (4, "도뇨관리주의사항을 정리")]
