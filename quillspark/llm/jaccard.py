@@ -436,7 +436,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     levels[counts.column(0).to_numpy()] = np.ceil(np.log2(counts.column(1).to_numpy() + 1)).astype(np.uint8)
     rows = described.filter("kind = 0 AND n > 0")
     least = rows.groupBy("set").agg(F.min("ref").alias("ref"))
-    classes = write_shared(rows.join(least, ["set", "ref"]).select("set", "ref", "n", "fine").dropDuplicates(["set"]), "ngram-classes")
+    classes = write_shared(rows.join(least.select("ref"), "ref", "left_semi").select("set", "ref", "n", "fine").dropDuplicates(["set"]), "ngram-classes")
     prefixes = Written(_prefixes(own, levels), "ngram-prefixes")
     order = ["h", "place", "set"]
     blocks = write_shared(prefixes.read().repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks, "h long, set long, n long, hub long, hub_n long"), "ngram-blocks")
@@ -453,7 +453,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     ids = classes.select("set", "ref").join(found.withColumnRenamed("node", "set"), "set")
     component = ids.groupBy("component").agg(F.min("ref").alias("low")).join(ids, "component").select("set", "low")
     class_low = classes.select("set", F.col("ref").alias("own")).join(component, "set", "left").select("set", F.coalesce("low", "own").alias("component"))
-    return described.filter("kind = 0").select("ref", "n", "set").join(class_low, "set", "left").select("ref", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("ref")).alias("component"))
+    class_low = write_shared(class_low, "ngram-components")
+    held = rows.select("ref", "n", "set")
+    found = _joined(held, "set", class_low, held).select("ref", "n", "component")  # a class may have a third of all rows
+    return found.unionByName(described.filter("kind = 0 AND n = 0").select("ref", "n", F.col("ref").alias("component")))
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
