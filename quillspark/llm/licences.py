@@ -129,7 +129,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     own = [(name, bigrams_of(body), len(words_of(body))) for name, body in templates]
     needed = needed_words(templates, threshold)
     lower = F.lower(F.col(text))
-    some = docs.filter(_holds(lower, needed)).select(F.col(doc_id).alias("doc_id"), lower.alias("text"))
+    some = docs.filter(F.coalesce(let(lower, lambda t: _holds(t, needed)), F.lit(False))).select(F.col(doc_id).alias("doc_id"), lower.alias("text"))
     # A word's line is told by the newlines before it: its place among words and newlines less that among words.
     tokens = F.transform(F.regexp_extract_all("text", F.lit(rf"{WORD}|\n"), F.lit(0)), lambda x, i: F.struct(x.alias("word"), i.alias("at")))
     words = some.select("doc_id", F.filter(tokens, lambda x: x["word"] != "\n").alias("words"))
