@@ -24,6 +24,8 @@ MIN_SITES = 8
 LG_K = 12
 #: With whole_copies: the share of its characters that a document may lose though another row has the same lines.
 MOST_REMOVED = 0.5
+#: Sets of lines that are broadcast: those that more than one in so many rows have, which are fewer than that.
+HOT_SETS = 10_000
 
 
 def _key(line: Column) -> Column:
@@ -47,11 +49,20 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> Da
 
 
 def _copies(table: DataFrame) -> DataFrame:
-    """id, mark of the rows whose lines, in any order, another row has too."""
+    """id, mark of the rows whose lines, in any order, another row has too.
+
+    Sets of lines that more than one in HOT_SETS of all rows have are fewer than HOT_SETS: they are broadcast, so that their
+    rows stay where they are. Rows of the others are joined by set.
+    """
+    by = ["x", "s", "n"]
     sums = [F.bit_xor(F.xxhash64("h1", "h2")).alias("x"), F.sum(F.col("h1").bitwiseAND(F.lit((1 << 36) - 1))).alias("s"), F.count("*").alias("n")]
     each = Written(table.groupBy("uid", "id", "mark").agg(*sums), "line-sets").read()
-    alike = each.groupBy("x", "s", "n").agg(F.count("*").alias("rows")).filter("rows > 1")
-    return each.join(alike, ["x", "s", "n"], "left_semi").select("id", "mark").distinct()
+    alike = Written(each.groupBy(*by).agg(F.count("*").alias("rows")).filter("rows > 1"), "line-set-sizes").read()
+    often = F.col("rows") * HOT_SETS > each.count()
+    hot, rest = alike.filter(often), alike.filter(~often)
+    many = each.join(F.broadcast(hot), by, "left_semi")
+    few = each.join(F.broadcast(hot), by, "left_anti").join(rest, by, "left_semi")
+    return many.unionByName(few).select("id", "mark").distinct()
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, counts: bool = False, whole_copies: bool = False) -> DataFrame:

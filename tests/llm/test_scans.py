@@ -343,9 +343,11 @@ def test_line_dedup_of_rows_with_one_id_long_texts_and_clashing_names(spark, cla
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
-def test_pages_made_mostly_of_boilerplate_lose_it_unless_they_are_copies(spark):
+@pytest.mark.parametrize("hot", [10_000, 20, 1])
+def test_pages_made_mostly_of_boilerplate_lose_it_unless_they_are_copies(spark, monkeypatch, hot):
     import corpus_pipeline
 
+    monkeypatch.setattr(boilerplate, "HOT_SETS", hot)
     own = [(i, f"own text number {i} goes on and on\nSubscribe now\nAll rights reserved here", "en", f"s{i % 10}", 0, "", "") for i in range(40)]
     own += [(100, "Subscribe now\nshort\nAll rights reserved here", "en", "s1", 0, "", ""), (101, "Subscribe now", "en", "s2", 0, "", "")]
     own += [(i, "copy\nAll rights reserved here\nSubscribe now", "en", f"s{i % 3}", 0, "", "") for i in (102, 103)] + [(104, "Subscribe now\ncopy\nAll rights reserved here", "en", "s1", 0, "", "")]
