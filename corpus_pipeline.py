@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group of near copies."""
-    return jaccard.representatives(docs)
+    """One document, that with the least id, of each group of near copies: shingles of five words, Jaccard 0.8 or more."""
+    return jaccard.representatives(docs, rule=jaccard.Rule(words=5, percent=80))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
-"""N-gram Jaccard join with a count-vector R-tree: groups of documents linked by 4-word shingle sets of Jaccard 0.85 or more.
+"""N-gram Jaccard join with a count-vector R-tree: groups of documents linked by shingle sets of a Jaccard threshold or more.
+
+Shingle length and threshold are a Rule: 4 words and 0.85 where none is given; the pipeline's stage gives 5 words and 0.8.
 
 Shingles are hashed to 64 bits, and a document's set is known by a 64-bit sum over it: documents with equal sets are one
 class from here on. Two sets that reach the threshold share a shingle among the first few of each, in any order common to
@@ -19,14 +21,16 @@ group of thousands of near copies needs no more than its links to the first. Blo
 out in pairs of parts; the part of a block that shares one label meets only the rest. A class in more than HOT pairs, such
 as a hub, is joined in as many parts.
 
-Null text, and text without words, is the empty set: linked with nothing. With fewer than 4 words the whole sequence is
-the one shingle. Repeated rows are in one class, and each input row gives one row. A component is named by its least id,
+Null text, and text without words, is the empty set: linked with nothing. With fewer words than a shingle has, the whole
+sequence is the one shingle. Repeated rows are in one class, and each input row gives one row. A component is named by its least id,
 so that ties don't occur. Very long texts are one set each, in memory of a task once. An empty table gives none. Other
 columns are ignored, whatever their names, and pass through representatives().
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,8 +42,15 @@ from quillspark.llm.components import components
 from quillspark.llm.suffixes import _filter, _let_through, _mix, _signed
 from quillspark.session import Written, write_shared
 
-WORDS = 4
-PERCENT = 85
+
+class Rule(NamedTuple):
+    """Words of a shingle, and the percent of the union that linked sets share at least."""
+
+    words: int = 4
+    percent: int = 85
+
+
+RULE = Rule()
 COARSE, FINE = 64, 256
 SLOTS = 1 << 20
 #: Points of a block that one task indexes at once, and of blocks together in one tree.
@@ -54,7 +65,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FACTORS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)]
 
 
-def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], size: int = RULE.words) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     index: dict[bytes, int] = {}
     words = [(t or b"").translate(_LOWER).split() for t in texts]
@@ -63,14 +74,14 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     if not len(ids):
         return [np.zeros(0, _U) for _ in texts]
     own = np.fromiter(map(xxhash.xxh64_intdigest, index), _U, len(index))[ids]
-    h = own[: max(0, len(own) - WORDS + 1)]
-    for k in range(1, WORDS):
-        h = h * _FACTORS[k - 1] + own[k : len(own) - WORDS + 1 + k]
+    h = own[: max(0, len(own) - size + 1)]
+    for k in range(1, size if len(h) else 0):
+        h = h * _FACTORS[(k - 1) % len(_FACTORS)] + own[k : len(own) - size + 1 + k]
     h = _mix(h)
     out, at = [], 0
     for n in counts:
-        if n >= WORDS:
-            out.append(np.unique(h[at : at + n - WORDS + 1]))
+        if n >= size:
+            out.append(np.unique(h[at : at + n - size + 1]))
         elif n:
             total = np.array([n], _U)
             for x in own[at : at + n]:
@@ -105,13 +116,9 @@ def points(packed: list[bytes], groups: int) -> np.ndarray:
     return raw[:, 2:] * (raw[:, :1] + 256 * raw[:, 1:2])
 
 
-def _passes(overlap: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """100 * overlap >= PERCENT * union, with total = the two sizes."""
-    return (100 + PERCENT) * overlap >= PERCENT * total
-
-
-def _near_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+def _passes(overlap: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """100 * overlap >= percent * union, with total = the two sizes."""
+    return (100 + percent) * overlap >= percent * total
 
 
 class CountRTree:
@@ -120,7 +127,8 @@ class CountRTree:
 
     FAN = 8
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, blocks: np.ndarray | None = None) -> None:
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, blocks: np.ndarray | None = None, percent: int = RULE.percent) -> None:
+        self.percent = percent
         blocks = np.zeros(len(sizes), np.int64) if blocks is None else blocks
         self.order = np.lexsort((vectors.argmax(1), sizes, blocks))
         size, block = sizes[self.order], blocks[self.order]
@@ -132,6 +140,7 @@ class CountRTree:
 
     def candidates(self, vectors: np.ndarray, sizes: np.ndarray, blocks: np.ndarray | None = None, chunk: int = 256):
         """Pairs (query, point) that the bounds don't exclude."""
+        percent = self.percent
         blocks = np.zeros(len(sizes), np.int64) if blocks is None else blocks
         for start in range(0, len(vectors), chunk):
             query = np.repeat(np.arange(start, min(start + chunk, len(vectors))), len(self.levels[-1][0]))
@@ -139,12 +148,12 @@ class CountRTree:
             for depth in range(len(self.levels) - 1, -1, -1):
                 top, low, high, first, last = self.levels[depth]
                 n, own = sizes[query], blocks[query]
-                fits = (100 * high[node] >= PERCENT * n) & (100 * n >= PERCENT * low[node]) & (first[node] <= own) & (own <= last[node])
+                fits = (100 * high[node] >= percent * n) & (100 * n >= percent * low[node]) & (first[node] <= own) & (own <= last[node])
                 query, node = query[fits], node[fits]
                 held = [np.zeros(0, bool)]
                 for k in range(0, len(query), 1 << 16):
                     q, m = query[k : k + (1 << 16)], node[k : k + (1 << 16)]
-                    held.append(_passes(np.minimum(vectors[q], top[m]).sum(1), sizes[q] + np.maximum(low[m], -(-PERCENT * sizes[q] // 100))))
+                    held.append(_passes(np.minimum(vectors[q], top[m]).sum(1), sizes[q] + np.maximum(low[m], -(-percent * sizes[q] // 100)), percent))
                 keep = np.concatenate(held)
                 query, node = query[keep], node[keep]
                 if depth:
@@ -160,14 +169,14 @@ def _coarse(fine: np.ndarray) -> np.ndarray:
     return fine.reshape(-1, FINE // COARSE, COARSE).sum(1)
 
 
-def _texts(batches, column: int = 1):
+def _texts(batches, rule: Rule, column: int = 1):
     for batch in batches:
         for part in slices(batch, column):
             refs = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield refs, shingle_sets(as_bytes(part.column(column)))
+            yield refs, shingle_sets(as_bytes(part.column(column)), rule.words)
 
 
-def _describe(docs: DataFrame) -> DataFrame:
+def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
     """kind 0: ref, n, set, fine for each document; kind 1: slot and its count."""
     names = ["kind", "ref", "n", "set", "fine"]
 
@@ -179,7 +188,7 @@ def _describe(docs: DataFrame) -> DataFrame:
             some = times >= OFTEN
             np.add.at(frequent, _slot(own[some]), times[some])
 
-        for refs, sets in _texts(batches):
+        for refs, sets in _texts(batches, rule):
             held += sets
             weight += sum(map(len, sets))
             if weight >= CHUNK:
@@ -194,17 +203,17 @@ def _describe(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind byte, ref long, n long, set long, fine binary")
 
 
-def _prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, levels: np.ndarray, rule: Rule) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         rank = shared.value
-        for _, sets in _texts(batches):
+        for _, sets in _texts(batches, rule):
             h, ids, places = [], [], []
             for own in sets:
                 n = len(own)
                 if n:
-                    size = n - -(-PERCENT * n // 100) + 1
+                    size = n - -(-rule.percent * n // 100) + 1
                     level = rank[_slot(own)]
                     first = own[np.lexsort((own, level))[:size]] if level.any() else own[:size]
                     h.append(first)
@@ -252,7 +261,7 @@ def _blocks(batches):
         yield chunk(held, drop_first=len(held[0]) > 1, keep_last=False, open_start=True)
 
 
-def _pairs(batches):
+def _pairs(batches, percent: int):
     """Rows (h, part_a, part_b, side, label, n, set, fine) sorted by h and parts -> pairs with different labels that the bounds let through."""
     held = None
 
@@ -271,7 +280,7 @@ def _pairs(batches):
         keep = [np.zeros(0, bool)]
         for k in range(0, len(a), 1 << 14):
             x, y = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
-            keep.append(_passes(np.minimum(rows["fine"][x], rows["fine"][y]).sum(1), rows["n"][x] + rows["n"][y]))
+            keep.append(_passes(np.minimum(rows["fine"][x], rows["fine"][y]).sum(1), rows["n"][x] + rows["n"][y], percent))
         keep = np.concatenate(keep)
         return a[keep], b[keep]
 
@@ -310,7 +319,7 @@ def _pairs(batches):
         np.minimum.at(best, block[order][some], label[some])
         main[order] = label == best[block[order]]
         vectors, sizes, ask = rows["coarse"][at], rows["n"][at], np.flatnonzero(~main)
-        for a, b in CountRTree(vectors, sizes, block).candidates(vectors[ask], sizes[ask], block[ask]):
+        for a, b in CountRTree(vectors, sizes, block, percent).candidates(vectors[ask], sizes[ask], block[ask]):
             a = ask[a]
             keep = (main[b] | (a < b)) & allowed(at[a], at[b], rows) | (~main[b] & (a < b) & allowed(at[b], at[a], rows))
             yield from found(*finer(at[a][keep], at[b][keep], rows), rows)
@@ -347,7 +356,7 @@ def _joined(pairs: DataFrame, key: str, table: DataFrame, counted: DataFrame) ->
     return dealt.join(copies, [key, "__part"]).drop("__part")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     pairs = write_shared(pairs, "ngram-tried")
     of = classes.select(F.col("set"), F.col("ref"), F.col("n"), F.col("fine"))
@@ -361,9 +370,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                 _, query, block = np.unique(part.column(0).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
                 one, two = (points(part.column(k).to_pylist(), FINE) for k in (4, 5))
                 n_a, n_b = (part.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-                tree = CountRTree(_coarse(two), n_b, block)
+                tree = CountRTree(_coarse(two), n_b, block, rule.percent)
                 near = np.concatenate([np.zeros(0, np.int64), *[row for _, row in tree.candidates(_coarse(one[query]), n_a[query], np.arange(len(query)))]])
-                near = np.sort(near[_passes(np.minimum(one[near], two[near]).sum(1), n_a[near] + n_b[near])])
+                near = np.sort(near[_passes(np.minimum(one[near], two[near]).sum(1), n_a[near] + n_b[near], rule.percent)])
                 yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(near)) for k in (0, 1, 6, 7)], names=["a", "b", "ref_a", "ref_b"])
 
     left = write_shared(both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b", "ref_a", "ref_b").mapInArrow(fine, "a long, b long, ref_a long, ref_b long"), "ngram-pairs")
@@ -376,7 +385,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             refs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             some = _let_through(words, refs, np.zeros(len(refs), np.int64))
             for part in slices(batch.take(pa.array(some)), 1):
-                own = shingle_sets(as_bytes(part.column(1)))
+                own = shingle_sets(as_bytes(part.column(1)), rule.words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in own], pa.binary())], names=["ref", "own"])
 
     held = docs.mapInArrow(sets, "ref long, own binary").join(needed.select("ref"), "ref", "left_semi").dropDuplicates(["ref"])
@@ -389,14 +398,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             a, b, keep = [], [], []
             for one, two in zip(batch.column(2), batch.column(3), strict=True):
                 one, two = np.frombuffer(one.as_buffer(), _U), np.frombuffer(two.as_buffer(), _U)
-                keep.append(bool(_passes(np.intersect1d(one, two, assume_unique=True).size, len(one) + len(two))))
+                keep.append(bool(_passes(np.intersect1d(one, two, assume_unique=True).size, len(one) + len(two), rule.percent)))
             if any(keep):
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
     return joined.select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long")
 
 
-def _second_round(blocks: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+def _second_round(blocks: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of classes of a block with different labels."""
     rows = blocks.select("h", "set").join(labels, "set", "left").select("h", "set", F.coalesce("label", "set").alias("label"))
     rows = write_shared(rows, "ngram-labelled")
@@ -416,7 +425,7 @@ def _second_round(blocks: DataFrame, classes: DataFrame, labels: DataFrame) -> D
     dealt = own.select("h", "set", "label", F.explode(where).alias("w")).select("h", F.col("w.part_a"), F.col("w.part_b"), F.col("w.side"), "label", "set")
     full = dealt.join(classes.select("set", "n", "fine"), "set").select("h", "part_a", "part_b", "side", "label", "n", "set", "fine")
     keys = ["h", "part_a", "part_b"]
-    return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_pairs, "a long, b long").distinct()
+    return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _pairs(batches, rule.percent), "a long, b long").distinct()
 
 
 def refs_of(docs: DataFrame, doc_id: str, text: str):
@@ -426,28 +435,28 @@ def refs_of(docs: DataFrame, doc_id: str, text: str):
     return (F.col(doc_id).cast("long") if unique else F.xxhash64(F.col(doc_id).cast("string"), F.col(text))), unique
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """ref, n, component (the least ref linked to it): a row for each row of docs. See refs_of()."""
     ref, _ = refs_of(docs, doc_id, text)
     own = docs.select(ref.alias("ref"), F.col(text).alias("text"))
-    described = write_shared(_describe(own), "ngram-docs")
+    described = write_shared(_describe(own, rule), "ngram-docs")
     counts = described.filter("kind = 1").groupBy("ref").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
     levels = np.zeros(SLOTS, np.uint8)
     levels[counts.column(0).to_numpy()] = np.ceil(np.log2(counts.column(1).to_numpy() + 1)).astype(np.uint8)
     rows = described.filter("kind = 0 AND n > 0")
     least = rows.groupBy("set").agg(F.min("ref").alias("ref"))
     classes = write_shared(rows.join(least.select("ref"), "ref", "left_semi").select("set", "ref", "n", "fine").dropDuplicates(["set"]), "ngram-classes")
-    prefixes = Written(_prefixes(own, levels), "ngram-prefixes")
+    prefixes = Written(_prefixes(own, levels, rule), "ngram-prefixes")
     order = ["h", "place", "set"]
     blocks = write_shared(prefixes.read().repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks, "h long, set long, n long, hub long, hub_n long"), "ngram-blocks")
     prefixes.drop()
 
-    near = 100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")
+    near = 100 * F.least("n", "hub_n") >= rule.percent * F.greatest("n", "hub_n")
     first = blocks.filter(near & (F.col("set") != F.col("hub"))).select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
-    links = write_shared(_verified(first, classes, own), "ngram-links")
+    links = write_shared(_verified(first, classes, own, rule), "ngram-links")
     labels = components(links).select(F.col("node").alias("set"), F.col("component").alias("label"))
     labels = write_shared(labels, "ngram-labels")
-    more = write_shared(_verified(_second_round(blocks, classes, labels), classes, own), "ngram-more")
+    more = write_shared(_verified(_second_round(blocks, classes, labels, rule), classes, own, rule), "ngram-more")
 
     found = components(links.unionByName(more))
     ids = classes.select("set", "ref").join(found.withColumnRenamed("node", "set"), "set")
@@ -459,10 +468,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return found.unionByName(described.filter("kind = 0 AND n = 0").select("ref", "n", F.col("ref").alias("component")))
 
 
-def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id of the group): a row for each row of docs."""
     ref, unique = refs_of(docs, doc_id, text)
-    found = groups(docs, doc_id, text)
+    found = groups(docs, doc_id, text, rule)
     if unique:
         return found.select(F.col("ref").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     found = write_shared(found.distinct(), "ngram-groups")
@@ -471,9 +480,9 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return rows.join(low, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = RULE) -> DataFrame:
     """One row of docs for each group, the one with the least id; rows without words stay."""
     ref, unique = refs_of(docs, doc_id, text)
-    found = groups(docs, doc_id, text).filter("n = 0 OR ref = component").select(F.col("ref").alias("__j_ref")).distinct()
+    found = groups(docs, doc_id, text, rule).filter("n = 0 OR ref = component").select(F.col("ref").alias("__j_ref")).distinct()
     rows = docs if unique else docs.dropDuplicates([doc_id, text])
     return rows.withColumn("__j_own", ref).join(found, F.col("__j_own") == F.col("__j_ref"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,11 +10,11 @@ from quillspark.llm.components import components
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def brute(texts):
+def brute(texts, size=4, percent=85):
     sets = []
     for t in texts:
         w = (t or "").translate(LOWER).encode().split()
-        sets.append(frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if w else frozenset())
+        sets.append(frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset())
     parent = list(range(len(texts)))
 
     def find(x):
@@ -25,7 +25,7 @@ def brute(texts):
     held = defaultdict(list)
     for i, s in enumerate(sets):
         for j, k in Counter(j for g in s for j in held[g]).items():
-            if 100 * k >= 85 * (len(s) + len(sets[j]) - k):
+            if 100 * k >= percent * (len(s) + len(sets[j]) - k):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
         for g in s:
@@ -47,15 +47,15 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize(("limit", "indexed", "hot"), [(2_000, 4_096, 256), (9, 20, 3)])
-def test_components_match_brute_force(spark, monkeypatch, limit, indexed, hot):
+@pytest.mark.parametrize(("limit", "indexed", "hot", "rule"), [(2_000, 4_096, 256, (4, 85)), (9, 20, 3, (4, 85)), (9, 20, 3, (5, 80)), (2_000, 4_096, 256, (1, 60))])
+def test_components_match_brute_force(spark, monkeypatch, limit, indexed, hot, rule):
     monkeypatch.setattr(jaccard, "LIMIT", limit)
     monkeypatch.setattr(jaccard, "INDEXED", indexed)
     monkeypatch.setattr(jaccard, "HOT", hot)
     own = corpus(limit)
     df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(7)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.report(df).collect()}
-    assert [got[i] for i in range(len(own))] == brute(own)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.report(df, rule=jaccard.Rule(*rule)).collect()}
+    assert [got[i] for i in range(len(own))] == brute(own, *rule)
 
 
 def test_repeated_ids_empty_table_and_representatives(spark):

@@ -86,7 +86,7 @@ def brute_lines(rows):
 def brute_copies(rows):
     """One row of each group: of the rows with the group's least key, where rows with one id and text are one."""
     own = sorted({(r[0] is None, r[0] or 0, r[1] or ""): r for r in rows}.values(), key=str)
-    found = brute_groups([r[1] for r in own])
+    found = brute_groups([r[1] for r in own], 5, 80)
     groups = defaultdict(list)
     for r, (n, c) in zip(own, found, strict=True):
         groups[c if n else ("alone", r[0], r[1])].append(r)
