@@ -9,6 +9,7 @@ from quillspark.functions import terms as D
 from quillspark.functions import text as X
 from quillspark.plans import questions as P
 from quillspark.queries.common import literal, planted, sql_planted, table, values
+from quillspark.queries.text import sql_anchors
 
 QUERIES, ORACLES = {}, {}
 
@@ -74,9 +75,27 @@ def p01(spark, sf):
     return P.plan(ask(spark))
 
 
-@query("p08_expanded")
+@query("p01_turn_plans")
+def p01_turns(spark, sf):
+    return P.plan(planted(spark, sf, ASK))
+
+
+def _sql_words(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_MORE = " || ".join(f"CASE WHEN contains(lower(q), '{k}') THEN {_sql_words(w)} ELSE []::VARCHAR[] END" for k, w in D.EXPANSIONS.items())
+_ALIASES = "MAP {" + ", ".join(f"'{k}': {_sql_words(w)}" for k, w in D.ALIASES.items()) + "}"
+
+
+@query(
+    "p08_expanded",
+    f"""WITH {_PQ}, a AS (SELECT id, q, {sql_anchors("q")} AS a FROM q),
+w AS (SELECT id, [q] || {_MORE} || flatten(list_transform(list_filter(string_split(a, ','), lambda x: x <> ''), lambda x: {_ALIASES}[x])) AS w FROM a)
+SELECT id, trim(regexp_replace(array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' '), '\\s+', ' ', 'g')) AS expanded FROM w""",
+)
 def p08(spark, sf):
-    return ask(spark).select("id", P.expanded(F.col("q")).alias("expanded"))
+    return planted(spark, sf, ASK).select("id", P.expanded(F.col("q")).alias("expanded"))
 
 
 _FOLLOW = [(1, "그럼 준비물은"), (2, "준비물은 무엇인가요"), (3, "이 두 지침을 비교"), (4, "수혈 절차"), (5, "보기 쉽게 설명"), (6, "아까 그 내용")]
@@ -114,7 +133,7 @@ def p06(spark, sf):
 @query("p07_canonical_topic")
 def p07(spark, sf):
     topics = P.document_topics(literal(spark, _DOCS, "id long, name string"), "name", "id")
-    return P.canonical_topics(ask(spark), topics)
+    return P.canonical_topics(planted(spark, sf, ASK), topics)
 
 
 @query("p09_named_documents", "WITH n AS (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+')) AS name FROM documents) SELECT item_id, name FROM benchmark, n WHERE length(name) >= 4 AND contains(regexp_replace(lower(text), '\\s+', '', 'g'), name)")
@@ -146,7 +165,7 @@ def p12(spark, sf):
 
 @query("p13_topic_words")
 def p13(spark, sf):
-    return ask(spark).select("id", F.array_join(F.array_except(X.query_terms(F.col("q")), F.array(*[F.lit(w) for w in D.INTENT_TERMS])), ",").alias("words"))
+    return planted(spark, sf, ASK).select("id", F.array_join(F.array_except(X.query_terms(F.col("q")), F.array(*[F.lit(w) for w in D.INTENT_TERMS])), ",").alias("words"))
 
 
 @query("p15_answer_reuse", "SELECT conv_id, turn FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id, text ORDER BY turn DESC) = 1")

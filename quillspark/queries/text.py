@@ -54,6 +54,11 @@ def n02(spark, sf):
     return literal(spark, [(1, "ＶＲＥ ①"), (2, "ｶﾀｶﾅ ㎎"), (3, "plain")], SCHEMA).select("id", normal_form("NFKC")("q").alias("q"))
 
 
+@query("n02_document_forms")
+def n02_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", normal_form("NFKC")("text").alias("text"))
+
+
 @query("n11_spelling")
 def n11(spark, sf):
     words = literal(spark, [(1, "vancomicin"), (2, "irrigation"), (3, "isolaton"), (4, "catheters"), (5, "VRE"), (6, "thoracentesiss")], SCHEMA)
@@ -110,7 +115,7 @@ def n05(spark, sf):
 
 @query("n06_common_query")
 def n06(spark, sf):
-    return ask(spark).select("id", F.array_join(X.query_terms(X.split_attached_aspects(F.col("q"))), " ").alias("common"))
+    return planted(spark, sf, ASK).select("id", F.array_join(X.query_terms(X.split_attached_aspects(F.col("q"))), " ").alias("common"))
 
 
 _UNIT = "[0-9]+(?:\\.[0-9]+)?\\s*(?:mg|ml|kg|%)?"
@@ -172,6 +177,11 @@ def n12(spark, sf):
     return literal(spark, _ASPECT, SCHEMA).select("id", X.split_attached_aspects(F.col("q")).alias("q"))
 
 
+@query("n12_turn_aspects")
+def n12_turns(spark, sf):
+    return planted(spark, sf, _ASPECT).select("id", X.split_attached_aspects(F.col("q")).alias("q"))
+
+
 @query(
     "n13_substantive_body",
     """WITH l AS (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '' AND x <> source AND NOT regexp_full_match(x, '(?:\\[[^\\]]{1,50}\\]|(?:예시|그림|표)\\s*[①-⑳\\d]+)')) AS ls FROM documents)
@@ -361,7 +371,7 @@ def n31(spark, sf):
 
 @query("n32_embedding_question")
 def n32(spark, sf):
-    return ask(spark).select("id", X.embedding_question(F.col("q")).alias("text"))
+    return planted(spark, sf, ASK).select("id", X.embedding_question(F.col("q")).alias("text"))
 
 
 @query("n33_bounded_question", "WITH w AS (SELECT item_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM benchmark) SELECT item_id, least(len(w), 20)::BIGINT AS n, array_to_string(list_slice(w, 1, 20), ' ') AS bounded FROM w")
