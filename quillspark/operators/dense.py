@@ -1,14 +1,10 @@
-"""Exact vector search in double precision: inner product, cosine, validity."""
+"""Inner products of single pairs of vectors, and their validity. Search over all vectors: see vectors."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import blocks
-
 
 def as_doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -22,30 +18,6 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, cosine: bool = False) -> DataFrame:
-    """query_id, chunk_id, score for each pair. vectors: chunk_id, v; queries: query_id, q.
-
-    A stated set of questions meets all vectors: the questions go to the vectors, in blocks of bounded size and one pass
-    over the vectors for each.
-    """
-    both = reduce(DataFrame.unionByName, [vectors.join(F.broadcast(own)) for own in blocks(queries, "query_id")])
-    score = dot(F.col("q"), F.col("v"))
-    if cosine:
-        size = norm(F.col("q")) * norm(F.col("v"))
-        score = F.when(size > 0, score / size).otherwise(F.lit(0.0))
-    return both.select("query_id", "chunk_id", F.round(score, 6).alias("score"))
-
-
-def blended(scored: DataFrame, count: int = 40) -> DataFrame:
-    """Rows good by similarity or by keywords: query_id, chunk_id, score, lexical -> with both ranks, the best `count`."""
-    most = max(1, min(count, 80))
-    half = max(1, most // 2)
-    by = Window.partitionBy("query_id")
-    ranked = scored.withColumn("dense_rank", F.row_number().over(by.orderBy(F.desc("score"), "chunk_id"))).withColumn("keyword_rank", F.row_number().over(by.orderBy(F.desc("lexical"), F.desc("score"), "chunk_id")))
-    kept = ranked.filter((F.col("dense_rank") <= half) | ((F.col("lexical") > 0) & (F.col("keyword_rank") <= half)))
-    return kept.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "chunk_id"))).filter(F.col("rank") <= most)
-
-
 def validity(vectors: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """One row: how many vectors there are, of which sizes, and how many aren't finite, zero or off unit length."""
     v = as_doubles(F.col("v"))

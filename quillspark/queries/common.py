@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import lexical_tokens, sentences
 from quillspark.operators import bm25
+from quillspark.operators.impacts import Impacts
 from quillspark.session import spread, write_shared
 
 
@@ -58,27 +59,63 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.tokenized(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
-_INDEXES: dict[tuple, DataFrame] = {}
+#: What a session's queries share: written tables and indexes, the latest SHARED of them.
+_SHARED: dict[tuple, object] = {}
+SHARED = 16
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object], tables: tuple[str, ...] = ("documents",)):
+    """What make() gives, made once for a session and a state of the tables (length, files and time)."""
+    state: tuple = (spark.sparkContext.applicationId, name, sf_dir)
+    for own in tables:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{own}.parquet")
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        told = files.getContentSummary(where)
+        state += (told.getLength(), told.getFileCount(), files.getFileStatus(where).getModificationTime())
+    if state not in _SHARED:
+        made = make()
+        while len(_SHARED) >= SHARED:
+            _SHARED.pop(next(iter(_SHARED)))
+        _SHARED[state] = made
+    return _SHARED[state]
 
 
 def shared_index(spark: SparkSession, sf_dir: str, name: str = "lexical", tokens: Callable[[Column], Column] = lexical_tokens) -> DataFrame:
     """The postings of the documents, written to the shared folder once for a session and a state of the table."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    told = files.getContentSummary(where)
-    state = (spark.sparkContext.applicationId, name, sf_dir, told.getLength(), told.getFileCount(), files.getFileStatus(where).getModificationTime())
-    if state not in _INDEXES:
+
+    def make() -> DataFrame:
         docs = bm25.tokenized(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), tokens)
-        _INDEXES[state] = write_shared(bm25.postings(docs), f"postings-{name}")
-    return _INDEXES[state]
+        return write_shared(bm25.postings(docs), f"postings-{name}")
+
+    return shared(spark, sf_dir, f"postings-{name}", make)
+
+
+def shared_impacts(spark: SparkSession, sf_dir: str, name: str = "lexical", tokens: Callable[[Column], Column] = lexical_tokens) -> Impacts:
+    """The impact-ordered index of the same postings."""
+    return shared(spark, sf_dir, f"impacts-{name}", lambda: Impacts(shared_index(spark, sf_dir, name, tokens)))
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.scores(corpus(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), index=shared_index(spark, sf_dir))
 
 
+#: Ranks of a ranking that queries share.
+RANKS = 10
+
+
+def _shared_top(spark: SparkSession, sf_dir: str, k: int, name: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    """The best k documents of each item, by the impact-ordered index; up to RANKS of them are searched once for all queries."""
+
+    def best(most: int) -> DataFrame:
+        return shared_impacts(spark, sf_dir, name, tokens).top(table(spark, sf_dir, "benchmark"), "item_id", tokens(F.col("text")), most)
+
+    if k > RANKS:
+        return best(k)
+    return shared(spark, sf_dir, f"top-{name}", lambda: write_shared(best(RANKS), f"top-{name}"), ("documents", "benchmark")).filter(F.col("rank") <= k)
+
+
 def bm25_top(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return bm25.top(bm25_scores(spark, sf_dir), k)
+    return _shared_top(spark, sf_dir, k, "lexical", lexical_tokens)
 
 
 def minimal(text):
@@ -88,8 +125,7 @@ def minimal(text):
 
 
 def bm25_minimal_top(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    docs = bm25.tokenized(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), minimal)
-    return bm25.top(bm25.scores(docs, table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), minimal, index=shared_index(spark, sf_dir, "minimal", minimal)), k)
+    return _shared_top(spark, sf_dir, k, "minimal", minimal)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:

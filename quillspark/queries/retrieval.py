@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import query_terms, term_matches
-from quillspark.operators import bm25, dense, fusion
+from quillspark.operators import bm25, dense, fusion, inverted, vectors
 from quillspark.queries.common import MINIMAL, bm25_minimal_top, bm25_scores, bm25_top, corpus, lexical_tokens, shared_index, sql_bm25, sql_tokens, table
 from quillspark.session import blocks
 
@@ -70,6 +70,12 @@ def r05(spark, sf):
     return bm25_top(spark, sf).select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("chunk_id").alias("doc_id"), "score")
 
 
+# The same rows from a full ranking of all pairs that share a term.
+@query("r05_full_ranking", f"WITH {sql_bm25()} SELECT query_id AS item_id, rank, chunk_id AS doc_id, score FROM bm_top")
+def r05f(spark, sf):
+    return bm25.top(bm25_scores(spark, sf), 10).select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("chunk_id").alias("doc_id"), "score")
+
+
 # Zero scores stay in the ranking, by id; the fused list has only positive ones, ranked anew.
 @query(
     "r07_positive_ranks",
@@ -103,12 +109,12 @@ _SIM = """sims AS (SELECT q.vec_id AS q_id, d.vec_id, round({f}(q.embedding::DOU
 
 @query("d01_dense_top10", f"WITH {_SIM.format(f='list_dot_product')} SELECT q_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM sims) WHERE rank <= 10")
 def d01(spark, sf):
-    return bm25.top(dense.similarities(_vectors(spark, sf), _asked(spark, sf)), 10).select(F.col("query_id").alias("q_id"), F.col("rank").cast("long"), F.col("chunk_id").alias("vec_id"), "score")
+    return vectors.top(_vectors(spark, sf), _asked(spark, sf), 10).select(F.col("query_id").alias("q_id"), "rank", F.col("chunk_id").alias("vec_id"), "score")
 
 
 @query("d03_cosine_rank", f"WITH {_SIM.format(f='list_cosine_similarity')} SELECT q_id, rank, vec_id, score AS cos FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM sims) WHERE rank <= 40")
 def d03(spark, sf):
-    return bm25.top(dense.similarities(_vectors(spark, sf), _asked(spark, sf), cosine=True), 40).select(F.col("query_id").alias("q_id"), F.col("rank").cast("long"), F.col("chunk_id").alias("vec_id"), F.col("score").alias("cos"))
+    return vectors.top(_vectors(spark, sf), _asked(spark, sf), 40, cosine=True).select(F.col("query_id").alias("q_id"), "rank", F.col("chunk_id").alias("vec_id"), F.col("score").alias("cos"))
 
 
 @query(
@@ -120,13 +126,12 @@ ranked AS (SELECT s.*, coalesce(lexical, 0) AS lexical, row_number() OVER (PARTI
 SELECT q_id, vec_id, score AS sim, lexical, dense_rank, keyword_rank FROM ranked WHERE dense_rank <= 20 OR (lexical > 0 AND keyword_rank <= 20) QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) <= 40""",
 )
 def d02(spark, sf):
-    sims = dense.similarities(_vectors(spark, sf), _asked(spark, sf), cosine=True)
     terms = table(spark, sf, "benchmark").select((50 * F.col("item_id")).alias("query_id"), F.slice(F.array_distinct(F.filter(lexical_tokens(F.col("text"), False), lambda w: F.length(w) > 1)), 1, 16).alias("terms"))
     bare = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.regexp_replace(F.lower("text"), r"\s+", "").alias("t"))
-    both = reduce(DataFrame.unionByName, [bare.join(F.broadcast(own)) for own in blocks(terms, "query_id")])
+    some = F.exists("terms", lambda w: F.contains(F.col("t"), w))  # no pair without a word becomes a row
+    both = reduce(DataFrame.unionByName, [bare.join(F.broadcast(own), some) for own in blocks(terms, "query_id")])
     lexical = both.select("query_id", "chunk_id", F.size(F.filter("terms", lambda w: F.contains(F.col("t"), w))).cast("long").alias("lexical"))
-    scored = sims.join(lexical, ["query_id", "chunk_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0).cast("long")))
-    return dense.blended(scored, 40).select(F.col("query_id").alias("q_id"), F.col("chunk_id").alias("vec_id"), F.col("score").alias("sim"), "lexical", F.col("dense_rank").cast("long"), F.col("keyword_rank").cast("long"))
+    return vectors.blended(_vectors(spark, sf), _asked(spark, sf), lexical, 40).select(F.col("query_id").alias("q_id"), F.col("chunk_id").alias("vec_id"), F.col("score").alias("sim"), "lexical", "dense_rank", "keyword_rank")
 
 
 @query(
@@ -144,9 +149,8 @@ def d04(spark, sf):
     f"WITH {_SIM.format(f='list_cosine_similarity')}, s AS (SELECT q_id, vec_id, score, round(1 - score, 6) AS distance FROM sims JOIN embeddings USING (vec_id) WHERE label < 5) SELECT q_id, rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, vec_id) AS rank FROM s) WHERE rank <= 10",
 )
 def d05(spark, sf):
-    sims = dense.similarities(_vectors(spark, sf).filter("label < 5"), _asked(spark, sf), cosine=True).withColumn("distance", F.round(1 - F.col("score"), 6))
-    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return sims.withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 10").select(F.col("query_id").alias("q_id"), "rank", F.col("chunk_id").alias("vec_id"), "distance")
+    best = vectors.top(_vectors(spark, sf).filter("label < 5"), _asked(spark, sf), 10, cosine=True)
+    return best.select(F.col("query_id").alias("q_id"), "rank", F.col("chunk_id").alias("vec_id"), F.round(1 - F.col("score"), 6).alias("distance"))
 
 
 @query(
@@ -160,10 +164,28 @@ def d06(spark, sf):
 
 @query("d07_self_search", f"WITH {_SIM.format(f='list_cosine_similarity')} SELECT q_id, vec_id AS top_id, score AS sim, q_id = vec_id AS is_self FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM sims) WHERE rank = 1")
 def d07(spark, sf):
-    best = bm25.top(dense.similarities(_vectors(spark, sf), _asked(spark, sf), cosine=True), 1)
+    best = vectors.top(_vectors(spark, sf), _asked(spark, sf), 1, cosine=True)
     return best.select(F.col("query_id").alias("q_id"), F.col("chunk_id").alias("top_id"), F.col("score").alias("sim"), (F.col("query_id") == F.col("chunk_id")).alias("is_self"))
 
 
+# The inverted file: the rows of an exact search (its bounds leave cells out, never a row), those of a few cells, and what a rebuild stores.
+@query("s23_index_exact", f"WITH {_SIM.format(f='list_cosine_similarity')} SELECT q_id, rank, vec_id, score AS cos FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM sims) WHERE rank <= 10")
+def s23(spark, sf):
+    index = inverted.build(_vectors(spark, sf))
+    return inverted.search(index, _asked(spark, sf), 10, exact=True).select(F.col("query_id").alias("q_id"), "rank", F.col("chunk_id").alias("vec_id"), F.col("score").alias("cos"))
+
+
+@query("s23_index_probes")
+def s23p(spark, sf):
+    index = inverted.build(_vectors(spark, sf))
+    return inverted.search(index, _asked(spark, sf), 10).select(F.col("query_id").alias("q_id"), "rank", F.col("chunk_id").alias("vec_id"), F.col("score").alias("cos"))
+
+
+@query("s23_rebuild_counts", "SELECT batch, expected, sum(expected) OVER (ORDER BY batch)::BIGINT AS stored FROM (SELECT vec_id % 4 AS batch, count(*) AS expected FROM embeddings GROUP BY 1)")
+def s23r(spark, sf):
+    return inverted.rebuilt(inverted.build(_vectors(spark, sf), batches=4))
+
+
 _RRF = """rr AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9)::DOUBLE AS score FROM (SELECT query_id, chunk_id, rank FROM bm_top UNION ALL SELECT query_id, chunk_id, rank FROM mi_top) GROUP BY ALL),
 rr_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM rr) WHERE rank <= 10)"""
 SQL_RRF = f"{sql_bm25()}, {sql_bm25('mi', MINIMAL)}, {_RRF}"
