@@ -10,7 +10,7 @@ from quillspark.operators import chunks as C
 from quillspark.operators import context, evidence
 from quillspark.queries.common import bm25_top, literal, sql_bm25, sql_sentences, table, values
 from quillspark.queries.text import _units_sql
-from quillspark.streaming import quota
+from quillspark.streaming import lifecycle, quota
 
 QUERIES, ORACLES = {}, {}
 
@@ -508,6 +508,48 @@ def v21m(spark, sf):
     return quota.by_minute(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select("user_id", F.col("minute").cast("timestamp_ntz").alias("minute"), "calls", F.round("tokens", 4).alias("tokens"))
 
 
+_LIFE_SQL = """WITH RECURSIVE ops AS MATERIALIZED (
+  SELECT user_id, event_id, epoch_us(ts) AS t, CASE event_type WHEN 'error' THEN 'cancel' WHEN 'signup' THEN 'settle' ELSE 'reserve' END AS kind,
+    last_value(CASE WHEN event_type NOT IN ('error', 'signup') THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS name, floor(value)::BIGINT AS used,
+    row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
+r AS (
+  SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, ''::VARCHAR AS outcome, CAST([] AS STRUCT(id BIGINT, t BIGINT, used BIGINT, done BOOLEAN)[]) AS live FROM ops GROUP BY user_id
+  UNION ALL
+  SELECT user_id, rn, event_id, outcome,
+    CASE outcome WHEN 'reserved' THEN list_append(held, {'id': name, 't': t, 'used': used, 'done': false})
+      WHEN 'cancelled' THEN list_filter(held, lambda y: y.id <> name)
+      WHEN 'settled' THEN list_append(list_filter(held, lambda y: y.id <> name), {'id': name, 't': t, 'used': used, 'done': true}) ELSE held END
+  FROM (SELECT *, CASE
+      WHEN kind = 'reserve' THEN CASE WHEN len(held) >= 20 THEN 'calls' WHEN used > 200 THEN 'length'
+        WHEN coalesce(list_sum(list_transform(held, lambda y: y.used)), 0) + used > 600 THEN 'day'
+        WHEN coalesce(list_sum(list_transform(list_filter(held, lambda y: y.t > t - 60000000), lambda y: y.used)), 0) + used > 200 THEN 'minute' ELSE 'reserved' END
+      WHEN len(list_filter(held, lambda y: y.id = name AND NOT y.done)) = 0 THEN 'ignored'
+      WHEN kind = 'cancel' THEN 'cancelled' WHEN used <= 0 THEN 'kept' ELSE 'settled' END AS outcome
+    FROM (SELECT o.user_id, o.rn, o.event_id, o.t, o.kind, o.name, o.used, list_filter(r.live, lambda y: y.t >= o.t - 86400000000) AS held FROM r JOIN ops o ON o.user_id = r.user_id AND o.rn = r.rn + 1)))
+SELECT user_id, event_id, outcome FROM r WHERE rn > 0"""
+_LIMITS = lifecycle.Limits(calls=20, day=600, minute=200)
+
+
+def operations(spark, sf):
+    """Events as operations: errors cancel and signups settle the user's latest reservation, all others reserve."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    kind = F.when(F.col("event_type") == "error", "cancel").when(F.col("event_type") == "signup", "settle").otherwise("reserve")
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("key"), at.alias("at"), F.col("event_id").alias("op_id"), kind.alias("kind"), F.floor("value").alias("tokens"), F.col("ts").cast("timestamp").alias("ts"))
+    order = Window.partitionBy("key").orderBy("at", "op_id")
+    return rows.withColumn("name", F.last(F.when(F.col("kind") == "reserve", F.col("op_id")), ignorenulls=True).over(order))
+
+
+@query("v21_quota_lifecycle", _LIFE_SQL)
+def v21l(spark, sf):
+    return lifecycle.outcomes(operations(spark, sf), _LIMITS).select(F.col("key").alias("user_id"), F.col("op_id").alias("event_id"), "outcome")
+
+
+# The same as a stream: the operations in files by time, one file a micro-batch, the outcomes as a table.
+@query("v21_lifecycle_stream", _LIFE_SQL)
+def v21s(spark, sf):
+    return lifecycle.streamed(operations(spark, sf), _LIMITS).select(F.col("key").alias("user_id"), F.col("op_id").alias("event_id"), "outcome")
+
+
 @query("v22_artefact_guard", "SELECT 'raw_text_in_questions' AS rule, count(*) AS violations FROM benchmark WHERE sha256(text) IN (SELECT sha256(text) FROM documents) UNION ALL SELECT 'raw_text_in_turns', count(*) FROM conversations WHERE sha256(text) IN (SELECT sha256(text) FROM documents)")
 def v22(spark, sf):
     held = table(spark, sf, "documents").select(F.sha2("text", 256).alias("h")).distinct()
