@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import actions as A
 from quillspark.functions.text import clean, selectable_unit, sentences, source_units
 from quillspark.operators import chunks as C
 from quillspark.operators import context, evidence
-from quillspark.queries.common import bm25_top, literal, sql_bm25, sql_sentences, table, values
+from quillspark.queries.common import bm25_top, literal, planted, sql_bm25, sql_planted, sql_sentences, table, values
+from quillspark.plans.questions import classify
+from quillspark.queries.plan import _KIND
 from quillspark.queries.text import _units_sql
 from quillspark.streaming import lifecycle, quota
 
@@ -93,6 +96,25 @@ def x06(spark, sf):
     return context.round_robin(every, "query_id").select(F.col("query_id").alias("item_id"), F.col("grp").alias("doc_id"), "idx", F.col("position").cast("long"))
 
 
+# Each item's text with a cue asks for one kind of thing; procedures get their groups one after another, all else the groups by turns.
+_CUES = ("의 절차를 알려줘", "의 준비물은", "의 차이", "은 어떻게 진행해", "의 목적")
+_CUED = "CASE item_id % 5 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_CUES)) + " END"
+
+
+@query(
+    "x10_context_dispatch",
+    f"""{_SEED}, e AS (SELECT s.query_id, s.rank, c.doc_id, c.idx, row_number() OVER (PARTITION BY s.query_id, c.doc_id ORDER BY c.idx) AS depth FROM seeds s JOIN ch c ON c.doc_id = s.doc_id AND c.parent = s.parent),
+k AS (SELECT item_id AS query_id, {_KIND} = 'procedure' AS procedure FROM (SELECT item_id, text || {_CUED} AS q FROM benchmark))
+SELECT query_id AS item_id, 'procedure' AS branch, doc_id, idx, row_number() OVER (PARTITION BY query_id ORDER BY rank, idx) AS position FROM e JOIN k USING (query_id) WHERE procedure QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, idx) <= 12
+UNION ALL SELECT query_id, 'other', doc_id, idx, row_number() OVER (PARTITION BY query_id ORDER BY depth, rank, idx) FROM e JOIN k USING (query_id) WHERE NOT procedure QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY depth, rank, idx) <= 12""",
+)
+def x10(spark, sf):
+    cue = F.element_at(F.array(*[F.lit(c) for c in _CUES]), (F.col("item_id") % 5 + 1).cast("int"))
+    procedure = table(spark, sf, "benchmark").select("item_id", (classify(F.concat("text", cue)) == "procedure").alias("procedure"))
+    one, other = x05(spark, sf).join(procedure.filter("procedure"), "item_id", "left_semi"), x06(spark, sf).join(procedure.filter("NOT procedure"), "item_id", "left_semi")
+    return one.withColumn("branch", F.lit("procedure")).unionByName(other.filter("position <= 12").withColumn("branch", F.lit("other"))).select("item_id", "branch", "doc_id", "idx", "position")
+
+
 def _packed_sql(groups: str, key: str, limit: int) -> str:
     """CTEs after WITH RECURSIVE. groups: k, position, name, size."""
     return f"""o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY position, name, size) AS rn FROM ({groups})),
@@ -434,13 +456,49 @@ def v14(spark, sf):
     return evidence.paraphrase_decision(_paraphrases(spark, sf), "item_id")
 
 
-_STR = [(1, "기록해야 한다", "required"), (2, "사용하지 않는다", "prohibited"), (3, "고려할 수 있다", "consider"), (4, "권장한다", "recommended"), (5, "즉시 중단해야 한다", "immediate_required"), (6, "기록한다", "plain")]
+# Sources and statements made of them: kept, of another kind, of another strength.
+_STRENGTHS = [
+    (1, "활력징후를 측정하고 즉시 기록한다.", "활력징후를 측정하고 즉시 기록한다."), (2, "약물을 투여해야 한다.", "약물을 투여할 수 있다."), (3, "투여를 중단한다.", "투여를 중단한다."), (4, "투여를 중단한다.", "약물을 투여한다."),
+    (5, "검체를 채취하여 라벨을 확인한다.", "라벨을 확인한다."), (6, "카테터를 제거하지 않는다.", "카테터를 제거한다."), (7, "물품을 준비한다; 배액관을 연결한다.", "배액관을 연결한다."), (8, "시행 전, 동의서를 작성한다.", "동의서를 작성하는 것을 권고한다."),
+    (9, "무균술 시행을 고려한다.", "무균술을 시행한다."), (10, "낙상에 주의한다.", "낙상에 반드시 주의한다."), (11, "즉시 보고한다.", "보고한다."), (12, "혈압을 점검하며 필요시 수액을 주입한다", "혈압을 점검하며 수액을 주입한다"),
+    (13, "음식을 주면 안 된다. 금식을 확인한다.", "금식을 확인하고, 검사를 금지한다."), (14, "투약 후 관찰, 기록 가능", "기록 가능"), (15, "바로 장착하고 즉시 점검한다.", "바로 점검한다."), (16, "권장 용량을 주입하고 반드시 기재해야 한다.", "반드시 기재해야 한다."),
+]
 
 
-@query("v15_action_strength", f"WITH s AS {values(_STR, 'id, q, want')} SELECT id::BIGINT AS id, CASE WHEN regexp_matches(q, '않|금지') THEN 'prohibited' WHEN regexp_matches(q, '즉시') THEN 'immediate_required' WHEN regexp_matches(q, '해야') THEN 'required' WHEN regexp_matches(q, '고려') THEN 'consider' WHEN regexp_matches(q, '권장') THEN 'recommended' ELSE 'plain' END AS strength FROM s")
+def _signatures_sql(name: str, rows: str) -> str:
+    """CTEs {name}_sig: id and the distinct pairs of kind and strength, by first place. rows: a table of id and text."""
+    count = lambda p, kind: f"(len(regexp_extract_all({p}, '{A.KINDS[kind]}')) - len(regexp_extract_all({p}, '(?:{A.KINDS[kind]}){A.TIME_SUFFIX}(?:{A.TIME_END})')))"
+    found = " UNION ALL ".join(
+        f"SELECT id, c, {k} AS k, '{kind}' AS kind, i, phrase FROM {name}_ph WHERE {count('phrase', kind)} > CASE WHEN i % 2 = 0 THEN {count('p[i - 1]', kind)} + {count('p[i + 1]', kind)} ELSE 0 END" for k, kind in enumerate(A.KINDS)
+    )
+    rules = " ".join(f"WHEN regexp_matches(phrase, '{p}') THEN '{s}'" for p, s in ((A.NEGATED, "prohibited"), (A.CONSIDER, "consider"), (A.RECOMMENDED, "recommended"), (A.OPTIONAL, "optional"), (A.IMMEDIATE, "immediate_required"), (A.MANDATORY, "required")))
+    return f"""{name}_cl AS (SELECT id, c, trim(l[c]) AS clause FROM (SELECT id, l, unnest(generate_series(1, len(l))) AS c FROM (SELECT id, regexp_split_to_array(text, '{A.CLAUSE_END}') AS l FROM {rows}))),
+{name}_pc AS (SELECT id, c, string_split(regexp_replace(clause, '({A.PHRASE_END})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM {name}_cl WHERE clause <> ''),
+{name}_ph AS (SELECT id, c, i, p, CASE WHEN i % 2 = 1 THEN p[i] ELSE p[i - 1] || p[i] || p[i + 1] END AS phrase FROM (SELECT *, unnest(generate_series(1, len(p))) AS i FROM {name}_pc)),
+{name}_f AS ({found}),
+{name}_s AS (SELECT id, c, k, i, kind, CASE WHEN kind = 'prohibit' THEN 'prohibited' {rules} WHEN kind = 'caution' THEN 'caution' ELSE 'required' END AS strength FROM {name}_f f WHERE NOT (kind = 'administer' AND EXISTS (SELECT 1 FROM {name}_f g WHERE g.id = f.id AND g.c = f.c AND g.kind = 'stop' AND g.phrase = f.phrase))),
+{name}_sig AS (SELECT id, kind, strength, min(c * 1000000 + k * 10000 + i) AS place FROM {name}_s GROUP BY ALL),
+{name}_k AS (SELECT id, string_agg(kind, ',' ORDER BY place) AS kinds FROM (SELECT id, kind, min(place) AS place FROM {name}_sig GROUP BY ALL) GROUP BY id),
+{name}_t AS (SELECT id, string_agg(strength, ',' ORDER BY place) AS strengths FROM (SELECT id, strength, min(place) AS place FROM {name}_sig GROUP BY ALL) GROUP BY id)"""
+
+
+_SOURCES, _STATEMENTS = ([(r[0], r[k]) for r in _STRENGTHS] for k in (1, 2))
+
+
+@query(
+    "v15_action_strength",
+    f"""WITH src AS (SELECT id, q AS text FROM {sql_planted(_SOURCES)}), own AS (SELECT id, example AS text FROM (SELECT 1000 * conv_id + turn AS id FROM conversations) JOIN {values([(k, r[1]) for k, r in enumerate(_STATEMENTS)], 'k, example')} ON id % {len(_STRENGTHS)} = k),
+{_signatures_sql('a', 'src')}, {_signatures_sql('b', 'own')},
+bad AS (SELECT b.id, bool_or(NOT EXISTS (SELECT 1 FROM a_sig WHERE a_sig.id = b.id AND a_sig.kind = b.kind)) AS kind_, bool_or(NOT EXISTS (SELECT 1 FROM a_sig WHERE a_sig.id = b.id AND a_sig.kind = b.kind AND a_sig.strength = b.strength)) AS strength_ FROM b_sig b GROUP BY b.id)
+SELECT src.id, NOT coalesce(strength_, false) AS passed, CASE WHEN kind_ THEN 'evaluation_action_kind_changed' WHEN strength_ THEN 'evaluation_action_strength_changed' ELSE '' END AS error_code,
+coalesce(a_k.kinds, '') AS source_kinds, coalesce(b_k.kinds, '') AS statement_kinds, coalesce(a_t.strengths, '') AS source_strengths, coalesce(b_t.strengths, '') AS statement_strengths
+FROM src LEFT JOIN bad USING (id) LEFT JOIN a_k USING (id) LEFT JOIN b_k USING (id) LEFT JOIN a_t USING (id) LEFT JOIN b_t USING (id)""",
+)
 def v15(spark, sf):
-    q = F.col("q")
-    return literal(spark, _STR, "id long, q string, want string").select("id", F.when(q.rlike("않|금지"), "prohibited").when(q.rlike("즉시"), "immediate_required").when(q.rlike("해야"), "required").when(q.rlike("고려"), "consider").when(q.rlike("권장"), "recommended").otherwise("plain").alias("strength"))
+    n, own = len(_STRENGTHS), F.broadcast(literal(spark, [(k, r[1]) for k, r in enumerate(_STATEMENTS)], "k long, statement string"))  # as many rows as are written here
+    both = planted(spark, sf, _SOURCES).join(own, F.col("id") % n == F.col("k"))
+    checked = both.select("id", A.strength_check(A.signatures(F.col("statement")), A.signatures(F.col("q"))).alias("x"))
+    return checked.select("id", F.col("x.passed"), F.coalesce("x.error_code", F.lit("")).alias("error_code"), *[F.array_join(f"x.{c}", ",").alias(c) for c in ("source_kinds", "statement_kinds", "source_strengths", "statement_strengths")])
 
 
 @query("v16_first_failure", "SELECT doc_id, CASE WHEN length(text) = 0 THEN '01_empty' WHEN length(text) < 100 THEN '02_short' WHEN regexp_matches(text, '[#$%&]{3}') THEN '03_symbols' WHEN regexp_matches(text, '@') THEN '04_private' ELSE '' END AS first_failure FROM documents")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import actions as A
 from quillspark.functions.text import clean
 from quillspark.operators import bm25, search
-from quillspark.queries.common import MINIMAL, SQL_GOLD, bm25_minimal_top, bm25_top, gold, literal, sql_bm25, table
+from quillspark.queries.common import MINIMAL, SQL_GOLD, bm25_minimal_top, bm25_top, gold, literal, planted, sql_bm25, sql_planted, table
 
 from quillspark.queries.metrics import MET, THREE, bm25_metrics, three_metrics
+from quillspark.queries.plan import _KIND
 from quillspark.queries.retrieval import _OVERLAP, SQL_RRF, fused_top, overlaps
 
 QUERIES, ORACLES = {}, {}
@@ -189,15 +191,20 @@ def e08(spark, sf):
     return rows.groupBy("doc_id").agg(F.count_if(F.col("line").rlike("[.!?]$") | F.col("line").rlike(r"^\s*[-•]\s*\S.{3,}")).alias("selectable"), F.count("*").alias("units"))
 
 
-@query("e11_broad_questions", "SELECT item_id, length(text) > 200 AND NOT regexp_matches(text, '[0-9]') AS broad FROM benchmark")
-def e11(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", ((F.length("text") > 200) & ~F.col("text").rlike("[0-9]")).alias("broad"))
+# Questions with an example planted: broad, of a part, of one phase, of another kind.
+_BROAD = [
+    (1, "수혈 절차를 알려줘"), (2, "수혈 전 절차를 알려줘"), (3, "투여량과 방법"), (4, "어떻게 진행해"), (5, "수혈 전·후 순서"), (6, "준비물과 절차"), (7, "세척 주기 방법"), (8, "시행 과정과 방법의 목적"),
+    (9, "이후 방법"), (10, "산소 투여 중 방법"), (11, "욕창 알려줘"), (12, "단계별 시행 방법, 사전 준비와 이후 관리"), (13, "몇 회 방법"), (14, "소독 방법으로"),
+]
+_LOW = "lower(trim(regexp_replace(q, '\\s+', ' ', 'g')))"
+_PHASED = "+".join(
+    f"(regexp_matches({_LOW}, '(?:^|[^가-힣a-z0-9])(?:{'|'.join(A.PHASE_WORDS[p])})(?:[^가-힣a-z0-9]|$)') OR list_contains(list_concat({', '.join(f'regexp_extract_all({_LOW}, $${x}(?:{A.PHASE_END})$$, 1)' for x in (A.EVENT, A.CONTINUED))}), '{s}'))::INT" for s, p in A.SHORT_PHASES.items()
+)
 
 
-@query("x10_context_dispatch", f"WITH {sql_bm25()} SELECT query_id AS item_id, chunk_id AS doc_id, CASE WHEN query_id % 2 = 0 THEN 'procedure' ELSE 'other' END AS branch FROM bm_top WHERE rank <= CASE WHEN query_id % 2 = 0 THEN 3 ELSE 1 END")
-def x10(spark, sf):
-    top = bm25_top(spark, sf, 3).withColumn("branch", F.when(F.col("query_id") % 2 == 0, "procedure").otherwise("other"))
-    return top.filter((F.col("branch") == "procedure") | (F.col("rank") == 1)).select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "branch")
+@query("e11_broad_questions", f"WITH a AS {sql_planted(_BROAD)} SELECT id, {_KIND} = 'procedure' AND regexp_matches(q, '{A.BROAD}') AND NOT regexp_matches(q, '{A.NARROW}') AND ({_PHASED}) <> 1 AS broad FROM a")
+def e11(spark, sf):
+    return planted(spark, sf, _BROAD).select("id", A.broad_procedure(F.col("q")).alias("broad"))
 
 
 # A small corpus end to end: the question's best chunk by words alone.

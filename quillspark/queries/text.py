@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import actions as A
 from quillspark.functions import terms as D
 from quillspark.functions import text as X
 from quillspark.functions.terms import ALIASES, INTENT_TERMS, QUESTION_PARTICLES, STOP_TERMS, TEXT_PARTICLES
@@ -233,16 +234,19 @@ def n19(spark, sf):
     return planted(spark, sf, _PHASE).select("id", F.array_join(X.temporal_phases(F.col("q")), ",").alias("phases"))
 
 
-@query("n20_unit_phases")
+_N_LOW = "lower(trim(regexp_replace(q, '\\s+', ' ', 'g')))"
+_N_PHASES = ", ".join(
+    f"CASE WHEN regexp_matches({_N_LOW}, '(?:^|[^가-힣a-z0-9])(?:{'|'.join(A.PHASE_WORDS[p])})(?:[^가-힣a-z0-9]|$)') OR list_contains(list_concat({', '.join(f'regexp_extract_all({_N_LOW}, $${x}(?:{A.PHASE_END})$$, 1)' for x in (A.EVENT, A.CONTINUED))}), '{s}') THEN '{p}' END" for s, p in A.SHORT_PHASES.items()
+)
+
+
+@query("n20_unit_phases", f"WITH a AS {sql_planted(_PHASE)} SELECT id, concat_ws(',', {_N_PHASES}) AS phases FROM a")
 def n20(spark, sf):
-    unit = F.col("q")
-    found = F.array_compact(F.array(*[F.when(unit.rlike(rf"(?:^|[\s,·‧/]){w}(?=$|[\s,·‧/.])|{w}에"), F.lit(p)) for w, p in (("전", "before"), ("중", "during"), ("후", "after"))]))
-    return planted(spark, sf, _PHASE).select("id", F.array_join(found, ",").alias("phases"))
+    return planted(spark, sf, _PHASE).select("id", F.array_join(A.unit_phases(F.col("q")), ",").alias("phases"))
 
 
-# Roots of the families of actions.
-FAMILIES = {"assess": ("평가", "사정"), "check": ("확인", "점검"), "observe": ("관찰", "모니터"), "record": ("기록", "작성"), "report": ("보고", "알린"), "prepare": ("준비", "갖춘")}
-_ACTS = [(1, "활력징후를 확인하고 기록한다"), (2, "이상 시 보고한다"), (3, "물품을 준비한다"), (4, "상태를 관찰하고 평가한다"), (5, "설명한다")]
+FAMILIES = A.FAMILIES
+_ACTS = [(1, "활력징후를 확인하고 기록한다"), (2, "이상 시 보고한다"), (3, "물품을 준비한다"), (4, "상태를 관찰하고 평가한다"), (5, "설명한다"), (6, "병실로 이동하여 산소를 연결한다"), (7, "서명을 받는다"), (8, "쉰다")]
 
 
 @query("n21_action_families", f"WITH a AS {sql_planted(_ACTS)} SELECT id::BIGINT AS id, concat_ws(',', {', '.join('CASE WHEN ' + ' OR '.join(f'contains(q, $${r}$$)' for r in own) + f' THEN $${k}$$ END' for k, own in FAMILIES.items())}) AS families FROM a")
