@@ -4,12 +4,15 @@ Base spans are e-mail addresses, IP addresses, card numbers and phone numbers in
 protected entity. The corpus then tells how strongly the terms of the documents that hold it reveal it. With n(e, t) the
 documents that hold entity e and, outside all base spans, term t, n(t) those that hold t anywhere, n(e) those that hold e
 and N all of them, P(e | t) is estimated as (n(e, t) - 1) / n(t): the document by which a pair was found is left out, so
-that terms of a single document tell nothing, however rare they are. The pointwise mutual information
+that terms of a single document tell nothing, however rare they are. In n(e, t), n(t) and n(e) near copies (see copies)
+count as one document: what only the copies of one text hold tells nothing either. The pointwise mutual information
 log2(P(e | t) * N / n(e)) is compared with the information content of the entity, log2(N / n(e)). A term that carries
 GENERALISE of it or more is generalised, and from REMOVE on removed: wherever it stands outside base spans, in all
 documents, as it reveals the entity there as well.
 
-All counts are over all documents. Terms that are counted or marked are broadcast up to TERMS of them; beyond, a join
+All counts are over all documents. A term is counted among texts without copies first; only what may then still reveal an
+entity is counted by class among texts with copies, which a bitmap of hashes tells (a text that it takes for one with
+copies is counted by its own hash, which gives the same). Terms that are counted or marked are broadcast up to TERMS of them; beyond, a join
 with all words counts or marks them.
 
 Null text is empty: no spans, the digest of nothing. Each input row gives one row and counts as a document, also repeated
@@ -24,13 +27,15 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.batches import as_bytes, slices
+from quillspark.llm.copies import bands, classes, text_hash
 from quillspark.llm.decontaminate import _NORMAL
 from quillspark.session import write_shared
 
@@ -107,7 +112,8 @@ def _terms(text: str, spans: list[list[tuple[int, int]]]):
 
 _FOUND = T.StructType(
     [
-        T.StructField("uid", T.LongType()),
+        T.StructField("h", T.LongType()),
+        T.StructField("bands", T.ArrayType(T.LongType())),
         T.StructField("entities", T.ArrayType(T.LongType())),
         T.StructField("terms", T.ArrayType(T.StringType())),
     ]
@@ -147,14 +153,15 @@ def _scan(docs: DataFrame, schema: T.StructType, row) -> DataFrame:
 
 
 def _detected(docs: DataFrame) -> DataFrame:
-    """uid, entities and terms of the documents that hold an entity."""
+    """The text's hash and groups of minima, and entities and terms of the documents that hold an entity."""
 
-    def row(uid, doc_id, text):
-        text = text.decode("utf-8", "replace")
+    def row(uid, doc_id, data):
+        text = data.decode("utf-8", "replace")
         spans = base_spans(text)
+        known = text_hash(data), bands(data)
         if any(spans):
-            return uid, sorted({_entity(k, text[a:b]) for k, own in enumerate(spans) for a, b in own}), sorted({t for t, _, _ in _terms(text, spans)})
-        return None
+            return *known, sorted({_entity(k, text[a:b]) for k, own in enumerate(spans) for a, b in own}), sorted({t for t, _, _ in _terms(text, spans)})
+        return *known, None, None
 
     return _scan(docs, _FOUND, row)
 
@@ -179,39 +186,101 @@ def _marked(docs: DataFrame, wanted: dict[str, str] | None) -> DataFrame:
     return _scan(docs, _MARKED, row)
 
 
-def _document_counts(docs: DataFrame, terms: DataFrame, most: int) -> DataFrame:
-    """t, n: how many documents hold each of the terms anywhere."""
-    some = [r["t"].encode() for r in terms.limit(most + 1).collect()]  # at most `most` + 1 rows
-    if len(some) <= most:
-        shared = docs.sparkSession.sparkContext.broadcast(frozenset(some))
-
-        def run(batches):
-            wanted, counts = shared.value, Counter()
-            for batch in batches:
-                for part in slices(batch, 1):
-                    for text in as_bytes(part.column(1)):
-                        counts.update(wanted.intersection((text or b"").translate(_NORMAL).split()))
+#: Bits of the map that tells texts with copies.
+COPY_BITS = 1 << 26
+
+
+def _copy_map(classes_: DataFrame) -> np.ndarray:
+    """Bit h % COPY_BITS is set for the hash h of each text with copies: at most COPY_BITS / 64 rows reach the driver."""
+    at = F.pmod(F.col("h"), F.lit(COPY_BITS))
+    words = classes_.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(h, {COPY_BITS}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = words.toPandas()
+    bits = np.zeros(COPY_BITS // 64, np.uint64)
+    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def _held_terms(docs: DataFrame, some: list[bytes], copies: np.ndarray, alone: bool) -> DataFrame:
+    """t, n: how many texts without copies hold each of some terms; or else t, h: which texts with copies hold them."""
+    shared = docs.sparkSession.sparkContext.broadcast((frozenset(some), copies))
+
+    def run(batches):
+        (wanted, bits), counts, pairs = shared.value, Counter(), set()
+
+        def seen():
+            out = sorted(pairs)
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array([t.decode() for t, _ in out], pa.string()), pa.array([h for _, h in out], pa.int64())], names=["t", "h"])
+
+        for batch in batches:
+            for part in slices(batch, 1):
+                for text in as_bytes(part.column(1)):
+                    h = text_hash(text or b"")
+                    at = h % COPY_BITS
+                    if bool(int(bits[at >> 6]) >> (at & 63) & 1) != alone:
+                        held = wanted.intersection((text or b"").translate(_NORMAL).split())
+                        if alone:
+                            counts.update(held)
+                        else:
+                            pairs.update((t, h) for t in held)
+                if len(pairs) >= 1 << 16:
+                    yield seen()
+        if alone:
             yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["t", "n"])
+        elif pairs:
+            yield seen()
+
+    return docs.mapInArrow(run, "t string, n long" if alone else "t string, h long")
+
+
+def _by_class(pairs: DataFrame, classes_: DataFrame) -> DataFrame:
+    """t, n: classes that hold each term. pairs: t, h."""
+    own = pairs.distinct().join(classes_, "h", "left").select("t", F.coalesce("class", "h").alias("class"))
+    return own.distinct().groupBy("t").agg(F.count("*").alias("n"))
 
-        return docs.mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
+
+def _pairs_of_words(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """t, h of all documents, by a join."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = F.array_distinct(F.regexp_extract_all(F.translate("text", upper, lower), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
-    return docs.select(F.explode(words).alias("t")).join(terms, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n"))
+    words = F.array_distinct(F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), upper, lower), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([pa.array([text_hash(x or b"") for x in as_bytes(part.column(1))], pa.int64()), part.column(2)], names=["h", "words"])
+
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), words.alias("words")).mapInArrow(run, "h long, words array<string>")
+    return hashed.select(F.explode("words").alias("t"), "h").join(terms, "t", "left_semi")
 
 
 def disclosures(found: DataFrame, docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, most: int = TERMS) -> DataFrame:
     """e, t, share, action: terms that reveal an entity; share is the part of its information that the term carries."""
     total = docs.count()
-    alike = write_shared(found.groupBy("entities", "terms").agg(F.count("*").alias("n")), "pii-alike")  # copies go on as one row
-    each = alike.select(F.explode("entities").alias("e"), "n").groupBy("e").agg(F.sum("n").alias("n_e")).filter("n_e > 1")  # with one document, P = 0
+    alike = classes(found.select("h", "bands"))
+    own = found.filter("entities is not null").select("h", "entities", "terms").join(alike, "h", "left").select(F.coalesce("class", "h").alias("class"), "entities", "terms")
+    own = write_shared(own.groupBy("class", "entities", "terms").agg(F.count("*").alias("rows")), "pii-alike")  # copies go on as one row
+    each = own.select(F.explode("entities").alias("e"), "class").distinct().groupBy("e").agg(F.count("*").alias("n_e")).filter("n_e > 1")  # with one document, P = 0
     each = write_shared(each, "pii-entities")
-    pairs = alike.select(F.explode("entities").alias("e"), "terms", "n").join(each.select("e"), "e", "left_semi").select("e", F.explode("terms").alias("t"), "n")
-    both = write_shared(pairs.groupBy("e", "t").agg(F.sum("n").alias("n_et")).filter("n_et > 1"), "pii-pairs")
-    counts = _document_counts(docs, both.select("t").distinct(), most)
+    pairs = own.select(F.explode("entities").alias("e"), "terms", "class").join(each.select("e"), "e", "left_semi").select("e", F.explode("terms").alias("t"), "class").distinct()
+    both = write_shared(pairs.groupBy("e", "t").agg(F.count("*").alias("n_et")).filter("n_et > 1").join(each, "e"), "pii-pairs")
     info = F.log2(F.lit(float(total)) / F.col("n_e"))
-    given = (F.col("n_et") - 1) / F.col("n")
-    share = F.when(info > 0, F.log2(given * float(total) / F.col("n_e")) / info).otherwise(0.0)
-    joined = both.join(each, "e").join(counts, "t").select("e", "t", F.round(share, 12).alias("share")).filter(F.col("share") >= generalise)
+
+    def share(n: Column) -> Column:
+        return F.round(F.when(info > 0, F.log2((F.col("n_et") - 1) / n * float(total) / F.col("n_e")) / info).otherwise(0.0), 12)
+
+    terms = both.select("t").distinct()
+    some = [r["t"].encode() for r in terms.limit(most + 1).collect()]  # at most `most` + 1 rows
+    if len(some) <= most:
+        copies = _copy_map(alike)
+        alone = write_shared(_held_terms(docs, some, copies, True).groupBy("t").agg(F.sum("n").alias("alone")), "pii-alone")
+        # No more texts than those without copies: a term that is too frequent among them can't reveal its entity.
+        able = write_shared(both.join(alone, "t", "left").filter(share(F.greatest(F.coalesce("alone", F.lit(0)), F.col("n_et"))) >= generalise), "pii-able")
+        rest = [r["t"].encode() for r in able.select("t").distinct().collect()]  # at most `most` rows
+        copied = _by_class(_held_terms(docs, rest, copies, False), alike)
+        counted = able.join(copied, "t", "left").withColumn("n_t", F.coalesce("alone", F.lit(0)) + F.coalesce("n", F.lit(0)))
+    else:
+        counted = both.join(_by_class(_pairs_of_words(docs, terms), alike), "t").withColumn("n_t", F.col("n"))
+    joined = counted.withColumn("share", share(F.greatest(F.col("n_t"), F.col("n_et")))).select("e", "t", "share").filter(F.col("share") >= generalise)
     return joined.withColumn("action", F.when(F.col("share") >= remove, "remove").otherwise("generalise"))
 
 

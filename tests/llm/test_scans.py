@@ -7,7 +7,7 @@ import pytest
 from corpora import SCHEMA
 from pyspark.sql import functions as F
 
-from quillspark.llm import boilerplate, decontaminate, language, licences, pii, secrets
+from quillspark.llm import boilerplate, copies, decontaminate, language, licences, pii, secrets
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -82,7 +82,9 @@ def test_pii_base_spans(spark):
 
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_pii_terms_that_reveal_are_marked(spark, most):
-    docs = [f"filler{i} plain words here. Write to zorblatt qux@mail.com about quuxly things, thanks" for i in range(6)] + [f"plain words here about things, thanks filler{i}" for i in range(300)]
+    rnd = random.Random(20)
+    apart = lambda: " ".join(rnd.sample([f"w{k}" for k in range(40)], 12))  # noqa: E731  no copies of one text
+    docs = [f"filler{i} {apart()} here. Write to zorblatt qux@mail.com about quuxly things, {apart()}" for i in range(6)] + [f"plain {apart()} write to here about things, {apart()} filler{i}" for i in range(300)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
     found = {r["doc_id"]: r["spans"] for r in pii.find(df, most=most).collect()}
     t = docs[0]
@@ -96,7 +98,8 @@ def test_pii_terms_that_reveal_are_marked(spark, most):
 def test_pii_terms_far_from_the_entity_are_marked_in_all_documents(spark, most):
     rnd = random.Random(5)
     gap = " ".join(["plain", "words", "here"] * 10)
-    docs = [f"Zorblatt {gap} qux@mail.com {gap} zorblatt é" for _ in range(4)] + [f"{gap} only ZORBLATT, twice zorblatt"] + [f"{gap} only twice {rnd.randint(0, 10**9)}" for _ in range(300)]
+    mixed = lambda: " ".join(rnd.sample(["plain", "words", "here", *[f"n{k}" for k in range(20)]], 15))
+    docs = [f"Zorblatt {mixed()} qux@mail.com {mixed()} zorblatt é" for _ in range(4)] + [f"{gap} only ZORBLATT, twice zorblatt"] + [f"{mixed()} é only twice {rnd.randint(0, 10**9)}" for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     found = {r["doc_id"]: r["spans"] for r in pii.find(df, most=most).collect()}
     for i, t in enumerate(docs[:5]):
@@ -117,15 +120,28 @@ def brute_pii_spans(texts):
         terms = [(m[0].translate(LOWER), m.start(), m.end()) for m in WORD.finditer((t or "").translate(LOWER)) if all(b <= m.start() or a >= m.end() for a, b in taken)]
         held.append((base, frozenset(entities), terms, frozenset(x for x, _, _ in terms)))
     anywhere = [set(words(t)) for t in texts]
+    copy, by = list(range(len(texts))), {}
+
+    def least(k):
+        while copy[k] != k:
+            k = copy[k]
+        return k
+
+    for k, t in enumerate(texts):  # near copies count as one: texts that are equal or share a group of minima
+        for band in [("text", t or ""), *enumerate(copies.bands((t or "").encode()))]:
+            a, b = sorted((least(k), least(by.setdefault(band, k))))
+            copy[b] = a
+    copy = [least(k) for k in range(len(texts))]
     action = {}
     for e in {e for _, own, _, _ in held for e in own}:
         of = [k for k in range(len(texts)) if e in held[k][1]]
-        info = math.log2(len(texts) / len(of))
+        n_e = len({copy[k] for k in of})
+        info = math.log2(len(texts) / n_e)
         for term in set().union(*(held[k][3] for k in of)):
-            both = [k for k in of if term in held[k][3]]
+            both = {copy[k] for k in of if term in held[k][3]}
             if len(both) > 1 and info > 0:
-                p = (len(both) - 1) / sum(term in x for x in anywhere)
-                share = round(math.log2(p * len(texts) / len(of)) / info, 12)
+                p = (len(both) - 1) / len({copy[k] for k, x in enumerate(anywhere) if term in x})
+                share = round(math.log2(p * len(texts) / n_e) / info, 12)
                 if share >= pii.GENERALISE:
                     action[term] = max(action.get(term, ""), "remove" if share >= pii.REMOVE else "generalise")
     return [",".join([*(":".join(x) for x in base), *(f"{k}:{a}:{b}" for k, a, b in sorted((action[x], a, b) for x, a, b in terms if x in action))]) for base, _, terms, _ in held]
@@ -144,7 +160,7 @@ def test_all_spans_of_personal_data_match_brute_force(spark, most):
             own += [entity if rnd.random() < 0.9 else ""] + [x.upper() if rnd.random() < 0.3 and x.isascii() else x for x in near if rnd.random() < 0.7]
         rnd.shuffle(own)
         texts.append(" ".join(own))
-    texts += [texts[10]] * 5 + ["single@copy.net unheardof words"]
+    texts += [texts[10]] * 5 + [texts[k] + f" more{k}" for k in (20, 21, 22) for _ in range(3)] + ["single@copy.net unheardof words"]
     df = spark.createDataFrame([(i % 250, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, spans string, n_ip long").repartition(5)
     got = sorted((r["doc_id"], r["spans"]) for r in pii.find(df, most=most).collect())
     want = brute_pii_spans(texts)
@@ -153,6 +169,22 @@ def test_all_spans_of_personal_data_match_brute_force(spark, most):
     assert want[-1] == "email:0:15"
 
 
+def test_copies_of_one_text_reveal_nothing(spark):
+    rnd = random.Random(21)
+    fill = [f"filler{i}" for i in range(300)]
+    page = rnd.sample(fill, 60)
+    near = []
+    for _ in range(12):  # about one word of sixty is another: a similarity of 0.8
+        near.append(" ".join(["zorblatt", *[w if rnd.random() > 0.016 else rnd.choice(fill) for w in page], "qux@mail.com", "wibble"]))
+    spread = [" ".join(["wobble", *rnd.sample(fill, 30), "real@mail.com"]) for _ in range(4)]
+    spread += [spread[0]] * 30  # copies don't hide a term that others reveal as well
+    docs = near + near[:3] + spread + [" ".join(rnd.sample(fill, 40)) for _ in range(300)]
+    marked = set()
+    for r in pii.find(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).collect():
+        marked |= {docs[r["doc_id"]][int(a) : int(b)] for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k != "email"}
+    assert marked == {"wobble"}
+
+
 def test_terms_are_marked_at_both_ends_without_the_fillers(spark):
     rnd = random.Random(19)
     fill = [f"filler{i}" for i in range(60)]
