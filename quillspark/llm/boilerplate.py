@@ -3,8 +3,9 @@
 A line's key is a pair of hashes (64 and 32 bits) of the line without white space at its ends. HyperLogLog sketches of the
 sites that hold a line are merged by aggregation. Lines whose estimate is within three standard errors of the threshold
 get an exact distinct count; those above are boilerplate, those below are not. Boilerplate lines are removed wherever
-they stand, even if nothing is left of a text. With whole_copies, a document that would lose more than half its characters
-stays whole if another row has the same lines, in any order: then it is a copy, for a near-duplicate operator to judge.
+they stand, even if nothing is left of a text. With unlike, a line must also stand in min_sites different sets of lines,
+counted in the same way: lines that only the copies of a document spread are no boilerplate, and the copies stay whole, for
+a near-duplicate operator to judge.
 
 Blank lines are kept and never counted. A null site counts as one site of its own. Null text stays null, with no lines;
 empty text stays empty. Repeated rows each give a row; they add no spread. Ties don't occur: a line is boilerplate from
@@ -22,10 +23,6 @@ from quillspark.session import Written
 
 MIN_SITES = 8
 LG_K = 12
-#: With whole_copies: the share of its characters that a document may lose though another row has the same lines.
-MOST_REMOVED = 0.5
-#: Sets of lines that are broadcast: those that more than one in so many rows have, which are fewer than that.
-HOT_SETS = 10_000
 
 
 def _key(line: Column) -> Column:
@@ -38,54 +35,36 @@ def _filled(line: Column) -> Column:
 
 
 def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """h1, h2 of the lines that at least min_sites sites hold. lines: h1, h2, site."""
+    """h1, h2 of the lines that at least min_sites sites hold and, if lines has a column own, that have as many values of it. lines: h1, h2, site."""
     margin = 3 * 1.04 / (2**lg_k) ** 0.5
-    seen = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
-    seen = seen.filter(F.col("sites") >= min_sites * (1 - margin))
+    by = [c for c in ("site", "own") if c in lines.columns]
+    seen = lines.groupBy("h1", "h2").agg(F.least(*[F.hll_sketch_estimate(F.hll_sketch_agg(c, lg_k)) for c in by], F.lit(2**62)).alias("n"))
+    seen = seen.filter(F.col("n") >= min_sites * (1 - margin))
     seen = Written(seen, "line-spread").read()
-    near = seen.filter(F.col("sites") <= min_sites * (1 + margin)).select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("n")).filter(F.col("n") >= min_sites).select("h1", "h2")
-    return seen.filter(F.col("sites") > min_sites * (1 + margin)).select("h1", "h2").unionByName(exact)
+    near = seen.filter(F.col("n") <= min_sites * (1 + margin)).select("h1", "h2")
+    some, exact = lines.join(near, ["h1", "h2"], "left_semi"), near
+    for c in by:
+        exact = exact.join(some.groupBy("h1", "h2").agg(F.count_distinct(c).alias("n")).filter(F.col("n") >= min_sites).select("h1", "h2"), ["h1", "h2"], "left_semi")
+    return seen.filter(F.col("n") > min_sites * (1 + margin)).select("h1", "h2").unionByName(exact)
 
 
-def _copies(table: DataFrame) -> DataFrame:
-    """id, mark of the rows whose lines, in any order, another row has too.
-
-    Sets of lines that more than one in HOT_SETS of all rows have are fewer than HOT_SETS: they are broadcast, so that their
-    rows stay where they are. Rows of the others are joined by set.
-    """
-    by = ["x", "s", "n"]
-    sums = [F.bit_xor(F.xxhash64("h1", "h2")).alias("x"), F.sum(F.col("h1").bitwiseAND(F.lit((1 << 36) - 1))).alias("s"), F.count("*").alias("n")]
-    each = Written(table.groupBy("uid", "id", "mark").agg(*sums), "line-sets").read()
-    alike = Written(each.groupBy(*by).agg(F.count("*").alias("rows")).filter("rows > 1"), "line-set-sizes").read()
-    often = F.col("rows") * HOT_SETS > each.count()
-    hot, rest = alike.filter(often), alike.filter(~often)
-    many = each.join(F.broadcast(hot), by, "left_semi")
-    few = each.join(F.broadcast(hot), by, "left_anti").join(rest, by, "left_semi")
-    return many.unionByName(few).select("id", "mark").distinct()
-
-
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, counts: bool = False, whole_copies: bool = False) -> DataFrame:
-    """docs with boilerplate lines removed from text; counts adds __b_lines and __b_removed. whole_copies: see above."""
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, counts: bool = False, unlike: bool = False) -> DataFrame:
+    """docs with boilerplate lines removed from text; counts adds __b_lines and __b_removed. unlike: see above."""
     lines, mark = F.split(F.col(text), "\n"), F.xxhash64(F.col(text))
-    uid = [F.monotonically_increasing_id().alias("uid")] if whole_copies else []
-    own = docs.select(F.col(doc_id).alias("id"), mark.alias("mark"), *uid, F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.col(text).alias("text"))
-    own = own.select("*", F.posexplode(F.split("text", "\n")).alias("pos", "line")).drop("text")  # uid is made before lines are
+    own = docs.select(F.col(doc_id).alias("id"), mark.alias("mark"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.col(text).alias("text"))
+    if unlike:  # the set of a text's lines, whatever their order
+        own = own.withColumn("own", F.xxhash64(F.array_sort(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), _filled), lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\r"))))))))
+    named = ["own"] if unlike else []
+    own = own.select("*", F.posexplode(F.split("text", "\n")).alias("pos", "line")).drop("text")
     own = own.filter(_filled(F.col("line"))).withColumn("key", _key(F.col("line"))).withColumn("pos", F.col("pos") + 1)
-    table = Written(own.select("id", "mark", *(["uid"] if whole_copies else []), "site", "pos", "key.h1", "key.h2"), "lines").read()
-    common = Written(spread(table.select("h1", "h2", "site"), min_sites), "boilerplate").read()
+    table = Written(own.select("id", "mark", *named, "site", "pos", "key.h1", "key.h2"), "lines").read()
+    common = Written(spread(table.select("h1", "h2", "site", *named), min_sites), "boilerplate").read()
     # Each document's own boilerplate: places of no more than its lines.
     found = table.join(common, ["h1", "h2"], "left_semi").groupBy("id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("__b_at"))
-    if whole_copies:
-        found = found.join(_copies(table).withColumn("__b_copy", F.lit(True)).withColumnRenamed("id", "i").withColumnRenamed("mark", "m"), F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").drop("i", "m")
     found = found.withColumnRenamed("id", "__b_id").withColumnRenamed("mark", "__b_mark")
     joined = docs.join(found.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__b_id")) & (mark == F.col("__b_mark")), "left")
     joined = joined.withColumn("__b_text", F.when(F.col("__b_at").isNotNull(), F.array_join(without(lines, F.col("__b_at")), "\n")))
-    done = F.col("__b_text").isNotNull()
-    if whole_copies:
-        size = [F.length(F.regexp_replace(F.col(x), r"\s", "")) for x in (text, "__b_text")]
-        done &= F.col("__b_copy").isNull() | (size[1] >= (1 - MOST_REMOVED) * size[0])
-    joined = joined.withColumn("__b_done", done)
+    joined = joined.withColumn("__b_done", F.col("__b_text").isNotNull())
     result = F.when(F.col("__b_done"), F.col("__b_text")).otherwise(F.col(text))
     filled = F.coalesce(F.size(F.filter(lines, _filled)), F.lit(0)).cast("long")
     extra = [filled.alias("__b_lines"), F.when(F.col("__b_done"), F.size("__b_at")).otherwise(F.lit(0)).cast("long").alias("__b_removed")] if counts else []

@@ -6,8 +6,9 @@ needs the fewest phrases, each weighed by the bits that tell a place in that sam
 by its share of the labelled documents, are added, which decides texts of a few letters. Texts are parsed in blocks of
 256 bytes, all blocks of a batch side by side, for every language from the same block starts; nothing of a text is left out.
 
-The sample: for each of at most LANGUAGES languages (the most frequent first, then by name) the labelled document with the
-least hash in each of BUCKETS buckets, of each an excerpt; SAMPLE_CHARS in all, shared out evenly among the languages.
+The sample: for each language the labelled document with the least hash in each of BUCKETS buckets, of each an excerpt;
+SAMPLE_CHARS in all, shared out evenly among the languages, but LEAST_CHARS for each however many there are. Automata of
+GROUP languages are held by a task at once; with more languages texts are parsed once for each group of them.
 
 Labels are used of rows with a doc_id, text and language whose crc32(doc_id as text) mod 4 is not 2. Null text or text
 without a letter is `und` with score 0; so is every text if nothing could be learned. A tie goes to the first name. The
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 from quillspark.llm.batches import append_columns, worker_cache
 
 BUCKETS = 64
-LANGUAGES = 256
-SAMPLE_CHARS = 160_000
+GROUP = 256
+SAMPLE_CHARS, LEAST_CHARS = 160_000, 600
 EXCERPT = 4_000
 BLOCK = 256
 
@@ -57,17 +58,19 @@ def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     own = own.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     seen = own.groupBy("lang", "bucket").agg(F.min("h").alias("h"), F.count("*").alias("n"))
-    total = seen.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    total = seen.groupBy("lang").agg(F.sum("n").alias("n"))
     share = {r["lang"]: r["n"] for r in total.collect()}
-    chosen = seen.join(total.select("lang"), "lang", "left_semi").select("lang", "bucket", "h")  # at most LANGUAGES * BUCKETS rows
+    chosen = seen.select("lang", "bucket", "h")  # at most BUCKETS rows for each language
+    if len(share) <= GROUP:
+        chosen = F.broadcast(chosen)
     start = 1 + F.pmod(F.xxhash64(F.col("h"), F.lit(1)), F.greatest(F.length("text") - EXCERPT, F.lit(1))).cast("int")
-    got = own.join(F.broadcast(chosen), ["lang", "bucket", "h"]).select("lang", "bucket", F.substring(F.col("text"), start, F.lit(EXCERPT)).alias("part"))
+    got = own.join(chosen, ["lang", "bucket", "h"]).select("lang", "bucket", F.substring(F.col("text"), start, F.lit(EXCERPT)).alias("part"))
     parts: dict[str, dict[int, bytes]] = {}
     for row in sorted(got.distinct().collect(), key=lambda r: (r["lang"], r["bucket"], r["part"])):
         letters = letters_of(row["part"].encode())
         if letters:
             parts.setdefault(row["lang"], {}).setdefault(row["bucket"], letters)
-    most = SAMPLE_CHARS // max(4, len(parts))
+    most = max(LEAST_CHARS, SAMPLE_CHARS // max(4, len(parts)))
     out = {}
     for name, own_parts in sorted(parts.items()):
         each = most // len(own_parts) + 1
@@ -156,26 +159,42 @@ class Model:
         return out
 
 
-def predict(docs: DataFrame, samples: dict[str, tuple[bytes, float]], text: str = "text") -> DataFrame:
-    """docs with lang_pred and score, in the place of columns with these names. The samples, at most SAMPLE_CHARS, travel with the tasks."""
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, samples: dict[str, tuple[bytes, float]], text: str = "text", group: int = GROUP) -> DataFrame:
+    """docs with lang_pred and score, in the place of columns with these names. The samples travel with the tasks."""
+    out = docs.drop("lang_pred", "score", "__l_best")
+    names = sorted(samples)
+    for at in range(0, max(1, len(names)), group):
+        own = {name: samples[name] for name in names[at : at + group]}
+        out = _parsed(out, own, text, "__l_best" in out.columns)
+    lang, first, second = (F.col("__l_best")[k] for k in ("lang", "first", "second"))
+    score = F.when(lang == "und", 0.0).when(second.isNull(), 1.0).otherwise(1 - first / second)
+    return out.withColumn("lang_pred", lang).withColumn("score", score).drop("__l_best")
+
+
+def _parsed(docs: DataFrame, samples: dict[str, tuple[bytes, float]], text: str, more: bool) -> DataFrame:
+    """docs with __l_best: the language that takes the fewest bits, its bits and those of the second; with more, against an earlier one."""
     key = f"language-{uuid.uuid4().hex}"
 
     def make():
         model = worker_cache(key, lambda: Model(samples), 1) if samples else None
 
         def work(texts: list[bytes | None]) -> list:
-            names, scores = ["und"] * len(texts), [0.0] * len(texts)
+            out: list[dict] = [{"lang": "und", "first": None, "second": None} for _ in texts]
             some = [k for k, x in enumerate(texts) if model and x and has_letter(x)]
             if some:
                 bits = model.phrases([letters_of(texts[k]) for k in some])
                 order = np.argsort(bits, axis=1, kind="stable")
                 for k, row, rank in zip(some, bits, order, strict=True):
-                    names[k] = model.names[rank[0]]
-                    scores[k] = float(1 - row[rank[0]] / row[rank[1]]) if len(rank) > 1 else 1.0
-            return [names, scores]
+                    out[k] = {"lang": model.names[rank[0]], "first": float(row[rank[0]]), "second": float(row[rank[1]]) if len(rank) > 1 else None}
+            return [out]
 
         return work
 
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return append_columns(docs, text, make, fields, 2 << 20)
+    kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("first", T.DoubleType()), T.StructField("second", T.DoubleType())])
+    found = append_columns(docs, text, make, [T.StructField("__l_new", kind)], 2 << 20)
+    if not more:
+        return found.withColumnRenamed("__l_new", "__l_best")
+    old, new = F.col("__l_best"), F.col("__l_new")
+    other = F.struct(new["lang"].alias("lang"), new["first"].alias("first"), F.least(new["second"], old["first"]).alias("second"))
+    held = F.struct(old["lang"].alias("lang"), old["first"].alias("first"), F.least(old["second"], new["first"]).alias("second"))
+    return found.withColumn("__l_best", F.when(new["lang"] == "und", old).when((old["lang"] == "und") | (new["first"] < old["first"]), other).otherwise(held)).drop("__l_new")

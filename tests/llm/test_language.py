@@ -70,3 +70,17 @@ def test_empty_table_and_clashing_columns(spark):
     got = language.predict(df, samples)
     assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and got.count() == df.count()
     assert {r["lang_pred"] for r in got.collect()} <= {"und", *PARTS}
+
+
+@pytest.mark.parametrize("group", [1, 2])
+def test_languages_in_groups_give_the_same(spark, group):
+    df = spark.createDataFrame(rows(80), SCHEMA).repartition(3)
+    samples = language.sample(df)
+    want = sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language.predict(df, samples).collect())
+    assert sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language.predict(df, samples, group=group).collect()) == want
+
+
+def test_no_language_is_left_out(spark):
+    own = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x" * 9, f"l{i:03}", 0.0, "") for i in range(520)]
+    samples = language.sample(spark.createDataFrame(own, SCHEMA))
+    assert len(samples) == 520 - sum(r[0] for r in spark.createDataFrame(own, SCHEMA).selectExpr("int(crc32(string(doc_id)) % 4 = 2)").collect())

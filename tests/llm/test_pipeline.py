@@ -66,19 +66,17 @@ def brute_rules(t):
 
 def brute_lines(rows):
     bare = lambda x: x.strip(" \t\r")
-    sites = defaultdict(set)
+    sites, sets = defaultdict(set), defaultdict(set)
     for r in rows:
-        for x in (r[1] or "").split("\n"):
-            sites[bare(x)].add(r[3] or "")
-    alike = Counter(tuple(sorted(bare(x) for x in r[1].split("\n") if bare(x))) for r in rows if r[1] is not None)
+        own = [bare(x) for x in (r[1] or "").split("\n")]
+        for x in own:
+            sites[x].add(r[3] or "")
+            sets[x].add(frozenset(own) - {""})
     out = []
     for r in rows:
         t = r[1]
         if t is not None:
-            left = "\n".join(x for x in t.split("\n") if not bare(x) or len(sites[bare(x)]) < 8)
-            size = [len(re.sub(r"\s", "", x)) for x in (t, left)]
-            copy = alike[tuple(sorted(bare(x) for x in t.split("\n") if bare(x)))] > 1
-            t = t if copy and 2 * size[1] < size[0] else left
+            t = "\n".join(x for x in t.split("\n") if not bare(x) or len(sites[bare(x)]) < 8 or len(sets[bare(x)]) < 8)
         out.append((r[0], t, r[2], r[3], len(t) if t is not None else None, r[5]))
     return out
 

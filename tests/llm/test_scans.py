@@ -375,16 +375,18 @@ def test_line_dedup_of_rows_with_one_id_long_texts_and_clashing_names(spark, cla
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("hot", [10_000, 20, 1])
-def test_pages_made_mostly_of_boilerplate_lose_it_unless_they_are_copies(spark, monkeypatch, hot):
+def test_lines_that_only_copies_spread_are_no_boilerplate(spark):
     import corpus_pipeline
 
-    monkeypatch.setattr(boilerplate, "HOT_SETS", hot)
     own = [(i, f"own text number {i} goes on and on\nSubscribe now\nAll rights reserved here", "en", f"s{i % 10}", 0, "", "") for i in range(40)]
     own += [(100, "Subscribe now\nshort\nAll rights reserved here", "en", "s1", 0, "", ""), (101, "Subscribe now", "en", "s2", 0, "", "")]
-    own += [(i, "copy\nAll rights reserved here\nSubscribe now", "en", f"s{i % 3}", 0, "", "") for i in (102, 103)] + [(104, "Subscribe now\ncopy\nAll rights reserved here", "en", "s1", 0, "", "")]
+    own += [(i, "copy\nAll rights reserved here\nSubscribe now", "en", f"s{i % 3}", 0, "", "") for i in (102, 103)]
+    own += [(200 + i, "a page of which\nthere are copies\n \non many sites", "en", f"s{i}", 0, "", "") for i in range(12)]
+    own += [(220 + i, "on many sites\nthere are copies\na page of which", "en", f"t{i}", 0, "", "") for i in range(3)]
     df = spark.createDataFrame(own, SCHEMA)
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
     assert len(got) == len(own) and got[0] == ("own text number 0 goes on and on", 32)
-    assert got[100] == ("short", 5) and got[101] == ("", 0)
-    assert all(got[i][0] == dict((x[0], x[1]) for x in own)[i] for i in (102, 103, 104))
+    assert got[100] == ("short", 5) and got[101] == ("", 0) and got[102] == got[103] == ("copy", 4)
+    assert all(got[i][0] == t for i, t, *_ in own if i >= 200)
+    plain = {r["doc_id"]: r["text"] for r in boilerplate.clean(df).collect()}
+    assert plain[200].strip() == "" and plain[0] == got[0][0]
