@@ -23,10 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without boilerplate lines but for copies made mostly of them; n_chars follows the text."""
+    """All documents, without boilerplate lines; lines that only copies of a document spread are none. n_chars follows the text."""
     from pyspark.sql import functions as F
 
-    cleaned = boilerplate.clean(docs, whole_copies=True)
+    cleaned = boilerplate.clean(docs, unlike=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cleaned.columns else cleaned
 
 
