@@ -5,8 +5,9 @@ Candidates for the entropy scan are runs of 20 or more characters of keys outsid
 characters slides over each: the counts of its characters are carried from step to step, and so is the sum of
 c * log2(c) over them, in integers, so that nothing drifts. A candidate is reported as `entropy` if its
 most random window reaches the threshold of its character class, and if the allow list (placeholders, UUIDs, date stamps,
-paths and names in words) doesn't suppress it. Letters are words if at most one pair of neighbours in them is one that
-words hardly have, and if capitals begin no more than one word in six characters.
+paths and names in words) doesn't suppress it. In names digits may end a part. Letters are words if at most one pair of
+neighbours in them, or one in twenty characters, is one that words hardly have, and if capitals begin no more than one word
+in five characters.
 
 Positions are code points, ends exclusive. Null text is empty: no spans. Each input row gives one row, also rows that are
 alike; an empty table gives none. A very long candidate costs time in proportion to its length; many matches in one text
@@ -140,10 +141,18 @@ def window_entropy(text: Column, window: int = WINDOW, enough: Column | float |
     return F.when(F.length(text) >= window, let(limit, lambda bound: let(codes, lambda own: scan(own, bound)))).otherwise(F.lit(0.0))
 
 
+#: Digits at the end of a part of a name.
+PART_DIGITS = r"(?<=[A-Za-z])\d{1,3}(?![A-Za-z0-9])"
+#: Names in small letters and at least two underscores; no more than a quarter of them digits.
+SNAKE = "^[a-z0-9]*_[a-z0-9]*_[a-z0-9_]*$"
+
+
 def _allowed(word: Column) -> Column:
     odd = F.size(F.regexp_extract_all(word, F.lit(f"(?i)(?=({ODD_PAIRS}))"), F.lit(1)))
     capitals = F.size(F.regexp_extract_all(word, F.lit("[a-z](?=[A-Z])"), F.lit(0)))
-    return word.rlike(ALLOW) | (word.rlike("[A-Za-z]") & word.rlike(NAME) & (odd <= 1) & (capitals * 6 <= F.length(word)))
+    snake = word.rlike(SNAKE) & (F.size(F.regexp_extract_all(word, F.lit("[0-9]"), F.lit(0))) * 4 <= F.length(word))
+    named = snake | F.regexp_replace(word, PART_DIGITS, "").rlike(NAME)
+    return word.rlike(ALLOW) | (word.rlike("[A-Za-z]") & named & (odd <= F.greatest(F.lit(1), F.floor(F.length(word) / 20))) & (capitals * 5 <= F.length(word)))
 
 
 def _is_secret(word: Column) -> Column:

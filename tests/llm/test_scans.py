@@ -390,3 +390,26 @@ def test_lines_that_only_copies_spread_are_no_boilerplate(spark):
     assert all(got[i][0] == t for i, t, *_ in own if i >= 200)
     plain = {r["doc_id"]: r["text"] for r in boilerplate.clean(df).collect()}
     assert plain[200].strip() == "" and plain[0] == got[0][0]
+
+
+def test_names_of_code_are_no_secrets_and_keys_are(spark):
+    import string
+    import sysconfig
+    from pathlib import Path
+
+    root = Path(sysconfig.get_paths()["stdlib"])
+    names = set()
+    for f in sorted(root.glob("*/*.py"))[:400]:
+        names.add(f"usr/lib/python3/{f.relative_to(root).with_suffix('')}")
+        names |= set(re.findall(r"\b[A-Za-z_][A-Za-z_0-9]{19,}\b", f.read_text(errors="replace")))
+    names = random.Random(1).sample(sorted(n for n in names if re.fullmatch(r"[A-Za-z0-9+/_=-]{20,}", n)), 500)
+    names += ["src/main/java/org/apache/spark/sql/catalyst", "getElementsByClassNameAndSelector", "/usr/local/lib/python3/site-packages/numpy/core", "com/google/android/gms/auth/api2/signin", "sha256-of-the-quick-brown-fox-jumps"]
+    rnd = random.Random(2)
+    kinds = {"b62": string.ascii_letters + string.digits, "b64": string.ascii_letters + string.digits + "+/", "small": string.ascii_lowercase, "letters": string.ascii_letters}
+    rows = [("name", n) for n in names] + [(f"{k} {n}", "".join(rnd.choice(own) for _ in range(n))) for k, own in kinds.items() for n in (20, 32, 40) for _ in range(200)]
+    df = spark.createDataFrame([(i, f"see {x} here") for i, (_, x) in enumerate(rows)], "doc_id long, text string").repartition(4)
+    found = Counter(rows[r["doc_id"]][0] for r in secrets.scan(df).collect() if any(x["kind"] == 3 for x in r["spans"]))
+    assert found["name"] <= 0.05 * len(names)
+    assert all(found[f"{k} {n}"] >= 0.97 * 200 for k in kinds for n in (32, 40)) and all(found[f"{k} 20"] >= 0.97 * 200 for k in ("b62", "b64"))
+    assert found["small 20"] >= 0.8 * 200 and found["letters 20"] >= 0.9 * 200
+    assert not any(x["kind"] == 3 for r in secrets.scan(spark.createDataFrame([(i, x) for i, x in enumerate(names[500:])], "doc_id long, text string")).collect() for x in r["spans"])
