@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import terms as D
 from quillspark.functions import text as X
 from quillspark.functions.text import lexical_tokens
 from quillspark.operators import chunks as C
+from quillspark.operators import embedding
+from quillspark.operators.dense import norm
 from quillspark.queries.common import literal, sql_tokens, table, values
+from quillspark.session import shared_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -286,6 +291,15 @@ def s22(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
 
 
+# Vectors of all documents by hashed features, in four batches that a run can resume.
+@query("s22_hashed_vectors", "SELECT doc_id, 64::BIGINT AS dims, CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
+def s22v(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    store = f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}/vectors-{uuid.uuid4().hex}"
+    made = embedding.embed(docs, "doc_id", "text", embedding.Hashing(64), store, batches=4)
+    return made.select("doc_id", F.size("v").cast("long").alias("dims"), F.round(norm(F.col("v")), 4).alias("norm"))
+
+
 # Joins of the catalog.
 
 

@@ -8,7 +8,8 @@ from quillspark.functions import actions as A
 from quillspark.functions import terms as D
 from quillspark.functions import text as X
 from quillspark.functions.terms import ALIASES, INTENT_TERMS, QUESTION_PARTICLES, STOP_TERMS, TEXT_PARTICLES
-from quillspark.functions.unicode import close_match, normal_form
+from quillspark.functions.unicode import normal_form
+from quillspark.operators import spelling
 from quillspark.queries.common import bm25_top, literal, planted, sql_bm25, sql_planted, sql_sentences, sql_tokens, table, values
 
 QUERIES, ORACLES = {}, {}
@@ -60,11 +61,13 @@ def n02_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", normal_form("NFKC")("text").alias("text"))
 
 
+# The words of the conversations, some with a letter dropped or doubled, against those of the documents.
 @query("n11_spelling")
 def n11(spark, sf):
-    words = literal(spark, [(1, "vancomicin"), (2, "irrigation"), (3, "isolaton"), (4, "catheters"), (5, "VRE"), (6, "thoracentesiss")], SCHEMA)
-    vocabulary = tuple(sorted({w for own in ALIASES.values() for a in own for w in a.replace("-", " ").split() if w.isascii() and len(w) >= 6} | {"irrigation", "isolation", "thoracentesis"}))
-    return words.select("id", close_match(vocabulary)("q").alias("corrected"))
+    words = lambda name: table(spark, sf, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("w")).distinct()
+    w, part = F.col("w"), F.crc32("w") % 5
+    typed = F.when(part == 0, F.concat(F.substring(w, 1, 2), F.substring(w, 4, 1000))).when(part == 1, F.concat(F.substring(w, 1, 3), F.substring(w, 3, 1000))).otherwise(w)
+    return spelling.corrections(words("conversations").select(typed.alias("w")), words("documents"))
 
 
 @query("n03_lexical_tokens", f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents) GROUP BY ALL")

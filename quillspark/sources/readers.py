@@ -176,14 +176,18 @@ def parse(path: str, content: bytes) -> list[tuple]:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """The blocks of every pdf, docx and xlsx file below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """The blocks of files (path, content)."""
 
     def run(batches):
         for files in batches:
             rows = [r for p, c in zip(files["path"], files["content"], strict=True) for r in parse(p, bytes(c))]
             yield pd.DataFrame(rows, columns=["path", "kind", "block", "section", "header", "text", "error"]).astype({"block": "Int32"})
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
