@@ -245,7 +245,9 @@ def brute_secrets(t):
         w = m[0]
         letters = re.search("[A-Za-z]", w)
         odd = sum(bool(re.match(secrets.ODD_PAIRS, w[i : i + 2], re.I)) for i in range(len(w) - 1))
-        words = letters and re.fullmatch(r"[A-Za-z/_+=-]*[0-9]{0,4}", w) and odd <= 1 and 6 * len(re.findall("[a-z](?=[A-Z])", w)) <= len(w)
+        plain = re.sub(r"(?<=[A-Za-z])[0-9]{1,3}(?![A-Za-z0-9])", "", w)
+        snake = re.fullmatch("[a-z0-9_]*", w) and w.count("_") >= 2 and 4 * len(re.findall("[0-9]", w)) <= len(w)
+        words = letters and (snake or re.fullmatch(r"[A-Za-z/_+=-]*[0-9]{0,4}", plain)) and odd <= max(1, len(w) // 20) and 5 * len(re.findall("[a-z](?=[A-Z])", w)) <= len(w)
         if not re.search("[A-Za-z0-9]", w) or words or re.search(r"(?<![A-Za-z])(?i:example|sample|placeholder|dummy|changeme|your[_-]|x{6,})(?![a-z])", w) or re.fullmatch("(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", w):
             continue
         bar = 2.5 if not letters else 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", w) else 3.3 if w.isalpha() else 3.4
