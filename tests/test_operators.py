@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import terms
 from quillspark.functions import text as X
-from quillspark.operators import bm25, chunks, context, evidence, fusion, search
+from quillspark.functions.unicode import close_match
+from quillspark.operators import bm25, chunks, context, evidence, fusion, search, spelling
 from quillspark.plans import questions as P
 from quillspark.queries import evidence as EQ
 from quillspark.queries import hybrid as HQ
@@ -147,7 +149,13 @@ def test_rerank_reasons(spark):
 
 
 def test_questions_without_sql(spark):
-    assert {r["id"]: r["corrected"] for r in TQ.n11(spark, DIR).collect()} == {1: "vancomycin", 2: "irrigation", 3: "isolation", 4: "catheter", 5: "VRE", 6: "thoracentesis"}
+    typed = ["vancomicin", "irrigation", "isolaton", "catheters", "VRE", "thoracentesiss"]
+    known = tuple(sorted({w for own in terms.ALIASES.values() for a in own for w in a.replace("-", " ").split() if w.isascii() and len(w) >= 6} | {"irrigation", "isolation", "thoracentesis"}))
+    want = ["vancomycin", "irrigation", "isolation", "catheter", "VRE", "thoracentesis"]
+    words = spark.createDataFrame([(w,) for w in typed], "q string")
+    assert [r["x"] for r in words.select(close_match(known)("q").alias("x")).collect()] == want
+    found = spelling.corrections(words, spark.createDataFrame([(w,) for w in known], "known string"))
+    assert {r["word"]: r["corrected"] for r in found.collect()} == {a: b for a, b in zip(typed, want, strict=True) if a != b}
     assert [r["q"] for r in TQ.n02(spark, DIR).collect()] == ["VRE 1", "カタカナ mg", "plain"]
     assert {r["id"]: r["q"] for r in TQ.n12(spark, DIR).collect()}[2] == "수혈 준비사항은"
     plan = {r["id"]: r for r in PQ.p01(spark, DIR).collect()}
