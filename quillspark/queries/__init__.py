@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "plan", "corpus", "retrieval", "evidence", "metrics", "hybrid")
+MODULES = ("text", "plan", "corpus", "layout", "retrieval", "evidence", "metrics", "hybrid")
 
 
 def _modules():
