@@ -102,3 +102,60 @@ def test_order_from_slot_to_slot_and_drift_of_units_and_nothing_at_all(spark):
     got = S.validate(plans, made(turned + slots(1), SLOTS), made(units(0) + units(1) + more, UNITS), made(answers, "query_id long, raw string"))
     assert {r["query_id"]: r["reason"] for r in got.collect()} == {0: "selection_source_order", 1: "selection_contract_drift", 2: "selection_schema"}
     assert S.validate(made([], PLANS), made([], SLOTS), made([], UNITS), made([], "query_id long, raw string")).collect() == []
+
+
+FACETS = [
+    ("phase", "common/before", ["u1", "u2"]),
+    ("phase_action", "common/before/check", ["u1", "u2"]),
+    ("phase_action", "common/before/record", ["u1"]),
+    ("group", "a", ["u1", "u2", "u3", "u4"]),
+    ("action_family", "check", ["u1", "u2", "u5"]),
+    ("action_family", "record", ["u1"]),
+    ("query_action", "check", ["u1", "u2", "u5"]),
+    ("phase", "common/after", ["u3", "u4"]),
+    ("phase_action", "common/after/report", ["u3"]),
+    ("action_family", "report", ["u3"]),
+    ("action_family", "clean", ["u4"]),
+    ("phase", "adult/before", ["u5"]),
+    ("phase_action", "adult/before/check", ["u5"]),
+    ("group", "b", ["u5", "u6"]),
+    ("branch", "adult", ["u5", "u6"]),
+]
+
+
+def test_facets_of_a_broad_procedure(spark):
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    plans = made([plan(0), plan(1, broad=False), plan(2, actions=("sterilise",))], PLANS)
+    rows = S.facets(plans, made(units(0) + units(1) + units(2), UNITS)).orderBy("query_id", "slot_no").collect()
+    got = [(r["kind"], r["key"], r["eligible"]) for r in rows if r["query_id"] == 0]
+    assert sorted(got) == sorted(FACETS) and [r["slot"] for r in rows if r["query_id"] == 0] == [f"f{i + 1}" for i in range(15)]
+    firsts = [e[0] for _, _, e in got]
+    assert firsts == sorted(firsts) and got[0][0] == "phase_action" and got[2][0] == "phase" and got[3][0] == "group" and got[6][0] == "query_action"
+    last = [r for r in rows if r["query_id"] == 2][-1]
+    assert (last["kind"], last["eligible"]) == ("query_action", []) and not [r for r in rows if r["query_id"] == 1]
+
+
+def test_reasons_of_facet_answers(spark):
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    n = 12
+    plans = made([plan(i, broad=i != 7, most=3 if i == 6 else 16) for i in range(n)], PLANS)
+    catalog = made([u for i in range(n) for u in units(i)], UNITS)
+    rows = [r.asDict() for r in S.facets(plans, catalog).collect()]
+    slots = {i: sorted((r for r in rows if r["query_id"] == i), key=lambda r: r["slot_no"]) for i in range(n)}
+    say = {i: {r["slot"]: r["eligible"][0] for r in slots[i]} for i in range(n)}
+    say[1].pop("f3")
+    say[2]["f2"] = 5
+    say[3]["f1"] = "u7"
+    say[4] = {r["slot"]: r["eligible"][-1] for r in slots[4]}
+    for k, r in enumerate(slots[5]):  # the contract lost a unit
+        r["eligible"] = [u for u in r["eligible"] if u != "u2"]
+    for r, unit in ((slots[8][0], "zz"), (slots[9][0], "u8")):  # the contract knows a unit that the catalogue doesn't, or that is closed
+        r["eligible"] = r["eligible"] + [unit]
+        say[r["query_id"]][r["slot"]] = unit
+    say[10]["f1"], say[10]["f2"] = "u7", None  # the first fault in the order of slots is told
+    want = {0: "", 1: "selection_schema", 2: "selection_schema", 3: "selection_wrong_facet", 4: "selection_source_order", 5: "selection_contract_drift", 6: "selection_limit", 7: "selection_empty", 8: "selection_unknown_id", 9: "selection_non_selectable", 10: "selection_wrong_facet", 11: "selection_schema"}
+    raw = [(i, json.dumps({"facet_selections": say[i]})) for i in range(n - 1)] + [(11, json.dumps({"facet_selections": say[11], "more": 0}))]
+    told = made([(r["query_id"], r["slot"], r["slot_no"], r["kind"], r["key"], r["eligible"]) for i in range(n) for r in slots[i]], "query_id long, slot string, slot_no int, kind string, key string, eligible array<string>")
+    assert {r["query_id"]: r["reason"] for r in S.validate_facets(plans, told, catalog, made(raw, "query_id long, raw string")).collect()} == want
+    empty = made([], "query_id long, slot string, slot_no int, kind string, key string, eligible array<string>")
+    assert S.validate_facets(made([], PLANS), empty, made([], UNITS), made([], "query_id long, raw string")).collect() == []
