@@ -117,3 +117,48 @@ SELECT query_id, CASE WHEN reason = 'selection_schema' THEN 0 ELSE n END::BIGINT
 )
 def v07_reasons(spark, sf):
     return selection.validate(*_inputs(spark, sf))
+
+
+_FACETS = f"""{_INPUTS},
+pl AS (SELECT p.query_id, fault, most, actions, CASE WHEN fault = 13 THEN groups || ['zz'] ELSE groups END AS groups, (SELECT coalesce(list(DISTINCT branch), []) FROM s WHERE s.query_id = p.query_id AND required AND branch <> 'common') AS branches FROM p WHERE procedure AND broad AND groups IS NOT NULL),
+able AS (SELECT u.*, pl.actions FROM u JOIN pl USING (query_id) WHERE required AND selectable AND list_contains(pl.groups, group_key)),
+anchor AS (SELECT query_id, branch, phase, arg_min(families, ord) AS families FROM able WHERE phase <> 'unspecified' GROUP BY ALL),
+asked AS (SELECT query_id, 'group' AS kind, unnest(groups) AS key FROM pl UNION SELECT query_id, 'branch', unnest(branches) FROM pl UNION SELECT query_id, 'phase', branch || '/' || phase FROM anchor
+ UNION SELECT query_id, 'phase_action', branch || '/' || phase || '/' || unnest(families) FROM anchor UNION SELECT query_id, 'action_family', unnest(families) FROM able UNION SELECT query_id, 'query_action', unnest(actions) FROM pl),
+covers AS (SELECT query_id, 'group' AS kind, group_key AS key, unit, ord FROM able UNION ALL SELECT query_id, 'branch', branch, unit, ord FROM able UNION ALL SELECT query_id, 'phase', branch || '/' || phase, unit, ord FROM able
+ UNION ALL SELECT query_id, 'phase_action', branch || '/' || phase || '/' || unnest(families), unit, ord FROM able UNION ALL SELECT query_id, 'action_family', unnest(families), unit, ord FROM able
+ UNION ALL SELECT query_id, 'query_action', a, unit, ord FROM (SELECT query_id, unit, ord, text, unnest(actions) AS a FROM able) WHERE contains(text, a)),
+facet AS (SELECT a.query_id, a.kind, a.key, min(ord) AS first, coalesce(list(unit ORDER BY ord) FILTER (unit IS NOT NULL), []) AS eligible FROM asked a LEFT JOIN covers c ON c.query_id = a.query_id AND c.kind = a.kind AND c.key = a.key GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first NULLS LAST, CASE kind WHEN 'phase_action' THEN 0 WHEN 'phase' THEN 1 WHEN 'action_family' THEN 3 WHEN 'query_action' THEN 4 ELSE 2 END, kind, key) AS slot_no FROM facet)"""
+
+
+@query("e13_required_facets", f"WITH {_FACETS} SELECT query_id, slot_no::BIGINT AS slot_no, kind, key, array_to_string(eligible, ',') AS eligible FROM f")
+def e13_facets(spark, sf):
+    plans, _, units, _ = _inputs(spark, sf)
+    return selection.facets(plans, units).select("query_id", F.col("slot_no").cast("long").alias("slot_no"), "kind", "key", F.array_join("eligible", ",").alias("eligible"))
+
+
+# Answers take the first unit of each facet, or the last (fault 10); 3 leaves out the first facet, 8 says a number, 7 names a unit that isn't there.
+@query(
+    "v07_facet_reasons",
+    f"""WITH {_FACETS}, told AS (SELECT f.query_id, slot_no, eligible, pl.fault, CASE WHEN fault = 7 AND slot_no = 2 THEN 'u99' WHEN len(eligible) = 0 THEN 'u0' WHEN fault = 10 THEN eligible[-1] ELSE eligible[1] END AS unit FROM f JOIN pl USING (query_id)),
+wrong AS (SELECT query_id, arg_min(CASE WHEN fault = 8 AND slot_no = 1 THEN 'selection_schema' ELSE 'selection_wrong_facet' END, slot_no) AS why FROM told WHERE (fault = 8 AND slot_no = 1) OR NOT list_contains(eligible, unit) GROUP BY 1),
+one AS (SELECT query_id, unit, min(slot_no) AS slot_no FROM told WHERE NOT (fault = 8 AND slot_no = 1) GROUP BY ALL),
+o AS (SELECT one.query_id, coalesce(lag(u.ord) OVER (PARTITION BY one.query_id ORDER BY slot_no) > u.ord, false) AS back FROM one LEFT JOIN u ON u.query_id = one.query_id AND u.unit = one.unit),
+n AS (SELECT query_id, count(*) AS n, bool_or(back) AS back FROM o GROUP BY 1),
+wit AS (SELECT query_id, count(DISTINCT unit) AS witness FROM (SELECT query_id, eligible[1] AS unit FROM f WHERE kind IN ('group', 'phase', 'action_family') AND len(eligible) > 0) GROUP BY 1)
+SELECT pl.query_id, CASE WHEN fault = 3 THEN 0 ELSE coalesce(n, 0) END::BIGINT AS n_selected, CASE WHEN fault = 3 AND EXISTS (SELECT 1 FROM f WHERE f.query_id = pl.query_id) THEN 'selection_schema' WHEN why IS NOT NULL THEN why WHEN coalesce(n, 0) = 0 THEN 'selection_empty' WHEN n > most THEN 'selection_limit'
+ WHEN n.back THEN 'selection_source_order' WHEN witness > most THEN 'selection_requirement_capacity' ELSE '' END AS reason FROM pl LEFT JOIN n USING (query_id) LEFT JOIN wrong USING (query_id) LEFT JOIN wit USING (query_id)""",
+)
+def v07_facet_reasons(spark, sf):
+    plans, slots, units, _ = _inputs(spark, sf)
+    fault = F.expr("(query_id div 10000 + query_id % 10000) % 20")
+    plans = plans.filter("procedure AND broad")
+    f = selection.facets(plans, units)
+    unit = F.when((fault == 7) & (F.col("slot_no") == 2), "u99").when(F.size("eligible") == 0, "u0").when(fault == 10, F.element_at("eligible", -1)).otherwise(F.try_element_at("eligible", F.lit(1)))
+    value = F.when((fault == 8) & (F.col("slot_no") == 1), "8").otherwise(F.concat(F.lit('"'), unit, F.lit('"')))
+    body = F.when((fault != 3) | (F.col("slot_no") > 1), F.concat(F.lit('"'), "slot", F.lit('": '), value))
+    answers = f.groupBy("query_id").agg(F.concat(F.lit('{"facet_selections": {'), F.array_join(F.collect_list(body), ", "), F.lit("}}")).alias("raw"))
+    # A plan without any facet has an answer without any.
+    answers = plans.select("query_id").join(answers, "query_id", "left").select("query_id", F.coalesce("raw", F.lit('{"facet_selections": {}}')).alias("raw"))
+    return selection.validate_facets(plans, f, units, answers)
