@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import sentences
-from quillspark.operators import selection
+from quillspark.operators import gate, selection
 from quillspark.queries.common import sql_sentences, table
 
 QUERIES, ORACLES = {}, {}
@@ -162,3 +162,61 @@ def v07_facet_reasons(spark, sf):
     # A plan without any facet has an answer without any.
     answers = plans.select("query_id").join(answers, "query_id", "left").select("query_id", F.coalesce("raw", F.lit('{"facet_selections": {}}')).alias("raw"))
     return selection.validate_facets(plans, f, units, answers)
+
+
+# The same catalogues as evidence, with other faults: the question's number of twenty takes away what one rule looks for.
+_EVIDENCE = {
+    "query_id": "query_id",
+    "doc_id": "CASE WHEN g >= 3 THEN query_id div 10000 + 1 ELSE query_id div 10000 END",
+    "group_key": "group_key",
+    "branch": "branch",
+    "position": "ord",
+    "idx": "CASE WHEN fault = 8 THEN -ord ELSE ord END",
+    "text": "CASE WHEN fault = 9 AND g = 0 THEN 'same' ELSE text END",
+    "section": "CASE WHEN fault = 12 THEN 'VRE' ELSE '' END",
+    "seed": "fault <> 3",
+    "complete": "fault <> 6",
+    "procedural": "fault <> 7",
+    "headed": "false",
+}
+_HELD = "NOT (fault = 4 AND g = 1) AND NOT (fault = 5 AND g = 2)"
+_ASKED = {
+    "query_id": "query_id",
+    "kind": "CASE WHEN fault = 5 THEN 'comparison' WHEN procedure THEN 'procedure' ELSE 'summary' END",
+    "clarify": "fault = 1",
+    "domain": "CASE WHEN fault = 2 THEN 'unknown' ELSE 'hospital' END",
+    "scoped": "false",
+    "text": "CASE WHEN fault = 10 THEN 'xyzzy' WHEN fault = 12 THEN '소독' ELSE 'plain' END",
+    "least": "CASE WHEN fault = 14 THEN 3 ELSE 1 END",
+}
+_ASPECTS = [("xyzzy", "xyzzy"), ("plain", "[a-z]")]
+_SQL_EVIDENCE = ", ".join(f"{v.replace(' div ', ' // ')} AS {k}" for k, v in _EVIDENCE.items())
+_SQL_ASKED = ", ".join(f"{v} AS {k}" for k, v in _ASKED.items())
+
+
+@query(
+    "e05_gate_reasons",
+    f"""WITH {_INPUTS}, q AS (SELECT DISTINCT {_SQL_ASKED}, fault, CASE WHEN fault IN (4, 15) THEN ['adult'] WHEN fault IN (5, 16) THEN ['adult', 'pediatric'] ELSE [] END AS branches FROM u),
+e AS (SELECT {_SQL_EVIDENCE} FROM u WHERE {_HELD}),
+k AS (SELECT e.*, q.kind, coalesce(e.idx >= lag(e.idx) OVER (PARTITION BY query_id, group_key ORDER BY position), true) AS ok, len(branches) <> 1 OR e.branch = 'common' OR list_contains(branches, e.branch) AS kept FROM e JOIN q USING (query_id)),
+f AS (SELECT query_id, bool_or(seed) AS seeded, list(DISTINCT branch) FILTER (kept) AS got, bool_and(complete) FILTER (kept) AS complete, bool_or(procedural) FILTER (kept) AS procedural, bool_and(ok) FILTER (kept) AS ordered, count(*) FILTER (kept) - count(DISTINCT branch || '|' || lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) FILTER (kept) AS repeats,
+ bool_or(regexp_matches(text, '[a-z]', 'i')) FILTER (kept) AS latin, bool_or(contains(lower(text), 'xyzzy')) FILTER (kept) AS magic, bool_or(contains(text, '소독')) FILTER (kept) AS cleaned, bool_or(contains(lower(text || ' ' || section), 'foley')) FILTER (kept) AS foley, count(DISTINCT doc_id) FILTER (kept) AS docs FROM k GROUP BY 1),
+r AS (SELECT query_id, CASE WHEN clarify OR domain <> 'hospital' THEN 'domain_or_clarification' WHEN NOT coalesce(seeded, false) THEN 'no_topic_evidence'
+ WHEN len(branches) = 1 AND NOT list_has_all(coalesce(got, []), branches) THEN 'missing_requested_branch' WHEN kind = 'comparison' AND len(branches) = 2 AND NOT list_has_all(coalesce(got, []), branches) THEN 'missing_comparison_branch'
+ WHEN NOT complete THEN 'incomplete_semantic_block' WHEN kind = 'procedure' AND NOT procedural THEN 'missing_procedure_unit' WHEN kind = 'procedure' AND NOT ordered THEN 'procedure_source_order' WHEN kind = 'procedure' AND repeats > 0 THEN 'duplicate_evidence'
+ WHEN (fault = 10 AND NOT magic) OR (fault NOT IN (10, 12) AND NOT latin) THEN 'missing_requested_aspect' WHEN fault = 11 AND NOT foley THEN 'missing_entity' WHEN fault = 12 AND NOT cleaned THEN 'missing_action'
+ WHEN docs < least OR fault = 13 THEN 'missing_document' ELSE 'supported' END AS reason FROM q LEFT JOIN f USING (query_id)) SELECT query_id, reason = 'supported' AS sufficient, reason FROM r""",
+)
+def e05_gate(spark, sf):
+    _, _, units, _ = _inputs(spark, sf)
+    evidence = units.filter(_HELD).select(*[F.expr(v).alias(k) for k, v in _EVIDENCE.items()])
+    none = F.array().cast("array<string>")
+    adult, both = F.array(F.lit("adult")), F.array(F.lit("adult"), F.lit("pediatric"))
+    asked = units.select("query_id", "fault", "procedure").distinct()
+    asked = asked.select(
+        *[F.expr(v).alias(k) for k, v in _ASKED.items()],
+        F.when(F.col("fault").isin(4, 15), adult).when(F.col("fault").isin(5, 16), both).otherwise(none).alias("branches"),
+        F.when(F.col("fault") == 11, F.array(F.lit("foley"))).when(F.col("fault") == 12, F.array(F.lit("vre"))).otherwise(none).alias("entities"),
+        F.when(F.col("fault") == 13, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>")).alias("documents"),
+    )
+    return gate.sufficiency(asked, evidence, _ASPECTS)
