@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import sentences
 from quillspark.operators import gate, selection
-from quillspark.queries.common import sql_sentences, table
+from quillspark.queries.common import shared, sql_sentences, table
+from quillspark.session import write_shared
 
 QUERIES, ORACLES = {}, {}
 
@@ -43,16 +44,23 @@ _PHASE = "CASE WHEN g >= 3 THEN 'unspecified' WHEN r < 2 THEN 'before' ELSE 'aft
 _SLOT = "CASE WHEN fault = 9 AND g < 2 THEN 1 - g ELSE g END"
 
 
-def _inputs(spark, sf):
+def _units(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("i", "text"))
     u = rows.select("text", *[F.expr(v).cast("boolean" if k in ("procedure", "broad") else "long").alias(k) for k, v in _COLUMNS.items()])
     u = u.select("*", F.concat(F.lit("u"), F.col("ord") + 1).alias("unit"), F.concat(F.lit("k"), F.col("g")).alias("group_key"), F.expr(_BRANCH).alias("branch"), (~F.col("procedure") | (F.col("g") < 3)).alias("required"), (F.col("text").rlike("[.!?]$") & (F.col("ord") != 6)).alias("selectable"), F.expr(_PHASE).alias("phase"))
     families = F.when(F.col("r") == 0, F.array(F.lit("check"), F.lit("record"))).when(F.col("r") == 1, F.array(F.lit("check"))).when(F.col("r") == 2, F.array(F.lit("report"))).otherwise(F.array(F.lit("prepare")))
-    u = u.withColumn("families", families)
+    return u.withColumn("families", families)
+
+
+def _inputs(spark, sf):
+    """Plans, slots, units and answers. Units and slots are written once for a session: the rules go over them many times."""
+    u = shared(spark, sf, "selection-units", lambda: write_shared(_units(spark, sf), "selection-units"))
     names = ["query_id", "fault", "procedure", "broad", "g"]
     of = F.transform(F.array_sort(F.collect_list(F.when(F.col("selectable"), F.struct("ord", "unit")))), lambda x: x["unit"])
     number = F.expr("CASE WHEN fault = 14 THEN -g ELSE g END").alias("slot_no")
     s = u.groupBy(*names, "group_key", "branch", "required").agg(of.alias("allowed")).filter(F.size("allowed") > 0).withColumns({"slot": F.concat(F.lit("g"), F.col("g") + 1), "slot_no": number})
+    slots = s
+    s = shared(spark, sf, "selection-slots", lambda: write_shared(slots, "selection-slots"))
     # Answers: the units of each slot in order, backwards for fault 10, the first said twice for 6, one that isn't there for 7.
     held = u.filter(F.expr(_PICKED)).withColumn("to", F.expr(_SLOT)).groupBy("query_id", F.col("to").alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "unit"))), lambda x: x["unit"]).alias("said"))
     a = s.join(held, ["query_id", "g"], "left").withColumn("said", F.coalesce("said", F.array().cast("array<string>")))
@@ -154,7 +162,7 @@ def v07_facet_reasons(spark, sf):
     plans, slots, units, _ = _inputs(spark, sf)
     fault = F.expr("(query_id div 10000 + query_id % 10000) % 20")
     plans = plans.filter("procedure AND broad")
-    f = selection.facets(plans, units)
+    f = write_shared(selection.facets(plans, units), "selection-facets")
     unit = F.when((fault == 7) & (F.col("slot_no") == 2), "u99").when(F.size("eligible") == 0, "u0").when(fault == 10, F.element_at("eligible", -1)).otherwise(F.try_element_at("eligible", F.lit(1)))
     value = F.when((fault == 8) & (F.col("slot_no") == 1), "8").otherwise(F.concat(F.lit('"'), unit, F.lit('"')))
     body = F.when((fault != 3) | (F.col("slot_no") > 1), F.concat(F.lit('"'), "slot", F.lit('": '), value))
