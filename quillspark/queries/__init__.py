@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "plan", "corpus", "layout", "retrieval", "evidence", "selection", "metrics", "hybrid")
+MODULES = ("text", "plan", "corpus", "layout", "retrieval", "evidence", "selection", "diagnosis", "metrics", "hybrid")
 
 
 def _modules():
