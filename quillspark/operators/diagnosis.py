@@ -50,6 +50,8 @@ SHARE = 0.8
 DURING = r"시작\s*후|시행\s*중|시술\s*중|진정\s*중|수혈\s*중|투여\s*중|주입\s*중|진행\s*중"
 AFTER = r"(?:완료|종료|회복|퇴실)\s*후|사후"
 
+#: The stages that look at statements one by one.
+SINGLE = ("supporting_source_unit_id_validation", "evaluation_action_strength_validation", "number_validation", "unit_validation", "condition_exception_validation", "negation_prohibition_validation", "branch_phase_validation")
 ITEM_NUMBER = r"^\s*\d{1,2}\s*[.)]\s*"
 WORD = "[가-힣]+|[a-z0-9%]+"
 _SHAPE = "^OBJECT<statements: ARRAY<OBJECT<supporting_source_unit_ids: ARRAY<STRING>, text: STRING>>>$"
@@ -93,17 +95,18 @@ def _all_told(field: str, text: Column, own: Column | None = None) -> Column:
     return F.coalesce(F.forall(F.filter(field, lambda r: r.isNotNull()), lambda r: told(r, text, own)), F.lit(True))
 
 
-def _statement_codes(rows: DataFrame) -> dict[str, Column]:
-    """By stage, the code of a statement at fault. rows: text, ids, source (of its units), lines, unknown, branches, phases, said and held (quantities)."""
+def _statement_codes() -> dict[str, Column]:
+    """By stage, the code of a statement at fault. Columns: text, ids, source (of its units), lines, unknown, branches, phases, said and held (quantities)."""
     text, source = F.col("text"), F.col("source")
     numbers = lambda q: F.array_distinct(F.transform(q, lambda x: F.regexp_extract(x, r"^\d+(?:\.\d+)?", 0)))
     foreign = F.array_except("said", "held")
     differ = lambda pattern: text.rlike(pattern) != source.rlike(pattern)
     targets = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(D.CASE_TARGET), F.lit(1))))
     wrong = "unsupported_number_or_unit"
+    strength = let(A.signatures(text), lambda own: let(A.signatures(F.col("lines")), lambda of: A.strength_check(own, of)["error_code"]))
     return {
         "supporting_source_unit_id_validation": F.when(F.size(F.array_distinct("ids")) < F.size("ids"), "duplicate_evidence_id").when(F.col("unknown") > 0, "unknown_evidence_id"),
-        "evaluation_action_strength_validation": A.strength_check(A.signatures(text), A.signatures(F.col("lines")))["error_code"],
+        "evaluation_action_strength_validation": F.when(text != F.col("lines"), strength),  # what a source says word for word asks for the same
         "number_validation": F.when(F.size(F.array_except(numbers(foreign), numbers(F.col("held")))) > 0, wrong),
         "unit_validation": F.when(F.size(foreign) > 0, wrong),
         "condition_exception_validation": F.when(differ(D.CONDITION) | differ(D.EXCEPTION) | (targets(text) != targets(source)), "condition_changed"),
@@ -113,7 +116,7 @@ def _statement_codes(rows: DataFrame) -> dict[str, Column]:
 
 
 def _statements(parsed: DataFrame, units: DataFrame) -> DataFrame:
-    """For each case what its statements hold together, and the first statement at fault for each stage that looks at them one by one."""
+    """case_no and own: its statements in order, each with its text, ids, places of its units and codes, one for each stage of SINGLE."""
     said = parsed.select("case_no", "query_id", F.posexplode("statements").alias("at", "s")).select("case_no", "query_id", "at", "s.text", F.col("s.supporting_source_unit_ids").alias("ids"))
     known = units.groupBy("query_id", "unit_id").agg(F.min_by(F.struct(F.coalesce("text", F.lit("")).alias("text"), "branch", "phase", "position"), "position").alias("u"))
     cited = said.select("case_no", "query_id", "at", F.posexplode("ids").alias("k", "unit_id")).join(known, ["query_id", "unit_id"], "left")
@@ -128,11 +131,9 @@ def _statements(parsed: DataFrame, units: DataFrame) -> DataFrame:
     rows = said.join(facts, ["case_no", "at"])
     rows = rows.withColumns({"source": F.array_join(texts, " "), "lines": F.array_join(texts, "\n"), "places": F.transform("cited", lambda c: c["u"]["position"])})
     rows = rows.withColumns({"said": quantities(F.col("text")), "held": quantities(F.col("source"))})
-    rows = rows.select("case_no", "at", "text", "ids", "places", *[c.alias(stage) for stage, c in _statement_codes(rows).items()])
-    names = rows.columns[5:]
-    first = [F.min(F.when(F.col(n).isNotNull(), F.struct("at", F.col(n).alias("code"), "ids"))).alias(n) for n in names]
-    own = F.sort_array(F.collect_list(F.struct("at", "text", "ids", "places"))).alias("own")  # as many as an answer may have
-    return rows.groupBy("case_no").agg(own, *first)
+    codes = _statement_codes()
+    own = F.struct("at", "text", "ids", "places", F.array(*[codes[stage] for stage in SINGLE]).alias("codes"))
+    return rows.groupBy("case_no").agg(F.sort_array(F.collect_list(own)).alias("own"))  # as many as an answer may have
 
 
 def _linked(slot: Column) -> tuple[Column, Column]:
@@ -178,8 +179,9 @@ def diagnose(cases: DataFrame, units: DataFrame, slots: DataFrame) -> DataFrame:
         return F.when(bad, F.struct(named.alias("code"), F.lit(None).cast("long").alias("statement"), unit_ids.alias("unit_ids")))
 
     def single(stage: str) -> Column:
-        x = F.col(stage)
-        return F.when(x.isNotNull(), F.struct(x["code"].alias("code"), x["at"].cast("long").alias("statement"), x["ids"].alias("unit_ids")))
+        code = lambda x: F.get(x["codes"], F.lit(SINGLE.index(stage)))
+        failed = F.filter("own", lambda x: code(x).isNotNull())
+        return F.get(F.transform(failed, lambda x: F.struct(code(x).alias("code"), x["at"].cast("long").alias("statement"), x["ids"].alias("unit_ids"))), F.lit(0))
 
     no_ids = F.array().cast("array<string>")
     missed = F.get(F.filter("slots", lambda s: ~told(s["requirement"], *_linked(s))), F.lit(0))
