@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text", "plan", "corpus", "layout", "retrieval", "evidence", "selection", "diagnosis", "metrics", "release", "hybrid")
+MODULES = ("text", "plan", "corpus", "layout", "retrieval", "evidence", "selection", "relevance", "diagnosis", "metrics", "release", "hybrid")
 
 
 def _modules():
