@@ -53,8 +53,9 @@ def classify(question: Column) -> Column:
     return out.otherwise("fact")
 
 
-def domain(question: Column) -> Column:
-    inside = (F.size(X.anchors(question)) > 0) | question.rlike(HOSPITAL) | current(question).rlike(SEDATION) | current(question).rlike(EDUCATION)
+def domain(question: Column, named: Column | None = None) -> Column:
+    """named: whether the question names an anchor; without it those count that stand as words of their own."""
+    inside = (F.size(X.anchors(question)) > 0 if named is None else named) | question.rlike(HOSPITAL) | current(question).rlike(SEDATION) | current(question).rlike(EDUCATION)
     return F.when(current(question).rlike(OUTSIDE), "out_of_scope").when(inside, "hospital").otherwise("unknown")
 
 

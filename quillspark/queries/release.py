@@ -96,7 +96,7 @@ r AS (SELECT case_id, concat_ws(',', CASE WHEN provider_calls > 0 THEN 'unexpect
 SELECT case_id, reasons = '' AS passed, reasons FROM r""",
 )
 def m19_contract(spark, sf):
-    q = planted(spark, sf, plan.ASK).select("id", P.classify(F.col("q")).alias("intent"), P.domain(F.col("q")).alias("domain"))
+    q = planted(spark, sf, plan.ASK).select("id", P.classify(F.col("q")).alias("intent"), plan.domain(F.col("q")).alias("domain"))
     return release.uat_contract(_columns(q, _CASE)).withColumn("reasons", F.array_join("reasons", ","))
 
 
