@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import lexical_tokens, sentences
 from quillspark.operators import bm25
 from quillspark.operators.impacts import Impacts
-from quillspark.session import spread, write_shared
+from quillspark.operators.scan import Bags
+from quillspark.session import blocks, spread, write_shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name == "documents" else df
 
 
+def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is one of ids (one column): ids are sent to the rows in blocks, so that no other row is exchanged.
+
+    They are written first: blocks go by their size, which Catalyst can't tell behind joins.
+    """
+    ids = write_shared(ids.toDF(key).distinct(), "ids")
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(own), key, "left_semi") for own in blocks(ids, key)])
+
+
+def hit_documents(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+    """The documents of hits (with chunk_id)."""
+    return among(table(spark, sf_dir, "documents"), "doc_id", hits.select("chunk_id"))
+
+
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of our own examples."""
     return spark.createDataFrame(rows, schema)
@@ -95,8 +111,14 @@ def shared_impacts(spark: SparkSession, sf_dir: str, name: str = "lexical", toke
     return shared(spark, sf_dir, f"impacts-{name}", lambda: Impacts(shared_index(spark, sf_dir, name, tokens)))
 
 
+def shared_bags(spark: SparkSession, sf_dir: str, name: str = "lexical", tokens: Callable[[Column], Column] = lexical_tokens) -> Bags:
+    """The documents as bags of words, written once for a session and a state of the table."""
+    return shared(spark, sf_dir, f"bags-{name}", lambda: Bags(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), tokens))
+
+
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.scores(corpus(spark, sf_dir), table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), index=shared_index(spark, sf_dir))
+    bags = shared_bags(spark, sf_dir)
+    return bags.scores(bags.asked(table(spark, sf_dir, "benchmark"), "item_id", lexical_tokens(F.col("text"))))
 
 
 #: Ranks of a ranking that queries share.
@@ -104,10 +126,11 @@ RANKS = 10
 
 
 def _shared_top(spark: SparkSession, sf_dir: str, k: int, name: str, tokens: Callable[[Column], Column]) -> DataFrame:
-    """The best k documents of each item, by the impact-ordered index; up to RANKS of them are searched once for all queries."""
+    """The best k documents of each item, by one pass over the bags of words; up to RANKS of them are searched once for all queries."""
 
     def best(most: int) -> DataFrame:
-        return shared_impacts(spark, sf_dir, name, tokens).top(table(spark, sf_dir, "benchmark"), "item_id", tokens(F.col("text")), most)
+        bags = shared_bags(spark, sf_dir, name, tokens)
+        return bags.top(bags.asked(table(spark, sf_dir, "benchmark"), "item_id", tokens(F.col("text"))), most)
 
     if k > RANKS:
         return best(k)
@@ -135,7 +158,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(own, "s").select("query_id", "chunk_id").distinct()
 
 
-__all__ = ["bm25_minimal_top", "bm25_scores", "bm25_top", "corpus", "gold", "lexical_tokens", "literal", "table", "values"]
+__all__ = ["bm25_minimal_top", "bm25_scores", "bm25_top", "corpus", "gold", "hit_documents", "lexical_tokens", "literal", "table", "values"]
 
 
 def sql_tokens(text: str, pattern: str = "[a-z][a-z0-9-]*|[가-힣]{2,}") -> str:

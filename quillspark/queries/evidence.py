@@ -9,7 +9,7 @@ from quillspark.functions import actions as A
 from quillspark.functions.text import clean, selectable_unit, sentences, source_units
 from quillspark.operators import chunks as C
 from quillspark.operators import context, evidence
-from quillspark.queries.common import bm25_top, literal, planted, sql_bm25, sql_planted, sql_sentences, table, values
+from quillspark.queries.common import bm25_top, hit_documents, literal, planted, sql_bm25, sql_planted, sql_sentences, table, values
 from quillspark.plans.questions import classify
 from quillspark.queries.plan import _KIND
 from quillspark.queries.text import _units_sql
@@ -34,14 +34,19 @@ _CH = f"""ch AS (SELECT doc_id, i AS idx, i // 4 AS parent, i // 10 AS page, i /
 _SEED = f"WITH {sql_bm25()}, {_CH}, seeds AS (SELECT t.query_id, t.rank, c.* FROM bm_top t JOIN ch c ON c.doc_id = t.chunk_id AND c.idx = n // 2 WHERE t.rank <= 3)"
 
 
-def line_rows(spark, sf):
+def line_rows(spark, sf, docs=None):
     i = F.col("idx").cast("long")
-    rows = C.line_chunks(table(spark, sf, "documents"))
+    rows = C.line_chunks(table(spark, sf, "documents") if docs is None else docs)
     return rows.select("doc_id", i.alias("idx"), F.floor(i / 4).alias("parent"), F.floor(i / 10).alias("page"), F.floor(i / 20).alias("section"), "text")
 
 
+def hit_lines(spark, sf, k=3):
+    """The lines of documents that are among the first k of some item."""
+    return line_rows(spark, sf, hit_documents(spark, sf, bm25_top(spark, sf, k)))
+
+
 def seeds(spark, sf, k=3):
-    rows = line_rows(spark, sf)
+    rows = hit_lines(spark, sf, k)
     middle = rows.groupBy("doc_id").agg(F.floor(F.count("*") / 2).alias("idx"))
     top = bm25_top(spark, sf, k).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
     return top.join(middle, "doc_id")
@@ -50,21 +55,22 @@ def seeds(spark, sf, k=3):
 @query("x01_neighbors", f"{_SEED} SELECT s.query_id AS item_id, s.doc_id, s.idx AS seed, c.idx AS chunk, c.idx - s.idx AS distance FROM seeds s JOIN ch c ON c.doc_id = s.doc_id AND abs(c.idx - s.idx) <= 2 WHERE c.section = s.section AND abs(c.page - s.page) <= 1")
 def x01(spark, sf):
     own = seeds(spark, sf).select("query_id", "doc_id", "idx")
-    found = context.neighbours(own, line_rows(spark, sf))
+    found = context.neighbours(own, hit_lines(spark, sf))
     return found.select(F.col("query_id").alias("item_id"), "doc_id", F.col("idx").alias("seed"), "chunk", F.col("distance").cast("long"))
 
 
 @query("x02_parent_group", f"{_SEED} SELECT s.query_id AS item_id, c.doc_id, c.parent, c.idx FROM seeds s JOIN ch c ON c.doc_id = s.doc_id AND c.parent = s.parent")
 def x02(spark, sf):
-    rows = line_rows(spark, sf)
+    rows = hit_lines(spark, sf)
     own = seeds(spark, sf).join(rows.select("doc_id", "idx", "parent"), ["doc_id", "idx"]).select("query_id", "doc_id", "parent")
     return own.join(rows.select("doc_id", "parent", "idx"), ["doc_id", "parent"]).select(F.col("query_id").alias("item_id"), "doc_id", "parent", "idx")
 
 
 @query("x03_signature_dedup", f"WITH {sql_bm25()}, h AS (SELECT t.*, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS sig FROM bm_top t JOIN documents d ON d.doc_id = t.chunk_id) SELECT query_id AS item_id, chunk_id AS doc_id, rank FROM h QUALIFY row_number() OVER (PARTITION BY query_id, sig ORDER BY rank, chunk_id) = 1")
 def x03(spark, sf):
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    hits = bm25_top(spark, sf).join(texts, "chunk_id").withColumn("context_only", F.lit(False))
+    top = bm25_top(spark, sf)
+    texts = hit_documents(spark, sf, top).select(F.col("doc_id").alias("chunk_id"), "text")
+    hits = top.join(texts, "chunk_id").withColumn("context_only", F.lit(False))
     return context.deduplicated(hits, "query_id", F.lower(clean(F.col("text")))).select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long"))
 
 
@@ -78,7 +84,7 @@ def x04(spark, sf):
     f"{_SEED}, e AS (SELECT s.query_id, s.rank, c.doc_id, c.idx FROM seeds s JOIN ch c ON c.doc_id = s.doc_id AND c.parent = s.parent) SELECT query_id AS item_id, doc_id, idx, row_number() OVER (PARTITION BY query_id ORDER BY rank, idx) AS position FROM e QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, idx) <= 12",
 )
 def x05(spark, sf):
-    rows = line_rows(spark, sf)
+    rows = hit_lines(spark, sf)
     own = seeds(spark, sf).join(rows.select("doc_id", "idx", "parent"), ["doc_id", "idx"]).select("query_id", "rank", "doc_id", "parent")
     every = own.join(rows.select("doc_id", "parent", "idx"), ["doc_id", "parent"])
     placed = every.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "idx")).cast("long"))
@@ -90,7 +96,7 @@ def x05(spark, sf):
     f"{_SEED}, e AS (SELECT s.query_id, s.rank, c.doc_id, c.idx, row_number() OVER (PARTITION BY s.query_id, c.doc_id ORDER BY c.idx) AS depth FROM seeds s JOIN ch c ON c.doc_id = s.doc_id AND c.parent = s.parent) SELECT query_id AS item_id, doc_id, idx, row_number() OVER (PARTITION BY query_id ORDER BY depth, rank, idx) AS position FROM e",
 )
 def x06(spark, sf):
-    rows = line_rows(spark, sf)
+    rows = hit_lines(spark, sf)
     own = seeds(spark, sf).join(rows.select("doc_id", "idx", "parent"), ["doc_id", "idx"]).select("query_id", "rank", "doc_id", "parent")
     every = own.join(rows.select("doc_id", "parent", "idx"), ["doc_id", "parent"]).select("query_id", F.col("doc_id").alias("grp"), F.col("rank").alias("grp_order"), "idx")
     return context.round_robin(every, "query_id").select(F.col("query_id").alias("item_id"), F.col("grp").alias("doc_id"), "idx", F.col("position").cast("long"))
@@ -129,14 +135,14 @@ SELECT k AS {key}, arg_max(taken, rn) AS taken, arg_max(used, rn)::INT AS used F
 @query("x07_atomic_packing", f"WITH RECURSIVE {sql_bm25()}, " + _packed_sql("SELECT query_id AS k, rank AS position, chunk_id::VARCHAR AS name, len(string_split(text, chr(10))) AS size FROM bm_top JOIN documents ON doc_id = chunk_id", "item_id", 40))
 def x07(spark, sf):
     top = bm25_top(spark, sf)
-    sizes = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.size(F.split("text", "\n")).alias("size"))
+    sizes = hit_documents(spark, sf, top).select(F.col("doc_id").alias("chunk_id"), F.size(F.split("text", "\n")).alias("size"))
     groups = top.join(sizes, "chunk_id").select("query_id", F.col("rank").alias("position"), F.col("chunk_id").cast("string").alias("name"), "size")
     return context.packed(groups, "query_id", 40).withColumnRenamed("query_id", "item_id")
 
 
 @query("x08_context_complete", f"{_SEED}, g AS (SELECT s.query_id, c.doc_id, c.parent, count(*) FILTER (abs(c.idx - s.idx) <= 1) AS selected_n, count(*) AS total_n FROM seeds s JOIN ch c ON c.doc_id = s.doc_id AND c.parent = s.parent GROUP BY ALL) SELECT query_id AS item_id, doc_id, parent, selected_n, total_n, selected_n = total_n AS complete FROM g")
 def x08(spark, sf):
-    rows = line_rows(spark, sf)
+    rows = hit_lines(spark, sf)
     own = seeds(spark, sf).join(rows.select("doc_id", "idx", "parent"), ["doc_id", "idx"]).select("query_id", "doc_id", "parent", F.explode(F.array(F.col("idx") - 1, F.col("idx"), F.col("idx") + 1)).alias("idx"))
     near = own.join(rows.select("doc_id", "parent", "idx"), ["doc_id", "parent", "idx"])
     return context.completeness(near, rows, "query_id").select(F.col("query_id").alias("item_id"), "doc_id", "parent", "selected_n", "total_n", "complete")

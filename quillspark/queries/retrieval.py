@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import query_terms, term_matches
 from quillspark.operators import bm25, dense, fusion, inverted, vectors
-from quillspark.queries.common import MINIMAL, bm25_minimal_top, bm25_scores, bm25_top, corpus, lexical_tokens, shared_index, sql_bm25, sql_tokens, table
+from quillspark.queries.common import MINIMAL, among, bm25_minimal_top, bm25_scores, bm25_top, hit_documents, lexical_tokens, shared_bags, sql_bm25, sql_tokens, table
 from quillspark.session import blocks
 
 QUERIES, ORACLES = {}, {}
@@ -27,9 +27,8 @@ def query(name: str, sql: str | None = None):
 
 @query("r01_bm25_stats", f"WITH {sql_bm25()} SELECT (SELECT n FROM bm_stats)::BIGINT AS n_docs, round((SELECT avgdl FROM bm_stats), 6) AS avgdl, (SELECT count(*) FROM bm_df)::BIGINT AS n_terms")
 def r01(spark, sf):
-    docs = corpus(spark, sf)
-    terms = shared_index(spark, sf).filter("term <> ''").agg(F.count_distinct("term").alias("n_terms"))
-    return bm25.statistics(docs).crossJoin(F.broadcast(terms)).select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"), "n_terms")  # one row each
+    bags = shared_bags(spark, sf)
+    return bags.df.read().agg(F.count("*").alias("n_terms")).select(F.lit(bags.n).cast("long").alias("n_docs"), F.round(F.lit(float(bags.avgdl)), 6).alias("avgdl"), "n_terms")
 
 
 @query("r02_bm25_scores", f"WITH {sql_bm25()} SELECT query_id AS item_id, chunk_id AS doc_id, score FROM bm_scores")
@@ -53,16 +52,13 @@ s AS (SELECT query_id, chunk_id, round(sum((CASE WHEN idf < 0 THEN f ELSE idf EN
 SELECT query_id AS item_id, rank, chunk_id AS doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""",
 )
 def r04(spark, sf):
-    docs = corpus(spark, sf)
-    tf = shared_index(spark, sf).filter("term <> ''")
-    n = bm25.statistics(docs)
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    bags = shared_bags(spark, sf)
+    n = F.lit(float(bags.n))
+    df = bags.df.read().withColumn("idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     low = df.agg((0.25 * F.avg("idf")).alias("low"))
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(lexical_tokens(F.col("text")))).alias("term"))
-    weighed = df.crossJoin(F.broadcast(low)).select("term", "avgdl", F.when(F.col("idf") < 0, F.col("low")).otherwise(F.col("idf")).alias("w"))
-    part = F.col("w") * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(weighed, "term").join(tf, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return bm25.top(scored, 10).select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("chunk_id").alias("doc_id"), "score")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(lexical_tokens(F.col("text")))).alias("term")).distinct()
+    weighed = asked.join(df, "term").crossJoin(F.broadcast(low)).select("query_id", "term", F.when(F.col("idf") < 0, F.col("low")).otherwise(F.col("idf")).alias("w"))  # one row
+    return bags.top(weighed, 10).select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("chunk_id").alias("doc_id"), "score")
 
 
 @query("r05_bm25_top10", f"WITH {sql_bm25()} SELECT query_id AS item_id, rank, chunk_id AS doc_id, score FROM bm_top")
@@ -84,7 +80,8 @@ raw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 SELECT query_id AS item_id, chunk_id AS doc_id, score, raw_rank, CASE WHEN score > 0 THEN row_number() OVER (PARTITION BY query_id, score > 0 ORDER BY raw_rank) END AS lexical_rank FROM raw WHERE raw_rank <= 40""",
 )
 def r07(spark, sf):
-    scored = bm25_scores(spark, sf)
+    bags = shared_bags(spark, sf)
+    scored = bags.top(bags.asked(table(spark, sf, "benchmark"), "item_id", lexical_tokens(F.col("text"))), 40).drop("rank")
     # Of documents without a score only the 40 with the least ids can come among the first 40.
     low = table(spark, sf, "documents").select("doc_id").orderBy("doc_id").limit(40)
     zero = table(spark, sf, "benchmark").select("item_id").join(F.broadcast(low)).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.lit(0.0).alias("score"))  # 40 rows a question
@@ -126,8 +123,11 @@ ranked AS (SELECT s.*, coalesce(lexical, 0) AS lexical, row_number() OVER (PARTI
 SELECT q_id, vec_id, score AS sim, lexical, dense_rank, keyword_rank FROM ranked WHERE dense_rank <= 20 OR (lexical > 0 AND keyword_rank <= 20) QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) <= 40""",
 )
 def d02(spark, sf):
-    terms = table(spark, sf, "benchmark").select((50 * F.col("item_id")).alias("query_id"), F.slice(F.array_distinct(F.filter(lexical_tokens(F.col("text"), False), lambda w: F.length(w) > 1)), 1, 16).alias("terms"))
-    bare = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.regexp_replace(F.lower("text"), r"\s+", "").alias("t"))
+    # Words count for pairs of vectors only: other items and documents have none to be joined with.
+    known = table(spark, sf, "embeddings").select("vec_id")
+    items = table(spark, sf, "benchmark").select((50 * F.col("item_id")).alias("query_id"), "text")
+    terms = among(items, "query_id", known).select("query_id", F.slice(F.array_distinct(F.filter(lexical_tokens(F.col("text"), False), lambda w: F.length(w) > 1)), 1, 16).alias("terms"))
+    bare = among(table(spark, sf, "documents"), "doc_id", known).select(F.col("doc_id").alias("chunk_id"), F.regexp_replace(F.lower("text"), r"\s+", "").alias("t"))
     some = F.exists("terms", lambda w: F.contains(F.col("t"), w))  # no pair without a word becomes a row
     both = reduce(DataFrame.unionByName, [bare.join(F.broadcast(own), some) for own in blocks(terms, "query_id")])
     lexical = both.select("query_id", "chunk_id", F.size(F.filter("terms", lambda w: F.contains(F.col("t"), w))).cast("long").alias("lexical"))
@@ -211,7 +211,7 @@ FROM RANKING r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.
 
 def overlaps(spark, sf, ranking):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(lexical_tokens(F.col("text"))).alias("qt"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.array_distinct(lexical_tokens(F.col("text"))).alias("dt"))
+    d = hit_documents(spark, sf, ranking).select(F.col("doc_id").alias("chunk_id"), F.array_distinct(lexical_tokens(F.col("text"))).alias("dt"))
     pairs = ranking.select("query_id", "chunk_id").join(q, "query_id").join(d, "chunk_id")
     return pairs.select("query_id", "chunk_id", F.round(F.size(F.array_intersect("qt", "dt")) / F.greatest(F.lit(1), F.size("qt")), 6).alias("overlap"))
 
@@ -297,7 +297,8 @@ SELECT query_id AS item_id, chunk_id AS doc_id, hits AS lexical, hits > 0 AS sup
 )
 def f06(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), query_terms(F.col("text")).alias("terms"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    pairs = bm25_top(spark, sf).select("query_id", "chunk_id").join(q, "query_id").join(d, "chunk_id")
+    top = bm25_top(spark, sf)
+    d = hit_documents(spark, sf, top).select(F.col("doc_id").alias("chunk_id"), "text")
+    pairs = top.select("query_id", "chunk_id").join(q, "query_id").join(d, "chunk_id")
     hits = pairs.withColumn("term", F.explode("terms")).groupBy("query_id", "chunk_id").agg(F.count_if(term_matches(F.col("term"), F.col("text"))).alias("lexical"))
     return hits.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), "lexical", (F.col("lexical") > 0).alias("supported"))
