@@ -95,45 +95,64 @@ def _all_told(field: str, text: Column, own: Column | None = None) -> Column:
     return F.coalesce(F.forall(F.filter(field, lambda r: r.isNotNull()), lambda r: told(r, text, own)), F.lit(True))
 
 
-def _statement_codes() -> dict[str, Column]:
-    """By stage, the code of a statement at fault. Columns: text, ids, source (of its units), lines, unknown, branches, phases, said and held (quantities)."""
-    text, source = F.col("text"), F.col("source")
+def _statement_codes(s: Column) -> dict[str, Column]:
+    """By stage, the code of a statement at fault. Fields: text, ids, source (of its units), lines, unknown, branches, phases, said and held (quantities), foreign."""
+    text, source, lines, foreign = s["text"], s["source"], s["lines"], s["foreign"]
     numbers = lambda q: F.array_distinct(F.transform(q, lambda x: F.regexp_extract(x, r"^\d+(?:\.\d+)?", 0)))
-    foreign = F.array_except("said", "held")
     differ = lambda pattern: text.rlike(pattern) != source.rlike(pattern)
     targets = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(D.CASE_TARGET), F.lit(1))))
     wrong = "unsupported_number_or_unit"
-    strength = let(A.signatures(text), lambda own: let(A.signatures(F.col("lines")), lambda of: A.strength_check(own, of)["error_code"]))
+    strength = let(A.signatures(text), lambda own: let(A.signatures(lines), lambda of: A.strength_check(own, of)["error_code"]))
     return {
-        "supporting_source_unit_id_validation": F.when(F.size(F.array_distinct("ids")) < F.size("ids"), "duplicate_evidence_id").when(F.col("unknown") > 0, "unknown_evidence_id"),
-        "evaluation_action_strength_validation": F.when(text != F.col("lines"), strength),  # what a source says word for word asks for the same
-        "number_validation": F.when(F.size(F.array_except(numbers(foreign), numbers(F.col("held")))) > 0, wrong),
+        "supporting_source_unit_id_validation": F.when(F.size(F.array_distinct(s["ids"])) < F.size(s["ids"]), "duplicate_evidence_id").when(s["unknown"] > 0, "unknown_evidence_id"),
+        "evaluation_action_strength_validation": F.when(text != lines, strength),  # what a source says word for word asks for the same
+        "number_validation": F.when(F.size(F.array_except(numbers(foreign), numbers(s["held"]))) > 0, wrong),
         "unit_validation": F.when(F.size(foreign) > 0, wrong),
         "condition_exception_validation": F.when(differ(D.CONDITION) | differ(D.EXCEPTION) | (targets(text) != targets(source)), "condition_changed"),
         "negation_prohibition_validation": F.when(differ(D.NEGATION), "negation_changed"),
-        "branch_phase_validation": F.when(F.size("branches") > 1, "branch_mixing").when(F.size("phases") > 1, "phase_mixing"),
+        "branch_phase_validation": F.when(F.size(s["branches"]) > 1, "branch_mixing").when(F.size(s["phases"]) > 1, "phase_mixing"),
     }
 
 
-def _statements(parsed: DataFrame, units: DataFrame) -> DataFrame:
-    """case_no and own: its statements in order, each with its text, ids, places of its units and codes, one for each stage of SINGLE."""
-    said = parsed.select("case_no", "query_id", F.posexplode("statements").alias("at", "s")).select("case_no", "query_id", "at", "s.text", F.col("s.supporting_source_unit_ids").alias("ids"))
-    known = units.groupBy("query_id", "unit_id").agg(F.min_by(F.struct(F.coalesce("text", F.lit("")).alias("text"), "branch", "phase", "position"), "position").alias("u"))
-    cited = said.select("case_no", "query_id", "at", F.posexplode("ids").alias("k", "unit_id")).join(known, ["query_id", "unit_id"], "left")
-    in_order = F.sort_array(F.collect_list(F.struct("k", "u")))
-    facts = cited.groupBy("case_no", "at").agg(
-        in_order.alias("cited"),
-        F.count_if(F.col("u").isNull()).alias("unknown"),
-        F.collect_set(F.when(F.col("u.branch").isin("adult", "pediatric"), F.col("u.branch"))).alias("branches"),
-        F.collect_set(F.when(~F.col("u.phase").isin("", "unspecified"), F.col("u.phase"))).alias("phases"),
-    )
-    texts = F.transform(F.filter("cited", lambda c: c["u"].isNotNull()), lambda c: c["u"]["text"])
-    rows = said.join(facts, ["case_no", "at"])
-    rows = rows.withColumns({"source": F.array_join(texts, " "), "lines": F.array_join(texts, "\n"), "places": F.transform("cited", lambda c: c["u"]["position"])})
-    rows = rows.withColumns({"said": quantities(F.col("text")), "held": quantities(F.col("source"))})
-    codes = _statement_codes()
-    own = F.struct("at", "text", "ids", "places", F.array(*[codes[stage] for stage in SINGLE]).alias("codes"))
-    return rows.groupBy("case_no").agg(F.sort_array(F.collect_list(own)).alias("own"))  # as many as an answer may have
+def _statements(rows: DataFrame) -> DataFrame:
+    """rows and own: its statements in order, each with its text, ids, places of its units and codes, one for each stage of SINGLE.
+
+    statements and units (array, in the order of their positions) are those of the row. Of units of one id the first counts.
+    """
+    unit = lambda i: F.get(F.filter("units", lambda u: u["unit_id"] == i), F.lit(0))
+    known = lambda s: F.filter(s["cited"], lambda u: u.isNotNull())
+    some = lambda s, field, able: F.array_distinct(F.filter(F.transform(known(s), lambda u: u[field]), able))
+
+    def cited(s: Column) -> Column:
+        ids = s["supporting_source_unit_ids"]
+        return F.struct(s["text"].alias("text"), ids.alias("ids"), F.transform(ids, unit).alias("cited"))
+
+    def facts(s: Column) -> Column:
+        texts = F.transform(known(s), lambda u: u["text"])
+        return F.struct(
+            s["text"].alias("text"),
+            s["ids"].alias("ids"),
+            F.transform(s["cited"], lambda u: u["position"]).alias("places"),
+            (F.size(s["cited"]) - F.size(known(s))).alias("unknown"),
+            some(s, "branch", lambda b: b.isin("adult", "pediatric")).alias("branches"),
+            some(s, "phase", lambda p: ~p.isin("", "unspecified")).alias("phases"),
+            F.array_join(texts, " ").alias("source"),
+            F.array_join(texts, "\n").alias("lines"),
+        )
+
+    def amounts(s: Column) -> Column:
+        kept = [s[f].alias(f) for f in ("text", "ids", "places", "unknown", "branches", "phases", "source", "lines")]
+        return F.struct(*kept, quantities(s["text"]).alias("said"), quantities(s["source"]).alias("held"))
+
+    def coded(s: Column, at: Column) -> Column:
+        codes = _statement_codes(s)
+        return F.struct(at.alias("at"), s["text"].alias("text"), s["ids"].alias("ids"), s["places"].alias("places"), F.array(*[codes[stage] for stage in SINGLE]).alias("codes"))
+
+    foreign = lambda s: s.withField("foreign", F.array_except(s["said"], s["held"]))
+    own = F.col("statements")
+    for step in (cited, facts, amounts, foreign, coded):
+        own = F.transform(own, step)
+    return rows.withColumn("own", own)
 
 
 def _linked(slot: Column) -> tuple[Column, Column]:
@@ -149,12 +168,10 @@ def diagnose(cases: DataFrame, units: DataFrame, slots: DataFrame) -> DataFrame:
     where the answer as a whole is. statuses has PASS, FAIL or NOT_RUN for each stage. Every rule of the last stage is one of an
     earlier stage, so it passes whenever it is reached.
 
-    Units join statements by case and id; all else is grouped by case, of which an answer bounds the size.
+    Cases, units and slots are exchanged by case, each once; those of a case, whose evidence is what a prompt holds, are one row.
     """
     wanted = ["facts", "numbers", "quantity_units", "times", "conditions", "negations", "steps"]
     c = cases.select("query_id", "received", "raw", "requested_phase", *wanted)
-    # An id by content stays the same if a task runs again.
-    c = c.withColumn("case_no", F.sha2(F.to_json(F.struct(*c.columns)), 256))
     c = c.withColumn("v", F.try_parse_json("raw"))
     shaped = F.coalesce(F.schema_of_variant("v").rlike(_SHAPE), F.lit(False))
     c = c.withColumn("statements", F.when(shaped, F.try_variant_get("v", "$.statements", _STATEMENTS)))
@@ -162,10 +179,12 @@ def diagnose(cases: DataFrame, units: DataFrame, slots: DataFrame) -> DataFrame:
     schema = F.size("statements").between(1, MOST_STATEMENTS) & F.forall("statements", lambda s: F.coalesce(sound(s), F.lit(False)))
     c = c.withColumns({"decoded": F.col("v").isNotNull(), "statements": F.when(F.coalesce(F.col("received"), F.lit(False)) & schema, F.col("statements"))}).drop("v")
 
-    catalogue = units.groupBy("query_id").agg(F.count("*").alias("n_units"), F.array_sort(F.collect_set("unit_id")).alias("known"))
+    unit = F.struct("position", "unit_id", "branch", "phase", F.coalesce("text", F.lit("")).alias("text"))
+    catalogue = units.groupBy("query_id").agg(F.count("*").alias("n_units"), F.array_sort(F.collect_set("unit_id")).alias("known"), F.sort_array(F.collect_list(F.when(F.col("position").isNotNull(), unit))).alias("units"))
     asked = slots.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("slot_no", "slot_id", "requirement", "unit_ids"))).alias("slots"))
-    once = c.filter("statements IS NOT NULL").select("case_no", "query_id", "statements").dropDuplicates(["case_no"])
-    rows = c.join(catalogue, "query_id", "left").join(asked, "query_id", "left").join(_statements(once, units), "case_no", "left")
+    rows = c.join(catalogue, "query_id", "left").join(asked, "query_id", "left")
+    no_units = F.array().cast(catalogue.schema["units"].dataType)
+    rows = _statements(rows.withColumn("units", F.coalesce("units", no_units)))
 
     none = F.lit(None).cast(_FAIL)
     ids = F.flatten(F.transform("own", lambda s: s["ids"]))
