@@ -152,10 +152,20 @@ def bm25_minimal_top(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, chunk_id: documents that hold a sentence of more than 20 characters of the item."""
-    own = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(sentences(F.col("text")))).alias("s")).filter(F.length("s") > 20)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(sentences(F.col("text")))).alias("s")).filter(F.length("s") > 20)
-    return docs.join(own, "s").select("query_id", "chunk_id").distinct()
+    """query_id, chunk_id: documents that hold a sentence of more than 20 characters of the item. Found once for all queries.
+
+    The items' sentences are sent to the documents in blocks, so that no sentence of a document is exchanged.
+    """
+
+    def long(name: str, key: str, own: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(F.col(key).alias(own), F.explode(F.array_distinct(sentences(F.col("text")))).alias("s")).filter(F.length("s") > 20)
+
+    def make() -> DataFrame:
+        docs, asked = long("documents", "doc_id", "chunk_id"), write_shared(long("benchmark", "item_id", "query_id"), "gold-asked")
+        met = reduce(DataFrame.unionByName, [docs.join(F.broadcast(some), "s") for some in blocks(asked, "s")])
+        return write_shared(met.select("query_id", "chunk_id").distinct(), "gold")
+
+    return shared(spark, sf_dir, "gold", make, ("documents", "benchmark"))
 
 
 __all__ = ["bm25_minimal_top", "bm25_scores", "bm25_top", "corpus", "gold", "hit_documents", "lexical_tokens", "literal", "table", "values"]
