@@ -53,10 +53,20 @@ def anchors(text: Column) -> Column:
         return let(left, lambda rest: F.struct(rest.alias("rest"), F.when(rest != acc["rest"], F.concat(acc["found"], F.array(F.element_at(keys, k + 1)))).otherwise(acc["found"]).alias("found")))
 
     start = F.struct(lower_clean(text).alias("rest"), none.alias("found"))
-    # Most texts name none: one test tells first.
-    latin = "|".join(sorted({a.split()[0] for _, a in aliases if a.isascii()}))
-    maybe = F.lower(text).rlike(rf"[가-힣]|(?<![a-z0-9])(?:{latin})(?![a-z0-9])")
-    return F.when(maybe, F.array_distinct(F.aggregate(F.sequence(F.lit(0), F.lit(len(own) - 1)), start, step, lambda acc: acc["found"]))).otherwise(none)
+    return F.when(may_name(text), F.array_distinct(F.aggregate(F.sequence(F.lit(0), F.lit(len(own) - 1)), start, step, lambda acc: acc["found"]))).otherwise(none)
+
+
+def may_name(text: Column) -> Column:
+    """False only of texts without Hangul that name no anchor, which are most: parts of words are looked for before any pattern is."""
+    heads = sorted({a.split()[0] for own in D.ALIASES.values() for a in own if a.isascii()})
+    parts = [h for h in heads if not any(o in h for o in heads if o != h)]
+    hangul = "[가-힣]"
+
+    def of(low: Column) -> Column:
+        some = reduce(lambda x, y: x | y, [F.contains(low, F.lit(h)) for h in parts])
+        return low.rlike(hangul) | (some & low.rlike(rf"(?<![a-z0-9])(?:{'|'.join(heads)})(?![a-z0-9])"))
+
+    return let(F.lower(text), of)
 
 
 def compatible(question: Column, text: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import lexical_tokens, sentences
+from quillspark.functions.text import lexical_tokens, may_name, sentences
 from quillspark.operators import bm25
 from quillspark.operators.impacts import Impacts
 from quillspark.operators.scan import Bags
@@ -111,9 +111,14 @@ def shared_impacts(spark: SparkSession, sf_dir: str, name: str = "lexical", toke
     return shared(spark, sf_dir, f"impacts-{name}", lambda: Impacts(shared_index(spark, sf_dir, name, tokens)))
 
 
+def latin(name: str, text: Column) -> tuple[Column, bool] | None:
+    """Of which texts the tokens (lexical, minimal) are Latin words, and whether numbers are tokens too."""
+    return {"lexical": (~may_name(text), False), "minimal": (~text.rlike("[가-힣]"), True)}.get(name)
+
+
 def shared_bags(spark: SparkSession, sf_dir: str, name: str = "lexical", tokens: Callable[[Column], Column] = lexical_tokens) -> Bags:
     """The documents as bags of words, written once for a session and a state of the table."""
-    return shared(spark, sf_dir, f"bags-{name}", lambda: Bags(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), tokens))
+    return shared(spark, sf_dir, f"bags-{name}", lambda: Bags(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), tokens, latin=latin(name, F.col("text"))))
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
