@@ -102,7 +102,8 @@ def strength(phrase: Column, kind: str) -> Column:
 
 
 def _clause_signatures(clause: Column) -> Column:
-    """kind and strength of the actions of a clause, by kind, then place."""
+    """kind and strength of the actions of a clause, by kind, then place. Kinds that the clause doesn't name are not looked for in its phrases."""
+    plain = F.translate(clause, _CUT, " ")
 
     def at(pieces: Column, phrases: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(pieces) - 1)
@@ -115,7 +116,8 @@ def _clause_signatures(clause: Column) -> Column:
             return count(F.get(phrases, i), kind) > beside
 
         def of(kind: str) -> Column:
-            return F.transform(F.filter(places, lambda i: has(i, kind)), lambda i: F.get(phrases, i))
+            found = F.transform(F.filter(places, lambda i: has(i, kind)), lambda i: F.get(phrases, i))
+            return F.when(plain.rlike(KINDS[kind]), found).otherwise(F.array().cast("array<string>"))
 
         def signed(kind: str, own: Column) -> Column:
             return F.transform(own, lambda p: F.struct(F.lit(kind).alias("kind"), strength(p, kind).alias("strength")))
@@ -126,14 +128,23 @@ def _clause_signatures(clause: Column) -> Column:
     def phrases(pieces: Column) -> Column:
         return F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.concat(F.get(pieces, i - 1), p, F.get(pieces, i + 1))))
 
-    marked = F.regexp_replace(F.translate(clause, _CUT, " "), f"({PHRASE_END})", f"{_CUT}$1{_CUT}")
-    return _let(F.split(marked, _CUT), lambda pieces: _let(phrases(pieces), lambda own: at(pieces, own)))
+    marked = F.regexp_replace(plain, f"({PHRASE_END})", f"{_CUT}$1{_CUT}")
+    found = _let(F.split(marked, _CUT), lambda pieces: _let(phrases(pieces), lambda own: at(pieces, own)))
+    return F.when(plain.rlike("|".join(KINDS.values())), found).otherwise(F.array().cast("array<struct<kind:string,strength:string>>"))
 
 
 def signatures(text: Column) -> Column:
     """kind and strength of the actions of a text, each pair once, in order."""
-    clauses = F.filter(F.transform(F.split(text, CLAUSE_END), lambda c: F.trim(c)), lambda c: c != "")
-    return F.array_distinct(F.flatten(F.transform(clauses, _clause_signatures)))
+    return of_clauses(clauses(text))
+
+
+def clauses(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, CLAUSE_END), lambda c: F.trim(c)), lambda c: c != "")
+
+
+def of_clauses(found: Column) -> Column:
+    """signatures() of a text with these clauses."""
+    return F.array_distinct(F.flatten(F.transform(found, _clause_signatures)))
 
 
 def strength_check(statement: Column, source: Column) -> Column:
