@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import query_terms, term_matches
-from quillspark.operators import bm25, dense, fusion, inverted, vectors
+from quillspark.operators import bm25, contained, dense, fusion, inverted, vectors
 from quillspark.queries.common import MINIMAL, among, bm25_minimal_top, bm25_scores, bm25_top, hit_documents, lexical_tokens, shared_bags, sql_bm25, sql_tokens, table
 from quillspark.session import blocks
 
@@ -128,9 +128,7 @@ def d02(spark, sf):
     items = table(spark, sf, "benchmark").select((50 * F.col("item_id")).alias("query_id"), "text")
     terms = among(items, "query_id", known).select("query_id", F.slice(F.array_distinct(F.filter(lexical_tokens(F.col("text"), False), lambda w: F.length(w) > 1)), 1, 16).alias("terms"))
     bare = among(table(spark, sf, "documents"), "doc_id", known).select(F.col("doc_id").alias("chunk_id"), F.regexp_replace(F.lower("text"), r"\s+", "").alias("t"))
-    some = F.exists("terms", lambda w: F.contains(F.col("t"), w))  # no pair without a word becomes a row
-    both = reduce(DataFrame.unionByName, [bare.join(F.broadcast(own), some) for own in blocks(terms, "query_id")])
-    lexical = both.select("query_id", "chunk_id", F.size(F.filter("terms", lambda w: F.contains(F.col("t"), w))).cast("long").alias("lexical"))
+    lexical = reduce(DataFrame.unionByName, [bare.mapInArrow(contained.holding(own.toArrow()), f"chunk_id long, {contained.WORDS}") for own in blocks(terms, "query_id")])
     return vectors.blended(_vectors(spark, sf), _asked(spark, sf), lexical, 40).select(F.col("query_id").alias("q_id"), F.col("chunk_id").alias("vec_id"), F.col("score").alias("sim"), "lexical", "dense_rank", "keyword_rank")
 
 
