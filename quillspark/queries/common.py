@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import lexical_tokens, may_name, sentences
 from quillspark.operators import bm25
 from quillspark.operators.impacts import Impacts
-from quillspark.operators.scan import Bags
+from quillspark.operators.scan import ENTRIES, Bags
 from quillspark.session import blocks, spread, write_shared
 
 
@@ -82,12 +83,7 @@ SHARED = 16
 
 def shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object], tables: tuple[str, ...] = ("documents",)):
     """What make() gives, made once for a session and a state of the tables (length, files and time)."""
-    state: tuple = (spark.sparkContext.applicationId, name, sf_dir)
-    for own in tables:
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{own}.parquet")
-        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-        told = files.getContentSummary(where)
-        state += (told.getLength(), told.getFileCount(), files.getFileStatus(where).getModificationTime())
+    state = _state(spark, sf_dir, name, tables)
     if state not in _SHARED:
         made = make()
         while len(_SHARED) >= SHARED:
@@ -96,6 +92,16 @@ def shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], objec
     return _SHARED[state]
 
 
+def _state(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...]) -> tuple:
+    state: tuple = (spark.sparkContext.applicationId, name, sf_dir)
+    for own in tables:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{own}.parquet")
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        told = files.getContentSummary(where)
+        state += (told.getLength(), told.getFileCount(), files.getFileStatus(where).getModificationTime())
+    return state
+
+
 def shared_index(spark: SparkSession, sf_dir: str, name: str = "lexical", tokens: Callable[[Column], Column] = lexical_tokens) -> DataFrame:
     """The postings of the documents, written to the shared folder once for a session and a state of the table."""
 
@@ -118,7 +124,24 @@ def latin(name: str, text: Column) -> tuple[Column, bool] | None:
 
 def shared_bags(spark: SparkSession, sf_dir: str, name: str = "lexical", tokens: Callable[[Column], Column] = lexical_tokens) -> Bags:
     """The documents as bags of words, written once for a session and a state of the table."""
-    return shared(spark, sf_dir, f"bags-{name}", lambda: Bags(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), tokens, latin=latin(name, F.col("text"))))
+    return shared(spark, sf_dir, f"bags-{name}", lambda: _bags(spark, sf_dir, name, tokens))
+
+
+def _bags(spark: SparkSession, sf_dir: str, name: str, tokens: Callable[[Column], Column], only: pa.Array | None = None) -> Bags:
+    return Bags(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), tokens, latin=latin(name, F.col("text")), only=only)
+
+
+def asked_bags(spark: SparkSession, sf_dir: str, name: str, tokens: Callable[[Column], Column]) -> Bags:
+    """Bags for the items' questions: those with all words if the session has them or the items have more than ENTRIES words, else with the items' words alone."""
+
+    def make() -> Bags:
+        words = write_shared(table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("w")).distinct(), "asked-words")
+        if words.count() > ENTRIES:
+            return shared_bags(spark, sf_dir, name, tokens)
+        return _bags(spark, sf_dir, name, tokens, words.toArrow().column("w").combine_chunks())
+
+    whole = _SHARED.get(_state(spark, sf_dir, f"bags-{name}", ("documents",)))
+    return whole or shared(spark, sf_dir, f"bags-asked-{name}", make, ("documents", "benchmark"))
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +157,7 @@ def _shared_top(spark: SparkSession, sf_dir: str, k: int, name: str, tokens: Cal
     """The best k documents of each item, by one pass over the bags of words; up to RANKS of them are searched once for all queries."""
 
     def best(most: int) -> DataFrame:
-        bags = shared_bags(spark, sf_dir, name, tokens)
+        bags = asked_bags(spark, sf_dir, name, tokens)
         return bags.top(bags.asked(table(spark, sf_dir, "benchmark"), "item_id", tokens(F.col("text"))), most)
 
     if k > RANKS:
